@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from roadsift.functions import formulas as fm
 from roadsift.operators import lanes as ln, pairs as pr, tracks as tr
 from roadsift.rules import pair_rules as prules
-from roadsift.rules.catalog import RULES, Rule, strategy_rules
+from roadsift.rules.catalog import RULES, Rule
 from roadsift.session import materialize
 from roadsift.rules.pair_rules import bounds, in_horizon, large, mean, risk, small
 
@@ -42,22 +42,30 @@ def gated_actors(states: DataFrame, polylines: DataFrame, rules: list[Rule], act
             .drop(*[f"gate_{s}" for s in names]))
 
 
+BIT = {skill: 1 << i for i, skill in enumerate(RULES)}
+
+
+def scan_actors(states: DataFrame, polylines: DataFrame) -> DataFrame:
+    """Gated actors with their lanes.  Every join of the scan reads them, so they are written once."""
+    gated = gated_actors(states, polylines, list(RULES.values()))
+    return materialize(ln.with_lanes(gated, polylines), "actors")
+
+
 class Scene:
     """The shared tables of one scan; every method returns a lazy DataFrame."""
 
-    def __init__(self, states: DataFrame, polylines: DataFrame, rules: list[Rule]):
+    def __init__(self, states: DataFrame, polylines: DataFrame, rules: list[Rule], actors: DataFrame | None = None):
         self.states, self.polylines, self.rules = states, polylines, rules
         self.pair = prules.pair_rules(rules)
         self.needs = set().union(*[p.needs for p in self.pair.values()]) if self.pair else set()
-        # read by every join below: written once instead of recomputed per branch
-        self.actors = materialize(ln.with_lanes(gated_actors(states, polylines, rules), polylines), "actors")
+        self.actors = scan_actors(states, polylines) if actors is None else actors
         self.segs = ln.segments(polylines.where("polyline_type = 'lane_centerline'"))
 
     def full_actors(self) -> DataFrame:
         return self.actors.where("init_mask <> 0 OR resp_mask <> 0")
 
     def mask(self, *skills: str) -> int:
-        return sum(1 << i for i, r in enumerate(self.rules) if r.skill_id in skills)
+        return sum(BIT[s] for s in skills)
 
     def pairs(self, skills: list[str], full: DataFrame, needs: set[str], radius: float = pr.RADIUS) -> DataFrame:
         """Gated near pairs with both actors' features."""
@@ -224,17 +232,14 @@ def top_matches(matches: DataFrame, limit: int = 1) -> DataFrame:
     return unique.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit)
 
 
-def detect(states: DataFrame, polylines: DataFrame, rules: list[Rule] | None = None, limit: int | None = 1) -> DataFrame:
+def detect(states: DataFrame, polylines: DataFrame, rules: list[Rule] | None = None, limit: int | None = 1,
+           actors: DataFrame | None = None) -> DataFrame:
     """Seed matches of the given rules; ``limit=None`` keeps every qualified match."""
-    scene = Scene(states, polylines, list(RULES.values()) if rules is None else rules)
+    scene = Scene(states, polylines, list(RULES.values()) if rules is None else rules, actors)
     found = qualified(scene.raw_matches())
     return found if limit is None else top_matches(found, limit)
 
 
-def detect_strategy(states: DataFrame, polylines: DataFrame, *names: str) -> DataFrame:
-    return detect(states, polylines, strategy_rules(*names), None)
-
-
 def seed_records(matches: DataFrame, source: str = "scenario://") -> DataFrame:
     """Matches in the shape of `seed_records` (roles as a map, evidence as maps)."""
     case = lambda get: "CASE " + " ".join(f"WHEN skill_id = '{r.skill_id}' THEN {get(r)}" for r in RULES.values()) + " END"
