@@ -222,3 +222,17 @@ def map_features(polylines: DataFrame) -> DataFrame:
     names = [*has, "converging_lane"]
     wide = base.join(shared, "scenario_id", "left").withColumn("converging_lane", F.expr("many_pred OR coalesce(shared, false)"))
     return wide.select("scenario_id", F.expr("array_compact(array(" + ", ".join(f"IF({n}, '{n}', NULL)" for n in names) + "))").alias("features"))
+
+
+def transitions(assigned: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes of lane along the frames (repeats and unassigned frames dropped)."""
+    w = Window.partitionBy(*keys).orderBy("timestep")
+    s = assigned.where("lane IS NOT NULL").withColumn("src", F.lag("lane").over(w))
+    return s.where("src <> lane").select(*keys, "timestep", "src", F.col("lane").alias("dst"))
+
+
+def forbidden_transitions(moves: DataFrame, polylines: DataFrame) -> DataFrame:
+    """Transitions between lanes that are neither neighbours nor linked either way."""
+    edges = lane_edges(polylines).select("scenario_id", "src", "dst")
+    both = edges.unionByName(edges.selectExpr("scenario_id", "dst AS src", "src AS dst")).distinct()
+    return moves.join(both, ["scenario_id", "src", "dst"], "left_anti").select(*moves.columns)
