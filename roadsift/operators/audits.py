@@ -34,3 +34,33 @@ def non_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count of NaN and infinite values per numeric column in one pass."""
     bad = [F.expr(f"count_if(isnan({c}) OR abs({c}) = double('infinity'))").alias(c) for c in columns]
     return df.agg(*bad).selectExpr("stack({}, {}) AS (column_name, bad)".format(len(columns), ", ".join(f"'{c}', {c}" for c in columns)))
+
+
+def pool_audit(pool: DataFrame, manifest: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Scenarios of a pool outside the allowed manifest or inside an excluded one."""
+    outside = pool.join(manifest, "scenario_id", "left_anti").selectExpr("'outside_manifest' AS problem", "scenario_id")
+    return outside.unionByName(pool.join(excluded, "scenario_id", "left_semi").selectExpr("'excluded_manifest' AS problem", "scenario_id"))
+
+
+def manifest_contract(manifest: DataFrame, splits: list[str], path: str) -> DataFrame:
+    """Violations per rule: unexpected split, non-canonical path, empty field, repeated id."""
+    allowed = ", ".join(f"'{s}'" for s in splits)
+    one = manifest.agg(F.expr(f"count_if(split NOT IN ({allowed}))").alias("bad_split"), F.expr(f"count_if(NOT source_path RLIKE '{path}')").alias("bad_path"),
+                       F.expr("count_if(scenario_id = '' OR city_name = '' OR selected_reason = '')").alias("empty_field"))
+    rows = one.selectExpr("stack(3, 'bad_split', bad_split, 'bad_path', bad_path, 'empty_field', empty_field) AS (problem, rows)")
+    return rows.unionByName(duplicate_keys(manifest, ["scenario_id"]).agg(F.count("*").alias("rows")).selectExpr("'duplicate_id' AS problem", "rows"))
+
+
+def seed_validity(seeds: DataFrame, top: float = 1.0) -> DataFrame:
+    return seeds.withColumn("problem", F.expr(
+        "explode(array_compact(array(IF(initiator_track_id = responder_track_id, 'same_actor', NULL), "
+        f"IF(trigger_score NOT BETWEEN 0 AND {top}, 'score_range', NULL), IF(seed_risk_value IS NULL OR isnan(seed_risk_value), 'risk_missing', NULL))))"))
+
+
+def scan_pool(pool: DataFrame, manifest: DataFrame, skills: list[str], keys: list[str]) -> DataFrame:
+    """Completeness of a scan: manifest scenarios without a scan, unexpected ones, repeated keys, undeclared skills."""
+    ids = pool.select("scenario_id").distinct()
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [count(manifest.join(ids, "scenario_id", "left_anti"), "not_scanned"), count(ids.join(manifest, "scenario_id", "left_anti"), "unexpected"),
+             count(duplicate_keys(pool, keys), "duplicates"), count(pool.where(~F.col("skill_id").isin(skills)), "undeclared_skill")]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), parts)      # single-row tables

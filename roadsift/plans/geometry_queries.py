@@ -156,7 +156,7 @@ def f01(spark, sf):
     return ln.points_in_areas(pts, scene.roads(spark, sf).where("polyline_type = 'pedestrian_crossing'"), ["track_id", "timestep"])
 
 
-EDGE = f"""WITH gp AS (SELECT DISTINCT scenario_id, CAST(round(x) AS DOUBLE) AS px, CAST(round(y * 2) / 2 AS DOUBLE) AS py FROM ({sc.adapters.track_states_sql()})), {sc.lane0_cte()}, {sc.road_ctes()},
+EDGE = f"""WITH gp AS (SELECT DISTINCT scenario_id, CAST(round(x) AS DOUBLE) + CAST(0 AS DOUBLE) AS px, CAST(round(y * 2) / 2 AS DOUBLE) + CAST(0 AS DOUBLE) AS py FROM ({sc.adapters.track_states_sql()})), {sc.lane0_cte()}, {sc.road_ctes()},
   hit AS (SELECT scenario_id, px, py, pid, sum(CASE WHEN (y2 > py) <> (y1 > py) AND px < (x1 - x2) * (py - y2) / (y1 - y2) + x2 THEN 1 ELSE 0 END) % 2 = 1
       OR bool_or((x1 = x2 AND px = x1 AND py BETWEEN least(y1, y2) AND greatest(y1, y2)) OR (y1 = y2 AND py = y1 AND px BETWEEN least(x1, x2) AND greatest(x1, x2))) AS inside
     FROM gp, seg WHERE ptype = 'drivable_area' GROUP BY ALL) SELECT DISTINCT scenario_id, px, py FROM hit WHERE inside"""
@@ -164,7 +164,7 @@ EDGE = f"""WITH gp AS (SELECT DISTINCT scenario_id, CAST(round(x) AS DOUBLE) AS
 
 @query("F02_point_in_polygon_with_boundary", EDGE)
 def f02(spark, sf):
-    pts = scene.states(spark, sf).selectExpr("scenario_id", "CAST(round(x) AS DOUBLE) AS px", "CAST(round(y * 2) / 2 AS DOUBLE) AS py").distinct()
+    pts = scene.states(spark, sf).selectExpr("scenario_id", "CAST(round(x) AS DOUBLE) + 0.0D AS px", "CAST(round(y * 2) / 2 AS DOUBLE) + 0.0D AS py").distinct()
     area = scene.roads(spark, sf).where("polyline_type = 'drivable_area'")
     return ln.points_in_areas(pts, area, ["px", "py"], include_boundary=True, minimum_vertices=3)
 
