@@ -21,7 +21,7 @@ def crosswalk_outline(edge1: str, edge2: str) -> str:
 def resample(df: DataFrame, points: str, count: int, out: str) -> DataFrame:
     """``count`` points uniform in arc length; a line without length keeps its first point."""
     length = fm.norm(f"{points}[i].x - {points}[i - 1].x", f"{points}[i].y - {points}[i - 1].y")
-    df = df.withColumn("_arc", F.expr(f"aggregate(sequence(1, size({points}) - 1), array(CAST(0 AS DOUBLE)), (a, i) -> concat(a, array(element_at(a, -1) + {length})))"))
+    df = df.withColumn("_arc", F.expr(f"aggregate(IF(size({points}) > 1, sequence(1, size({points}) - 1), CAST(array() AS ARRAY<INT>)), array(CAST(0 AS DOUBLE)), (a, i) -> concat(a, array(element_at(a, -1) + {length})))"))
     # index of the last vertex at or before the target, not beyond the last segment
     at = "greatest(1, least(size(_arc) - 1, size(filter(_arc, v -> v <= element_at(_arc, -1) * k / {n})))) - 1".format(n=count - 1)
     part = "CASE WHEN _arc[s + 1] > _arc[s] THEN (element_at(_arc, -1) * k / {n} - _arc[s]) / (_arc[s + 1] - _arc[s]) ELSE CAST(0 AS DOUBLE) END".format(n=count - 1)

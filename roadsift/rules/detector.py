@@ -42,6 +42,9 @@ def gated_actors(states: DataFrame, polylines: DataFrame, rules: list[Rule], act
             .drop(*[f"gate_{s}" for s in names]))
 
 
+_SIDES = (("a", "b"), ("b", "a"))
+# longest first: the pieces of a longer relation must not be replaced inside it
+SHARED = sorted({f(*ab) for f in (pr.gap, pr.same_or_successor, pr.adjacent, pr.pair_ttc, pr.angle, pr.fwd, pr.lat) for ab in _SIDES}, key=len, reverse=True)
 BIT = {skill: 1 << i for i, skill in enumerate(RULES)}
 
 
@@ -188,6 +191,15 @@ class Scene:
         full = self.full_actors()
         pairs = self.enrich(self.pairs(list(self.pair), full, self.needs | {"past"}), self.needs)
         pairs = pairs.withColumn("shared_steps", F.expr("size(array_intersect(a_hist_frames, b_hist_frames))"))
+        # relations used by many rules become columns first, so each is evaluated once per pair
+        used = " ".join(str(vars(rule)) for rule in self.pair.values())
+        shared = {text: f"x{i}" for i, text in enumerate(SHARED) if text in used}
+        pairs = pairs.withColumns({name: F.expr(text) for text, name in shared.items()})
+
+        def short(text: str) -> str:
+            for long, name in shared.items():
+                text = text.replace(long, name)
+            return text
         items = []
         for skill, rule in self.pair.items():
             r, bit = RULES[skill], self.mask(skill)
@@ -199,8 +211,8 @@ class Scene:
                     f"CAST({rule.value} AS DOUBLE) AS risk_value, map({measured}) AS measured, "
                     f"{f'map({extra})' if extra else 'CAST(map() AS MAP<STRING, DOUBLE>)'} AS context, {pick('b_lane', 'a_lane')} AS initiator_lane, "
                     f"{pick('a_lane', 'b_lane')} AS responder_lane, {rule.target_lane} AS target_lane)")
-            items.append(f"CASE WHEN (a_init_mask & b_resp_mask & {bit}L) <> 0 AND ({rule.where}) AND {bounds(r, rule.measured)} "
-                         f"AND ({rule.value}) IS NOT NULL THEN {body} END")
+            items.append(short(f"CASE WHEN (a_init_mask & b_resp_mask & {bit}L) <> 0 AND ({rule.where}) AND {bounds(r, rule.measured)} "
+                               f"AND ({rule.value}) IS NOT NULL THEN {body} END"))
         out = pairs.select("scenario_id", "shared_steps", F.expr(f"inline(array_compact(array({', '.join(items)})))"))
         return out.withColumn("extra", F.lit(None).cast("string")).select(*MATCH)
 
