@@ -273,3 +273,23 @@ def vector_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = raw.selectExpr("vec_id", "p + 1 AS step", "CAST(dx AS DOUBLE) AS dx",
                            "CAST(element_at(embedding, p + 33) AS DOUBLE) AS dy")
     return spark.sql(STEPS_SQL, steps=steps)
+
+
+ANCHOR = 34
+LAST = 48
+
+# four candidate futures per track: the recorded one and three shifted along or across; roles b and c are the next two tracks
+CANDIDATES_SQL = """
+SELECT concat(s.track_id, '-', CAST(idx AS VARCHAR(2))) AS candidate_id, s.scenario_id, s.track_id AS a, p.track_id AS b, q.track_id AS c, object_type,
+       CAST(idx AS INT) AS candidate_index, timestep,
+       CAST(CAST(x + CAST(idx * 5 * (timestep - 34) AS DOUBLE) / 100 AS FLOAT) AS DOUBLE) AS x,
+       CAST(CAST(y + CAST(CASE idx WHEN 1 THEN 2 WHEN 2 THEN -25 WHEN 3 THEN 10 ELSE 0 END * (timestep - 34) AS DOUBLE) / 100 AS FLOAT) AS DOUBLE) AS y
+FROM {states} s JOIN (SELECT DISTINCT scenario_id, track_id FROM {states}) p ON p.scenario_id = s.scenario_id AND CAST(p.track_id AS BIGINT) = CAST(s.track_id AS BIGINT) + 1
+JOIN (SELECT DISTINCT scenario_id, track_id FROM {states}) q ON q.scenario_id = s.scenario_id AND CAST(q.track_id AS BIGINT) = CAST(s.track_id AS BIGINT) + 2
+JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS v(idx)) i ON true
+WHERE timestep BETWEEN 35 AND 48
+"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CANDIDATES_SQL, states=track_states(spark, sf_dir))

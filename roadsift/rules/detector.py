@@ -42,6 +42,7 @@ def gated_actors(states: DataFrame, polylines: DataFrame, rules: list[Rule], act
             .drop(*[f"gate_{s}" for s in names]))
 
 
+FRAME_FEATURES = {"min_ttc", "min_dist", "path", "headway", "opposite"}
 _SIDES = (("a", "b"), ("b", "a"))
 # longest first: the pieces of a longer relation must not be replaced inside it
 SHARED = sorted({f(*ab) for f in (pr.gap, pr.same_or_successor, pr.adjacent, pr.pair_ttc, pr.angle, pr.fwd, pr.lat) for ab in _SIDES}, key=len, reverse=True)
@@ -74,9 +75,27 @@ class Scene:
         """Gated near pairs with both actors' features."""
         m = self.mask(*skills)
         near = pr.near_pairs(self.actors.where(f"(init_mask & {m}L) <> 0"), self.actors.where(f"(resp_mask & {m}L) <> 0"), radius)
-        drop = [c for c in ("past",) if not needs & {"headway", "past"}]
+        drop = [c for c in ("past",) if not needs & {"past"}]
         return pr.attach(pr.attach(near, full.drop(*drop), "a"), full.drop(*drop), "b")
 
+    def frame_features(self, pairs: DataFrame, needs: set[str]) -> DataFrame:
+        """Values over the frames of both actors; afterwards the frame arrays are no longer needed."""
+        pairs = pairs.withColumn("shared_steps", F.expr("size(array_intersect(a_hist_frames, b_hist_frames))"))
+        if "min_ttc" in needs:
+            pairs = pr.with_min_ttc(pairs)
+        if "min_dist" in needs:
+            pairs = pr.with_min_distance(pairs)
+        if "path" in needs:
+            pairs = pr.with_path_distance(pairs)
+        if "headway" in needs:
+            r = RULES["short_headway_following"]
+            run = tr.array_run(pr.headway_flags(r["maximum_time_headway_s"], r["minimum_follower_speed_mps"]))
+            pairs = pairs.withColumn("headway_run", F.expr(f"{run} * 0.1D"))
+        if "opposite" in needs:
+            flags = f"transform(a_past, p -> coalesce(p.observed AND {fm.heading_gap('p.heading', 'a_any_heading')} >= radians(120), false))"
+            pairs = pairs.withColumn("opposite_run", F.expr(f"{tr.array_run(flags)} * 0.1D"))
+        return pairs.drop(*[f"{s}_{c}" for s in "ab" for c in ("past", "future", "hist_frames")])
+
     # --- optional pair features -------------------------------------------------------------
     def enrich(self, pairs: DataFrame, needs: set[str]) -> DataFrame:
         key = ["scenario_id", "a", "b"]
@@ -96,8 +115,6 @@ class Scene:
             pairs = pr.with_min_ttc(pairs)
         if "min_dist" in needs:
             pairs = pr.with_min_distance(pairs)
-        if "path" in needs:
-            pairs = pr.with_path_distance(pairs)
         if "traffic" in needs:
             pairs = self._traffic(pairs)
         for flag, x, y, name in (("on_lane", "a_x", "a_y", "at_lane"), ("end_on_lane", "a_end_x", "a_end_y", "end_on_lane")):
@@ -113,8 +130,11 @@ class Scene:
         if "both" in needs:
             pairs = self._shared_neighbour(pairs)
         if "conflict" in needs:
-            pairs = pairs.join(pr.conflicts(self.actors), key, "left")
-            points = pairs.where("cx IS NOT NULL").selectExpr(*key, "cx AS px", "cy AS py", "a_lane AS polyline_id" if "conflict_lane" in needs else "true AS t")
+            hits = pairs.select(*key, "a_lane").join(pr.conflicts(self.actors), key)
+            if needs & {"conflict_cross", "conflict_lane", "conflict_place"}:
+                hits = materialize(hits, "conflicts")          # read by up to five point queries below
+            pairs = pairs.join(hits.drop("a_lane"), key, "left")
+            points = hits.selectExpr(*key, "cx AS px", "cy AS py", "a_lane AS polyline_id" if "conflict_lane" in needs else "true AS t")
             cross = self.polylines.where("polyline_type = 'lane_centerline' AND is_intersection")
             if "conflict_cross" in needs:
                 near = ln.nearest_distance(points, ln.segments(cross).where("NOT broken"), ["a", "b"], 6.0, far=False)
@@ -189,8 +209,10 @@ class Scene:
     # --- matches ------------------------------------------------------------------------------
     def pair_matches(self) -> DataFrame:
         full = self.full_actors()
-        pairs = self.enrich(self.pairs(list(self.pair), full, self.needs | {"past"}), self.needs)
-        pairs = pairs.withColumn("shared_steps", F.expr("size(array_intersect(a_hist_frames, b_hist_frames))"))
+        pairs = self.frame_features(self.pairs(list(self.pair), full, {"past"}), self.needs)
+        # the features below read this table several times: written once, without the frame arrays
+        pairs = materialize(pairs, "pairs")
+        pairs = self.enrich(pairs, self.needs - FRAME_FEATURES)
         # relations used by many rules become columns first, so each is evaluated once per pair
         used = " ".join(str(vars(rule)) for rule in self.pair.values())
         shared = {text: f"x{i}" for i, text in enumerate(SHARED) if text in used}

@@ -12,7 +12,6 @@ from typing import Callable
 
 from roadsift.functions import formulas as fm
 from roadsift.operators import pairs as pr
-from roadsift.operators.tracks import array_run
 from roadsift.rules.catalog import RULES, Rule
 
 HORIZON = "6.0"
@@ -71,9 +70,8 @@ def _longitudinal(rule: Rule) -> PairRule:
         return PairRule({"lanes", "low"}, where, m, mean(cond, risk(rule, gap)), gap)
     if rule.skill_id == "short_headway_following":
         way = fm.headway(gap, "b_speed")
-        run = f"({array_run(pr.headway_flags(rule['maximum_time_headway_s'], rule['minimum_follower_speed_mps']))} * 0.1D)"
-        m = {"minimum_follower_speed_mps": "b_speed", "maximum_time_headway_s": way, "minimum_duration_s": run}
-        return PairRule({"lanes"}, where, m, risk(rule, way), way)
+        m = {"minimum_follower_speed_mps": "b_speed", "maximum_time_headway_s": way, "minimum_duration_s": "headway_run"}
+        return PairRule({"lanes", "headway"}, where, m, risk(rule, way), way)
     m = {"minimum_relative_speed_mps": closing, "maximum_initial_gap_m": gap, "maximum_time_to_collision_s": ttc}
     return PairRule({"lanes"}, where, m, mean(large(closing, "1.0"), risk(rule, ttc)), ttc)
 
@@ -234,12 +232,11 @@ def _vru(rule: Rule) -> PairRule:
 
 def _wrong_way(rule: Rule) -> PairRule:
     ttc = pr.pair_ttc("a", "b")
-    flags = f"transform(a_past, p -> coalesce(p.observed AND {fm.heading_gap('p.heading', 'a_any_heading')} >= radians(120), false))"
     m = {"minimum_opposite_heading_difference_deg": deg("a_any_error"), "minimum_moving_speed_mps": "a_speed",
-         "minimum_opposite_heading_duration_s": f"({array_run(flags)} * 0.1D)", "maximum_oncoming_distance_m": "dist"}
+         "minimum_opposite_heading_duration_s": "opposite_run", "maximum_oncoming_distance_m": "dist"}
     path = "(a_any_lane = b_lane OR array_contains(b_pred, a_any_lane) OR array_contains(a_any_succ, b_lane))"
     where = f"{path} AND NOT coalesce(a_in_cross, false) AND b_lane_error <= radians(60) AND {ttc} IS NOT NULL"
-    return PairRule({"lanes"}, where, m, mean(large("a_any_error", "radians(120)"), risk(rule, ttc)), ttc)
+    return PairRule({"lanes", "opposite"}, where, m, mean(large("a_any_error", "radians(120)"), risk(rule, ttc)), ttc)
 
 
 def _static(rule: Rule) -> PairRule:
