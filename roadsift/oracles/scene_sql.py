@@ -32,8 +32,8 @@ def lane0_cte() -> str:
     return f"lane0 AS (SELECT * FROM (VALUES {lanes}) AS l(pid, direction, in_cross, left_id, right_id, pred, succ))"
 
 
-def base() -> str:
-    return f"""WITH st AS ({adapters.track_states_sql()}), {lane0_cte()}, {road_ctes()},
+def base(states: str | None = None) -> str:
+    return f"""WITH st AS ({states or adapters.track_states_sql()}), {lane0_cte()}, {road_ctes()},
     rt AS (SELECT *, max(CASE WHEN observed THEN timestep END) OVER (PARTITION BY scenario_id, track_id) AS ref_t,
              {fm.norm('x - lag(x) OVER w', 'y - lag(y) OVER w')} / 0.1 AS sv FROM st WINDOW w AS (PARTITION BY scenario_id, track_id ORDER BY timestep)),
     ra AS (SELECT *, (sv - lag(sv) OVER (PARTITION BY scenario_id, track_id ORDER BY timestep)) / 0.1 AS acc FROM rt),

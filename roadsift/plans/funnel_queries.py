@@ -23,15 +23,16 @@ def tasks(cand):
 
 
 def wide(spark, sf):
-    cand = ad.candidates(spark, sf)
-    w = fr.wide_frames(tasks(cand), cand, scene.states(spark, sf), ANCHOR)
-    return rk.with_end(w, END)
+    cand = scene.candidates(spark, sf)
+    return scene.once(spark, sf, "wide", lambda: rk.with_end(fr.wide_frames(tasks(cand), cand, scene.states(spark, sf), ANCHOR), END))
 
 
 def rows(spark, sf):
     """Wide rows with steps, anchor state and conflict point."""
-    full = fr.anchored(fr.with_steps(wide(spark, sf)), ANCHOR)
-    return cn.prepare(cn.conflict_context(full, ANCHOR), ANCHOR)
+    def build():
+        full = fr.anchored(fr.with_steps(wide(spark, sf)), ANCHOR)
+        return cn.prepare(cn.conflict_context(full, ANCHOR), ANCHOR)
+    return scene.once(spark, sf, "rows", build)
 
 
 SHOW = ["candidate_id", f"{R('value', 5)} AS value", "pair", "status"]
@@ -211,7 +212,7 @@ def v18(spark, sf):
 def v20(spark, sf):
     from roadsift.operators import tracks as tr
     past = tr.speeds(scene.states(spark, sf).where(f"timestep <= {ANCHOR}")).where(f"timestep >= {ANCHOR - 10}").groupBy("scenario_id", F.col("track_id").alias("a")).agg(F.max("speed").alias("m"))
-    v = cn.evaluate(rows(spark, sf), ["begins_moving", "enters_main_flow"]).join(tasks(ad.candidates(spark, sf)), "candidate_id").join(past, ["scenario_id", "a"], "left")
+    v = cn.evaluate(rows(spark, sf), ["begins_moving", "enters_main_flow"]).join(tasks(scene.candidates(spark, sf)), "candidate_id").join(past, ["scenario_id", "a"], "left")
     return v.selectExpr("candidate_id", "begins_moving", "enters_main_flow", "coalesce(m <= 0.5, false) AS previously_stopped")
 
 
@@ -224,10 +225,322 @@ def v22(spark, sf):
 
 @query("P21_overlay", f"{BASE} SELECT candidate_id, timestep, {R('x')} AS x, {R('y')} AS y, {R('vx', 3)} AS vx, {R('vy', 3)} AS vy FROM ov WHERE timestep >= 34")
 def p21(spark, sf):
-    o = fr.overlay(ad.candidates(spark, sf), scene.states(spark, sf), ANCHOR).where(f"timestep >= {ANCHOR}")
+    o = fr.overlay(scene.candidates(spark, sf), scene.states(spark, sf), ANCHOR).where(f"timestep >= {ANCHOR}")
     return o.selectExpr("candidate_id", "timestep", f"{R('x')} AS x", f"{R('y')} AS y", f"{R('vx', 3)} AS vx", f"{R('vy', 3)} AS vy")
 
 
 @query("F03_conflict_square", f"{BASE} SELECT candidate_id, timestep, {rk.inside_square('a')} AS inside, {R(rk.square_distance('a'))} AS distance FROM w4 WHERE px IS NOT NULL")
 def f03(spark, sf):
     return rows(spark, sf).where("px IS NOT NULL").selectExpr("candidate_id", "timestep", f"{rk.inside_square('a')} AS inside", f"{R(rk.square_distance('a'))} AS distance")
+
+
+# --- filter stages --------------------------------------------------------------------------------------
+from roadsift.funnel import stages as sg  # noqa: E402
+from roadsift.operators import diversity as dv, frames as frm, lanes as ln, tracks as trk  # noqa: E402
+from roadsift.oracles import rules_sql as rsq, scene_sql as scq  # noqa: E402
+
+
+def typed(spark, sf):
+    return scene.candidates(spark, sf).select("candidate_id", "scenario_id", "a", "b", "c", "object_type", "candidate_index").distinct()
+
+
+def kinds(spark, sf):
+    return typed(spark, sf).select("candidate_id", "object_type")
+
+
+def laid(spark, sf):
+    return scene.once(spark, sf, "overlay", lambda: fr.overlay(scene.candidates(spark, sf), scene.states(spark, sf), ANCHOR))
+
+
+def points(spark, sf):
+    o = laid(spark, sf).where(f"timestep > {ANCHOR}").join(typed(spark, sf).select("candidate_id", "scenario_id"), "candidate_id")
+    return o.selectExpr("scenario_id", "candidate_id", "timestep", "x AS px", "y AS py", "heading")
+
+
+def kin_source(spark, sf):
+    return laid(spark, sf).selectExpr("candidate_id", "timestep", "time_s", "is_future", "x", "y", "vx", "vy", "IF(is_future, CAST(NULL AS DOUBLE), heading) AS heading")
+
+
+SCHEMA = "n <> 14 THEN 'invalid_future_shape'"
+
+
+@query("K01_schema_finite", f"{BASE} SELECT candidate_id, CASE WHEN count(DISTINCT timestep) <> 14 THEN 'invalid_future_shape' END AS reason FROM cd GROUP BY 1")
+def k01(spark, sf):
+    return sg.schema_finite(scene.candidates(spark, sf), scene.states(spark, sf), ANCHOR, LAST - ANCHOR)
+
+
+@query("Q06_candidate_gate", f"{BASE} SELECT reason, count(*) AS candidates FROM (SELECT candidate_id, CASE WHEN count(DISTINCT timestep) <> 14 THEN 'invalid_future_shape' ELSE 'passed' END AS reason FROM cd GROUP BY 1) GROUP BY 1")
+def q06(spark, sf):
+    return k01(spark, sf).groupBy(F.expr("coalesce(reason, 'passed')").alias("reason")).agg(F.count("*").alias("candidates"))
+
+
+def changed(spark, sf):
+    s = scene.states(spark, sf)
+    g = s.withColumn("x", F.expr("IF(object_type = 'vehicle' AND (timestep > 34 OR timestep = 0), x + 1, x)")).withColumn("heading", F.expr("IF(object_type = 'bus' AND timestep = 5, NULL, heading)"))
+    return sg.history_changes(s, g, ["scenario_id", "track_id"], "track_id LIKE '%0'", ANCHOR)
+
+
+CHANGED = f"""{BASE}, ch AS (SELECT scenario_id, track_id, timestep, track_id LIKE '%0' AND timestep > 34 AS allowed FROM st WHERE (object_type = 'vehicle' AND (timestep > 34 OR timestep = 0)) OR (object_type = 'bus' AND timestep = 5))"""
+
+
+@query("D06_history_invariants", f"{CHANGED} SELECT scenario_id, track_id, timestep, allowed FROM ch")
+def d06(spark, sf):
+    return changed(spark, sf).select("scenario_id", "track_id", "timestep", "allowed")
+
+
+@query("K02_history_stage", f"{CHANGED} SELECT scenario_id, count(*) FILTER (WHERE NOT allowed) AS violations, CASE WHEN count(*) FILTER (WHERE NOT allowed) > 0 THEN 'history_changed' END AS reason FROM ch GROUP BY 1")
+def k02(spark, sf):
+    g = changed(spark, sf).groupBy("scenario_id").agg(F.expr("count_if(NOT allowed)").alias("violations"))
+    return g.withColumn("reason", F.expr("IF(violations > 0, 'history_changed', NULL)"))
+
+
+KSQL = f"""kq AS (SELECT candidate_id, timestep, ux AS vx, uy AS vy, sqrt(ux * ux + uy * uy) AS speed, time_s - lag(time_s) OVER w AS dt, ux - lag(ux) OVER w AS dux, uy - lag(uy) OVER w AS duy FROM o1 WINDOW w AS (PARTITION BY candidate_id ORDER BY timestep)),
+  ks AS (SELECT *, dux / dt AS ax, duy / dt AS ay, (speed - lag(speed) OVER w) / dt AS tang FROM kq WINDOW w AS (PARTITION BY candidate_id ORDER BY timestep)),
+  kj AS (SELECT *, sqrt((ax - lag(ax) OVER w) * (ax - lag(ax) OVER w) + (ay - lag(ay) OVER w) * (ay - lag(ay) OVER w)) / dt AS jerk FROM ks WINDOW w AS (PARTITION BY candidate_id ORDER BY timestep)),
+  km AS (SELECT candidate_id, max(speed) AS speed, max(greatest(tang, 0)) AS accel, max(greatest(0 - tang, 0)) AS decel, max(jerk) AS jerk, avg(speed) AS mean_speed FROM kj WHERE timestep > 34 GROUP BY 1)"""
+
+
+@query("K03_kinematics_stage", f"""{BASE}, {KSQL} SELECT candidate_id, {R('km.speed', 3)} AS speed, {R('accel', 1)} AS acceleration, {R('decel', 1)} AS deceleration, object_type NOT IN ('vehicle', 'bus', 'motorcyclist', 'cyclist', 'pedestrian') AS unsupported FROM tk JOIN km USING (candidate_id)""")
+def k03(spark, sf):
+    k = sg.kinematics(kin_source(spark, sf), kinds(spark, sf))
+    return k.selectExpr("candidate_id", f"{R('speed', 3)} AS speed", f"{R('acceleration', 1)} AS acceleration", f"{R('deceleration', 1)} AS deceleration", "coalesce(reason = 'unsupported_actor_type', false) AS unsupported")
+
+
+LIM = ", ".join(f"('{t}', {v[1]}::DOUBLE, {v[2]}::DOUBLE, {v[3]}::DOUBLE, {v[4]}::DOUBLE)" for t, v in sg.LIMITS.items())
+
+
+@query("T03_kinematic_ranking", f"""{BASE}, {KSQL}, lim AS (SELECT * FROM (VALUES {LIM}) AS l(object_type, ls, la, ld, lj)), sck AS (SELECT candidate_id, a, candidate_index, greatest(accel - la, 0) / la + greatest(decel - ld, 0) / ld AS score FROM tk JOIN km USING (candidate_id) JOIN lim USING (object_type))
+  SELECT candidate_id, {R('score', 4)} AS score FROM sck QUALIFY row_number() OVER (PARTITION BY a ORDER BY score > 0, round(score, 4), candidate_index) <= 2""")
+def t03(spark, sf):
+    k = sg.kinematics(kin_source(spark, sf), kinds(spark, sf)).join(typed(spark, sf), "candidate_id").where(F.col("object_type").isin(list(sg.LIMITS)))
+    part = lambda n, i: f"greatest({n} - ({sg._by_type(sg.LIMITS, i)}), 0D) / ({sg._by_type(sg.LIMITS, i)})"
+    k = k.withColumn("score", F.expr(f"{part('acceleration', 2)} + {part('deceleration', 3)}"))
+    w = fr.Window.partitionBy("a").orderBy(F.expr("score > 0"), F.expr("round(score, 4)"), "candidate_index")
+    return k.withColumn("n", F.row_number().over(w)).where("n <= 2").selectExpr("candidate_id", f"{R('score', 4)} AS score")
+
+
+@query("T04_chunked_top_k", f"{BASE}, {KSQL} SELECT candidate_id, {R('mean_speed', 4)} AS mean_speed FROM tk JOIN km USING (candidate_id) QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY round(mean_speed, 4) DESC, candidate_id) <= 5")
+def t04(spark, sf):
+    k = frm.future_kinematics(kin_source(spark, sf), "candidate_id").groupBy("candidate_id").agg(F.avg("speed").alias("mean_speed")).join(typed(spark, sf), "candidate_id")
+    # row_number <= k is limited inside every task before the shuffle, so chunks merge by construction
+    w = fr.Window.partitionBy("scenario_id").orderBy(F.expr("round(mean_speed, 4)").desc(), "candidate_id")
+    return k.withColumn("n", F.row_number().over(w)).where("n <= 5").selectExpr("candidate_id", f"{R('mean_speed', 4)} AS mean_speed")
+
+
+DRV = f"""dp AS (SELECT candidate_id, scenario_id, object_type, timestep, a_x AS px, a_y AS py, a_heading AS h FROM wd WHERE timestep > 34), {scq.inside('dp', 'candidate_id, timestep', 'drivable_area', 'di')},
+  df AS (SELECT candidate_id, object_type, count(di.timestep) / count(*) AS fraction FROM dp LEFT JOIN di USING (candidate_id, timestep) GROUP BY 1, 2)"""
+ROAD = "object_type IN ('vehicle', 'bus', 'motorcyclist', 'cyclist')"
+DREASON = f"CASE WHEN {ROAD} AND fraction < 0.95 THEN 'outside_drivable_area' END"
+
+
+@query("K04_drivable_area", f"{BASE}, {DRV} SELECT candidate_id, {R('fraction')} AS fraction, {DREASON} AS reason FROM df")
+def k04(spark, sf):
+    return sg.drivable(points(spark, sf), scene.roads(spark, sf), kinds(spark, sf)).selectExpr("candidate_id", f"{R('fraction')} AS fraction", "reason")
+
+
+LNE = f"""l0 AS (SELECT candidate_id, timestep, s.pid, min_by(s.hd, (d, seq)) AS hd, min(d) AS d FROM (SELECT dp.candidate_id, dp.timestep, g.pid, g.hd, g.seq, {fm.norm('px - (x1 + f * (x2 - x1))', 'py - (y1 + f * (y2 - y1))')} AS d
+      FROM (SELECT dp.*, sg.pid, sg.hd, sg.seq, sg.x1, sg.y1, sg.x2, sg.y2, {fm.seg_fraction('px', 'py', 'sg.x1', 'sg.y1', 'sg.x2', 'sg.y2')} AS f FROM dp, seg sg WHERE sg.ptype = 'lane_centerline') dp, LATERAL (SELECT dp.pid, dp.hd, dp.seq) g(pid, hd, seq)) s GROUP BY 1, 2, 3),
+  l1 AS (SELECT * FROM l0 WHERE d <= 6 QUALIFY row_number() OVER (PARTITION BY candidate_id, timestep ORDER BY d, pid) = 1),
+  l2 AS (SELECT dp.candidate_id, dp.object_type, dp.timestep, l1.pid AS lane, direction, degrees({fm.heading_gap('dp.h', 'l1.hd')}) <= 90 AS ok FROM dp LEFT JOIN l1 USING (candidate_id, timestep) LEFT JOIN lane0 ON lane0.pid = l1.pid),
+  l3 AS (SELECT candidate_id, prev AS src, lane AS dst FROM (SELECT candidate_id, lane, lag(lane) OVER (PARTITION BY candidate_id ORDER BY timestep) AS prev FROM l2 WHERE lane IS NOT NULL) WHERE prev <> lane),
+  l4 AS (SELECT candidate_id, count(*) AS breaks FROM l3 JOIN lane0 p ON p.pid = src JOIN lane0 q ON q.pid = dst WHERE NOT (coalesce(dst IN (p.left_id, p.right_id), false) OR coalesce(src IN (q.left_id, q.right_id), false)
+      OR list_contains(p.succ, dst) OR list_contains(q.pred, src) OR list_contains(q.succ, src) OR list_contains(p.pred, dst)) GROUP BY 1),
+  l5 AS (SELECT candidate_id, object_type, count(lane) / count(*) AS assigned, avg(CASE WHEN object_type IN ('vehicle', 'bus') AND lane IS NOT NULL THEN (CASE WHEN direction = 'bike' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) END) AS typed,
+      avg(CASE WHEN lane IS NOT NULL THEN (CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END) AS aligned FROM l2 GROUP BY 1, 2),
+  lr AS (SELECT candidate_id, assigned, CASE WHEN {ROAD} AND assigned < 0.8 THEN 'lane_assignment_insufficient' WHEN {ROAD} AND typed < 0.8 THEN 'lane_type_incompatible' WHEN breaks > 0 THEN 'lane_connectivity_violation'
+      WHEN {ROAD} AND coalesce(aligned, 0) < 0.8 THEN 'lane_direction_violation' END AS reason FROM l5 LEFT JOIN l4 USING (candidate_id))"""
+
+
+@query("K05_lane_compliance", f"{BASE}, {DRV}, {LNE} SELECT candidate_id, {R('assigned')} AS assigned, reason FROM lr")
+def k05(spark, sf):
+    return sg.lane_compliance(points(spark, sf), scene.roads(spark, sf), kinds(spark, sf)).selectExpr("candidate_id", f"{R('assigned')} AS assigned", "reason")
+
+
+MAPR = f"{DRV}, {LNE}, mp AS (SELECT candidate_id, coalesce({DREASON}, lr.reason) AS reason FROM df LEFT JOIN lr USING (candidate_id))"
+
+
+@query("K06_map_stage", f"{BASE}, {MAPR} SELECT * FROM mp")
+def k06(spark, sf):
+    return sg.map_stage(points(spark, sf), scene.roads(spark, sf), kinds(spark, sf))
+
+
+FOOT = ", ".join(f"('{t}', {l}::DOUBLE, {w}::DOUBLE)" for t, (l, w) in sg.FOOTPRINTS.items())
+BOX = f"""fp AS (SELECT * FROM (VALUES {FOOT}) AS f(kind, len, wid)), bx AS (SELECT wd.candidate_id, s.track_id AS other, wd.timestep, a_x AS p_x, a_y AS p_y, a_heading AS p_heading, f.len AS p_len, f.wid AS p_wid, s.x AS q_x, s.y AS q_y, s.heading AS q_heading, g.len AS q_len, g.wid AS q_wid
+    FROM wd JOIN st s ON s.scenario_id = wd.scenario_id AND s.timestep = wd.timestep AND s.track_id <> wd.a JOIN fp f ON f.kind = wd.object_type JOIN fp g ON g.kind = s.object_type WHERE wd.timestep > 34),
+  ct AS (SELECT candidate_id, other, min(timestep) AS frame FROM bx WHERE {sg.boxes_overlap()} GROUP BY 1, 2)"""
+
+
+@query("J25_box_contacts", f"{BASE}, {BOX} SELECT * FROM ct")
+def j25(spark, sf):
+    return sg.contacts(laid(spark, sf), typed(spark, sf), scene.states(spark, sf), ANCHOR).select("candidate_id", "other", "frame")
+
+
+@query("K07_collision_stage", f"{BASE}, {BOX} SELECT candidate_id, CASE WHEN candidate_id IN (SELECT candidate_id FROM ct) THEN 'collision_proxy_overlap' END AS reason FROM tk")
+def k07(spark, sf):
+    return sg.collision(laid(spark, sf), typed(spark, sf), scene.states(spark, sf), ANCHOR)
+
+
+RISKR = f"{CLEAR3}, rr AS (SELECT candidate_id, CASE WHEN v IS NULL THEN 'risk_metric_unavailable' WHEN v NOT BETWEEN 1.0 AND 20.0 THEN 'risk_out_of_target_range' END AS reason FROM tk LEFT JOIN (SELECT candidate_id, min(value) AS v FROM ck GROUP BY 1) z USING (candidate_id))"
+
+
+@query("K08_target_risk", f"{BASE}, {RISKR} SELECT * FROM rr")
+def k08(spark, sf):
+    return sg.target_risk(rk.clearance(wide(spark, sf), ANCHOR, PAIRS3), 1.0, 20.0)
+
+
+NOV = """nv AS (SELECT candidate_id, sqrt(avg(d * d)) AS rms, max_by(d, timestep) AS endpoint, CASE WHEN count(d) < 14 THEN 'novelty_reference_unavailable' WHEN sqrt(avg(d * d)) < 0.5 AND max_by(d, timestep) < 1.0 THEN 'novelty_insufficient' END AS reason
+  FROM (SELECT cd.candidate_id, cd.timestep, sqrt((cd.x - s.x) * (cd.x - s.x) + (cd.y - s.y) * (cd.y - s.y)) AS d FROM cd LEFT JOIN st s ON s.scenario_id = cd.scenario_id AND s.track_id = cd.a AND s.timestep = cd.timestep) GROUP BY 1)"""
+
+
+def novel(spark, sf):
+    source = scene.states(spark, sf).selectExpr("scenario_id", "track_id AS a", "timestep", "x", "y")
+    return dv.novelty(scene.candidates(spark, sf).select("candidate_id", "scenario_id", "a", "timestep", "x", "y"), source, ["scenario_id", "a"], LAST - ANCHOR)
+
+
+@query("D01_novelty", f"{BASE}, {NOV} SELECT candidate_id, {R('rms', 5)} AS rms, {R('endpoint', 5)} AS endpoint, reason FROM nv")
+def d01(spark, sf):
+    return novel(spark, sf).selectExpr("candidate_id", f"{R('rms', 5)} AS rms", f"{R('endpoint', 5)} AS endpoint", "reason")
+
+
+def overlay_scene(spark, sf):
+    """Every candidate as its own scenario holding the three role tracks."""
+    t, s = typed(spark, sf), scene.states(spark, sf)
+    base = ["timestep", "time_s", "observed", "object_type", "x", "y", "vx", "vy", "heading"]
+    others = t.selectExpr("candidate_id", "scenario_id", "explode(array(b, c)) AS track_id").join(s, ["scenario_id", "track_id"]).select("candidate_id", "track_id", *base)
+    mine = t.selectExpr("candidate_id", "scenario_id", "a AS track_id").join(s.where(f"timestep <= {ANCHOR}"), ["scenario_id", "track_id"]).select("candidate_id", "track_id", *base)
+    new = laid(spark, sf).where("is_future").join(t.selectExpr("candidate_id", "a AS track_id", "object_type"), "candidate_id").withColumn("observed", F.lit(False)).select("candidate_id", "track_id", *base)
+    roads = scene.roads(spark, sf).join(t.select("candidate_id", "scenario_id"), "scenario_id").drop("scenario_id").withColumnRenamed("candidate_id", "scenario_id")
+    return others.unionByName(mine).unionByName(new).withColumnRenamed("candidate_id", "scenario_id"), roads
+
+
+OVST = f"""SELECT * FROM (WITH st AS ({ad.track_states_sql()}){BASE[BASE.index(', cd AS ('):BASE.index('    wd AS (')].rstrip().rstrip(',')}
+  SELECT tk.candidate_id AS scenario_id, s.track_id, s.object_type, s.timestep, s.observed, s.time_s, s.x, s.y, s.vx, s.vy, s.heading FROM tk JOIN st s ON s.scenario_id = tk.scenario_id AND s.track_id IN (tk.b, tk.c)
+  UNION ALL SELECT tk.candidate_id, s.track_id, s.object_type, s.timestep, s.observed, s.time_s, s.x, s.y, s.vx, s.vy, s.heading FROM tk JOIN st s ON s.scenario_id = tk.scenario_id AND s.track_id = tk.a AND s.timestep <= 34
+  UNION ALL SELECT tk.candidate_id, tk.a, tk.object_type, ov.timestep, false, ov.time_s, ov.x, ov.y, ov.vx, ov.vy, ov.heading FROM tk JOIN ov USING (candidate_id) WHERE ov.timestep > 34)"""
+TRIG = f"""tg AS (SELECT DISTINCT m.scenario_id AS candidate_id FROM ({rsq.build()['cut_in_then_brake'].replace(ad.track_states_sql(), OVST)}) m JOIN tk ON tk.candidate_id = m.scenario_id WHERE (initiator = tk.a AND responder = tk.b) OR (initiator = tk.b AND responder = tk.a)),
+  tr9 AS (SELECT candidate_id, CASE WHEN tg.candidate_id IS NULL THEN 'skill_trigger_not_realized' ELSE nv.reason END AS reason FROM tk LEFT JOIN tg USING (candidate_id) JOIN nv USING (candidate_id))"""
+
+
+def triggered(spark, sf):
+    """Candidates whose rule fires again on the overlay with exactly the requested roles, then novelty."""
+    from roadsift.rules.catalog import RULES
+    from roadsift.rules.detector import detect
+    st, roads = overlay_scene(spark, sf)
+    hits = detect(st, roads, [RULES["cut_in_then_brake"]], None).withColumnRenamed("scenario_id", "candidate_id").join(typed(spark, sf).select("candidate_id", "a", "b"), "candidate_id")
+    hits = hits.where("(initiator = a AND responder = b) OR (initiator = b AND responder = a)").select("candidate_id").distinct().withColumn("hit", F.lit(True))
+    n = novel(spark, sf).select("candidate_id", F.col("reason").alias("novelty"))
+    return typed(spark, sf).select("candidate_id").join(hits, "candidate_id", "left").join(n, "candidate_id").selectExpr(
+        "candidate_id", "CASE WHEN hit IS NULL THEN 'skill_trigger_not_realized' ELSE novelty END AS reason")
+
+
+@query("K09_skill_trigger", f"{BASE}, {NOV}, {TRIG} SELECT * FROM tr9")
+def k09(spark, sf):
+    return triggered(spark, sf)
+
+
+def realised(spark, sf):
+    original = scene.states(spark, sf).where(f"timestep BETWEEN {ANCHOR + 1} AND {LAST}").groupBy("scenario_id", F.col("track_id").alias("a")).agg(F.expr(f"avg({fm.norm('vx', 'vy')})").alias("original_speed"))
+    o = typed(spark, sf).join(original, ["scenario_id", "a"], "left").select("candidate_id", "original_speed")
+    return sg.realised_parameters(frm.future_kinematics(kin_source(spark, sf), "candidate_id"), o)
+
+
+ORIG = f"og AS (SELECT tk.candidate_id, avg({fm.norm('vx', 'vy')}) AS o FROM tk JOIN st ON st.scenario_id = tk.scenario_id AND st.track_id = tk.a AND timestep BETWEEN 35 AND 48 GROUP BY 1)"
+REAL = f"""{KSQL}, {ORIG}, rl AS (SELECT candidate_id, 'speed_mps' AS parameter, mean_speed AS realised FROM km UNION ALL SELECT candidate_id, 'speed_scale', mean_speed / o FROM km JOIN og USING (candidate_id) WHERE o > 1e-6
+  UNION ALL SELECT candidate_id, 'peak_deceleration_mps2', decel FROM km UNION ALL SELECT candidate_id, 'acceleration_mps2', accel FROM km)"""
+NAMED = "parameter IN ('speed_mps', 'speed_scale', 'peak_deceleration_mps2', 'acceleration_mps2')"
+
+
+@query("P36_realised_parameters", f"{BASE}, {REAL} SELECT candidate_id, parameter, {R('realised', 1)} AS realised FROM rl")
+def p36(spark, sf):
+    return realised(spark, sf).where(NAMED).selectExpr("candidate_id", "parameter", f"{R('realised', 1)} AS realised")
+
+
+@query("P37_parameter_bins", f"{BASE}, {REAL} SELECT candidate_id, parameter, CAST(round_even(round(realised, 1) / CASE parameter WHEN 'speed_mps' THEN 0.75::DOUBLE WHEN 'speed_scale' THEN 0.15::DOUBLE ELSE 1.0::DOUBLE END, 0) AS BIGINT) AS bin FROM rl")
+def p37(spark, sf):
+    return realised(spark, sf).where(NAMED).selectExpr("candidate_id", "parameter", f"CAST(bround(round(realised, 1) / {sg.tolerance()}) AS BIGINT) AS bin")
+
+
+def requested(spark, sf):
+    return typed(spark, sf).selectExpr("candidate_id", "inline(array(struct('speed_mps' AS parameter, 9D AS requested), struct('speed_scale' AS parameter, 1D AS requested)))")
+
+
+PARR = f"{REAL}, pp10 AS (SELECT candidate_id, CASE WHEN bool_or(abs(realised - CASE parameter WHEN 'speed_mps' THEN 9 ELSE 1 END) > CASE parameter WHEN 'speed_mps' THEN 0.75 ELSE 0.15 END) THEN 'parameter_out_of_tolerance' END AS reason FROM rl WHERE parameter IN ('speed_mps', 'speed_scale') GROUP BY 1)"
+
+
+@query("K10_parameter_realisation", f"{BASE}, {PARR} SELECT * FROM pp10")
+def k10(spark, sf):
+    return sg.parameter_stage(realised(spark, sf), requested(spark, sf), kinds(spark, sf))
+
+
+def survivors(spark, sf, ids=None):
+    """Input of the diversity stage: local futures with quality, risk and signature."""
+    t = typed(spark, sf) if ids is None else typed(spark, sf).join(ids, "candidate_id", "left_semi")
+    origin = scene.states(spark, sf).where(f"timestep = {ANCHOR}").selectExpr("scenario_id", "track_id AS a", "x AS ox", "y AS oy", "heading AS oh")
+    lx, ly = frm.local_point("x", "y", "ox", "oy", "oh")
+    f = scene.candidates(spark, sf).join(origin, ["scenario_id", "a"]).selectExpr("candidate_id", "timestep", f"{lx} AS x", f"{ly} AS y").groupBy("candidate_id").agg(
+        F.expr("transform(sort_array(collect_list(struct(timestep, x, y))), s -> struct(s.x AS x, s.y AS y))").alias("future"))
+    r = rk.clearance(wide(spark, sf), ANCHOR, PAIRS3).selectExpr("candidate_id", "coalesce(value, 0D) AS risk")
+    d = t.join(f, "candidate_id").where("size(future) = 14").join(r, "candidate_id").withColumn("skill_id", F.lit("cut_in_then_brake")).withColumn("quality_score", F.expr("abs(risk - 10.5) / 19"))
+    return d.withColumn("signature", F.expr(dv.signature("future", (3, 6, 10, 13), "risk", "''"))).select("candidate_id", "scenario_id", "skill_id", "quality_score", "future", "signature")
+
+
+@query("K11_diversity_stage")
+def k11(spark, sf):
+    return dv.greedy(survivors(spark, sf)).selectExpr("candidate_id", "reason")
+
+
+@query("K12_whole_funnel")
+def k12(spark, sf):
+    only = lambda stage: lambda alive: stage(spark, sf).join(alive, "candidate_id", "left_semi")
+    kin = lambda s, f: sg.kinematics(kin_source(s, f), kinds(s, f))
+    names = [("schema_finite", only(k01)), ("kinematics", only(kin)), ("map", only(k06)), ("collision", only(k07)), ("target_risk", only(k08)),
+             ("skill_trigger", only(triggered)), ("parameter_realization", only(k10)), ("diversity", lambda alive: dv.greedy(survivors(spark, sf, alive)))]
+    return sg.run_funnel(typed(spark, sf), names)
+
+
+# --- conditions that need the seed or the map -------------------------------------------------------------
+@query("V01_structural_condition", f"SELECT scenario_id, skill_id, true AS passed FROM ({rsq.finish(rsq.build()['chain_braking'], 'chain_braking', 'vehicle', True)})")
+def v01(spark, sf):
+    from roadsift.rules.catalog import RULES
+    from roadsift.rules.detector import detect
+    hits = detect(scene.states(spark, sf), scene.roads(spark, sf), [RULES["chain_braking"]], 1, scene.actors(spark, sf))
+    return hits.selectExpr("scenario_id", "skill_id", "exists(map_values(measured), v -> v IS NOT NULL) AS passed")
+
+
+LANE_OF = "lo AS (SELECT tk.candidate_id, al.lane AS pid FROM tk JOIN al ON al.scenario_id = tk.scenario_id AND al.track_id = tk.b WHERE al.lane IS NOT NULL)"
+
+
+def _role_min(role: str) -> str:
+    return f"""SELECT candidate_id, min(d) AS d FROM (SELECT q.candidate_id, {fm.norm('px - (x1 + f * (x2 - x1))', 'py - (y1 + f * (y2 - y1))')} AS d FROM (SELECT wd.candidate_id, {role}_x AS px, {role}_y AS py, s.x1, s.y1, s.x2, s.y2,
+      {fm.seg_fraction(f'{role}_x', f'{role}_y', 's.x1', 's.y1', 's.x2', 's.y2')} AS f FROM wd JOIN lo USING (candidate_id) JOIN seg s ON s.pid = lo.pid WHERE timestep > 34 AND {role}_x IS NOT NULL) q) GROUP BY 1"""
+
+
+@query("V05_shared_target_lane", f"{BASE}, {LANE_OF}, ma AS ({_role_min('a')}), mb AS ({_role_min('b')}) SELECT candidate_id, coalesce(ma.d <= 2.5 AND mb.d <= 2.5, false) AS passed FROM lo LEFT JOIN ma USING (candidate_id) LEFT JOIN mb USING (candidate_id)")
+def v05(spark, sf):
+    lane = scene.actors(spark, sf).where("lane IS NOT NULL").selectExpr("scenario_id", "track_id AS b", "lane AS polyline_id")
+    goal = typed(spark, sf).join(lane, ["scenario_id", "b"]).select("candidate_id", "scenario_id", "polyline_id")
+    pts = wide(spark, sf).where(f"timestep > {ANCHOR}").selectExpr("candidate_id", "inline(array(struct('a' AS role, a_x AS px, a_y AS py), struct('b' AS role, b_x AS px, b_y AS py)))").where("px IS NOT NULL")
+    segs = ln.segments(scene.roads(spark, sf).where("polyline_type = 'lane_centerline'"))
+    d = ln.project(pts.join(goal, "candidate_id").join(segs, ["scenario_id", "polyline_id"])).groupBy("candidate_id").agg(
+        F.expr("min(distance) FILTER (WHERE role = 'a')").alias("da"), F.expr("min(distance) FILTER (WHERE role = 'b')").alias("db"))
+    return goal.join(d, "candidate_id", "left").selectExpr("candidate_id", "coalesce(da <= 2.5 AND db <= 2.5, false) AS passed")
+
+
+LSEQ = f"""n0 AS (SELECT candidate_id, timestep, pid, min(d) AS d FROM (SELECT q.candidate_id, q.timestep, q.pid, {fm.norm('a_x - (x1 + f * (x2 - x1))', 'a_y - (y1 + f * (y2 - y1))')} AS d
+      FROM (SELECT wd.*, s.pid, s.x1, s.y1, s.x2, s.y2, {fm.seg_fraction('a_x', 'a_y', 's.x1', 's.y1', 's.x2', 's.y2')} AS f FROM wd, seg s WHERE s.ptype = 'lane_centerline') q) WHERE d <= 60 GROUP BY 1, 2, 3),
+  n1 AS (SELECT candidate_id, timestep, pid AS lane FROM n0 QUALIFY row_number() OVER (PARTITION BY candidate_id, timestep ORDER BY d, pid) = 1),
+  n2 AS (SELECT n.candidate_id, min(n.timestep) AS change FROM (SELECT *, lag(lane) OVER (PARTITION BY candidate_id ORDER BY timestep) AS prev FROM n1) n JOIN lane0 p ON p.pid = prev WHERE prev <> lane AND lane IN (p.left_id, p.right_id) GROUP BY 1),
+  n3 AS (SELECT candidate_id, min(timestep) FILTER (WHERE fut AND {fm.forward('b_x - a_x', 'b_y - a_y', 'oa_heading')} <= 0) AS pass FROM w4 GROUP BY 1)"""
+
+
+@query("V09_adjacent_lane_realised", f"{BASE}, {LSEQ} SELECT candidate_id, change AS change_frame, pass AS pass_frame, coalesce(change IS NOT NULL AND (pass IS NULL OR change <= pass), false) AS passed FROM n3 LEFT JOIN n2 USING (candidate_id)")
+def v09(spark, sf):
+    d = rows(spark, sf)
+    pts = d.selectExpr("scenario_id", "candidate_id", "timestep", "a_x AS px", "a_y AS py")
+    segs = ln.segments(scene.roads(spark, sf).where("polyline_type = 'lane_centerline'")).where("NOT broken")
+    lane = ln.nearest_per_line(pts, segs, ["candidate_id", "timestep"], 60.0).groupBy("scenario_id", "candidate_id", "timestep").agg(F.min(F.struct("distance", "polyline_id")).alias("m"))
+    moves = ln.transitions(lane.selectExpr("scenario_id", "candidate_id", "timestep", "m.polyline_id AS lane"), ["scenario_id", "candidate_id"])
+    side = ln.lane_edges(scene.roads(spark, sf)).where("rel IN ('left', 'right')").select("scenario_id", "src", "dst")
+    change = moves.join(side, ["scenario_id", "src", "dst"]).groupBy("candidate_id").agg(F.min("timestep").alias("change_frame"))
+    passed = d.groupBy("candidate_id").agg(F.expr(cn.first(f"{fm.forward('b_x - a_x', 'b_y - a_y', 'oa_heading')} <= 0")).alias("pass_frame"))
+    return passed.join(change, "candidate_id", "left").withColumn("passed", F.expr("change_frame IS NOT NULL AND (pass_frame IS NULL OR change_frame <= pass_frame)"))

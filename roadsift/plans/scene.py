@@ -1,17 +1,31 @@
-"""Scenario tables of one driver folder; the scan's actor table is written once per session and folder."""
+"""Tables shared by many queries of one driver folder.
+
+In production these are stored tables (tracks, actors, candidate frames); here they are derived
+from the driver tables once per session and folder, and written to the shared folder.
+"""
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from roadsift import adapters
 from roadsift.rules.detector import scan_actors
+from roadsift.session import materialize
+
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
-_ACTORS: dict[tuple[str, str], DataFrame] = {}
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], write: bool = True) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = materialize(build(), name) if write else build()
+    return _TABLES[key]
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.track_states(spark, sf_dir)
+    return once(spark, sf_dir, "states", lambda: adapters.track_states(spark, sf_dir))
 
 
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +33,8 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ACTORS:
-        _ACTORS[key] = scan_actors(states(spark, sf_dir), roads(spark, sf_dir))
-    return _ACTORS[key]
+    return once(spark, sf_dir, "actors", lambda: scan_actors(states(spark, sf_dir), roads(spark, sf_dir)), write=False)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "candidates", lambda: spark.sql(adapters.CANDIDATES_SQL, states=states(spark, sf_dir)))
