@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from roadsift.functions import formulas as fm
 
 KEY = ["scenario_id", "track_id"]
-BY_TRACK = Window.partitionBy(*KEY)
-IN_TIME = BY_TRACK.orderBy("timestep")
 POSITION = "(x IS NOT NULL AND y IS NOT NULL)"
 FULL = "(x IS NOT NULL AND y IS NOT NULL AND vx IS NOT NULL AND vy IS NOT NULL AND heading IS NOT NULL)"
 
 
+def by_track():
+    return Window.partitionBy(*KEY)
+
+
 def null_nan(df: DataFrame, *names: str) -> DataFrame:
     """NaN means missing in the raw files; everything downstream uses NULL."""
     return df.withColumns({n: F.expr(f"CASE WHEN isnan({n}) THEN NULL ELSE {n} END") for n in names})
@@ -43,7 +45,7 @@ def _over(df: DataFrame, **columns: str) -> DataFrame:
 
 def with_reference(states: DataFrame) -> DataFrame:
     """Attach the reference frame: the last observed frame whose state is complete."""
-    ref = F.max(F.when(F.expr(f"observed AND {FULL}"), F.col("timestep"))).over(BY_TRACK)
+    ref = F.max(F.when(F.expr(f"observed AND {FULL}"), F.col("timestep"))).over(by_track())
     return states.withColumn("ref_t", ref).where("ref_t IS NOT NULL")
 
 
@@ -117,7 +119,7 @@ def stop_metrics(states: DataFrame, stopped: float, prior: float) -> DataFrame:
     """Moving-to-stopped: first stopped future frame, fastest speed before it, length of the stop."""
     ok = f"vx IS NOT NULL AND vy IS NOT NULL AND {POSITION}"
     s = with_reference(states).where(ok).withColumn("speed", F.expr(fm.norm("vx", "vy")))
-    first = F.min(F.expr(f"CASE WHEN timestep >= ref_t AND speed <= {stopped} THEN timestep END")).over(BY_TRACK)
+    first = F.min(F.expr(f"CASE WHEN timestep >= ref_t AND speed <= {stopped} THEN timestep END")).over(by_track())
     s = s.withColumn("stop_t", first).where("stop_t IS NOT NULL")
     slow = longest_run(s, KEY, f"timestep >= stop_t AND speed <= {stopped}").selectExpr(*KEY, "frames AS stop_frames")
     at = s.groupBy(*KEY).agg(
@@ -140,6 +142,6 @@ def trailing_stop(states: DataFrame, limit: float) -> DataFrame:
     """Seconds standing still up to and including the reference frame, without a gap."""
     s = with_reference(states).where("observed AND vx IS NOT NULL AND vy IS NOT NULL AND timestep <= ref_t")
     slow = s.where(f"{fm.norm('vx', 'vy')} <= {limit}")
-    hits = slow.withColumn("island", F.col("timestep") - F.row_number().over(IN_TIME))
+    hits = slow.withColumn("island", F.col("timestep") - F.row_number().over(by_track().orderBy("timestep")))
     runs = hits.groupBy(*KEY, "island").agg(F.count("*").alias("n"), F.max(F.col("timestep") - F.col("ref_t")).alias("off"))
     return runs.where("off = 0").selectExpr(*KEY, "n * 0.1D AS standing_s")

@@ -298,8 +298,8 @@ def a19(spark, sf):
 def drawn(spark, sf):
     """Draws for every track as a record of each rule with parameters."""
     ids = tr.reference_states(scene.states(spark, sf)).select("scenario_id", "track_id")
-    rules = spark.createDataFrame([(k,) for k in RULES], "skill_id string")
-    return ft.sample_parameters(ids.join(F.broadcast(rules)), parameters_table(spark), "concat_ws('|', scenario_id, track_id)")
+    records = ids.withColumn("skill_id", F.explode(F.array(*[F.lit(k) for k in RULES])))
+    return ft.sample_parameters(records, parameters_table(spark), "concat_ws('|', scenario_id, track_id)")
 
 
 _PARAMS = [(k, n, v) for k, rule in RULES.items() for n, v in rule.parameters.items()]
