@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from roadsift.functions import formulas as fm
 from roadsift.session import materialize
@@ -54,14 +54,14 @@ def greedy(candidates: DataFrame) -> DataFrame:
                 F.expr(f"min(struct({rms} AS rms, {end} AS end, c))").alias("m"), F.count("*").alias("taken"))
             state = open_.join(near, "candidate_id", "left").withColumn("similar", F.expr(f"coalesce(m.rms < {MIN_RMS} AND m.end < {MIN_END}, false)")).na.fill(0, ["taken"]).drop("m")
             used = accepted.select("signature").distinct()
-        # first dissimilar candidate of every open group
-        first = F.min(F.when(F.expr(f"NOT similar AND taken < {MAX_PER_GROUP}"), F.col("o"))).over(Window.partitionBy(*group))
-        state = state.withColumn("first", first)
+        # first dissimilar candidate of every open group: aggregated before the shuffle, then joined back
+        first = state.where(f"NOT similar AND taken < {MAX_PER_GROUP}").groupBy(*group).agg(F.min("o").alias("first"))
+        state = state.join(first, group, "left")
         over = f"CASE WHEN similar AND (taken >= {MAX_PER_GROUP} OR first IS NULL OR o < first) THEN 'too_similar' WHEN taken >= {MAX_PER_GROUP} THEN 'scenario_skill_limit' END"
         state = materialize(state.withColumn("reason", F.expr(over)), "diversity")
         alive = state.where("reason IS NULL")
-        lead = F.min("o").over(Window.partitionBy("signature"))
-        ready = alive.withColumn("lead", lead).where("o = first AND o = lead").join(used.withColumn("dup", F.lit(True)), "signature", "left")
+        lead = alive.groupBy("signature").agg(F.min("o").alias("lead"))
+        ready = alive.where("o = first").join(lead, "signature").where("o = lead").join(used.withColumn("dup", F.lit(True)), "signature", "left")
         ready = materialize(ready.withColumn("reason", F.expr("IF(dup, 'global_duplicate', NULL)")).select("candidate_id", *group, "future", "signature", "reason"), "diversity")
         done.append(state.where("reason IS NOT NULL").select("candidate_id", *group, F.lit(False).alias("accepted"), "reason"))
         done.append(ready.select("candidate_id", *group, F.expr("reason IS NULL").alias("accepted"), "reason"))
