@@ -148,7 +148,6 @@ def filtering(scene) -> DataFrame:
     other = p.selectExpr("scenario_id", "a", "n AS n2", "b AS c", "dist AS dist2", "x AS x2", "y AS y2", "h AS h2")
     q = p.join(other, ["scenario_id", "a"]).where("n < n2")
     gap = fm.norm("x2 - x", "y2 - y")
-    pos = f"(((a_x - x) * (x2 - x) + (a_y - y) * (y2 - y)) / ({gap} * {gap}))"
     pos = "(((a_x - x) * (x2 - x) + (a_y - y) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)))"
     off = fm.norm(f"a_x - (x + {pos} * (x2 - x))", f"a_y - (y + {pos} * (y2 - y))")
     m = {"minimum_moving_speed_mps": "a_speed", "maximum_filtering_vehicle_gap_m": gap, "maximum_motorcyclist_vehicle_distance_m": "greatest(dist, dist2)",
