@@ -44,7 +44,7 @@ def classes() -> np.ndarray:
 
 
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(n, FACTOR, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
@@ -130,7 +130,7 @@ def cut(texts: list[str], path: str = VOCABULARY) -> Cut:
     stops = np.flatnonzero(first | (kind == EDGE))
     end = stops[np.searchsorted(stops, start, "right")] if len(start) else start
     with np.errstate(over="ignore"):
-        up, down = _powers(1 << max(1, len(point)).bit_length())
+        up, down = powers(1 << max(1, len(point)).bit_length())
         total = np.zeros(len(point) + 1, np.uint64)
         np.cumsum((point.astype(np.uint64) + np.uint64(0x632BE5AB)) * up[:len(point)], out=total[1:])
         key = (total[end] - total[start]) * down[start]

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadsift.llm import chat, packing, secrets, tokens
-from roadsift.llm.common import documents
+from roadsift.llm import chat, language, packing, secrets, tokens, toxicity
+from roadsift.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,18 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.where((fold("doc_id") != 0) & F.col("lang").isNotNull()))
+    return language.identify(docs, model).withColumn("held_out", fold("doc_id") == 0)
+
+
+@query("op9_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id") != 0)
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
