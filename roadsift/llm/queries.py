@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadsift.llm import chat, language, packing, secrets, tokens, toxicity
+from roadsift.llm import chat, dedup, language, packing, secrets, tokens, toxicity
 from roadsift.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id") != 0)
     found = toxicity.score(docs, toxicity.fit(docs, labels))
     return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+@query("op4_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(documents(spark, sf_dir))
