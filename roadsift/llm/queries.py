@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadsift.llm import chat, dedup, language, packing, secrets, tokens, toxicity
+from roadsift.llm import chat, dedup, fingerprints, language, packing, secrets, tokens, toxicity
 from roadsift.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op5_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
