@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadsift.llm import chat, dedup, fingerprints, language, packing, secrets, tokens, toxicity
+from roadsift.llm import chat, dedup, fingerprints, language, neighbours, packing, secrets, tokens, toxicity
 from roadsift.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+@query("op7_nearest")
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.pmod("vec_id", F.lit(20)) == 0)

@@ -6,8 +6,8 @@ sample: at most ``positives`` and ``negatives`` labelled documents, those with t
 screened by a two-sided z test of their document frequencies. The same sentence probabilities locate what offends.
 
 Every text is scored as a whole. Null and empty texts have no sentence and score 0; repeated rows get equal scores; a
-repeated label counts with its largest value; other columns are ignored; no rows give no rows. Without a label of
-either kind every score is the share of the positive label.
+repeated label counts with its largest value; other columns are ignored; no rows give no rows. Where all
+labels are equal (or there are none) every text with a sentence gets that label's score (or 0).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roadsift.llm.chars import Words
-from roadsift.llm.common import map_rows, ragged, slim
+from roadsift.llm.common import map_rows, materialize, ragged, slim
 
 BITS = 20
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 9)
@@ -39,61 +39,68 @@ def lowest(ids: DataFrame, count: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(count)
 
 
-def sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features, sentence and document of each word feature, and the documents' labels; bounded by the two counts."""
+def sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int) -> DataFrame:
+    """text, toxic of the chosen documents, written once; at most positives + negatives rows."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = marked.join(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
     chosen = lowest(known.where("toxic = 1"), positives).unionByName(lowest(known.where("toxic = 0"), negatives))
+    return materialize(docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
-    def make(block):
-        words, found = features([t for t, *_ in block])
-        cuts = np.searchsorted(words.row, np.arange(len(block) + 1))
-        part = [np.unique(np.stack([np.tile(words.sentence[a:b], len(found)), found[:, a:b].ravel()]), axis=1) if b > a else np.zeros((2, 0), np.int64) for a, b in zip(cuts, cuts[1:])]
-        sizes = np.array([p.shape[1] for p in part])
-        flat = np.concatenate(part, axis=1)
-        return {"toxic": [y for _, y in block], "sentence": ragged(flat[0].astype(np.int32), sizes, pa.int32()), "feature": ragged(flat[1].astype(np.int32), sizes, pa.int32())}
-
-    picked = docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int"))  # at most positives + negatives rows
-    table = map_rows(picked, ["text", "toxic"], make, "toxic int, sentence array<int>, feature array<int>").toArrow()
-    lists = table.column("feature").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    sentence = table.column("sentence").combine_chunks().flatten().to_numpy()
-    return lists.flatten().to_numpy(), sentence, doc, table.column("toxic").to_numpy()
-
-
-def screen(feature: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Features whose document frequencies differ between the labels."""
-    pairs = np.unique(doc.astype(np.int64) << BITS | feature)
-    f, positive = pairs & ((1 << BITS) - 1), y[pairs >> BITS] == 1
-    one, zero = (np.bincount(f[m], minlength=1 << BITS) for m in (positive, ~positive))
-    n, m = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+
+def screen(chosen: DataFrame) -> np.ndarray:
+    """Features whose document frequencies differ between the labels; the counts of the 2 ** BITS features meet here."""
+    def count(block):
+        words, found = features([t for t, _ in block])
+        pairs = np.unique(np.tile(words.row.astype(np.int64) << BITS, len(found)) | found.ravel())
+        positive = np.array([y for _, y in block])[pairs >> BITS] == 1
+        code, inverse = np.unique(pairs & ((1 << BITS) - 1), return_inverse=True)
+        one = np.bincount(inverse, positive, len(code)).astype(np.int64)
+        return {"feature": code.astype(np.int32), "one": one, "zero": np.bincount(inverse, minlength=len(code)) - one}
+
+    counts = map_rows(chosen, ["text", "toxic"], count, "feature int, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    table = counts.where((F.col("one") + F.col("zero") >= LEAST_DOCUMENTS) & (F.col("feature") > 0)).toArrow()
+    feature, one, zero = (table.column(c).to_numpy() for c in ("feature", "one", "zero"))
+    sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    n, m = max(1, sizes.get(1, 0)), max(1, sum(v for k, v in sizes.items() if k != 1))
     share = (one + zero) / (n + m)
     z = (one / n - zero / m) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / m))
-    keep = (one + zero >= LEAST_DOCUMENTS) & (np.abs(z) >= LEAST_Z)
-    keep[0] = False
-    return np.flatnonzero(keep)
+    return np.sort(feature[np.abs(z) >= LEAST_Z])
+
+
+def bags(chosen: DataFrame, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Column and sentence of each screened feature, the document of each sentence, and the documents' labels."""
+    shared = chosen.sparkSession.sparkContext.broadcast(kept)
+
+    def make(block):
+        kept = shared.value
+        words, found = features([t for t, _ in block])
+        column = np.minimum(np.searchsorted(kept, found), max(0, len(kept) - 1))
+        hit = kept[column] == found if len(kept) else np.zeros(found.shape, bool)
+        which = np.nonzero(hit)[1]
+        pairs = np.unique(np.stack([words.sentence[which], column[hit]]), axis=1) if len(which) else np.zeros((2, 0), np.int64)
+        doc = words.owner[pairs[0]]
+        first = np.searchsorted(words.owner, np.arange(len(block)))
+        sizes = np.bincount(doc, minlength=len(block))
+        return {"toxic": [y for _, y in block], "sentences": np.bincount(words.owner, minlength=len(block)), "sentence": ragged((pairs[0] - first[doc]).astype(np.int32), sizes, pa.int32()), "feature": ragged(pairs[1].astype(np.int32), sizes, pa.int32())}
+
+    table = map_rows(chosen, ["text", "toxic"], make, "toxic int, sentences int, sentence array<int>, feature array<int>").toArrow()
+    y, sentences = table.column("toxic").to_numpy(), table.column("sentences").to_numpy().astype(np.int64)
+    lists = table.column("feature").combine_chunks()
+    doc = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    bag = table.column("sentence").combine_chunks().flatten().to_numpy() + (np.cumsum(sentences) - sentences)[doc]
+    return lists.flatten().to_numpy(), bag, np.repeat(np.arange(len(y)), sentences), y
 
 
-def train(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+def train(kept: np.ndarray, column: np.ndarray, bag: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of all hashed features (most are 0) and the intercept."""
     weights = np.zeros(1 << BITS, np.float32)
-    prior = float(y.mean()) if len(y) else 0.0
-    if not len(y) or prior in (0.0, 1.0):
+    prior = float((y == 1).mean()) if len(y) else 0.0
+    if prior in (0.0, 1.0):
         return weights, -30.0 if prior == 0 else 30.0
-    # sentences of all documents, numbered; a document keeps the sentences that hold no screened feature too
-    bags = doc.astype(np.int64) << 32 | sentence
-    names, bag = np.unique(bags, return_inverse=True)
-    owner = (names >> 32).astype(np.int64)
-    kept = screen(feature, doc, y)
-    place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
-    use = place[feature] >= 0
-    column, bag = place[feature[use]], bag[use]
-    w, b = np.zeros(len(kept)), float(np.log(prior / max(1.0, len(names) / len(y))))
+    w, b = np.zeros(len(kept)), float(np.log(prior / max(1.0, len(owner) / len(y))))
     moments = [np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)]
     for epoch in range(1, EPOCHS + 1):
-        z = b + np.bincount(bag, w[column], len(names))
+        z = b + np.bincount(bag, w[column], len(owner))
         p = 1 / (1 + np.exp(-z))
         clean = np.exp(-np.bincount(owner, np.logaddexp(0, z), len(y)))
         scale = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
@@ -109,7 +116,9 @@ def train(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[np.ndarray, float]:
     """Model from the rows given; ``docs`` has doc_id and text, ``labels`` doc_id and toxic."""
-    return train(*sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), positives, negatives))
+    chosen = sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), positives, negatives)
+    kept = screen(chosen)
+    return train(kept, *bags(chosen, kept))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
