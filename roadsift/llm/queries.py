@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadsift.llm import chat, dedup, fingerprints, language, neighbours, packing, secrets, tokens, toxicity
+from roadsift.llm import chat, dedup, fingerprints, language, neighbours, packing, secrets, segmentation, tokens, toxicity
 from roadsift.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,11 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_nearest")
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+@query("op3_segmentation")
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segmentation.decode(segmentation.encode(documents(spark, sf_dir)))
+    scores = F.concat(F.array("score"), F.transform("others", lambda o: o["score"]))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("score").alias("best_score"), F.array_join(scores.cast("array<string>"), ",").alias("scores"),
+                        F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"), F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
