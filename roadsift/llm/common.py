@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roadsift.session import materialize, shared_dir
 
-__all__ = ["FOLDS", "blocks", "documents", "fold", "map_rows", "materialize", "slim", "shared_dir"]
+__all__ = ["FOLDS", "blocks", "documents", "fold", "keep_rows", "map_rows", "materialize", "slim", "shared_dir"]
 
 #: Characters of text that a Python task handles at once (a longer text is a block of its own).
 BLOCK_CHARS = 1_500_000
@@ -64,6 +64,17 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[list[tuple]], di
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, text_col: str, decide: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """Rows, with all their columns, for whose text ``decide`` says true (a null text is read as empty); no shuffle."""
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            kept = [np.zeros(0, bool)] + [decide([t for t, in block]) for block in blocks((t or "",) for t in texts)]
+            yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def ragged(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the size of each list."""
     offsets = np.zeros(len(sizes) + 1, np.int32)

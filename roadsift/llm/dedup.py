@@ -199,3 +199,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = rows.select("doc_id", "n", "node").join(found, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows, with all their columns, of one document of each component.
+
+    An id goes if none of its rows is kept; of rows with equal id and text one stays; rows without an id stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
+    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    before = F.lag(F.coalesce(F.xxhash64(text_col), F.lit(0))).over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col))
+    return left.withColumn("_before", F.col(id_col).isNotNull() & before.isNotNull()).where("NOT _before").drop("_before")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roadsift.llm.chars import SPACE_POINT, lower, points
-from roadsift.llm.common import map_rows, ragged, slim
+from roadsift.llm.common import blocks, keep_rows, map_rows, ragged, slim
 from roadsift.llm.pretokens import LETTER, classes
 
 ORDERS, BITS = 3, 15
@@ -54,7 +54,6 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches):
         total, n = np.zeros(SIZE, np.int64), 0
         present = np.zeros(SIZE, bool)
-        from roadsift.llm.common import blocks
         for block in blocks((t or "",) for batch in batches for t in batch.column(0).to_pylist()):
             codes, begin, finish, _ = grams([t for t, in block])
             for a, b in zip(begin.tolist(), finish.tolist()):
@@ -143,22 +142,31 @@ def fit(docs: DataFrame, rows: int = ROWS) -> dict:
     return {"names": names, "table": np.ascontiguousarray((SCALE * idf[:, None] * w / t).T.astype(np.float32)), "intercept": b / t}
 
 
+def predicted(texts: list[str], m: dict) -> tuple[list[str], np.ndarray]:
+    codes, begin, finish, letters = grams(texts)
+    cuts = np.stack([begin, finish], axis=1).ravel()
+    logits = np.zeros((len(texts), len(m["names"])))
+    for k, table in enumerate(m["table"]):
+        value = table[codes].sum(axis=0, dtype=np.float64)
+        logits[:, k] = np.add.reduceat(value, cuts)[::2] / np.maximum(finish - begin, 1) + m["intercept"][k]
+    known = (letters > 0) & (len(m["names"]) > 0)
+    p = softmax(logits) if m["names"] else np.zeros((len(texts), 1))
+    return [m["names"][i] if ok else UNKNOWN for i, ok in zip(p.argmax(axis=1), known)], np.where(known, p.max(axis=1), 0.0)
+
+
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score: one row per row."""
     kept = slim(docs, text=text_col, doc_id=id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE numbers of 4 bytes a language
 
     def make(block):
-        m = shared.value
-        codes, begin, finish, letters = grams([t for t, _ in block])
-        cuts = np.stack([begin, finish], axis=1).ravel()
-        logits = np.zeros((len(block), len(m["names"])))
-        for k, table in enumerate(m["table"]):
-            value = table[codes].sum(axis=0, dtype=np.float64)
-            logits[:, k] = np.add.reduceat(value, cuts)[::2] / np.maximum(finish - begin, 1) + m["intercept"][k]
-        known = (letters > 0) & (len(m["names"]) > 0)
-        p = softmax(logits) if m["names"] else np.zeros((len(block), 1))
-        best = p.argmax(axis=1)
-        return {"doc_id": [d for _, d in block], "lang_pred": [m["names"][i] if ok else UNKNOWN for i, ok in zip(best, known)], "score": np.where(known, p.max(axis=1), 0.0)}
+        names, score = predicted([t for t, _ in block], shared.value)
+        return {"doc_id": [d for _, d in block], "lang_pred": names, "score": score}
 
     return map_rows(kept, ["text", "doc_id"], make, f"doc_id {dict(kept.dtypes)['doc_id']}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.4) -> DataFrame:
+    """Rows, with all their columns, whose language is known with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text_col, lambda texts: predicted(texts, shared.value)[1] >= least)
