@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roadsift.llm.chars import Words
-from roadsift.llm.common import map_rows, materialize, ragged, slim
+from roadsift.llm.common import keep_rows, map_rows, materialize, ragged, slim
 
 BITS = 20
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 9)
@@ -121,22 +121,30 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     return train(kept, *bags(chosen, kept))
 
 
+def judged(texts: list[str], weights: np.ndarray, b: float) -> tuple[np.ndarray, Words, np.ndarray]:
+    """Each text's noisy-or, the words, and each sentence's probability."""
+    words, found = features(texts)
+    z = b + np.bincount(words.sentence, weights[found].sum(axis=0, dtype=np.float64), len(words.owner))
+    return 1 - np.exp(-np.bincount(words.owner, np.logaddexp(0, z), len(texts))), words, 1 / (1 + np.exp(-z))
+
+
+def clean(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """Rows, with all their columns, that score below ``limit``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text_col, lambda texts: judged(texts, *shared.value)[0] < limit)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and the offending sentences (start, end in code points, p), one row per row."""
     kept = slim(docs, text=text_col, doc_id=id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers of 4 bytes
 
     def make(block):
-        weights, b = shared.value
-        words, found = features([t for t, _ in block])
-        value = weights[found].sum(axis=0, dtype=np.float64)
-        z = b + np.bincount(words.sentence, value, len(words.owner))
-        total = np.bincount(words.owner, np.logaddexp(0, z), len(block))
-        p = 1 / (1 + np.exp(-z))
+        total, words, p = judged([t for t, _ in block], *shared.value)
         spans = [[] for _ in block]
         for i in np.flatnonzero(p >= SENTENCE_FLAG).tolist():
             k = int(words.owner[i])
             spans[k].append({"start": int(words.opens[i] - words.begin[k]), "end": int(words.closes[i] - words.begin[k]), "p": float(p[i])})
-        return {"doc_id": [d for _, d in block], "score": 1 - np.exp(-total), "offending": spans}
+        return {"doc_id": [d for _, d in block], "score": total, "offending": spans}
 
     return map_rows(kept, ["text", "doc_id"], make, f"doc_id {dict(kept.dtypes)['doc_id']}, score double, offending array<struct<start:long,end:long,p:double>>")
