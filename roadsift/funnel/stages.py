@@ -52,7 +52,7 @@ def history_changes(source: DataFrame, generated: DataFrame, keys: list[str], ta
 def kinematics(overlay_source: DataFrame, kinds: DataFrame) -> DataFrame:
     """Maxima of the candidate's motion against the limits of its class (relative tolerance 1e-9)."""
     joined = overlay_source.join(kinds, "candidate_id")
-    k = future_kinematics(joined.withColumn("min_v", F.expr(f"coalesce({_by_type(LIMITS, 7)}, 0.5D)")), "candidate_id", "0.5")
+    k = future_kinematics(joined.withColumn("min_v", F.expr(f"coalesce({_by_type(LIMITS, 7)}, 0.5D)")), "candidate_id", "min_v")
     w = Window.partitionBy("candidate_id")
     first = F.min("timestep").over(w)
     k = k.withColumn("first_t", first)
@@ -73,20 +73,25 @@ def drivable(points: DataFrame, polylines: DataFrame, kinds: DataFrame) -> DataF
     return share.selectExpr("candidate_id", f"CASE WHEN object_type IN ({TYPES_SQL}) AND fraction < {INSIDE} THEN 'outside_drivable_area' END AS reason", "fraction")
 
 
-def lane_compliance(points: DataFrame, polylines: DataFrame, kinds: DataFrame, exempt: bool = False) -> DataFrame:
-    """Lane share, lane type, transitions and direction of the future points (scenario_id, candidate_id, timestep, px, py, heading)."""
+def lane_compliance(points: DataFrame, polylines: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Lane share, lane type, transitions and direction of the future points (scenario_id, candidate_id, timestep, px, py, heading).
+
+    Skills that turn round or drive the wrong way are exempt from the direction; ``kinds`` may have their skill_id.
+    """
+    kinds = kinds if "skill_id" in kinds.columns else kinds.withColumn("skill_id", F.lit(None).cast("string"))
     segs = ln.segments(polylines.where("polyline_type = 'lane_centerline'")).where("NOT broken")
     best = ln.nearest_per_line(points.select("scenario_id", "candidate_id", "timestep", "px", "py"), segs, ["candidate_id", "timestep"], LANE_M).groupBy("scenario_id", "candidate_id", "timestep").agg(
         F.min(F.struct("distance", "polyline_id", "lane_heading")).alias("m")).selectExpr("scenario_id", "candidate_id", "timestep", "m.polyline_id AS lane", "m.lane_heading AS lane_heading")
     lane_type = polylines.where("polyline_type = 'lane_centerline'").selectExpr("scenario_id", "polyline_id AS lane", "lower(trim(direction)) AS lane_type")
     j = points.join(best, ["scenario_id", "candidate_id", "timestep"], "left").join(lane_type, ["scenario_id", "lane"], "left").join(kinds, "candidate_id")
     car = "object_type IN ('vehicle', 'bus')"
-    g = j.groupBy("candidate_id", "object_type").agg(
+    g = j.groupBy("candidate_id", "object_type", "skill_id").agg(
         F.expr("avg(IF(lane IS NULL, 0D, 1D))").alias("assigned"), F.expr(f"avg(IF({car}, IF(lane_type = 'bike', 0D, 1D), NULL)) FILTER (WHERE lane IS NOT NULL)").alias("typed"),
         F.expr(f"avg(IF(degrees({fm.heading_gap('heading', 'lane_heading')}) <= {ANGLE_DEG}, 1D, 0D)) FILTER (WHERE lane IS NOT NULL AND heading IS NOT NULL AND lane_heading IS NOT NULL)").alias("aligned"))
     bad = ln.forbidden_transitions(ln.transitions(best, ["scenario_id", "candidate_id"]), polylines).groupBy("candidate_id").agg(F.count("*").alias("breaks"))
     road = f"object_type IN ({TYPES_SQL})"
-    turn = "" if exempt else f"WHEN {road} AND coalesce(aligned, 0D) < {ASSIGNED} THEN 'lane_direction_violation'"
+    exempt = f"coalesce(skill_id IN ({', '.join(repr(s) for s in DIRECTION_EXEMPT)}), false)"
+    turn = f"WHEN {road} AND NOT {exempt} AND coalesce(aligned, 0D) < {ASSIGNED} THEN 'lane_direction_violation'"
     return g.join(bad, "candidate_id", "left").selectExpr("candidate_id", f"CASE WHEN {road} AND assigned < {ASSIGNED} THEN 'lane_assignment_insufficient' WHEN {road} AND typed < {ASSIGNED} THEN 'lane_type_incompatible' "
                                                           f"WHEN breaks > 0 THEN 'lane_connectivity_violation' {turn} END AS reason", "assigned")
 

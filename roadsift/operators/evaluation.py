@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from roadsift.functions import formulas as fm
@@ -79,10 +81,12 @@ def bootstrap(deltas: DataFrame, resamples: int = 2000, seed: int = 2026) -> Dat
     u = f"((xxhash64(b, scenario_id, {seed}) >> 12) + 2251799813685248L) / 4503599627370496D"
     # cumulative Poisson(1) probabilities: 1/e * (1, 2, 2.5, 2 2/3, ...)
     cuts, total, term = [], 0.0, 1.0
-    for k in range(8):
+    for k in range(30):
         term = term / k if k else 1.0
         total += term
-        cuts.append(f"CAST(u > {total / 2.718281828459045!r} AS INT)")
+        if total / math.e >= 1:  # no draw is above it in double precision
+            break
+        cuts.append(f"CAST(u > {total / math.e!r} AS INT)")
     w = deltas.where("delta IS NOT NULL").selectExpr("scenario_id", "delta", f"explode(sequence(0, {resamples - 1})) AS b")
     w = w.selectExpr("b", "delta", f"{u} AS u").selectExpr("b", "delta", " + ".join(cuts) + " AS w")
     means = w.groupBy("b").agg((F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("m"))

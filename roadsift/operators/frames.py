@@ -67,10 +67,10 @@ def resolve_targets(states: DataFrame, frame: int, minimum: int) -> DataFrame:
         F.expr(f"coalesce(bool_or(timestep = {frame} AND observed), false)").alias("seen"),
         F.expr(f"max(filled) FILTER (WHERE timestep = {frame})").alias("oh"),
         F.expr(f"max(x) FILTER (WHERE timestep = {frame})").alias("ox"), F.expr(f"max(y) FILTER (WHERE timestep = {frame})").alias("oy"),
-        F.expr(f"count_if({ok})").alias("valid_steps"))
+        F.expr(f"coalesce(bool_or(timestep = {frame} AND {ok}), false)").alias("anchored"), F.expr(f"count_if({ok})").alias("valid_steps"))
     return g.withColumn("reason", F.expr(
         "CASE WHEN NOT seen THEN 'target_not_observed' WHEN ox IS NULL OR oy IS NULL THEN 'target_position_missing' "
-        f"WHEN oh IS NULL THEN 'heading_unresolved' WHEN valid_steps < {minimum} THEN 'history_too_short' END"))
+        f"WHEN oh IS NULL THEN 'heading_unresolved' WHEN valid_steps < {minimum} THEN 'history_too_short' WHEN NOT anchored THEN 'anchor_velocity_missing' END"))
 
 
 def future_kinematics(frames: DataFrame, key: str, minimum_speed: str = "0.5") -> DataFrame:

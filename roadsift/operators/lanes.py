@@ -84,13 +84,24 @@ def nearby_segments(points: DataFrame, segs: DataFrame, radius: float) -> DataFr
 PROJECTION = ("distance", "seq", "fraction", "arc", "lane_heading", "lateral_m")
 
 
-def nearest_per_line(points: DataFrame, segs: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """Best projection per (point, polyline) within the radius, ties by segment then fraction."""
-    hit = nearby_segments(points, segs, radius).where(f"distance <= {radius}")
+def nearest_per_line(points: DataFrame, segs: DataFrame, keys: list[str], radius: float | None = None) -> DataFrame:
+    """Best projection per (point, polyline), ties by segment then fraction; within the radius, or on every polyline of the scenario."""
+    hit = project(points.join(segs, "scenario_id")) if radius is None else nearby_segments(points, segs, radius).where(f"distance <= {radius}")
     return (hit.groupBy("scenario_id", *keys, "polyline_id").agg(F.min(F.struct(*PROJECTION)).alias("m"))
             .select("scenario_id", *keys, "polyline_id", "m.*"))
 
 
+def nearest_line(points: DataFrame, segs: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """Nearest polyline of each point (m: distance, polyline_id), at any distance.
+
+    The radius only divides the work: a point with nothing inside it is compared with every polyline of its scenario.
+    """
+    best = lambda hits: hits.groupBy("scenario_id", *keys).agg(F.min(F.struct("distance", "polyline_id")).alias("m"))
+    near = best(nearby_segments(points, segs, radius).where(f"distance <= {radius}"))
+    far = points.join(near, ["scenario_id", *keys], "left_anti")
+    return near.unionByName(best(project(far.join(segs, "scenario_id"))))
+
+
 def nearest_distance(points: DataFrame, segs: DataFrame, keys: list[str], radius: float = 60.0, far: bool = True) -> DataFrame:
     """Distance to the nearest of all segments: near ones by grid, the rest by a second exact pass.
 

@@ -22,6 +22,18 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float = RADIUS) -> Dat
             .selectExpr("scenario_id", "a", "b", "a_type", "b_type", f"{dist} AS dist"))
 
 
+def related_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Ordered pairs on the same lane or on lanes that are successors, predecessors or neighbours of each other, at any distance."""
+    beside = "array_compact(array_distinct(concat(array(lane, left_id, right_id), coalesce(succ, array()), coalesce(pred, array()))))"
+    slim = lambda d, p: d.where("lane IS NOT NULL").selectExpr("scenario_id", f"track_id AS {p}", f"object_type AS {p}_type", f"x AS {p}_px", f"y AS {p}_py", f"lane AS {p}_lane", f"{beside} AS {p}_beside")
+    a, b = slim(left, "a"), slim(right, "b")
+    spread = lambda d, p: d.withColumn("meet", F.explode(f"{p}_beside"))
+    at = lambda d, p: d.withColumn("meet", F.col(f"{p}_lane"))
+    both = spread(a, "a").join(at(b, "b"), ["scenario_id", "meet"]).unionByName(at(a, "a").join(spread(b, "b"), ["scenario_id", "meet"]))
+    dist = fm.norm("a_px - b_px", "a_py - b_py")
+    return both.where("a <> b").selectExpr("scenario_id", "a", "b", "a_type", "b_type", f"{dist} AS dist").distinct()
+
+
 def attach(pairs: DataFrame, features: DataFrame, side: str, how: str = "inner") -> DataFrame:
     """Join per-actor features to one side of a pair under a prefix."""
     renamed = features.select("scenario_id", F.col("track_id").alias(side),

@@ -216,7 +216,7 @@ def build() -> dict[str, str]:
     moto = "a_object_type = 'motorcyclist' AND b_object_type IN ('vehicle', 'bus') AND a_hist_steps >= 20 AND b_hist_steps >= 20"
     ctes = f"""m0 AS (SELECT *, row_number() OVER (PARTITION BY scenario_id, a ORDER BY dist, b) AS n FROM pq WHERE {moto} AND a_speed >= 1 AND dist BETWEEN 1 AND 7),
     m1 AS (SELECT p.scenario_id, p.a, p.b, q.b AS c, p.dist AS d1, q.dist AS d2, p.a_x AS mx, p.a_y AS my, p.b_x AS x1, p.b_y AS y1, q.b_x - p.b_x AS dx, q.b_y - p.b_y AS dy
-           FROM m0 p JOIN m0 q ON p.scenario_id = q.scenario_id AND p.a = q.a AND p.n < q.n AND q.n <= 12),
+           FROM m0 p JOIN m0 q ON p.scenario_id = q.scenario_id AND p.a = q.a AND p.n < q.n),
     m2 AS (SELECT *, sqrt(dx * dx + dy * dy) AS g, ((mx - x1) * dx + (my - y1) * dy) / (dx * dx + dy * dy) AS pos FROM m1)"""
     out["motorcyclist_filtering_conflict"] = rows(f"g BETWEEN 1 AND 10 AND pos BETWEEN 0.1 AND 0.9 AND {fm.norm('mx - (x1 + pos * dx)', 'my - (y1 + pos * dy)')} <= 3",
         f"(({small('g', '10.0')}) + ({small('greatest(d1, d2)', '7.0')})) / 2", "minimum_combined_clearance", "least(d1, d2)", ctes, "", "a", "b", "m2", extra="c", types=None)

@@ -300,10 +300,33 @@ KSQL = f"""kq AS (SELECT candidate_id, timestep, ux AS vx, uy AS vy, sqrt(ux * u
   km AS (SELECT candidate_id, max(speed) AS speed, max(greatest(tang, 0)) AS accel, max(greatest(0 - tang, 0)) AS decel, max(jerk) AS jerk, avg(speed) AS mean_speed FROM kj WHERE timestep > 34 GROUP BY 1)"""
 
 
-@query("K03_kinematics_stage", f"""{BASE}, {KSQL} SELECT candidate_id, {R('km.speed', 3)} AS speed, {R('accel', 1)} AS acceleration, {R('decel', 1)} AS deceleration, object_type NOT IN ('vehicle', 'bus', 'motorcyclist', 'cyclist', 'pedestrian') AS unsupported FROM tk JOIN km USING (candidate_id)""")
+#: Heading rate and curvature: at least 0.5 m/s, cyclists 0.3, pedestrians 0.2. The futures of cyclists and pedestrians are slowed to a twentieth around the anchor, so that the classes differ.
+SLOW = "object_type IN ('cyclist', 'pedestrian')"
+KTURN = f"""t0 AS (SELECT o0.candidate_id, o0.timestep, time_s, object_type, ax0 + CASE WHEN {SLOW} THEN 0.05::DOUBLE ELSE 1 END * (o0.x - ax0) AS x, ay0 + CASE WHEN {SLOW} THEN 0.05::DOUBLE ELSE 1 END * (o0.y - ay0) AS y,
+      CASE WHEN {SLOW} THEN 0.05::DOUBLE ELSE 1 END * vx AS vx, CASE WHEN {SLOW} THEN 0.05::DOUBLE ELSE 1 END * vy AS vy, heading, CASE object_type WHEN 'cyclist' THEN 0.3::DOUBLE WHEN 'pedestrian' THEN 0.2 ELSE 0.5 END AS least
+      FROM o0 JOIN tk USING (candidate_id) JOIN (SELECT candidate_id, max(x) AS ax0, max(y) AS ay0 FROM o0 WHERE timestep = 34 GROUP BY 1) an USING (candidate_id)),
+  t1 AS (SELECT *, time_s - lag(time_s) OVER w AS dt, CASE WHEN timestep > 34 THEN (x - lag(x) OVER w) / (time_s - lag(time_s) OVER w) ELSE vx END AS ux, CASE WHEN timestep > 34 THEN (y - lag(y) OVER w) / (time_s - lag(time_s) OVER w) ELSE vy END AS uy FROM t0 WINDOW w AS (PARTITION BY candidate_id ORDER BY timestep)),
+  t2 AS (SELECT *, sqrt(ux * ux + uy * uy) AS speed, (ux - lag(ux) OVER w) / dt AS ax, (uy - lag(uy) OVER w) / dt AS ay FROM t1 WINDOW w AS (PARTITION BY candidate_id ORDER BY timestep)),
+  t3 AS (SELECT *, lag(speed) OVER w AS before, (speed - lag(speed) OVER w) / dt AS tang, sqrt((ax - lag(ax) OVER w) * (ax - lag(ax) OVER w) + (ay - lag(ay) OVER w) * (ay - lag(ay) OVER w)) / dt AS jerk,
+      CASE WHEN timestep <= 34 THEN heading WHEN speed >= least THEN atan2(uy, ux) END AS course FROM t2 WINDOW w AS (PARTITION BY candidate_id ORDER BY timestep)),
+  t4 AS (SELECT *, last_value(course IGNORE NULLS) OVER (PARTITION BY candidate_id ORDER BY timestep ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_course FROM t3),
+  t5 AS (SELECT *, CASE WHEN speed >= least AND before >= least AND last_course IS NOT NULL THEN abs(course - last_course - 2 * pi() * floor((course - last_course + pi()) / (2 * pi()))) / dt ELSE 0 END AS rate FROM t4 WHERE timestep > 34),
+  t6 AS (SELECT candidate_id, max(speed) FILTER (timestep = 35) AS seam_speed, max(speed) AS speed, max(greatest(tang, 0)) AS acceleration, max(greatest(0 - tang, 0)) AS deceleration, max(jerk) AS jerk,
+      max(CASE WHEN rate > 0 THEN rate / ((before + speed) / 2) ELSE 0 END) AS curvature, max(rate) AS heading_rate FROM t5 GROUP BY 1),
+  t7 AS (SELECT * FROM (VALUES ('vehicle', 55.0, 55.0, 8.0, 12.0, 60.0, 0.25, 1.5), ('bus', 40.0, 40.0, 5.0, 8.0, 40.0, 0.2, 1.0), ('motorcyclist', 55.0, 55.0, 10.0, 14.0, 80.0, 0.5, 2.5), ('cyclist', 20.0, 20.0, 6.0, 8.0, 50.0, 0.8, 3.0),
+      ('pedestrian', 8.0, 8.0, 5.0, 5.0, 40.0, 2.0, 4.0)) AS l(object_type, l1, l2, l3, l4, l5, l6, l7))"""
+KSHOWN = {"seam_speed": 3, "speed": 3, "acceleration": 1, "deceleration": 1, "jerk": 0, "curvature": 2, "heading_rate": 2}
+
+
+@query("K03_kinematics_stage", f"""{BASE}, {KTURN} SELECT candidate_id, {', '.join(f'{R("t6." + n, d)} AS {n}' for n, d in KSHOWN.items())}, CASE WHEN l1 IS NULL THEN 'unsupported_actor_type' {' '.join(f"WHEN t6.{n} > l{i + 1} * (1 + 1e-9) + 1e-9 THEN '{n}_limit_exceeded'" for i, n in enumerate(KSHOWN))} END AS reason
+  FROM tk JOIN t6 USING (candidate_id) LEFT JOIN t7 USING (object_type)""")
 def k03(spark, sf):
-    k = sg.kinematics(kin_source(spark, sf), kinds(spark, sf))
-    return k.selectExpr("candidate_id", f"{R('speed', 3)} AS speed", f"{R('acceleration', 1)} AS acceleration", f"{R('deceleration', 1)} AS deceleration", "coalesce(reason = 'unsupported_actor_type', false) AS unsupported")
+    source = kin_source(spark, sf)
+    anchor = source.where("timestep = 34").selectExpr("candidate_id", "x AS ax0", "y AS ay0").join(kinds(spark, sf), "candidate_id")
+    slow = source.join(anchor, "candidate_id").withColumn("part", F.expr(f"IF({SLOW}, 0.05D, 1D)")).withColumns(
+        {"x": F.expr("ax0 + part * (x - ax0)"), "y": F.expr("ay0 + part * (y - ay0)"), "vx": F.expr("part * vx"), "vy": F.expr("part * vy")})
+    k = sg.kinematics(slow.drop("ax0", "ay0", "part", "object_type"), kinds(spark, sf))
+    return k.selectExpr("candidate_id", *[f"{R(n, d)} AS {n}" for n, d in KSHOWN.items()], "reason")
 
 
 LIM = ", ".join(f"('{t}', {v[1]}::DOUBLE, {v[2]}::DOUBLE, {v[3]}::DOUBLE, {v[4]}::DOUBLE)" for t, v in sg.LIMITS.items())
@@ -348,12 +371,20 @@ LNE = f"""l0 AS (SELECT candidate_id, timestep, s.pid, min_by(s.hd, (d, seq)) AS
   l5 AS (SELECT candidate_id, object_type, count(lane) / count(*) AS assigned, avg(CASE WHEN object_type IN ('vehicle', 'bus') AND lane IS NOT NULL THEN (CASE WHEN direction = 'bike' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) END) AS typed,
       avg(CASE WHEN lane IS NOT NULL THEN (CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END) AS aligned FROM l2 GROUP BY 1, 2),
   lr AS (SELECT candidate_id, assigned, CASE WHEN {ROAD} AND assigned < 0.8 THEN 'lane_assignment_insufficient' WHEN {ROAD} AND typed < 0.8 THEN 'lane_type_incompatible' WHEN breaks > 0 THEN 'lane_connectivity_violation'
-      WHEN {ROAD} AND coalesce(aligned, 0) < 0.8 THEN 'lane_direction_violation' END AS reason FROM l5 LEFT JOIN l4 USING (candidate_id))"""
+      WHEN {ROAD} AND candidate_id NOT IN (SELECT candidate_id FROM tk WHERE CAST(a AS BIGINT) % 7 = 0) AND coalesce(aligned, 0) < 0.8 THEN 'lane_direction_violation' END AS reason FROM l5 LEFT JOIN l4 USING (candidate_id))"""
+
+
+#: Every seventh candidate belongs to a skill that is exempt from the direction.
+SKILLED = "CASE WHEN CAST(a AS BIGINT) % 7 = 0 THEN 'wrong_way_vehicle' ELSE 'lead_hard_brake' END"
+
+
+def skilled(spark, sf):
+    return typed(spark, sf).selectExpr("candidate_id", "object_type", f"{SKILLED} AS skill_id")
 
 
 @query("K05_lane_compliance", f"{BASE}, {DRV}, {LNE} SELECT candidate_id, {R('assigned')} AS assigned, reason FROM lr")
 def k05(spark, sf):
-    return sg.lane_compliance(points(spark, sf), scene.roads(spark, sf), kinds(spark, sf)).selectExpr("candidate_id", f"{R('assigned')} AS assigned", "reason")
+    return sg.lane_compliance(points(spark, sf), scene.roads(spark, sf), skilled(spark, sf)).selectExpr("candidate_id", f"{R('assigned')} AS assigned", "reason")
 
 
 MAPR = f"{DRV}, {LNE}, mp AS (SELECT candidate_id, coalesce({DREASON}, lr.reason) AS reason FROM df LEFT JOIN lr USING (candidate_id))"
@@ -361,7 +392,7 @@ MAPR = f"{DRV}, {LNE}, mp AS (SELECT candidate_id, coalesce({DREASON}, lr.reason
 
 @query("K06_map_stage", f"{BASE}, {MAPR} SELECT * FROM mp")
 def k06(spark, sf):
-    return sg.map_stage(points(spark, sf), scene.roads(spark, sf), kinds(spark, sf))
+    return sg.map_stage(points(spark, sf), scene.roads(spark, sf), skilled(spark, sf))
 
 
 FOOT = ", ".join(f"('{t}', {l}::DOUBLE, {w}::DOUBLE)" for t, (l, w) in sg.FOOTPRINTS.items())
@@ -527,7 +558,7 @@ def v05(spark, sf):
 
 
 LSEQ = f"""n0 AS (SELECT candidate_id, timestep, pid, min(d) AS d FROM (SELECT q.candidate_id, q.timestep, q.pid, {fm.norm('a_x - (x1 + f * (x2 - x1))', 'a_y - (y1 + f * (y2 - y1))')} AS d
-      FROM (SELECT wd.*, s.pid, s.x1, s.y1, s.x2, s.y2, {fm.seg_fraction('a_x', 'a_y', 's.x1', 's.y1', 's.x2', 's.y2')} AS f FROM wd, seg s WHERE s.ptype = 'lane_centerline') q) WHERE d <= 60 GROUP BY 1, 2, 3),
+      FROM (SELECT wd.*, s.pid, s.x1, s.y1, s.x2, s.y2, {fm.seg_fraction('a_x', 'a_y', 's.x1', 's.y1', 's.x2', 's.y2')} AS f FROM wd, seg s WHERE s.ptype = 'lane_centerline') q) GROUP BY 1, 2, 3),
   n1 AS (SELECT candidate_id, timestep, pid AS lane FROM n0 QUALIFY row_number() OVER (PARTITION BY candidate_id, timestep ORDER BY d, pid) = 1),
   n2 AS (SELECT n.candidate_id, min(n.timestep) AS change FROM (SELECT *, lag(lane) OVER (PARTITION BY candidate_id ORDER BY timestep) AS prev FROM n1) n JOIN lane0 p ON p.pid = prev WHERE prev <> lane AND lane IN (p.left_id, p.right_id) GROUP BY 1),
   n3 AS (SELECT candidate_id, min(timestep) FILTER (WHERE fut AND {fm.forward('b_x - a_x', 'b_y - a_y', 'oa_heading')} <= 0) AS pass FROM w4 GROUP BY 1)"""
@@ -538,7 +569,7 @@ def v09(spark, sf):
     d = rows(spark, sf)
     pts = d.selectExpr("scenario_id", "candidate_id", "timestep", "a_x AS px", "a_y AS py")
     segs = ln.segments(scene.roads(spark, sf).where("polyline_type = 'lane_centerline'")).where("NOT broken")
-    lane = ln.nearest_per_line(pts, segs, ["candidate_id", "timestep"], 60.0).groupBy("scenario_id", "candidate_id", "timestep").agg(F.min(F.struct("distance", "polyline_id")).alias("m"))
+    lane = ln.nearest_line(pts, segs, ["candidate_id", "timestep"], 60.0)
     moves = ln.transitions(lane.selectExpr("scenario_id", "candidate_id", "timestep", "m.polyline_id AS lane"), ["scenario_id", "candidate_id"])
     side = ln.lane_edges(scene.roads(spark, sf)).where("rel IN ('left', 'right')").select("scenario_id", "src", "dst")
     change = moves.join(side, ["scenario_id", "src", "dst"]).groupBy("candidate_id").agg(F.min("timestep").alias("change_frame"))

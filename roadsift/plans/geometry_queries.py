@@ -102,11 +102,11 @@ LANE_SEGS = "s.pid IN (SELECT pid FROM lane0)"
 
 
 @query("J02_point_to_polyline", f"""{BASE}, pts AS (SELECT scenario_id, track_id, x AS px, y AS py, p.pid FROM ac, (SELECT DISTINCT pid FROM seg WHERE ptype = 'lane_centerline') p),
-  {sc.on_polyline('pts', 'scenario_id, track_id', 'op')} SELECT scenario_id, track_id, pid AS polyline_id, {R('d')} AS distance, {R('arc')} AS arc, {R('off_m')} AS lateral_m FROM op WHERE d <= 30""")
+  {sc.on_polyline('pts', 'scenario_id, track_id', 'op')} SELECT scenario_id, track_id, pid AS polyline_id, {R('d')} AS distance, {R('arc')} AS arc, {R('off_m')} AS lateral_m FROM op""")
 def j02(spark, sf):
     pts = scene.actors(spark, sf).selectExpr("scenario_id", "track_id", "x AS px", "y AS py")
     segs = ln.segments(scene.roads(spark, sf).where("polyline_type = 'lane_centerline'"))
-    return ln.nearest_per_line(pts, segs, ["track_id"], 30.0).selectExpr("scenario_id", "track_id", "polyline_id", *r("distance", "arc", "lateral_m"))
+    return ln.nearest_per_line(pts, segs, ["track_id"]).selectExpr("scenario_id", "track_id", "polyline_id", *r("distance", "arc", "lateral_m"))
 
 
 @query("J03_lane_match", f"{BASE} SELECT scenario_id, track_id, lane, {R('lane_dist')} AS lane_dist, {R('lane_error')} AS lane_error, {R('lane_arc')} AS lane_arc, any_lane, {R('any_dist')} AS any_dist, {R('any_error')} AS any_error FROM al WHERE any_lane IS NOT NULL")

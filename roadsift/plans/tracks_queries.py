@@ -140,10 +140,14 @@ def p24(spark, sf):
 SEEN = "observed AND (abs(vx) + abs(vy) > 8.3 OR timestep = 34)"
 
 
-@query("P25_target_resolution", f"""{BASE} SELECT {KEYS}, count(*) FILTER (WHERE {SEEN}) AS valid_steps,
-  CASE WHEN count(*) FILTER (WHERE {SEEN}) < {MINIMUM} THEN 'history_too_short' END AS reason FROM st WHERE timestep <= {ANCHOR} GROUP BY ALL""")
+STOPPED = f"timestep = {ANCHOR} AND track_id LIKE '%3'"  # these tracks lose their velocity at the anchor
+
+
+@query("P25_target_resolution", f"""{BASE} SELECT {KEYS}, count(*) FILTER (WHERE {SEEN} AND NOT ({STOPPED})) AS valid_steps,
+  CASE WHEN count(*) FILTER (WHERE {SEEN} AND NOT ({STOPPED})) < {MINIMUM} THEN 'history_too_short' WHEN max(track_id) LIKE '%3' THEN 'anchor_velocity_missing' END AS reason FROM st WHERE timestep <= {ANCHOR} GROUP BY ALL""")
 def p25(spark, sf):
-    return fr.resolve_targets(scene.states(spark, sf).withColumn("observed", fr.F.expr(SEEN)), ANCHOR, MINIMUM).selectExpr(*tr.KEY, "valid_steps", "reason")
+    states = scene.states(spark, sf).withColumn("observed", fr.F.expr(SEEN)).withColumn("vx", fr.F.expr(f"IF({STOPPED}, NULL, vx)"))
+    return fr.resolve_targets(states, ANCHOR, MINIMUM).selectExpr(*tr.KEY, "valid_steps", "reason")
 
 
 @query("A24_low_speed_duration", f"""{BASE}, h AS (SELECT {KEYS}, timestep - row_number() OVER (PARTITION BY {KEYS} ORDER BY timestep) AS g FROM rt WHERE timestep >= ref_t AND sqrt(vx * vx + vy * vy) <= 5.0)

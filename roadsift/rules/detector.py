@@ -11,8 +11,6 @@ from roadsift.rules.catalog import RULES, Rule
 from roadsift.session import materialize
 from roadsift.rules.pair_rules import bounds, in_horizon, large, mean, risk, small
 
-# related lanes can lie further apart than the 70 m of the pair rules, so triples search wider
-WIDE_RADIUS = 150.0
 KEY = ["scenario_id", "track_id"]
 MATCH = ["scenario_id", "skill_id", "initiator", "responder", "extra", "score", "risk_metric", "risk_value",
          "measured", "context", "initiator_lane", "responder_lane", "target_lane", "shared_steps"]
@@ -74,7 +72,10 @@ class Scene:
     def pairs(self, skills: list[str], full: DataFrame, needs: set[str], radius: float = pr.RADIUS) -> DataFrame:
         """Gated near pairs with both actors' features."""
         m = self.mask(*skills)
-        near = pr.near_pairs(self.actors.where(f"(init_mask & {m}L) <> 0"), self.actors.where(f"(resp_mask & {m}L) <> 0"), radius)
+        left, right = self.actors.where(f"(init_mask & {m}L) <> 0"), self.actors.where(f"(resp_mask & {m}L) <> 0")
+        near = pr.near_pairs(left, right, radius)
+        if radius > pr.RADIUS:  # lanes relate actors at any distance; the radius covers those without a lane, whose gaps are bounded
+            near = near.unionByName(pr.related_pairs(left, right)).distinct()
         drop = [c for c in ("past",) if not needs & {"past"}]
         return pr.attach(pr.attach(near, full.drop(*drop), "a"), full.drop(*drop), "b")
 

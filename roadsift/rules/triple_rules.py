@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from roadsift.functions import formulas as fm
 from roadsift.operators import lanes as ln, pairs as pr, tracks as tr
+from roadsift.operators.grid import CELL, box_cells, point_cell
 from roadsift.rules.catalog import RULES, Rule
 from roadsift.rules.pair_rules import bounds, in_horizon, large, mean, merge_swap, arrival, risk, small
 
+#: Actors without a lane: beyond the largest gap (110 m) and side offset (10 m) of any rule over three actors.
 WIDE_RADIUS = 150.0
 NO_CONTEXT = "CAST(map() AS MAP<STRING, DOUBLE>)"
 
@@ -142,11 +144,10 @@ def filtering(scene) -> DataFrame:
     sep, reach, gap_max = (rule[n] for n in ("minimum_current_separation_m", "maximum_motorcyclist_vehicle_distance_m", "maximum_filtering_vehicle_gap_m"))
     p = scene.pairs([rule.skill_id], scene.full_actors(), set(), reach).where(
         f"a_speed >= {rule['minimum_moving_speed_mps']} AND dist BETWEEN {sep} AND {reach}")
-    near = Window.partitionBy("scenario_id", "a").orderBy("dist", "b")
-    p = p.withColumn("n", F.row_number().over(near)).where("n <= 12").selectExpr(
-        "scenario_id", "a", "n", "b", "dist", "b_x AS x", "b_y AS y", "a_x", "a_y", "a_speed", "a_hist_frames AS ha", "b_hist_frames AS h", "a_lane", "b_lane")
-    other = p.selectExpr("scenario_id", "a", "n AS n2", "b AS c", "dist AS dist2", "x AS x2", "y AS y2", "h AS h2")
-    q = p.join(other, ["scenario_id", "a"]).where("n < n2")
+    p = p.selectExpr("scenario_id", "a", "b", "dist", "b_x AS x", "b_y AS y", "a_x", "a_y", "a_speed", "a_hist_frames AS ha", "b_hist_frames AS h", "a_lane", "b_lane")
+    # the two vehicles meet on a grid of the largest gap; the nearer one (ties by id) comes first
+    other = point_cell(p.selectExpr("scenario_id", "a", "b AS c", "dist AS dist2", "x AS x2", "y AS y2", "h AS h2"), "x2", "y2", gap_max)
+    q = box_cells(p, "x", "y", "x", "y", gap_max, gap_max).join(other, [*CELL, "a"]).where("dist < dist2 OR dist = dist2 AND b < c")
     gap = fm.norm("x2 - x", "y2 - y")
     pos = "(((a_x - x) * (x2 - x) + (a_y - y) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)))"
     off = fm.norm(f"a_x - (x + {pos} * (x2 - x))", f"a_y - (y + {pos} * (y2 - y))")

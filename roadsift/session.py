@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,12 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of the cluster setting ``spark.checkpoint.dir``; a temporary one only if that is unset (tests)."""
+    """Folder of the cluster setting ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

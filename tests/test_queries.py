@@ -12,7 +12,7 @@ from roadsift.sources import tables as tb
 registry.load()
 SAMPLE = ["P01_global_to_local", "P09_acceleration", "J01_nearest_pairs", "J03_lane_match", "J13_trajectory_conflict", "J15_minimum_distance", "F01_point_in_polygon", "R01_lead_hard_brake",
           "R04_short_headway_following", "R06_chain_braking", "W04_risk_quartiles", "W12_two_phase_order", "T07_balanced_exposure", "A02_numeric_distribution", "A16_task_funnel_depth",
-          "M01_minimum_longitudinal_gap", "M09_path_arrival_gap", "V04_cut_out", "K05_lane_compliance", "K07_collision_stage", "S01_read_scenarios", "S08_seed_csv_source", "X01_incremental_scan"]
+          "M01_minimum_longitudinal_gap", "M09_path_arrival_gap", "V04_cut_out", "K05_lane_compliance", "K07_collision_stage", "K03_kinematics_stage", "K06_map_stage", "P25_target_resolution", "J02_point_to_polyline", "V09_adjacent_lane_realised", "R18_zipper_merge_multi_vehicle", "R38_multi_vehicle_gap_squeeze", "S01_read_scenarios", "S08_seed_csv_source", "X01_incremental_scan"]
 
 
 @pytest.fixture(scope="module")
