@@ -35,42 +35,37 @@ def novelty(candidate: DataFrame, source: DataFrame, keys: list[str], steps: int
 def greedy(candidates: DataFrame) -> DataFrame:
     """Exact greedy selection in the order (skill, quality, scenario, id), in distributed rounds.
 
-    Columns: candidate_id, scenario_id, skill_id, quality_score, future, signature.  A group is one scenario and
-    skill.  Within a round every open group finds its first candidate that is not too similar to what the group has
-    accepted; everything before it is decided.  That candidate is decided as soon as no earlier undecided one of
-    another group carries its signature, so each round decides at least the globally first one.  Groups need at
-    most three acceptances, so rounds are few; every round is written out to cut the lineage.
+    Columns: candidate_id, scenario_id, skill_id, quality_score, future, signature.  A group is one scenario and skill.
+    Rounds only settle what is accepted.  In each, all candidates whose signature is taken leave together, wherever they
+    stand: the one that took it comes before them.  Every group then offers its first candidate that is not too similar to
+    what it has accepted, and the offer is accepted unless an earlier undecided candidate carries its signature.  A group
+    accepts at most three, so a shared signature costs one round and not one for each of its bearers.  The reasons of all
+    others follow at the end in one pass over what was accepted before them.
     """
     group, order = ["scenario_id", "skill_id"], "struct(quality_score, scenario_id, candidate_id)"
-    open_ = materialize(candidates.withColumn("o", F.expr(order)), "diversity")
-    accepted, done = None, []
+    everyone = materialize(candidates.withColumn("o", F.expr(order)), "diversity")
+    rms, end = distances("future", "f")
+    closest = F.expr(f"min(struct({rms} AS rms, {end} AS end, c))").alias("m")
+    similar = f"coalesce(m.rms < {MIN_RMS} AND m.end < {MIN_END}, false)"
+    alive, accepted = everyone, None
     while True:
-        if accepted is None:
-            state = open_.withColumns({"similar": F.lit(False), "taken": F.lit(0)})
-            used = open_.select("signature").where("false")
-        else:
-            rms, end = distances("future", "f")
-            near = open_.join(accepted.selectExpr(*group, "candidate_id AS c", "future AS f"), group).groupBy("candidate_id").agg(
-                F.expr(f"min(struct({rms} AS rms, {end} AS end, c))").alias("m"), F.count("*").alias("taken"))
-            state = open_.join(near, "candidate_id", "left").withColumn("similar", F.expr(f"coalesce(m.rms < {MIN_RMS} AND m.end < {MIN_END}, false)")).na.fill(0, ["taken"]).drop("m")
-            used = accepted.select("signature").distinct()
-        # first dissimilar candidate of every open group: aggregated before the shuffle, then joined back
-        first = state.where(f"NOT similar AND taken < {MAX_PER_GROUP}").groupBy(*group).agg(F.min("o").alias("first"))
-        state = state.join(first, group, "left")
-        over = f"CASE WHEN similar AND (taken >= {MAX_PER_GROUP} OR first IS NULL OR o < first) THEN 'too_similar' WHEN taken >= {MAX_PER_GROUP} THEN 'scenario_skill_limit' END"
-        state = materialize(state.withColumn("reason", F.expr(over)), "diversity")
-        alive = state.where("reason IS NULL")
-        lead = alive.groupBy("signature").agg(F.min("o").alias("lead"))
-        ready = alive.where("o = first").join(lead, "signature").where("o = lead").join(used.withColumn("dup", F.lit(True)), "signature", "left")
-        ready = materialize(ready.withColumn("reason", F.expr("IF(dup, 'global_duplicate', NULL)")).select("candidate_id", *group, "future", "signature", "reason"), "diversity")
-        done.append(state.where("reason IS NOT NULL").select("candidate_id", *group, F.lit(False).alias("accepted"), "reason"))
-        done.append(ready.select("candidate_id", *group, F.expr("reason IS NULL").alias("accepted"), "reason"))
-        won = ready.where("reason IS NULL").select("candidate_id", *group, "future", "signature")
-        accepted = won if accepted is None else materialize(accepted.unionByName(won), "diversity")
-        open_ = materialize(alive.join(ready.select("candidate_id"), "candidate_id", "left_anti").select(*open_.columns), "diversity")
-        if open_.isEmpty():
+        state = alive.withColumns({"similar": F.lit(False), "taken": F.lit(0)})
+        if accepted is not None:
+            free = alive.join(accepted.select("signature").distinct(), "signature", "left_anti")
+            near = free.join(accepted.selectExpr(*group, "candidate_id AS c", "future AS f"), group).groupBy("candidate_id").agg(closest, F.count("*").alias("taken"))
+            state = free.join(near, "candidate_id", "left").withColumn("similar", F.expr(similar)).na.fill(0, ["taken"]).drop("m").where(f"taken < {MAX_PER_GROUP}")
+        # offers: aggregated before the shuffle, then joined back; similar ones before a group's offer are settled
+        first = state.where("NOT similar").groupBy(*group).agg(F.min("o").alias("first"))
+        state = materialize(state.join(first, group).where("NOT similar OR o > first"), "diversity")
+        if state.isEmpty():
             break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        lead = state.groupBy("signature").agg(F.min("o").alias("lead"))
+        won = state.where("o = first").join(lead, "signature").where("o = lead").select("candidate_id", *group, "future", "signature", "o")
+        accepted = materialize(won if accepted is None else accepted.unionByName(won), "diversity")
+        alive = state.join(accepted.select("candidate_id"), "candidate_id", "left_anti").select(*everyone.columns)
+    if accepted is None:
+        return everyone.select("candidate_id", *group, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"))
+    before = everyone.join(accepted.selectExpr(*group, "candidate_id AS c", "future AS f", "o AS p"), group).where("p < o").groupBy("candidate_id").agg(closest, F.count("*").alias("taken"))
+    out = everyone.join(before, "candidate_id", "left").join(accepted.select("candidate_id", F.lit(True).alias("accepted")), "candidate_id", "left")
+    reason = f"CASE WHEN accepted THEN NULL WHEN {similar} THEN 'too_similar' WHEN taken >= {MAX_PER_GROUP} THEN 'scenario_skill_limit' ELSE 'global_duplicate' END"
+    return out.select("candidate_id", *group, F.expr("coalesce(accepted, false)").alias("accepted"), F.expr(reason).alias("reason"))

@@ -126,6 +126,13 @@ def test_greedy_diversity_equals_the_sequential_order(spark):
     assert got == brute_greedy(cands)
 
 
+def test_one_signature_shared_by_hundreds_of_groups(spark):
+    cands = [{"candidate_id": f"c{i:03d}", "scenario_id": f"s{i}", "skill_id": "a", "quality_score": (i * 7 % 300) / 300, "future": [{"x": float(i), "y": 0.0}], "signature": "same" if i % 3 else f"own{i}"} for i in range(300)]
+    df = spark.createDataFrame(cands, "candidate_id string, scenario_id string, skill_id string, quality_score double, future array<struct<x: double, y: double>>, signature string")
+    got = {r.candidate_id: r.reason for r in dv.greedy(df).collect()}
+    assert got == brute_greedy(cands) and sum(v is None for v in got.values()) == 101
+
+
 def test_representative_rejects(spark):
     rows = [(f"c{i}", "s", f"n{i % 4}", ["map", "collision", "target_risk"][i % 3], i / 10) for i in range(20)]
     df = spark.createDataFrame(rows, "candidate_id string, skill_id string, scenario_id string, first_failed_stage string, quality_score double")
