@@ -115,7 +115,7 @@ def a11(spark, sf):
     return b.join(c, "skill_id").selectExpr("skill_id", f"{R(absolute)} AS absolute", f"{R(relative)} AS relative")
 
 
-@query("A12_paired_deltas", f"{PRED} SELECT scenario_id, {R(f'avg({U(chr(98) + chr(97) + chr(115) + chr(101) + chr(95) + chr(97) + chr(100) + chr(101) + chr(95) + chr(117))})')} AS base, {R('avg(CAST(cand_ade_u AS DOUBLE) / 10000)')} AS cand FROM pr GROUP BY 1")
+@query("A12_paired_deltas", f"{PRED} SELECT scenario_id, {R(f'avg({U("base_ade_u")})')} AS base, {R('avg(CAST(cand_ade_u AS DOUBLE) / 10000)')} AS cand FROM pr GROUP BY 1")
 def a12(spark, sf):
     return ev.scenario_deltas(rows(spark, sf), rows(spark, sf, "cand"), "min_ade").selectExpr("scenario_id", *r("base", "cand"))
 

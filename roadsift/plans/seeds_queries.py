@@ -70,12 +70,12 @@ def w12(spark, sf):
     return sd.two_phase_order(tasks).select("task_id", "skill_id", "phase", "position")
 
 
-@query("T01_hash_subset", f"{SR} SELECT scenario_id FROM (SELECT DISTINCT scenario_id FROM sr) ORDER BY {sha(chr(39) + '7' + chr(39), chr(39) + 'subset' + chr(39), 'scenario_id')}, scenario_id LIMIT 500")
+@query("T01_hash_subset", f"{SR} SELECT scenario_id FROM (SELECT DISTINCT scenario_id FROM sr) ORDER BY {sha("'7'", "'subset'", 'scenario_id')}, scenario_id LIMIT 500")
 def t01(spark, sf):
     return sd.hash_subset(ad.seed_records(spark, sf), "scenario_id", 500, 7)
 
 
-SPLIT = f"sp AS (SELECT scenario_id, row_number() OVER (ORDER BY {sha(chr(39) + '11' + chr(39), chr(39) + 'split' + chr(39), 'scenario_id')}, scenario_id) AS rank FROM (SELECT DISTINCT scenario_id FROM mf))"
+SPLIT = f"sp AS (SELECT scenario_id, row_number() OVER (ORDER BY {sha("'11'", "'split'", 'scenario_id')}, scenario_id) AS rank FROM (SELECT DISTINCT scenario_id FROM mf))"
 PART = "CASE WHEN rank <= 2000 THEN 'dev' WHEN rank <= 3000 THEN 'val' ELSE 'train' END"
 
 
@@ -188,16 +188,16 @@ def p41(spark, sf):
     return ad.seed_records(spark, sf).selectExpr("scenario_id", "skill_id", "seed_risk_metric", f"seed_risk_metric <> {TARGET} AS proxy")
 
 
-@query("P39_content_ids", f"{SR} SELECT scenario_id, {RK}, {sha('scenario_id', 'skill_id', 'initiator_track_id', 'responder_track_id', 'seed_risk_metric')} AS seed_record_id, {sha(chr(39) + 'task' + chr(39), sha('scenario_id', 'skill_id', 'initiator_track_id', 'responder_track_id', 'seed_risk_metric'), 'initiator_track_id', chr(39) + '16' + chr(39))} AS task_id FROM sr")
+@query("P39_content_ids", f"{SR} SELECT scenario_id, {RK}, {sha('scenario_id', 'skill_id', 'initiator_track_id', 'responder_track_id', 'seed_risk_metric')} AS seed_record_id, {sha("'task'", sha('scenario_id', 'skill_id', 'initiator_track_id', 'responder_track_id', 'seed_risk_metric'), 'initiator_track_id', "'16'")} AS task_id FROM sr")
 def p39(spark, sf):
     from roadsift.functions.ids import seed_record_id, task_id
     s = ad.seed_records(spark, sf).withColumn("seed_record_id", F.expr(seed_record_id("seed_risk_metric")))
     return s.selectExpr("scenario_id", "skill_id", "seed_risk_metric", "seed_record_id", f"{task_id('initiator_track_id', 16)} AS task_id")
 
 
-@query("P40_ordering_digest", f"{SR} SELECT scenario_id, {RK}, {sha(chr(39) + '2026' + chr(39), chr(39) + 'order' + chr(39), 'scenario_id', 'skill_id', 'seed_risk_metric')} AS h FROM sr")
+@query("P40_ordering_digest", f"{SR} SELECT scenario_id, {RK}, {sha("'2026'", "'order'", 'scenario_id', 'skill_id', 'seed_risk_metric')} AS h FROM sr")
 def p40(spark, sf):
-    return ad.seed_records(spark, sf).selectExpr("scenario_id", "skill_id", "seed_risk_metric", f"{rk.digest(chr(39) + '2026' + chr(39), chr(39) + 'order' + chr(39), 'scenario_id', 'skill_id', 'seed_risk_metric')} AS h")
+    return ad.seed_records(spark, sf).selectExpr("scenario_id", "skill_id", "seed_risk_metric", f"{rk.digest("'2026'", "'order'", 'scenario_id', 'skill_id', 'seed_risk_metric')} AS h")
 
 
 @query("J26_split_leakage", f"WITH {MF}, g AS (SELECT scenario_id, split FROM mf UNION ALL SELECT scenario_id, 'extra' FROM mf WHERE city_name = 'P') SELECT scenario_id, count(DISTINCT split) AS splits FROM g GROUP BY 1 HAVING count(DISTINCT split) > 1")

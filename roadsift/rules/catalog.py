@@ -1,10 +1,4 @@
-"""The interaction rules: actor types, roles, gates, risk targets, thresholds, parameters.
-
-Fixed values: all names, thresholds, ranges and roles below define the meaning of the
-rules and must keep these exact values.  One line of text per field group:
-``skill | status | mode | strategy | initiator types > responder types | roles |
-required tracks | required map | history | risk metric low high [higher]``.
-"""
+"""The interaction rules: actor types, roles, gates, risk targets, thresholds, parameters."""
 
 from __future__ import annotations
 
@@ -12,134 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-RULE_TEXT = """
-lead_hard_brake | candidate A | observed_trigger | longitudinal_pair | vehicle > vehicle | leader follower | vehicle | lane_centerline lane_successor | 30 | time_to_collision 1.0 4.0
-lead_sudden_stop | formal A | observed_trigger | longitudinal_pair | vehicle > vehicle | stopping_leader follower | vehicle | lane_centerline lane_successor | 30 | stopping_distance_margin 0.5 8.0
-slow_lead_blockage | formal A | observed_trigger | longitudinal_pair | vehicle bus > vehicle | slow_leader follower | vehicle | lane_centerline adjacent_lane | 30 | minimum_longitudinal_gap 3.0 15.0
-short_headway_following | formal A | observed_trigger | longitudinal_pair | vehicle > vehicle | leader close_follower | vehicle | lane_centerline | 30 | time_headway 0.4 1.2
-rear_vehicle_rapid_approach | candidate A | observed_trigger | longitudinal_pair | vehicle > vehicle | rapid_rear_vehicle target_vehicle | vehicle | lane_centerline | 30 | rear_time_to_collision 1.0 4.0
-chain_braking | formal B | compatible_seed | longitudinal_triple | vehicle bus > vehicle bus | front_vehicle middle_vehicle rear_vehicle | vehicle | lane_centerline lane_successor | 30 | minimum_longitudinal_gap 3.0 15.0
-adjacent_vehicle_cut_in | candidate A | observed_trigger | lane_change_pair | vehicle > vehicle | cut_in_vehicle responding_vehicle | vehicle | lane_centerline adjacent_lane | 30 | post_cut_in_time_to_collision 1.0 4.0
-cut_out_reveals_slow_vehicle | formal B | compatible_seed | three_vehicle_reveal | vehicle > vehicle | cut_out_vehicle target_vehicle slow_vehicle | vehicle | lane_centerline adjacent_lane | 30 | newly_exposed_time_to_collision 1.0 4.0
-narrow_gap_lane_change | candidate A | observed_trigger | lane_change_gap | vehicle > vehicle | lane_changer target_front_vehicle target_rear_vehicle | vehicle | lane_centerline adjacent_lane | 30 | minimum_front_rear_time_to_collision 1.0 4.0
-simultaneous_lane_change_conflict | formal B | compatible_seed | simultaneous_lane_change | vehicle > vehicle | left_lane_changer right_lane_changer | vehicle | lane_centerline adjacent_lane | 30 | lateral_time_to_collision 0.5 3.0
-forced_lane_change_around_blockage | formal B | compatible_seed | blockage_avoidance | vehicle static construction > vehicle | blocking_actor avoiding_vehicle | vehicle | lane_centerline adjacent_lane drivable_area | 30 | minimum_combined_clearance 1.0 6.0
-late_lane_change_before_diverge | formal B | compatible_seed | diverge_crossing | vehicle bus > vehicle bus | late_lane_changer adjacent_lane_vehicle | vehicle | lane_centerline adjacent_lane diverging_lane | 30 | minimum_crossing_time_to_collision 1.0 4.0
-ramp_merge_small_gap | formal A | observed_trigger | merge_pair | vehicle > vehicle | merging_vehicle mainline_vehicle | vehicle | lane_successor converging_lane | 30 | conflict_point_time_gap 0.5 3.0
-lane_drop_merge_competition | formal B | compatible_seed | merge_pair | vehicle > vehicle | closing_lane_vehicle continuing_lane_vehicle | vehicle | lane_successor converging_lane | 30 | convergence_time_gap 0.5 3.0
-merge_without_yield | formal B | compatible_seed | merge_pair | vehicle > vehicle | non_yielding_vehicle priority_vehicle | vehicle | lane_successor converging_lane | 30 | conflict_point_time_gap 0.5 2.5
-diverge_lane_crossing_conflict | formal B | compatible_seed | diverge_crossing | vehicle > vehicle | crossing_vehicle through_vehicle | vehicle | lane_successor diverging_lane adjacent_lane | 30 | minimum_crossing_time_to_collision 1.0 4.0
-bike_lane_vehicle_merge_conflict | formal A | observed_trigger | merge_pair | cyclist > vehicle | cyclist motor_vehicle | vehicle cyclist | bike_lane lane_successor | 20 | post_encroachment_time 0.5 3.0
-zipper_merge_multi_vehicle | formal B | compatible_seed | merge_triple | vehicle bus > vehicle bus | merging_vehicle leading_main_flow_vehicle trailing_main_flow_vehicle | vehicle | lane_centerline converging_lane | 30 | convergence_time_gap 0.5 3.0
-unprotected_left_turn_conflict | formal A | observed_trigger | conflict_point_pair | vehicle > vehicle | left_turn_vehicle opposing_through_vehicle | vehicle | intersection_lane lane_centerline | 30 | post_encroachment_time 0.5 3.0
-right_turn_vehicle_conflict | formal A | observed_trigger | conflict_point_pair | vehicle > vehicle | right_turn_vehicle conflicting_vehicle | vehicle | intersection_lane lane_centerline | 30 | conflict_point_time_gap 0.5 3.0
-crossing_path_conflict | formal A | observed_trigger | conflict_point_pair | vehicle > vehicle | first_vehicle second_vehicle | vehicle | intersection_lane lane_centerline | 30 | post_encroachment_time 0.5 3.0
-intersection_creep_conflict | formal B | compatible_seed | conflict_point_pair | vehicle > vehicle | creeping_vehicle crossing_vehicle | vehicle | intersection_lane drivable_area | 30 | conflict_area_intrusion_margin 0.2 3.0
-intersection_blocking_vehicle | formal B | compatible_seed | intersection_occupancy | vehicle > vehicle | blocking_vehicle crossing_vehicle | vehicle | intersection_lane drivable_area | 30 | conflict_area_occupancy_overlap 0.5 3.0 higher
-mutual_yield_deadlock | formal B | compatible_seed | conflict_point_pair | vehicle > vehicle | first_yielding_vehicle second_yielding_vehicle | vehicle | intersection_lane lane_centerline | 30 | conflict_point_time_gap 0.5 3.0
-crosswalk_pedestrian_crossing | formal A | observed_trigger | vru_vehicle_conflict | pedestrian > vehicle | pedestrian yielding_vehicle | pedestrian vehicle | pedestrian_crossing drivable_area | 20 | post_encroachment_time 0.5 4.0
-jaywalking_pedestrian_crossing | formal A | observed_trigger | vru_vehicle_conflict | pedestrian > vehicle | pedestrian responding_vehicle | pedestrian vehicle | pedestrian_crossing drivable_area | 20 | post_encroachment_time 0.5 4.0
-roadside_pedestrian_emergence | formal B | compatible_seed | vru_vehicle_conflict | pedestrian > vehicle | emerging_pedestrian responding_vehicle | pedestrian vehicle | drivable_area | 20 | first_intrusion_time_to_collision 1.0 4.0
-cyclist_crossing | formal A | observed_trigger | vru_vehicle_conflict | cyclist > vehicle | crossing_cyclist responding_vehicle | cyclist vehicle | lane_centerline drivable_area | 20 | post_encroachment_time 0.5 4.0
-turning_vehicle_crosswalk_conflict | formal A | observed_trigger | vru_vehicle_conflict | pedestrian > vehicle | pedestrian turning_vehicle | vehicle pedestrian | intersection_lane pedestrian_crossing | 20 | post_encroachment_time 0.5 4.0
-group_pedestrian_crossing | formal A | observed_trigger | vru_vehicle_conflict | pedestrian > vehicle bus | first_crossing_pedestrian responding_vehicle second_crossing_pedestrian | pedestrian vehicle | drivable_area | 20 | post_encroachment_time 0.5 4.0
-cyclist_vehicle_merge | formal A | observed_trigger | lane_change_gap | cyclist > vehicle bus | merging_cyclist front_motor_vehicle rear_motor_vehicle | cyclist vehicle | lane_centerline bike_lane adjacent_lane | 20 | minimum_front_rear_time_to_collision 1.0 4.0
-wrong_way_vehicle | candidate A | observed_trigger | wrong_way_pair | vehicle > vehicle | wrong_way_vehicle normal_vehicle | vehicle | lane_centerline lane_direction | 30 | head_on_time_to_collision 1.0 5.0
-stopped_vehicle_reentry | formal B | compatible_seed | stopped_reentry | vehicle > vehicle | reentering_vehicle front_main_flow_vehicle rear_main_flow_vehicle | vehicle | lane_centerline drivable_area | 30 | minimum_front_rear_time_to_collision 1.0 4.0
-construction_object_lane_blockage | formal B | compatible_seed | static_blockage | construction > vehicle | construction_object responding_vehicle | construction vehicle | lane_centerline drivable_area | 20 | minimum_object_clearance 1.0 4.0
-static_object_avoidance | formal B | compatible_seed | static_blockage | static > vehicle | static_object avoiding_vehicle | static vehicle | lane_centerline drivable_area adjacent_lane | 20 | minimum_object_clearance 1.0 4.0
-cut_in_then_brake | formal B | compatible_seed | cut_in_then_brake | vehicle > vehicle | cut_in_braking_vehicle responding_vehicle | vehicle | lane_centerline adjacent_lane | 30 | minimum_stage_time_to_collision 1.0 4.0
-abrupt_u_turn_conflict | formal B | compatible_seed | conflict_point_pair | vehicle bus > vehicle bus | u_turning_vehicle conflicting_vehicle | vehicle | lane_centerline intersection_lane drivable_area lane_direction | 30 | head_on_time_to_collision 1.0 4.0
-multi_vehicle_gap_squeeze | formal B | compatible_seed | longitudinal_triple | vehicle bus > vehicle bus | squeezed_vehicle front_pressure_vehicle rear_pressure_vehicle | vehicle | lane_centerline lane_successor | 30 | minimum_combined_clearance 1.0 6.0
-motorcyclist_filtering_conflict | formal B | compatible_seed | lane_change_gap | motorcyclist > vehicle bus | filtering_motorcyclist first_vehicle second_vehicle | motorcyclist vehicle | lane_centerline drivable_area | 20 | minimum_combined_clearance 1.0 4.0
-"""
-
-# Detection thresholds.  mutual_yield_deadlock has none in the public catalog;
-# its five values are our own choice (see README).
-THRESHOLD_TEXT = """
-lead_hard_brake: minimum_deceleration_mps2=2.0 minimum_closing_speed_mps=1.0 maximum_pair_gap_m=55.0
-lead_sudden_stop: stopped_speed_mps=0.5 minimum_prior_speed_mps=2.0 minimum_stopped_duration_s=1.0 maximum_pair_gap_m=55.0 minimum_follower_speed_mps=1.0 minimum_closing_speed_mps=0.5 minimum_pair_gap_m=2.0
-slow_lead_blockage: maximum_leader_speed_mps=2.0 minimum_low_speed_duration_s=2.0 maximum_pair_gap_m=45.0 minimum_follower_speed_mps=1.0 minimum_closing_speed_mps=0.5 minimum_pair_gap_m=2.0
-short_headway_following: minimum_follower_speed_mps=2.0 maximum_time_headway_s=1.2 minimum_duration_s=1.0
-rear_vehicle_rapid_approach: minimum_relative_speed_mps=1.0 maximum_initial_gap_m=40.0 maximum_time_to_collision_s=4.0
-chain_braking: minimum_queue_gap_m=2.0 maximum_queue_gap_m=45.0 minimum_moving_speed_mps=1.0 minimum_vehicle_center_distance_m=2.0
-adjacent_vehicle_cut_in: minimum_lateral_displacement_m=2.0 minimum_target_gap_m=4.0 maximum_target_gap_m=18.0
-cut_out_reveals_slow_vehicle: maximum_slow_vehicle_speed_mps=2.0 maximum_queue_gap_m=55.0 minimum_queue_gap_m=2.0
-narrow_gap_lane_change: minimum_lateral_displacement_m=2.0 maximum_front_gap_m=15.0 maximum_rear_gap_m=15.0
-simultaneous_lane_change_conflict: maximum_longitudinal_gap_m=12.0 minimum_shared_target_length_m=15.0 minimum_vehicle_center_distance_m=2.0
-forced_lane_change_around_blockage: maximum_blocker_speed_mps=0.5 maximum_object_path_distance_m=8.0 minimum_blockage_distance_m=2.0 maximum_blockage_distance_m=35.0 minimum_moving_speed_mps=1.0 minimum_vehicle_center_distance_m=2.0
-late_lane_change_before_diverge: maximum_distance_to_diverge_m=60.0 maximum_target_gap_m=20.0 minimum_adjacent_lane_length_m=20.0 minimum_current_separation_m=2.0
-ramp_merge_small_gap: maximum_convergence_distance_m=60.0 maximum_arrival_time_gap_s=3.0
-lane_drop_merge_competition: maximum_convergence_distance_m=60.0 maximum_competing_vehicle_gap_m=55.0
-merge_without_yield: maximum_convergence_distance_m=60.0 maximum_arrival_time_gap_s=4.0
-diverge_lane_crossing_conflict: maximum_distance_to_diverge_m=60.0 maximum_target_gap_m=18.0 minimum_lateral_displacement_m=0.25
-bike_lane_vehicle_merge_conflict: maximum_arrival_time_gap_s=3.0 maximum_conflict_distance_m=6.0
-zipper_merge_multi_vehicle: maximum_convergence_distance_m=60.0 maximum_competing_vehicle_gap_m=35.0 maximum_arrival_time_gap_s=5.0 minimum_current_separation_m=2.0
-unprotected_left_turn_conflict: minimum_turn_heading_change_deg=25.0 minimum_opposing_heading_difference_deg=120.0 maximum_arrival_time_gap_s=3.0 maximum_conflict_distance_m=6.0
-right_turn_vehicle_conflict: minimum_turn_heading_change_deg=25.0 maximum_arrival_time_gap_s=3.0 maximum_conflict_distance_m=6.0
-crossing_path_conflict: minimum_crossing_angle_deg=25.0 maximum_arrival_time_gap_s=3.0 maximum_conflict_distance_m=6.0
-intersection_creep_conflict: maximum_entry_distance_m=8.0 maximum_creep_speed_mps=2.0 maximum_crossing_arrival_s=5.0 minimum_crossing_angle_deg=30.0 maximum_crossing_angle_deg=150.0 minimum_crossing_vehicle_speed_mps=1.0 minimum_current_separation_m=2.0
-intersection_blocking_vehicle: maximum_blocker_speed_mps=0.5 maximum_crossing_arrival_s=5.0 minimum_conflict_area_length_m=3.0 minimum_crossing_angle_deg=30.0 maximum_crossing_angle_deg=150.0 minimum_crossing_vehicle_speed_mps=1.0 minimum_current_separation_m=2.0
-mutual_yield_deadlock: maximum_entry_distance_m=8.0 maximum_creep_speed_mps=2.0 minimum_crossing_angle_deg=30.0 maximum_crossing_angle_deg=150.0 minimum_current_separation_m=2.0
-crosswalk_pedestrian_crossing: maximum_crosswalk_distance_m=8.0 maximum_arrival_time_gap_s=4.0 maximum_conflict_distance_m=6.0
-jaywalking_pedestrian_crossing: minimum_crosswalk_clearance_m=10.0 maximum_arrival_time_gap_s=4.0 maximum_conflict_distance_m=6.0 minimum_crossing_angle_deg=30.0 maximum_crossing_angle_deg=150.0
-roadside_pedestrian_emergence: maximum_boundary_distance_m=8.0 maximum_vehicle_arrival_s=4.0 maximum_conflict_distance_m=6.0
-cyclist_crossing: minimum_crossing_angle_deg=45.0 maximum_crossing_angle_deg=135.0 maximum_arrival_time_gap_s=4.0 maximum_conflict_distance_m=6.0
-turning_vehicle_crosswalk_conflict: minimum_turn_heading_change_deg=25.0 maximum_crosswalk_distance_m=8.0 maximum_arrival_time_gap_s=4.0 maximum_conflict_distance_m=6.0
-group_pedestrian_crossing: maximum_group_member_distance_m=5.0 maximum_group_heading_difference_deg=45.0 maximum_arrival_time_gap_s=4.0 maximum_conflict_distance_m=6.0
-cyclist_vehicle_merge: minimum_lateral_displacement_m=0.5 maximum_front_gap_m=30.0 maximum_rear_gap_m=30.0 maximum_merge_heading_difference_deg=45.0
-wrong_way_vehicle: minimum_opposite_heading_difference_deg=120.0 minimum_moving_speed_mps=2.0 minimum_opposite_heading_duration_s=1.0 maximum_oncoming_distance_m=60.0
-stopped_vehicle_reentry: stopped_speed_mps=0.5 minimum_stopped_duration_s=1.0 minimum_moving_speed_mps=1.0 minimum_vehicle_center_distance_m=2.0 maximum_lateral_reentry_distance_m=5.0 maximum_front_gap_m=55.0 maximum_rear_gap_m=55.0
-construction_object_lane_blockage: maximum_object_speed_mps=0.5 maximum_object_path_distance_m=8.0 maximum_vehicle_arrival_s=6.0
-static_object_avoidance: maximum_object_speed_mps=0.5 maximum_object_path_distance_m=8.0 maximum_vehicle_arrival_s=6.0
-cut_in_then_brake: minimum_target_gap_m=4.0 maximum_target_gap_m=18.0 minimum_post_cut_in_braking_distance_m=10.0
-abrupt_u_turn_conflict: maximum_entry_distance_m=12.0 minimum_moving_speed_mps=0.5 maximum_oncoming_distance_m=45.0 minimum_opposing_heading_difference_deg=120.0 minimum_current_separation_m=2.0
-multi_vehicle_gap_squeeze: maximum_front_gap_m=25.0 maximum_rear_gap_m=25.0 minimum_combined_closing_speed_mps=0.5 minimum_current_separation_m=2.0
-motorcyclist_filtering_conflict: minimum_moving_speed_mps=1.0 maximum_filtering_vehicle_gap_m=10.0 maximum_motorcyclist_vehicle_distance_m=7.0 minimum_current_separation_m=1.0
-"""
-
-# Generation parameters, a range as lo..hi or a choice as a|b.
-PARAMETER_TEXT = """
-lead_hard_brake: brake_onset_s=0.5..2.5 peak_deceleration_mps2=2.0..6.0 braking_duration_s=0.8..3.0
-lead_sudden_stop: stop_onset_s=0.5..3.0 stopping_duration_s=1.0..3.5 stopped_hold_s=1.0..5.0
-slow_lead_blockage: leader_speed_scale=0.0..0.5 blockage_duration_s=2.0..6.0 initial_gap_m=8.0..45.0
-short_headway_following: target_headway_s=0.4..1.2 duration_s=1.0..5.0 follower_speed_scale=0.9..1.2
-rear_vehicle_rapid_approach: rear_speed_scale=1.05..1.35 initial_gap_m=8.0..40.0 approach_onset_s=0.5..3.0
-chain_braking: front_brake_onset_s=0.5..2.0 propagation_delay_s=0.2..1.5 peak_deceleration_mps2=2.0..6.0
-adjacent_vehicle_cut_in: cut_in_start_s=0.5..3.0 cut_in_duration_s=1.0..3.0 target_gap_m=4.0..18.0
-cut_out_reveals_slow_vehicle: cut_out_start_s=0.5..2.5 slow_vehicle_speed_scale=0.0..0.4 response_delay_s=0.2..1.2
-narrow_gap_lane_change: lane_change_start_s=0.5..3.0 front_gap_m=4.0..15.0 rear_gap_m=4.0..15.0
-simultaneous_lane_change_conflict: first_start_s=0.5..3.0 second_start_offset_s=-0.5..0.5 target_longitudinal_gap_m=0.0..12.0
-forced_lane_change_around_blockage: blockage_offset_m=5.0..35.0 avoidance_start_s=0.5..3.0 accepted_gap_s=1.0..4.0
-late_lane_change_before_diverge: lane_change_start_distance_m=5.0..35.0 lane_change_duration_s=1.5..4.0 target_gap_m=4.0..18.0
-ramp_merge_small_gap: merge_time_s=1.0..5.0 accepted_gap_s=1.0..4.0 merge_speed_scale=0.8..1.2
-lane_drop_merge_competition: convergence_distance_m=15.0..60.0 priority_role=closing_lane_vehicle|continuing_lane_vehicle accepted_gap_s=1.0..4.0
-merge_without_yield: merge_onset_s=0.5..3.5 accepted_gap_s=0.5..2.5 priority_role=initiator|responder
-diverge_lane_crossing_conflict: distance_to_diverge_m=10.0..60.0 crossing_start_s=0.5..3.0 target_gap_m=4.0..18.0
-bike_lane_vehicle_merge_conflict: cyclist_speed_mps=2.0..7.0 vehicle_speed_scale=0.7..1.1 arrival_time_gap_s=0.5..3.0
-zipper_merge_multi_vehicle: merge_order_offset_s=-1.5..1.5 leading_gap_s=0.8..3.0 trailing_gap_s=0.8..3.0
-unprotected_left_turn_conflict: turn_start_s=0.5..3.0 turn_speed_mps=2.0..8.0 accepted_gap_s=1.0..4.0
-right_turn_vehicle_conflict: turn_start_s=0.5..3.0 turn_speed_mps=2.0..8.0 arrival_time_gap_s=0.5..3.0
-crossing_path_conflict: first_speed_scale=0.8..1.2 second_speed_scale=0.8..1.2 priority_role=first_vehicle|second_vehicle
-intersection_creep_conflict: creep_speed_mps=0.3..2.0 intrusion_distance_m=0.5..5.0 hold_duration_s=0.5..3.0
-intersection_blocking_vehicle: hold_position_offset_m=-3.0..3.0 hold_duration_s=1.0..5.0 crossing_arrival_s=1.0..5.0
-crosswalk_pedestrian_crossing: crossing_start_s=0.5..3.0 pedestrian_speed_mps=0.8..2.2 arrival_time_gap_s=0.5..4.0
-jaywalking_pedestrian_crossing: crossing_start_s=0.5..3.0 crossing_angle_deg=60.0..120.0 pedestrian_speed_mps=0.8..2.2
-roadside_pedestrian_emergence: emergence_start_s=1.0..4.0 pedestrian_speed_mps=0.8..2.2 initial_boundary_distance_m=0.5..8.0
-cyclist_crossing: crossing_start_s=0.5..3.0 crossing_angle_deg=45.0..135.0 cyclist_speed_mps=2.0..7.0
-turning_vehicle_crosswalk_conflict: turn_speed_mps=1.5..7.0 pedestrian_speed_mps=0.8..2.2 arrival_time_gap_s=0.5..4.0
-group_pedestrian_crossing: group_spacing_m=0.5..4.0 crossing_speed_mps=0.5..2.5 second_entry_delay_s=0.0..2.0
-cyclist_vehicle_merge: merge_start_s=0.5..3.0 cyclist_speed_mps=2.0..7.0 accepted_gap_s=0.8..3.0
-wrong_way_vehicle: wrong_way_speed_mps=2.0..12.0 lateral_offset_m=-1.0..1.0 initial_distance_m=15.0..60.0
-stopped_vehicle_reentry: restart_time_s=0.5..3.5 acceleration_mps2=0.5..3.0 accepted_gap_s=1.0..4.0
-construction_object_lane_blockage: object_buffer_m=1.0..4.0 response_start_s=0.5..3.0 speed_scale=0.2..0.8
-static_object_avoidance: object_buffer_m=1.0..4.0 avoidance_offset_m=0.5..2.5 response_start_s=0.5..3.0
-cut_in_then_brake: cut_in_start_s=0.5..2.5 brake_delay_after_cut_in_s=0.2..1.5 peak_deceleration_mps2=2.0..6.0
-abrupt_u_turn_conflict: turn_start_s=0.5..2.5 turn_radius_m=5.0..15.0 angular_speed_deg_s=20.0..70.0
-multi_vehicle_gap_squeeze: front_speed_scale=0.3..0.9 rear_speed_scale=1.05..1.5 squeeze_start_s=0.5..2.5
-motorcyclist_filtering_conflict: filtering_speed_mps=2.0..10.0 lateral_offset_m=-1.5..1.5 entry_delay_s=0.2..2.0
-"""
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -165,46 +31,324 @@ class Rule:
         return self.thresholds[name]
 
 
-def _pairs(text: str) -> dict[str, dict[str, str]]:
-    rows = (line.split(":", 1) for line in text.strip().splitlines())
-    return {k: dict(item.split("=", 1) for item in v.split()) for k, v in rows}
-
-
-def _parameter(text: str):
-    return tuple(text.split("|")) if "|" in text else tuple(float(v) for v in text.split(".."))
-
-
-def _load() -> dict[str, Rule]:
-    limits, params = _pairs(THRESHOLD_TEXT), _pairs(PARAMETER_TEXT)
-    rules = {}
-    for line in RULE_TEXT.strip().splitlines():
-        skill, status, mode, strategy, types, roles, tracks, maps, history, risk = (c.strip() for c in line.split("|"))
-        first, second = (tuple(t.split()) for t in types.split(">"))
-        metric, low, high, *more = risk.split()
-        rules[skill] = Rule(
-            skill, *status.split(), mode, strategy, first, second, tuple(roles.split()), tuple(tracks.split()),
-            tuple(maps.split()), int(history), metric, float(low), float(high), bool(more),
-            {k: float(v) for k, v in limits[skill].items()},
-            {k: _parameter(v) for k, v in params.get(skill, {}).items()})
-    return rules
-
-
-RULES = _load()
-
-
-def strategy_rules(*names: str) -> list[Rule]:
-    return [r for r in RULES.values() if r.strategy in names]
-
+# All names, thresholds, ranges and roles below define the meaning of the rules and keep these exact values.
+# A parameter is a range of two numbers or a choice of names.
+CATALOG = (
+    Rule(
+        skill_id="lead_hard_brake", status="candidate", feasibility="A", mode="observed_trigger", strategy="longitudinal_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("leader", "follower"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "lane_successor"), history=30,
+        metric="time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"minimum_deceleration_mps2": 2.0, "minimum_closing_speed_mps": 1.0, "maximum_pair_gap_m": 55.0},
+        parameters={"brake_onset_s": (0.5, 2.5), "peak_deceleration_mps2": (2.0, 6.0), "braking_duration_s": (0.8, 3.0)},
+    ),
+    Rule(
+        skill_id="lead_sudden_stop", status="formal", feasibility="A", mode="observed_trigger", strategy="longitudinal_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("stopping_leader", "follower"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "lane_successor"), history=30,
+        metric="stopping_distance_margin", low=0.5, high=8.0, higher=False,
+        thresholds={"stopped_speed_mps": 0.5, "minimum_prior_speed_mps": 2.0, "minimum_stopped_duration_s": 1.0, "maximum_pair_gap_m": 55.0, "minimum_follower_speed_mps": 1.0, "minimum_closing_speed_mps": 0.5, "minimum_pair_gap_m": 2.0},
+        parameters={"stop_onset_s": (0.5, 3.0), "stopping_duration_s": (1.0, 3.5), "stopped_hold_s": (1.0, 5.0)},
+    ),
+    Rule(
+        skill_id="slow_lead_blockage", status="formal", feasibility="A", mode="observed_trigger", strategy="longitudinal_pair",
+        initiator_types=("vehicle", "bus"), responder_types=("vehicle",), roles=("slow_leader", "follower"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "adjacent_lane"), history=30,
+        metric="minimum_longitudinal_gap", low=3.0, high=15.0, higher=False,
+        thresholds={"maximum_leader_speed_mps": 2.0, "minimum_low_speed_duration_s": 2.0, "maximum_pair_gap_m": 45.0, "minimum_follower_speed_mps": 1.0, "minimum_closing_speed_mps": 0.5, "minimum_pair_gap_m": 2.0},
+        parameters={"leader_speed_scale": (0.0, 0.5), "blockage_duration_s": (2.0, 6.0), "initial_gap_m": (8.0, 45.0)},
+    ),
+    Rule(
+        skill_id="short_headway_following", status="formal", feasibility="A", mode="observed_trigger", strategy="longitudinal_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("leader", "close_follower"),
+        required_tracks=("vehicle",), required_map=("lane_centerline",), history=30,
+        metric="time_headway", low=0.4, high=1.2, higher=False,
+        thresholds={"minimum_follower_speed_mps": 2.0, "maximum_time_headway_s": 1.2, "minimum_duration_s": 1.0},
+        parameters={"target_headway_s": (0.4, 1.2), "duration_s": (1.0, 5.0), "follower_speed_scale": (0.9, 1.2)},
+    ),
+    Rule(
+        skill_id="rear_vehicle_rapid_approach", status="candidate", feasibility="A", mode="observed_trigger", strategy="longitudinal_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("rapid_rear_vehicle", "target_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline",), history=30,
+        metric="rear_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"minimum_relative_speed_mps": 1.0, "maximum_initial_gap_m": 40.0, "maximum_time_to_collision_s": 4.0},
+        parameters={"rear_speed_scale": (1.05, 1.35), "initial_gap_m": (8.0, 40.0), "approach_onset_s": (0.5, 3.0)},
+    ),
+    Rule(
+        skill_id="chain_braking", status="formal", feasibility="B", mode="compatible_seed", strategy="longitudinal_triple",
+        initiator_types=("vehicle", "bus"), responder_types=("vehicle", "bus"), roles=("front_vehicle", "middle_vehicle", "rear_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "lane_successor"), history=30,
+        metric="minimum_longitudinal_gap", low=3.0, high=15.0, higher=False,
+        thresholds={"minimum_queue_gap_m": 2.0, "maximum_queue_gap_m": 45.0, "minimum_moving_speed_mps": 1.0, "minimum_vehicle_center_distance_m": 2.0},
+        parameters={"front_brake_onset_s": (0.5, 2.0), "propagation_delay_s": (0.2, 1.5), "peak_deceleration_mps2": (2.0, 6.0)},
+    ),
+    Rule(
+        skill_id="adjacent_vehicle_cut_in", status="candidate", feasibility="A", mode="observed_trigger", strategy="lane_change_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("cut_in_vehicle", "responding_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "adjacent_lane"), history=30,
+        metric="post_cut_in_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"minimum_lateral_displacement_m": 2.0, "minimum_target_gap_m": 4.0, "maximum_target_gap_m": 18.0},
+        parameters={"cut_in_start_s": (0.5, 3.0), "cut_in_duration_s": (1.0, 3.0), "target_gap_m": (4.0, 18.0)},
+    ),
+    Rule(
+        skill_id="cut_out_reveals_slow_vehicle", status="formal", feasibility="B", mode="compatible_seed", strategy="three_vehicle_reveal",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("cut_out_vehicle", "target_vehicle", "slow_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "adjacent_lane"), history=30,
+        metric="newly_exposed_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"maximum_slow_vehicle_speed_mps": 2.0, "maximum_queue_gap_m": 55.0, "minimum_queue_gap_m": 2.0},
+        parameters={"cut_out_start_s": (0.5, 2.5), "slow_vehicle_speed_scale": (0.0, 0.4), "response_delay_s": (0.2, 1.2)},
+    ),
+    Rule(
+        skill_id="narrow_gap_lane_change", status="candidate", feasibility="A", mode="observed_trigger", strategy="lane_change_gap",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("lane_changer", "target_front_vehicle", "target_rear_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "adjacent_lane"), history=30,
+        metric="minimum_front_rear_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"minimum_lateral_displacement_m": 2.0, "maximum_front_gap_m": 15.0, "maximum_rear_gap_m": 15.0},
+        parameters={"lane_change_start_s": (0.5, 3.0), "front_gap_m": (4.0, 15.0), "rear_gap_m": (4.0, 15.0)},
+    ),
+    Rule(
+        skill_id="simultaneous_lane_change_conflict", status="formal", feasibility="B", mode="compatible_seed", strategy="simultaneous_lane_change",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("left_lane_changer", "right_lane_changer"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "adjacent_lane"), history=30,
+        metric="lateral_time_to_collision", low=0.5, high=3.0, higher=False,
+        thresholds={"maximum_longitudinal_gap_m": 12.0, "minimum_shared_target_length_m": 15.0, "minimum_vehicle_center_distance_m": 2.0},
+        parameters={"first_start_s": (0.5, 3.0), "second_start_offset_s": (-0.5, 0.5), "target_longitudinal_gap_m": (0.0, 12.0)},
+    ),
+    Rule(
+        skill_id="forced_lane_change_around_blockage", status="formal", feasibility="B", mode="compatible_seed", strategy="blockage_avoidance",
+        initiator_types=("vehicle", "static", "construction"), responder_types=("vehicle",), roles=("blocking_actor", "avoiding_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "adjacent_lane", "drivable_area"), history=30,
+        metric="minimum_combined_clearance", low=1.0, high=6.0, higher=False,
+        thresholds={"maximum_blocker_speed_mps": 0.5, "maximum_object_path_distance_m": 8.0, "minimum_blockage_distance_m": 2.0, "maximum_blockage_distance_m": 35.0, "minimum_moving_speed_mps": 1.0, "minimum_vehicle_center_distance_m": 2.0},
+        parameters={"blockage_offset_m": (5.0, 35.0), "avoidance_start_s": (0.5, 3.0), "accepted_gap_s": (1.0, 4.0)},
+    ),
+    Rule(
+        skill_id="late_lane_change_before_diverge", status="formal", feasibility="B", mode="compatible_seed", strategy="diverge_crossing",
+        initiator_types=("vehicle", "bus"), responder_types=("vehicle", "bus"), roles=("late_lane_changer", "adjacent_lane_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "adjacent_lane", "diverging_lane"), history=30,
+        metric="minimum_crossing_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"maximum_distance_to_diverge_m": 60.0, "maximum_target_gap_m": 20.0, "minimum_adjacent_lane_length_m": 20.0, "minimum_current_separation_m": 2.0},
+        parameters={"lane_change_start_distance_m": (5.0, 35.0), "lane_change_duration_s": (1.5, 4.0), "target_gap_m": (4.0, 18.0)},
+    ),
+    Rule(
+        skill_id="ramp_merge_small_gap", status="formal", feasibility="A", mode="observed_trigger", strategy="merge_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("merging_vehicle", "mainline_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_successor", "converging_lane"), history=30,
+        metric="conflict_point_time_gap", low=0.5, high=3.0, higher=False,
+        thresholds={"maximum_convergence_distance_m": 60.0, "maximum_arrival_time_gap_s": 3.0},
+        parameters={"merge_time_s": (1.0, 5.0), "accepted_gap_s": (1.0, 4.0), "merge_speed_scale": (0.8, 1.2)},
+    ),
+    Rule(
+        skill_id="lane_drop_merge_competition", status="formal", feasibility="B", mode="compatible_seed", strategy="merge_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("closing_lane_vehicle", "continuing_lane_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_successor", "converging_lane"), history=30,
+        metric="convergence_time_gap", low=0.5, high=3.0, higher=False,
+        thresholds={"maximum_convergence_distance_m": 60.0, "maximum_competing_vehicle_gap_m": 55.0},
+        parameters={"convergence_distance_m": (15.0, 60.0), "priority_role": ("closing_lane_vehicle", "continuing_lane_vehicle"), "accepted_gap_s": (1.0, 4.0)},
+    ),
+    Rule(
+        skill_id="merge_without_yield", status="formal", feasibility="B", mode="compatible_seed", strategy="merge_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("non_yielding_vehicle", "priority_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_successor", "converging_lane"), history=30,
+        metric="conflict_point_time_gap", low=0.5, high=2.5, higher=False,
+        thresholds={"maximum_convergence_distance_m": 60.0, "maximum_arrival_time_gap_s": 4.0},
+        parameters={"merge_onset_s": (0.5, 3.5), "accepted_gap_s": (0.5, 2.5), "priority_role": ("initiator", "responder")},
+    ),
+    Rule(
+        skill_id="diverge_lane_crossing_conflict", status="formal", feasibility="B", mode="compatible_seed", strategy="diverge_crossing",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("crossing_vehicle", "through_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_successor", "diverging_lane", "adjacent_lane"), history=30,
+        metric="minimum_crossing_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"maximum_distance_to_diverge_m": 60.0, "maximum_target_gap_m": 18.0, "minimum_lateral_displacement_m": 0.25},
+        parameters={"distance_to_diverge_m": (10.0, 60.0), "crossing_start_s": (0.5, 3.0), "target_gap_m": (4.0, 18.0)},
+    ),
+    Rule(
+        skill_id="bike_lane_vehicle_merge_conflict", status="formal", feasibility="A", mode="observed_trigger", strategy="merge_pair",
+        initiator_types=("cyclist",), responder_types=("vehicle",), roles=("cyclist", "motor_vehicle"),
+        required_tracks=("vehicle", "cyclist"), required_map=("bike_lane", "lane_successor"), history=20,
+        metric="post_encroachment_time", low=0.5, high=3.0, higher=False,
+        thresholds={"maximum_arrival_time_gap_s": 3.0, "maximum_conflict_distance_m": 6.0},
+        parameters={"cyclist_speed_mps": (2.0, 7.0), "vehicle_speed_scale": (0.7, 1.1), "arrival_time_gap_s": (0.5, 3.0)},
+    ),
+    Rule(
+        skill_id="zipper_merge_multi_vehicle", status="formal", feasibility="B", mode="compatible_seed", strategy="merge_triple",
+        initiator_types=("vehicle", "bus"), responder_types=("vehicle", "bus"), roles=("merging_vehicle", "leading_main_flow_vehicle", "trailing_main_flow_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "converging_lane"), history=30,
+        metric="convergence_time_gap", low=0.5, high=3.0, higher=False,
+        thresholds={"maximum_convergence_distance_m": 60.0, "maximum_competing_vehicle_gap_m": 35.0, "maximum_arrival_time_gap_s": 5.0, "minimum_current_separation_m": 2.0},
+        parameters={"merge_order_offset_s": (-1.5, 1.5), "leading_gap_s": (0.8, 3.0), "trailing_gap_s": (0.8, 3.0)},
+    ),
+    Rule(
+        skill_id="unprotected_left_turn_conflict", status="formal", feasibility="A", mode="observed_trigger", strategy="conflict_point_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("left_turn_vehicle", "opposing_through_vehicle"),
+        required_tracks=("vehicle",), required_map=("intersection_lane", "lane_centerline"), history=30,
+        metric="post_encroachment_time", low=0.5, high=3.0, higher=False,
+        thresholds={"minimum_turn_heading_change_deg": 25.0, "minimum_opposing_heading_difference_deg": 120.0, "maximum_arrival_time_gap_s": 3.0, "maximum_conflict_distance_m": 6.0},
+        parameters={"turn_start_s": (0.5, 3.0), "turn_speed_mps": (2.0, 8.0), "accepted_gap_s": (1.0, 4.0)},
+    ),
+    Rule(
+        skill_id="right_turn_vehicle_conflict", status="formal", feasibility="A", mode="observed_trigger", strategy="conflict_point_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("right_turn_vehicle", "conflicting_vehicle"),
+        required_tracks=("vehicle",), required_map=("intersection_lane", "lane_centerline"), history=30,
+        metric="conflict_point_time_gap", low=0.5, high=3.0, higher=False,
+        thresholds={"minimum_turn_heading_change_deg": 25.0, "maximum_arrival_time_gap_s": 3.0, "maximum_conflict_distance_m": 6.0},
+        parameters={"turn_start_s": (0.5, 3.0), "turn_speed_mps": (2.0, 8.0), "arrival_time_gap_s": (0.5, 3.0)},
+    ),
+    Rule(
+        skill_id="crossing_path_conflict", status="formal", feasibility="A", mode="observed_trigger", strategy="conflict_point_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("first_vehicle", "second_vehicle"),
+        required_tracks=("vehicle",), required_map=("intersection_lane", "lane_centerline"), history=30,
+        metric="post_encroachment_time", low=0.5, high=3.0, higher=False,
+        thresholds={"minimum_crossing_angle_deg": 25.0, "maximum_arrival_time_gap_s": 3.0, "maximum_conflict_distance_m": 6.0},
+        parameters={"first_speed_scale": (0.8, 1.2), "second_speed_scale": (0.8, 1.2), "priority_role": ("first_vehicle", "second_vehicle")},
+    ),
+    Rule(
+        skill_id="intersection_creep_conflict", status="formal", feasibility="B", mode="compatible_seed", strategy="conflict_point_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("creeping_vehicle", "crossing_vehicle"),
+        required_tracks=("vehicle",), required_map=("intersection_lane", "drivable_area"), history=30,
+        metric="conflict_area_intrusion_margin", low=0.2, high=3.0, higher=False,
+        thresholds={"maximum_entry_distance_m": 8.0, "maximum_creep_speed_mps": 2.0, "maximum_crossing_arrival_s": 5.0, "minimum_crossing_angle_deg": 30.0, "maximum_crossing_angle_deg": 150.0, "minimum_crossing_vehicle_speed_mps": 1.0, "minimum_current_separation_m": 2.0},
+        parameters={"creep_speed_mps": (0.3, 2.0), "intrusion_distance_m": (0.5, 5.0), "hold_duration_s": (0.5, 3.0)},
+    ),
+    Rule(
+        skill_id="intersection_blocking_vehicle", status="formal", feasibility="B", mode="compatible_seed", strategy="intersection_occupancy",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("blocking_vehicle", "crossing_vehicle"),
+        required_tracks=("vehicle",), required_map=("intersection_lane", "drivable_area"), history=30,
+        metric="conflict_area_occupancy_overlap", low=0.5, high=3.0, higher=True,
+        thresholds={"maximum_blocker_speed_mps": 0.5, "maximum_crossing_arrival_s": 5.0, "minimum_conflict_area_length_m": 3.0, "minimum_crossing_angle_deg": 30.0, "maximum_crossing_angle_deg": 150.0, "minimum_crossing_vehicle_speed_mps": 1.0, "minimum_current_separation_m": 2.0},
+        parameters={"hold_position_offset_m": (-3.0, 3.0), "hold_duration_s": (1.0, 5.0), "crossing_arrival_s": (1.0, 5.0)},
+    ),
+    Rule(
+        skill_id="mutual_yield_deadlock", status="formal", feasibility="B", mode="compatible_seed", strategy="conflict_point_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("first_yielding_vehicle", "second_yielding_vehicle"),
+        required_tracks=("vehicle",), required_map=("intersection_lane", "lane_centerline"), history=30,
+        metric="conflict_point_time_gap", low=0.5, high=3.0, higher=False,
+        thresholds={"maximum_entry_distance_m": 8.0, "maximum_creep_speed_mps": 2.0, "minimum_crossing_angle_deg": 30.0, "maximum_crossing_angle_deg": 150.0, "minimum_current_separation_m": 2.0},
+        parameters={},
+    ),
+    Rule(
+        skill_id="crosswalk_pedestrian_crossing", status="formal", feasibility="A", mode="observed_trigger", strategy="vru_vehicle_conflict",
+        initiator_types=("pedestrian",), responder_types=("vehicle",), roles=("pedestrian", "yielding_vehicle"),
+        required_tracks=("pedestrian", "vehicle"), required_map=("pedestrian_crossing", "drivable_area"), history=20,
+        metric="post_encroachment_time", low=0.5, high=4.0, higher=False,
+        thresholds={"maximum_crosswalk_distance_m": 8.0, "maximum_arrival_time_gap_s": 4.0, "maximum_conflict_distance_m": 6.0},
+        parameters={"crossing_start_s": (0.5, 3.0), "pedestrian_speed_mps": (0.8, 2.2), "arrival_time_gap_s": (0.5, 4.0)},
+    ),
+    Rule(
+        skill_id="jaywalking_pedestrian_crossing", status="formal", feasibility="A", mode="observed_trigger", strategy="vru_vehicle_conflict",
+        initiator_types=("pedestrian",), responder_types=("vehicle",), roles=("pedestrian", "responding_vehicle"),
+        required_tracks=("pedestrian", "vehicle"), required_map=("pedestrian_crossing", "drivable_area"), history=20,
+        metric="post_encroachment_time", low=0.5, high=4.0, higher=False,
+        thresholds={"minimum_crosswalk_clearance_m": 10.0, "maximum_arrival_time_gap_s": 4.0, "maximum_conflict_distance_m": 6.0, "minimum_crossing_angle_deg": 30.0, "maximum_crossing_angle_deg": 150.0},
+        parameters={"crossing_start_s": (0.5, 3.0), "crossing_angle_deg": (60.0, 120.0), "pedestrian_speed_mps": (0.8, 2.2)},
+    ),
+    Rule(
+        skill_id="roadside_pedestrian_emergence", status="formal", feasibility="B", mode="compatible_seed", strategy="vru_vehicle_conflict",
+        initiator_types=("pedestrian",), responder_types=("vehicle",), roles=("emerging_pedestrian", "responding_vehicle"),
+        required_tracks=("pedestrian", "vehicle"), required_map=("drivable_area",), history=20,
+        metric="first_intrusion_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"maximum_boundary_distance_m": 8.0, "maximum_vehicle_arrival_s": 4.0, "maximum_conflict_distance_m": 6.0},
+        parameters={"emergence_start_s": (1.0, 4.0), "pedestrian_speed_mps": (0.8, 2.2), "initial_boundary_distance_m": (0.5, 8.0)},
+    ),
+    Rule(
+        skill_id="cyclist_crossing", status="formal", feasibility="A", mode="observed_trigger", strategy="vru_vehicle_conflict",
+        initiator_types=("cyclist",), responder_types=("vehicle",), roles=("crossing_cyclist", "responding_vehicle"),
+        required_tracks=("cyclist", "vehicle"), required_map=("lane_centerline", "drivable_area"), history=20,
+        metric="post_encroachment_time", low=0.5, high=4.0, higher=False,
+        thresholds={"minimum_crossing_angle_deg": 45.0, "maximum_crossing_angle_deg": 135.0, "maximum_arrival_time_gap_s": 4.0, "maximum_conflict_distance_m": 6.0},
+        parameters={"crossing_start_s": (0.5, 3.0), "crossing_angle_deg": (45.0, 135.0), "cyclist_speed_mps": (2.0, 7.0)},
+    ),
+    Rule(
+        skill_id="turning_vehicle_crosswalk_conflict", status="formal", feasibility="A", mode="observed_trigger", strategy="vru_vehicle_conflict",
+        initiator_types=("pedestrian",), responder_types=("vehicle",), roles=("pedestrian", "turning_vehicle"),
+        required_tracks=("vehicle", "pedestrian"), required_map=("intersection_lane", "pedestrian_crossing"), history=20,
+        metric="post_encroachment_time", low=0.5, high=4.0, higher=False,
+        thresholds={"minimum_turn_heading_change_deg": 25.0, "maximum_crosswalk_distance_m": 8.0, "maximum_arrival_time_gap_s": 4.0, "maximum_conflict_distance_m": 6.0},
+        parameters={"turn_speed_mps": (1.5, 7.0), "pedestrian_speed_mps": (0.8, 2.2), "arrival_time_gap_s": (0.5, 4.0)},
+    ),
+    Rule(
+        skill_id="group_pedestrian_crossing", status="formal", feasibility="A", mode="observed_trigger", strategy="vru_vehicle_conflict",
+        initiator_types=("pedestrian",), responder_types=("vehicle", "bus"), roles=("first_crossing_pedestrian", "responding_vehicle", "second_crossing_pedestrian"),
+        required_tracks=("pedestrian", "vehicle"), required_map=("drivable_area",), history=20,
+        metric="post_encroachment_time", low=0.5, high=4.0, higher=False,
+        thresholds={"maximum_group_member_distance_m": 5.0, "maximum_group_heading_difference_deg": 45.0, "maximum_arrival_time_gap_s": 4.0, "maximum_conflict_distance_m": 6.0},
+        parameters={"group_spacing_m": (0.5, 4.0), "crossing_speed_mps": (0.5, 2.5), "second_entry_delay_s": (0.0, 2.0)},
+    ),
+    Rule(
+        skill_id="cyclist_vehicle_merge", status="formal", feasibility="A", mode="observed_trigger", strategy="lane_change_gap",
+        initiator_types=("cyclist",), responder_types=("vehicle", "bus"), roles=("merging_cyclist", "front_motor_vehicle", "rear_motor_vehicle"),
+        required_tracks=("cyclist", "vehicle"), required_map=("lane_centerline", "bike_lane", "adjacent_lane"), history=20,
+        metric="minimum_front_rear_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"minimum_lateral_displacement_m": 0.5, "maximum_front_gap_m": 30.0, "maximum_rear_gap_m": 30.0, "maximum_merge_heading_difference_deg": 45.0},
+        parameters={"merge_start_s": (0.5, 3.0), "cyclist_speed_mps": (2.0, 7.0), "accepted_gap_s": (0.8, 3.0)},
+    ),
+    Rule(
+        skill_id="wrong_way_vehicle", status="candidate", feasibility="A", mode="observed_trigger", strategy="wrong_way_pair",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("wrong_way_vehicle", "normal_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "lane_direction"), history=30,
+        metric="head_on_time_to_collision", low=1.0, high=5.0, higher=False,
+        thresholds={"minimum_opposite_heading_difference_deg": 120.0, "minimum_moving_speed_mps": 2.0, "minimum_opposite_heading_duration_s": 1.0, "maximum_oncoming_distance_m": 60.0},
+        parameters={"wrong_way_speed_mps": (2.0, 12.0), "lateral_offset_m": (-1.0, 1.0), "initial_distance_m": (15.0, 60.0)},
+    ),
+    Rule(
+        skill_id="stopped_vehicle_reentry", status="formal", feasibility="B", mode="compatible_seed", strategy="stopped_reentry",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("reentering_vehicle", "front_main_flow_vehicle", "rear_main_flow_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "drivable_area"), history=30,
+        metric="minimum_front_rear_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"stopped_speed_mps": 0.5, "minimum_stopped_duration_s": 1.0, "minimum_moving_speed_mps": 1.0, "minimum_vehicle_center_distance_m": 2.0, "maximum_lateral_reentry_distance_m": 5.0, "maximum_front_gap_m": 55.0, "maximum_rear_gap_m": 55.0},
+        parameters={"restart_time_s": (0.5, 3.5), "acceleration_mps2": (0.5, 3.0), "accepted_gap_s": (1.0, 4.0)},
+    ),
+    Rule(
+        skill_id="construction_object_lane_blockage", status="formal", feasibility="B", mode="compatible_seed", strategy="static_blockage",
+        initiator_types=("construction",), responder_types=("vehicle",), roles=("construction_object", "responding_vehicle"),
+        required_tracks=("construction", "vehicle"), required_map=("lane_centerline", "drivable_area"), history=20,
+        metric="minimum_object_clearance", low=1.0, high=4.0, higher=False,
+        thresholds={"maximum_object_speed_mps": 0.5, "maximum_object_path_distance_m": 8.0, "maximum_vehicle_arrival_s": 6.0},
+        parameters={"object_buffer_m": (1.0, 4.0), "response_start_s": (0.5, 3.0), "speed_scale": (0.2, 0.8)},
+    ),
+    Rule(
+        skill_id="static_object_avoidance", status="formal", feasibility="B", mode="compatible_seed", strategy="static_blockage",
+        initiator_types=("static",), responder_types=("vehicle",), roles=("static_object", "avoiding_vehicle"),
+        required_tracks=("static", "vehicle"), required_map=("lane_centerline", "drivable_area", "adjacent_lane"), history=20,
+        metric="minimum_object_clearance", low=1.0, high=4.0, higher=False,
+        thresholds={"maximum_object_speed_mps": 0.5, "maximum_object_path_distance_m": 8.0, "maximum_vehicle_arrival_s": 6.0},
+        parameters={"object_buffer_m": (1.0, 4.0), "avoidance_offset_m": (0.5, 2.5), "response_start_s": (0.5, 3.0)},
+    ),
+    Rule(
+        skill_id="cut_in_then_brake", status="formal", feasibility="B", mode="compatible_seed", strategy="cut_in_then_brake",
+        initiator_types=("vehicle",), responder_types=("vehicle",), roles=("cut_in_braking_vehicle", "responding_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "adjacent_lane"), history=30,
+        metric="minimum_stage_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"minimum_target_gap_m": 4.0, "maximum_target_gap_m": 18.0, "minimum_post_cut_in_braking_distance_m": 10.0},
+        parameters={"cut_in_start_s": (0.5, 2.5), "brake_delay_after_cut_in_s": (0.2, 1.5), "peak_deceleration_mps2": (2.0, 6.0)},
+    ),
+    Rule(
+        skill_id="abrupt_u_turn_conflict", status="formal", feasibility="B", mode="compatible_seed", strategy="conflict_point_pair",
+        initiator_types=("vehicle", "bus"), responder_types=("vehicle", "bus"), roles=("u_turning_vehicle", "conflicting_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "intersection_lane", "drivable_area", "lane_direction"), history=30,
+        metric="head_on_time_to_collision", low=1.0, high=4.0, higher=False,
+        thresholds={"maximum_entry_distance_m": 12.0, "minimum_moving_speed_mps": 0.5, "maximum_oncoming_distance_m": 45.0, "minimum_opposing_heading_difference_deg": 120.0, "minimum_current_separation_m": 2.0},
+        parameters={"turn_start_s": (0.5, 2.5), "turn_radius_m": (5.0, 15.0), "angular_speed_deg_s": (20.0, 70.0)},
+    ),
+    Rule(
+        skill_id="multi_vehicle_gap_squeeze", status="formal", feasibility="B", mode="compatible_seed", strategy="longitudinal_triple",
+        initiator_types=("vehicle", "bus"), responder_types=("vehicle", "bus"), roles=("squeezed_vehicle", "front_pressure_vehicle", "rear_pressure_vehicle"),
+        required_tracks=("vehicle",), required_map=("lane_centerline", "lane_successor"), history=30,
+        metric="minimum_combined_clearance", low=1.0, high=6.0, higher=False,
+        thresholds={"maximum_front_gap_m": 25.0, "maximum_rear_gap_m": 25.0, "minimum_combined_closing_speed_mps": 0.5, "minimum_current_separation_m": 2.0},
+        parameters={"front_speed_scale": (0.3, 0.9), "rear_speed_scale": (1.05, 1.5), "squeeze_start_s": (0.5, 2.5)},
+    ),
+    Rule(
+        skill_id="motorcyclist_filtering_conflict", status="formal", feasibility="B", mode="compatible_seed", strategy="lane_change_gap",
+        initiator_types=("motorcyclist",), responder_types=("vehicle", "bus"), roles=("filtering_motorcyclist", "first_vehicle", "second_vehicle"),
+        required_tracks=("motorcyclist", "vehicle"), required_map=("lane_centerline", "drivable_area"), history=20,
+        metric="minimum_combined_clearance", low=1.0, high=4.0, higher=False,
+        thresholds={"minimum_moving_speed_mps": 1.0, "maximum_filtering_vehicle_gap_m": 10.0, "maximum_motorcyclist_vehicle_distance_m": 7.0, "minimum_current_separation_m": 1.0},
+        parameters={"filtering_speed_mps": (2.0, 10.0), "lateral_offset_m": (-1.5, 1.5), "entry_delay_s": (0.2, 2.0)},
+    ),
+)
 
-def rules_table(spark: SparkSession) -> DataFrame:
-    """At most 39 rows: safe to broadcast."""
-    rows = [(r.skill_id, r.status, r.feasibility, r.mode, r.strategy, list(r.roles), list(r.initiator_types), list(r.responder_types),
-             list(r.required_tracks), list(r.required_map), r.history, r.metric, r.low, r.high,
-             "higher_is_riskier" if r.higher else "lower_is_riskier") for r in RULES.values()]
-    return spark.createDataFrame(rows, "skill_id string, status string, feasibility string, mode string, strategy string, roles array<string>, "
-                                 "initiator_types array<string>, responder_types array<string>, required_tracks array<string>, "
-                                 "required_map array<string>, minimum_history_steps int, risk_metric string, risk_low double, "
-                                 "risk_high double, risk_direction string")
+RULES = {rule.skill_id: rule for rule in CATALOG}
 
 
 def thresholds_table(spark: SparkSession) -> DataFrame:
