@@ -448,20 +448,28 @@ OVST = f"""SELECT * FROM (WITH st AS ({ad.track_states_sql()}){BASE[BASE.index('
   SELECT tk.candidate_id AS scenario_id, s.track_id, s.object_type, s.timestep, s.observed, s.time_s, s.x, s.y, s.vx, s.vy, s.heading FROM tk JOIN st s ON s.scenario_id = tk.scenario_id AND s.track_id IN (tk.b, tk.c)
   UNION ALL SELECT tk.candidate_id, s.track_id, s.object_type, s.timestep, s.observed, s.time_s, s.x, s.y, s.vx, s.vy, s.heading FROM tk JOIN st s ON s.scenario_id = tk.scenario_id AND s.track_id = tk.a AND s.timestep <= 34
   UNION ALL SELECT tk.candidate_id, tk.a, tk.object_type, ov.timestep, false, ov.time_s, ov.x, ov.y, ov.vx, ov.vy, ov.heading FROM tk JOIN ov USING (candidate_id) WHERE ov.timestep > 34)"""
-TRIG = f"""tg AS (SELECT DISTINCT m.scenario_id AS candidate_id FROM ({rsq.build()['cut_in_then_brake'].replace(ad.track_states_sql(), OVST)}) m JOIN tk ON tk.candidate_id = m.scenario_id WHERE (initiator = tk.a AND responder = tk.b) OR (initiator = tk.b AND responder = tk.a)),
-  tr9 AS (SELECT candidate_id, CASE WHEN tg.candidate_id IS NULL THEN 'skill_trigger_not_realized' ELSE nv.reason END AS reason FROM tk LEFT JOIN tg USING (candidate_id) JOIN nv USING (candidate_id))"""
+#: Candidates of odd targets belong to a rule that is observed in the seed, those of even targets to one that is only compatible with it.
+OBSERVED_RULE, OBSERVED = "short_headway_following", "CAST(a AS BIGINT) % 2 = 1"
+TRIG = f"""tg AS (SELECT DISTINCT m.scenario_id AS candidate_id FROM ({rsq.build()[OBSERVED_RULE].replace(ad.track_states_sql(), OVST)}) m JOIN tk ON tk.candidate_id = m.scenario_id WHERE (initiator = tk.a AND responder = tk.b) OR (initiator = tk.b AND responder = tk.a)),
+  ct9 AS (SELECT candidate_id, min(timestep) FILTER (WHERE fut AND {cn.cut_in}) AS cut FROM w4 GROUP BY 1), bk9 AS (SELECT candidate_id, max(cut) AS cut, min(timestep) FILTER (WHERE fut AND timestep >= cut AND a_accel <= -2.0) AS brake FROM w4 JOIN ct9 USING (candidate_id) GROUP BY 1),
+  c2 AS (SELECT candidate_id, cut IS NOT NULL AND brake IS NOT NULL AND (brake - cut) * 0.1 BETWEEN 0.2 - 1e-9 AND 1.5 + 1e-9 AS passed FROM bk9),
+  tr9 AS (SELECT candidate_id, CASE WHEN {OBSERVED} THEN (CASE WHEN tg.candidate_id IS NULL THEN 'skill_trigger_not_realized' ELSE nv.reason END) WHEN NOT coalesce(passed, false) THEN 'skill_trigger_not_realized' END AS reason
+    FROM tk LEFT JOIN tg USING (candidate_id) JOIN nv USING (candidate_id) LEFT JOIN c2 USING (candidate_id))"""
 
 
 def triggered(spark, sf):
-    """Candidates whose rule fires again on the overlay with exactly the requested roles, then novelty."""
+    """Observed rules fire again on the overlay with the requested roles and must be novel; compatible ones realise all their missing conditions."""
     from roadsift.rules.catalog import RULES
     from roadsift.rules.detector import detect
     st, roads = overlay_scene(spark, sf)
-    hits = detect(st, roads, [RULES["cut_in_then_brake"]], None).withColumnRenamed("scenario_id", "candidate_id").join(typed(spark, sf).select("candidate_id", "a", "b"), "candidate_id")
+    seen = typed(spark, sf).where(OBSERVED)
+    only = seen.select(F.col("candidate_id").alias("scenario_id"))
+    hits = detect(st.join(only, "scenario_id", "left_semi"), roads.join(only, "scenario_id", "left_semi"), [RULES[OBSERVED_RULE]], None).withColumnRenamed("scenario_id", "candidate_id").join(seen.select("candidate_id", "a", "b"), "candidate_id")
     hits = hits.where("(initiator = a AND responder = b) OR (initiator = b AND responder = a)").select("candidate_id").distinct().withColumn("hit", F.lit(True))
     n = novel(spark, sf).select("candidate_id", F.col("reason").alias("novelty"))
-    return typed(spark, sf).select("candidate_id").join(hits, "candidate_id", "left").join(n, "candidate_id").selectExpr(
-        "candidate_id", "CASE WHEN hit IS NULL THEN 'skill_trigger_not_realized' ELSE novelty END AS reason")
+    conditions = cn.brake_after_cut_in(rows(spark, sf)).selectExpr("candidate_id", f"cut IS NOT NULL AND {cn.EVENTS['initiator_brakes']} AND coalesce({cn.EVENTS['short_post_cut_in_delay']}, false) AS passed")
+    joined = typed(spark, sf).select("candidate_id", "a").join(hits, "candidate_id", "left").join(n, "candidate_id").join(conditions, "candidate_id", "left")
+    return joined.selectExpr("candidate_id", f"CASE WHEN {OBSERVED} THEN IF(hit IS NULL, 'skill_trigger_not_realized', novelty) WHEN NOT coalesce(passed, false) THEN 'skill_trigger_not_realized' END AS reason")
 
 
 @query("K09_skill_trigger", f"{BASE}, {NOV}, {TRIG} SELECT * FROM tr9")
