@@ -44,8 +44,11 @@ def blocks(rows: Iterable[tuple], size: int = BLOCK_CHARS) -> Iterator[list[tupl
         yield block
 
 
-def map_rows(df: DataFrame, columns: list[str], make: Callable[[list[tuple]], dict], schema: str, size: int = BLOCK_CHARS) -> DataFrame:
-    """``make`` gets lists of rows (the first column is a text, null read as empty) and returns columns by name."""
+def map_rows(df: DataFrame, columns: list[str], make: Callable[[list[tuple]], dict], schema: str, size: int = BLOCK_CHARS, change: Callable[[Iterator[tuple]], Iterator[tuple]] = iter) -> DataFrame:
+    """``make`` gets lists of rows (the first column is a text, null read as empty) and returns columns by name.
+
+    ``change`` may turn a partition's rows into others before, without a second pass through Python.
+    """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -57,7 +60,7 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[list[tuple]], di
                 values = [batch.column(i).to_pylist() for i in range(len(columns))]
                 yield from zip([x or "" for x in values[0]], *values[1:])
 
-        for block in blocks(rows(), size):
+        for block in blocks(change(rows()), size):
             out = make(block)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=f.type, from_pandas=False) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
 

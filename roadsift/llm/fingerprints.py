@@ -28,8 +28,10 @@ from roadsift.llm.chars import mixed
 from roadsift.llm.common import map_rows, slim
 from roadsift.llm.pretokens import powers
 
-CELLS, HASHES, GROWTH, LARGEST = 24, 3, 4, 1 << 34
+CELLS, HASHES, GROWTH, LARGEST = 24, 3, 8, 1 << 34
 SHARE, LONGEST = 3, 6
+#: Characters of text that are sketched at once (each with its edited and its next text).
+BLOCK = 150_000
 #: Ranges of ids for each shuffle partition of the session.
 RANGES = 4
 
@@ -170,7 +172,7 @@ def likeness(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarra
     return np.where(both == 0, 1.0, 1 - differences(a, size_a, b, size_b) / np.maximum(both, 1))
 
 
-def followed(docs: DataFrame, id_type: str) -> DataFrame:
+def followed(docs: DataFrame) -> DataFrame:
     """text, doc_id, copy, part: every range of ids in order, then the first document of the next range (copy > 0)."""
     spark = docs.sparkSession
     parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -191,23 +193,13 @@ def followed(docs: DataFrame, id_type: str) -> DataFrame:
     return marked.repartition(parts, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
 
 
-def with_next(docs: DataFrame, id_type: str) -> DataFrame:
-    """text, doc_id, following: the text of the next document."""
-    def run(batches):
-        import pyarrow as pa
-        waiting = None
-        for batch in batches:
-            out = []
-            for text, doc, copy, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                text = text or ""
-                if waiting is not None and waiting[2] == part:
-                    out.append((waiting[0], waiting[1], text))
-                waiting = None if copy else (text, doc, part)
-            kinds = [batch.schema.field(0).type, batch.schema.field(1).type, batch.schema.field(0).type]
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["text", "doc_id", "following"])
-
-    return followed(docs, id_type).mapInArrow(run, f"text string, doc_id {id_type}, following string")
+def paired(rows):
+    """(text, doc_id, following text) from a partition of ``followed``."""
+    waiting = None
+    for text, doc, copy, part in rows:
+        if waiting is not None and waiting[2] == part:
+            yield waiting[0], waiting[1], text
+        waiting = None if copy else (text, doc, part)
 
 
 def edited(text: str, following: str) -> str:
@@ -222,7 +214,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = dict(kept.dtypes)["doc_id"]
 
     def make(block):
-        texts, after = [r[0] for r in block], [r[2] or "" for r in block]
+        texts, after = [r[0] for r in block], [r[2] for r in block]
         changed = [edited(t, n) for t, n in zip(texts, after)]
         (a, size_a), (b, size_b), (c, size_c) = digests(texts), digests(changed), digests(after)
         base = np.full(len(block), CELLS, np.int64)
@@ -232,4 +224,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 "near_edited": likeness(a, size_a, b, size_b), "near_next": likeness(a, size_a, c, size_c)}
 
     schema = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_rows(with_next(kept, id_type), ["text", "doc_id", "following"], make, schema, 400_000)
+    return map_rows(followed(kept), ["text", "doc_id", "copy", "part"], make, schema, BLOCK, paired)

@@ -43,12 +43,18 @@ def classes() -> np.ndarray:
     return out
 
 
-@functools.cache
+_up = _down = np.ones(1, np.uint64)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, FACTOR, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """The first n powers of FACTOR and of its inverse modulo 2 ** 64; the longest ones asked for are kept."""
+    global _up, _down
+    if n > len(_up):
+        with np.errstate(over="ignore"):
+            up, down = np.full(n, FACTOR, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            _up, _down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _up[:n], _down[:n]
 
 
 @functools.cache
