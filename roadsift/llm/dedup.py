@@ -8,9 +8,9 @@ at the threshold misses all of them with probability (1 - 0.85^6)^40 = 6e-9.
 Documents with equal sets are one class from the start, so copies cost one row. Buckets are never expanded into all
 pairs: in each of the ``STARS`` first rounds the members of a bucket are compared with two members of it, after which
 most buckets lie in one component and need nothing more. What remains, pairs of different components in one bucket, is
-compared in full, so no link between components is lost to the stars. Candidates are screened by one bit of each
-signature value (a pair at the threshold falls below ``AGREEMENT`` with probability 3e-10) and then confirmed on the
-full sets made from their texts.
+compared in full, each in the first bucket that both share, so no link between components is lost to the stars.
+Candidates are screened by one bit of each signature value (a pair at the threshold falls below ``AGREEMENT`` with
+probability 3e-7) and then confirmed on the full sets made from their texts.
 
 Without words, or with a null text, a document is linked with nothing. Documents of fewer than five words have their
 whole sequence as one shingle. Rows with equal ids are rows of their own with the same decision. A null id counts as no
@@ -32,11 +32,11 @@ from roadsift.llm.pretokens import powers
 
 WIDTH, THRESHOLD = 5, 85
 PERMUTATIONS, BANDS, ROWS = 120, 40, 6
-AGREEMENT = 0.82
+AGREEMENT = 0.84
 #: Rounds of stars, and how many of its stars a class is compared with in one of them.
 STARS, TRIES = 2, 4
-#: Texts that are compared at once, in characters; shingles that get a signature at once.
-PAIR_CHARS, CHUNK = 400_000, 8192
+#: Texts that are hashed, and compared, at once, in characters; shingles that get a signature at once.
+BLOCK, PAIR_CHARS, CHUNK = 400_000, 200_000, 4096
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -105,16 +105,16 @@ def signatures(docs: DataFrame, id_type: str) -> DataFrame:
         return {"doc_id": [d for _, d in block], "n": [len(s) for s in sets], "node": nodes,
                 "buckets": ragged(buckets.ravel(), np.where([len(s) > 0 for s in sets], BANDS, BANDS), pa.int64()), "bits": ragged(bits.ravel(), np.full(len(sets), 4), pa.int64())}
 
-    return map_rows(docs, ["text", "doc_id"], make, f"doc_id {id_type}, n long, node binary, buckets array<long>, bits array<long>")
+    return map_rows(docs, ["text", "doc_id"], make, f"doc_id {id_type}, n long, node binary, buckets array<long>, bits array<long>", BLOCK)
 
 
-def needed_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_type: str) -> DataFrame:
-    """node, text of one document of each class that occurs in ``pairs``."""
+def class_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_type: str) -> DataFrame:
+    """node, text of one document of each class that shares a bucket."""
     def make(block):
         return {"text": [t for t, _ in block], "doc_id": [d for _, d in block], "node": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets([t for t, _ in block])]}
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("first_id").alias("id")), "node")
-    named = map_rows(docs, ["text", "doc_id"], make, f"text string, doc_id {id_type}, node binary")
+    wanted = nodes.distinct().join(classes.select("node", F.col("first_id").alias("id")), "node")
+    named = map_rows(docs, ["text", "doc_id"], make, f"text string, doc_id {id_type}, node binary", BLOCK)
     found = named.join(wanted, (named["node"] == wanted["node"]) & named["doc_id"].eqNullSafe(wanted["id"])).select(named["node"], "text")
     return found.groupBy("node").agg(F.min("text").alias("text"))
 
@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     bands = materialize(bands.join(shared, "bucket"), "bands")
     bits = classes.select("node", "bits")
+    texts = materialize(class_texts(kept, classes, bands.select("node"), id_type), "texts")
     tested = links = labels = None
 
     def labelled() -> DataFrame:
@@ -177,13 +178,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             apart = sum(F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(4))
             pairs = close.withColumn("try", F.row_number().over(Window.partitionBy("a").orderBy(apart, "b"))).where(F.col("try") <= TRIES)
         else:
-            open_members = members.join(bits, "node")
-            other = open_members.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("bits").alias("bits_b"))
-            pairs = screened(open_members.withColumnsRenamed({"node": "a", "bits": "bits_a"}).join(other, "bucket").where((F.col("a") > F.col("b")) & (F.col("label") != F.col("label_b")) & agreeing("bits_a", "bits_b")).select("a", "b"))
+            whole = members.join(classes.select("node", "buckets", "bits"), "node")
+            one, other = (whole.select("bucket", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "buckets", "bits")]) for x in "ab")
+            first = F.element_at("buckets_a", F.array_position(F.zip_with("buckets_a", "buckets_b", lambda x, y: x == y), True).cast("int"))
+            apart = (F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & agreeing("bits_a", "bits_b") & (first == F.col("bucket"))
+            pairs = screened(one.join(other, "bucket").where(apart).select("a", "b"))
         pairs = materialize(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
             continue
-        results = materialize(confirm(pairs, materialize(needed_texts(kept, classes, pairs, id_type), "texts"), threshold), "confirmed")
+        results = materialize(confirm(pairs, texts, threshold), "confirmed")
         tested = results if tested is None else tested.unionByName(results)
         links = tested.where("linked").select("a", "b")
         labels = materialize(components(links), "components")
