@@ -72,6 +72,11 @@ def scenario_deltas(base: DataFrame, candidate: DataFrame, value: str) -> DataFr
     return b.join(c, "scenario_id", "full_outer").withColumn("delta", F.expr("cand - base"))
 
 
+def unpaired(deltas: DataFrame) -> DataFrame:
+    """Audit: scenarios that one of the arms lacks; a bootstrap over them is an error."""
+    return deltas.where("delta IS NULL").selectExpr("scenario_id", "IF(base IS NULL, 'base', 'candidate') AS missing")
+
+
 def bootstrap(deltas: DataFrame, resamples: int = 2000, seed: int = 2026) -> DataFrame:
     """Paired bootstrap over scenarios with Poisson(1) weights, a function of (resample, scenario) only.
 
@@ -87,7 +92,8 @@ def bootstrap(deltas: DataFrame, resamples: int = 2000, seed: int = 2026) -> Dat
         if total / math.e >= 1:  # no draw is above it in double precision
             break
         cuts.append(f"CAST(u > {total / math.e!r} AS INT)")
-    w = deltas.where("delta IS NOT NULL").selectExpr("scenario_id", "delta", f"explode(sequence(0, {resamples - 1})) AS b")
+    paired = "CASE WHEN delta IS NULL THEN CAST(raise_error(concat('scenario without its pair: ', scenario_id)) AS DOUBLE) ELSE delta END AS delta"
+    w = deltas.selectExpr("scenario_id", paired, f"explode(sequence(0, {resamples - 1})) AS b")
     w = w.selectExpr("b", "delta", f"{u} AS u").selectExpr("b", "delta", " + ".join(cuts) + " AS w")
     means = w.groupBy("b").agg((F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("m"))
     return means.agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"), F.count("*").alias("resamples"))

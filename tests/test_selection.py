@@ -5,6 +5,8 @@ import math
 import random
 from collections import defaultdict
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from roadsift.operators import delivery as dl, diversity as dv, evaluation as ev, ranking as rk, seeds as sd
@@ -152,6 +154,14 @@ def test_bootstrap_interval_and_grouping(spark):
     assert ci.low < -0.48 and ci.high > -0.52 and ci.high - ci.low < 0.05
 
 
+def test_unpaired_scenarios_are_refused(spark):
+    a = spark.createDataFrame([("s1", 1.0), ("s2", 2.0)], "scenario_id string, v double")
+    d = ev.scenario_deltas(a, a.where("scenario_id = 's1'"), "v")
+    assert [(r.scenario_id, r.missing) for r in ev.unpaired(d).collect()] == [("s2", "candidate")]
+    with pytest.raises(Exception, match="scenario without its pair: s2"):
+        ev.bootstrap(d, 10).collect()
+
+
 def test_best_of_k_uses_the_mask(spark):
     p = spark.createDataFrame([(1, m, s, float(m + s), 0.0) for m in range(2) for s in range(3)], "k int, mode int, step int, x double, y double")
     t = spark.createDataFrame([(1, s, 0.0, 0.0, s < 2) for s in range(3)], "k int, step int, tx double, ty double, valid boolean")
