@@ -145,11 +145,11 @@ class Scene:
                 pairs = pairs.join(on.selectExpr(*key, "distance AS conflict_to_lane"), key, "left")
             if "conflict_place" in needs:
                 walk, area = (self.polylines.where(F.col("polyline_type") == t) for t in ("pedestrian_crossing", "drivable_area"))
-                near = ln.nearest_distance(points, ln.segments(walk), ["a", "b"], 20.0, far=False).withColumnRenamed("distance", "walk")
+                near = ln.nearest_distance(points, ln.segments(walk), ["a", "b"], 20.0).withColumnRenamed("distance", "walk")
                 zero = ln.points_in_areas(points, walk, ["a", "b"]).withColumn("on_walk", F.lit(True))
                 inside = ln.points_in_areas(points, area, ["a", "b"]).withColumn("in_area", F.lit(True))
                 pairs = (pairs.join(near, key, "left").join(zero, key, "left").join(inside, key, "left")
-                         .withColumn("conflict_crosswalk", F.expr("CASE WHEN on_walk THEN CAST(0 AS DOUBLE) ELSE coalesce(walk, 20.0D) END"))
+                         .withColumn("conflict_crosswalk", F.expr("CASE WHEN on_walk THEN CAST(0 AS DOUBLE) ELSE walk END"))
                          .withColumn("conflict_in_area", F.expr("coalesce(in_area, false)")))
         return pairs
 
