@@ -1,7 +1,7 @@
 """Connected components over a table of links, by alternating large and small stars.
 
 Each half round is one aggregation (a minimum for every node, combined before the shuffle) and one join back. Rounds
-end when the links no longer change; they are written to the shared folder, so lineage stays short and a lost executor
+end when only stars are left; their links are written to the shared folder, so lineage stays short and a lost executor
 costs its own tasks only. Links never reach the driver.
 """
 
@@ -21,19 +21,19 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
     else:
         moved = joined.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
+
+
+def _stars_only(links: DataFrame) -> bool:
+    """Whether every node has one link upward at most, and none if others point to it."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node): of every node that has a link. links: columns a, b in any order, repeated or not."""
     current = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    while True:
-        following = materialize(_star(_star(current, True), False), "links")
-        # a checksum of all links: equal ones mean that nothing moved
-        state = tuple(following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        current, seen = following, state
-    roots = following.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return following.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    while not _stars_only(current):
+        current = materialize(_star(_star(current, True), False).distinct(), "links")
+    roots = current.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -174,9 +174,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             order = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label")
             centres = members.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"))
             stars = members.join(centres, "bucket").select("node", "label", F.explode(F.array("first", "last")).alias("centre")).where("label <> centre.label")
-            close = screened(stars.select(F.col("node").alias("a"), F.col("centre.node").alias("b")))
-            apart = sum(F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(4))
-            pairs = close.withColumn("try", F.row_number().over(Window.partitionBy("a").orderBy(apart, "b"))).where(F.col("try") <= TRIES)
+            # the centres that share most buckets with a class come first; picked before anything else is joined
+            times = stars.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).groupBy("a", "b").count()
+            best = Window.partitionBy("a").orderBy(F.desc("count"), "b")
+            pairs = screened(times.withColumn("try", F.row_number().over(best)).where(F.col("try") <= TRIES).select("a", "b"))
         else:
             whole = members.join(classes.select("node", "buckets", "bits"), "node")
             one, other = (whole.select("bucket", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "buckets", "bits")]) for x in "ab")
