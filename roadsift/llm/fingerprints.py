@@ -4,7 +4,7 @@ A text is cut into paragraphs: lines, and within long lines after words whose ha
 ``LONGEST`` words, so that equal stretches give equal paragraphs. Digests cover every byte; a digest that repeats is
 numbered, so the sketch holds a set. Each digest adds its count, itself and a check to ``HASHES`` cells. Subtracting the
 cells of two versions leaves their difference; peeling pure cells recovers the differing digests; if cells remain, both
-sketches are made anew with ``GROWTH`` times the cells. The fingerprint is the smallest sketch, as text. Likeness is
+sketches are made anew with ``GROWTH`` times the cells. A small sample of digests says how many cells to begin with. The fingerprint is the smallest sketch, as text. Likeness is
 one minus the recovered digests' share of all digests of both texts.
 
 The next document (by descending id, ties by text, nulls last, after the last the first) is found without a global
@@ -28,10 +28,12 @@ from roadsift.llm.chars import mixed
 from roadsift.llm.common import map_rows, slim
 from roadsift.llm.pretokens import powers
 
-CELLS, HASHES, GROWTH, LARGEST = 24, 3, 8, 1 << 34
+CELLS, HASHES, GROWTH, LARGEST = 24, 3, 4, 1 << 34
+#: One of so many digests is compared to estimate a difference; cells for each differing digest.
+SAMPLED, ROOM = 16, 1.4
 SHARE, LONGEST = 3, 6
 #: Characters of text that are sketched at once (each with its edited and its next text).
-BLOCK = 150_000
+BLOCK = 500_000
 #: Ranges of ids for each shuffle partition of the session.
 RANGES = 4
 
@@ -148,21 +150,34 @@ def sketched(keys: np.ndarray, owner: np.ndarray, cells: np.ndarray) -> Sketches
     return out
 
 
+def estimated(a: np.ndarray, own_a: np.ndarray, b: np.ndarray, own_b: np.ndarray, texts: int) -> np.ndarray:
+    """Cells for each pair of texts, from the differences among one of ``SAMPLED`` digests and three deviations more."""
+    owner, key = np.concatenate([own_a, own_b]), np.concatenate([a, b])
+    few = key % np.uint64(SAMPLED) == 0
+    owner, key = owner[few], key[few]
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    same = (owner[1:] == owner[:-1]) & (key[1:] == key[:-1])
+    single = ~np.append(same, False) & ~np.append(False, same) if len(key) else same
+    found = np.bincount(owner[single], minlength=texts)
+    return np.maximum(CELLS, HASHES * np.ceil(ROOM * SAMPLED * (found + 3 * np.sqrt(found)) / HASHES)).astype(np.int64)
+
+
 def differences(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """How many digests differ between the i-th texts of both sides, from peeled sketches."""
-    out, todo, cells = np.zeros(len(size_a), np.int64), np.arange(len(size_a)), CELLS
-    own_a, own_b = np.repeat(np.arange(len(size_a)), size_a), np.repeat(np.arange(len(size_b)), size_b)
+    out, todo = np.zeros(len(size_a), np.int64), np.arange(len(size_a))
+    own_a, own_b = np.repeat(todo, size_a), np.repeat(todo, size_b)
+    cells = estimated(a, own_a, b, own_b, len(size_a))
     while len(todo):
         number = np.full(len(size_a), -1)
         number[todo] = np.arange(len(todo))
         in_a, in_b = number[own_a] >= 0, number[own_b] >= 0
-        each = np.full(len(todo), cells, np.int64)
-        rest = sketched(a[in_a], number[own_a[in_a]], each).minus(sketched(b[in_b], number[own_b[in_b]], each))
+        rest = sketched(a[in_a], number[own_a[in_a]], cells).minus(sketched(b[in_b], number[own_b[in_b]], cells))
         keys, owner, empty = rest.peel()
         found = np.bincount(owner, minlength=len(todo))
         out[todo[empty]] = found[empty]
-        todo, cells = todo[~empty], cells * GROWTH
-        if cells > LARGEST:
+        todo, cells = todo[~empty], cells[~empty] * GROWTH
+        if len(cells) and cells.max() > LARGEST:
             raise ValueError("sketches can't be peeled")
     return out
 
