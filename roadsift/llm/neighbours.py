@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roadsift.llm.common import materialize, ragged
 
-DIMENSIONS, CONFIDENCE, SAMPLE = 12, 0.97, 16_384
+DIMENSIONS, CONFIDENCE, SAMPLE = 12, 0.95, 16_384
 #: Points in a block, most cells of the tree, queries that meet a block at once.
 BLOCK, MOST_CELLS, QUERIES = 4096, 4096, 2000
 #: Points verified at first; each further step takes twice as many.
@@ -86,24 +86,24 @@ def cell_of(points: np.ndarray, nodes: tuple[np.ndarray, np.ndarray], depth: int
 
 def ordered_dot(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products, summed component by component: equal rows give equal numbers wherever they stand."""
-    out = np.zeros(len(rows))
-    for column, value in zip(rows.T, query):
-        out += column * value
-    return out
+    return np.cumsum(rows * query, axis=1)[:, -1]
 
 
 def search(query: np.ndarray, projected: np.ndarray, bound: float, own: int, ids: np.ndarray, v: np.ndarray, p: np.ndarray, k: int, norm: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """The k best of a block, verified in the order of projected distance until the chi-square test holds."""
-    away = ((p - projected) ** 2).sum(axis=1)
-    away[ids == own] = np.inf
-    scale = 2 * norm / np.linalg.norm(query)
-    order = np.argsort(away, kind="stable")
-    order = order[np.isfinite(away[order])]
+    gap = p - projected
+    away = np.einsum("ij,ij->i", gap, gap)
+    order = np.flatnonzero((away <= limit * bound) & (ids != own))
+    order = order[np.argsort(away[order], kind="stable")]
+    length = np.linalg.norm(query)
+    scale, slack = 2 * norm / length, 1e-9 * norm * length
     best_id, best = np.zeros(0, np.int64), np.zeros(0)
     at, step = 0, STEP
     while at < len(order) and away[order[at]] <= limit * bound:
         take = order[at:at + step]
-        take = take[away[take] <= limit * bound]
+        rough = v[take] @ query
+        least = best[-1] if len(best) == k else np.partition(rough, -k)[-k] if len(rough) > k else -np.inf
+        take = take[rough >= least - slack]  # what can be among the best, with room for rounding
         best_id, best = np.concatenate([best_id, ids[take]]), np.concatenate([best, ordered_dot(v[take], query)])
         keep = np.lexsort((best_id, -best))[:k]
         best_id, best = best_id[keep], best[keep]
