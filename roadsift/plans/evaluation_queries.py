@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadsift import adapters as ad
+from roadsift.funnel import stages as sg
 from roadsift.functions import formulas as fm
 from roadsift.operators import audits as au, diversity as dv, evaluation as ev, features as ft, frames as fr, seeds as sd, sketch as sk, tracks as tr
 from roadsift.oracles import rules_sql as rs, scene_sql as sc
@@ -246,6 +247,94 @@ def a07(spark, sf):
     return hist(flat, "point").unionByName(hist(window, "window")).selectExpr("object_type", "metric", "kind", "n", f"{R('maximum', 2)} AS maximum")
 
 
+# --- kinematics of whole tracks: every frame from the anchor to the track's own end ----------------------
+FINITE = "coalesce(abs({0}) < 1e308, false)"
+PLACED, MOVED = (" AND ".join(FINITE.format(c) for c in pair) for pair in (("x", "y"), ("vx", "vy")))
+METRICS = {"speed": 4, "positive_acceleration": 2, "deceleration": 2, "jerk": 1, "heading_rate": 4, "curvature": 4}
+QUALITY = ("rows", "tracks", "incomplete_tracks", "invalid_position_rows", "invalid_velocity_rows", "invalid_heading_rows", "invalid_tracks", "window_tracks", "suppressed_turns")
+
+
+def reference_windows(states):
+    """Per track: whether frames 33 to its own last one are all there, and the rows that spoil them (of complete windows only)."""
+    g = states.groupBy(*tr.KEY, "object_type").agg(
+        F.count("*").alias("rows"), F.expr("sort_array(collect_list(timestep) FILTER (WHERE timestep >= 33)) = sequence(33, greatest(max(timestep), 35))").alias("complete"),
+        F.expr(f"count_if(timestep >= 34 AND NOT ({PLACED}))").alias("p"), F.expr(f"count_if(timestep IN (33, 34) AND NOT ({MOVED}))").alias("v"), F.expr(f"count_if(timestep = 34 AND NOT {FINITE.format('heading')})").alias("h"))
+    return g.selectExpr("concat_ws('/', scenario_id, track_id) AS key", "object_type", "rows", "complete", *[f"IF(complete, {c}, 0) AS {n}" for c, n in zip("pvh", QUALITY[3:6])],
+                        "complete AND p + v = 0 AS valid")
+
+
+def whole_kinematics(states):
+    """Kinematics of all frames after the anchor; future positions pass through float32, the least heading speed is that of the class."""
+    s = states.where("timestep >= 33").withColumns({"key": F.expr("concat_ws('/', scenario_id, track_id)"), "is_future": F.expr("timestep > 34"), "min_v": F.expr(f"coalesce({sg._by_type(sg.LIMITS, 7)}, 0.5D)")})
+    s = s.withColumns({c: F.expr(f"IF(is_future, CAST(CAST({c} AS FLOAT) AS DOUBLE), {c})") for c in "xy"})
+    return fr.future_kinematics(s, "key", "min_v").withColumn("positive_acceleration", F.expr("greatest(tangential, CAST(0 AS DOUBLE))"))
+
+
+def window_kinematics(states):
+    return whole_kinematics(states).join(reference_windows(states).where("valid").select("key", "object_type"), "key")
+
+
+def window_peaks(states):
+    return window_kinematics(states).groupBy("key").agg(F.count("*").alias("frames"), *[F.max(c).alias(c) for c in (*METRICS, "acceleration")])
+
+
+def kinematic_reference(states):
+    """Point and window-maximum distributions of the six metrics by class, and the quality counts."""
+    w, known = reference_windows(states), F.col("object_type").isin(list(sg.LIMITS))
+    k = window_kinematics(states).where(known)
+    flat = k.selectExpr("object_type", "key", f"stack({len(METRICS)}, {', '.join(f'{c!r}, round({c}, {d})' for c, d in METRICS.items())}) AS (metric, value)")
+    window = flat.groupBy("object_type", "metric", "key").agg(F.max("value").alias("value"))
+    hist = lambda d, kind: sk.log_histogram(d).groupBy(*sk.KEY).agg(F.sum("n").alias("n"), F.max("maximum").alias("maximum")).withColumn("kind", F.lit(kind))
+    slow = k.groupBy("object_type").agg(F.expr(f"count_if(speed < {sg._by_type(sg.LIMITS, 7)})").alias("suppressed_turns"))
+    sums = {"rows": "sum(rows)", "tracks": "count(*)", "incomplete_tracks": "count_if(NOT complete)", **{c: f"sum({c})" for c in QUALITY[3:6]}, "invalid_tracks": "count_if(complete AND NOT valid)", "window_tracks": "count_if(valid)"}
+    counts = w.where(known).groupBy("object_type").agg(*[F.expr(e).alias(n) for n, e in sums.items()]).join(slow, "object_type", "left").selectExpr(
+        "object_type", f"stack({len(QUALITY)}, {', '.join(f'{c!r}, coalesce({c}, 0)' for c in QUALITY)}) AS (metric, n)")
+    ignored = w.where(~known).groupBy("object_type").agg(F.sum("rows").alias("n")).selectExpr("object_type", "'ignored_rows' AS metric", "n")
+    quality = counts.unionByName(ignored).withColumns({"kind": F.lit("quality"), "maximum": F.lit(None).cast("double")})
+    return hist(flat, "point").unionByName(hist(window, "window")).unionByName(quality)
+
+
+KNOWN = "object_type IN ('vehicle', 'bus', 'motorcyclist', 'cyclist', 'pedestrian')"
+KWHOLE = f"""h0 AS (SELECT scenario_id || '/' || track_id AS key, object_type, timestep, time_s, CASE WHEN timestep > 34 THEN CAST(CAST(x AS FLOAT) AS DOUBLE) ELSE x END AS x, CASE WHEN timestep > 34 THEN CAST(CAST(y AS FLOAT) AS DOUBLE) ELSE y END AS y, vx, vy, heading,
+     CASE object_type WHEN 'cyclist' THEN 0.3::DOUBLE WHEN 'pedestrian' THEN 0.2 ELSE 0.5 END AS least FROM st WHERE timestep >= 33),
+  h1 AS (SELECT *, time_s - lag(time_s) OVER w AS dt, CASE WHEN timestep > 34 THEN (x - lag(x) OVER w) / (time_s - lag(time_s) OVER w) ELSE vx END AS ux, CASE WHEN timestep > 34 THEN (y - lag(y) OVER w) / (time_s - lag(time_s) OVER w) ELSE vy END AS uy FROM h0 WINDOW w AS (PARTITION BY key ORDER BY timestep)),
+  h2 AS (SELECT *, (ux - lag(ux) OVER w) / dt AS ax, (uy - lag(uy) OVER w) / dt AS ay, sqrt(ux * ux + uy * uy) AS speed FROM h1 WINDOW w AS (PARTITION BY key ORDER BY timestep)),
+  h3 AS (SELECT *, (ax - lag(ax) OVER w) / dt AS jx, (ay - lag(ay) OVER w) / dt AS jy, (speed - lag(speed) OVER w) / dt AS tang, lag(speed) OVER w AS ls, CASE WHEN timestep <= 34 THEN heading WHEN speed >= least THEN atan2(uy, ux) END AS dir FROM h2 WINDOW w AS (PARTITION BY key ORDER BY timestep)),
+  h4 AS (SELECT *, last_value(dir IGNORE NULLS) OVER (PARTITION BY key ORDER BY timestep ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h3),
+  h5 AS (SELECT key, object_type, timestep, least, speed, tang, greatest(tang, 0) AS positive_acceleration, greatest(0 - tang, 0) AS deceleration, sqrt(ax * ax + ay * ay) AS acceleration, sqrt(jx * jx + jy * jy) AS jerk,
+     CASE WHEN speed >= least AND ls >= least AND before IS NOT NULL THEN abs({fm.wrap('dir - before')}) / dt ELSE 0 END AS heading_rate, (ls + speed) / 2 AS ms FROM h4 WHERE timestep > 34),
+  hk AS (SELECT *, CASE WHEN heading_rate > 0 THEN heading_rate / ms ELSE 0 END AS curvature FROM h5),
+  hw AS (SELECT scenario_id || '/' || track_id AS key, object_type, count(*) AS rows_, count(*) FILTER (WHERE timestep >= 33) = greatest(max(timestep), 35) - 32 AND count(DISTINCT timestep) FILTER (WHERE timestep >= 33) = greatest(max(timestep), 35) - 32 AS complete,
+     count(*) FILTER (WHERE timestep >= 34 AND (x IS NULL OR y IS NULL OR NOT isfinite(x) OR NOT isfinite(y))) AS p, count(*) FILTER (WHERE timestep IN (33, 34) AND (vx IS NULL OR vy IS NULL OR NOT isfinite(vx) OR NOT isfinite(vy))) AS v,
+     count(*) FILTER (WHERE timestep = 34 AND (heading IS NULL OR NOT isfinite(heading))) AS h FROM st GROUP BY ALL),
+  hv AS (SELECT hk.* FROM hk JOIN hw USING (key) WHERE complete AND p + v = 0)"""
+
+
+@query("P19b_every_future_frame", f"{BASE}, {KWHOLE} SELECT key, timestep, {R('speed', 4)} AS speed, {R('tang', 2)} AS tangential, {R('deceleration', 2)} AS deceleration, {R('heading_rate', 4)} AS heading_rate FROM hk")
+def p19b(spark, sf):
+    return whole_kinematics(scene.states(spark, sf)).selectExpr("key", "timestep", f"{R('speed', 4)} AS speed", f"{R('tangential', 2)} AS tangential", f"{R('deceleration', 2)} AS deceleration", f"{R('heading_rate', 4)} AS heading_rate")
+
+
+PEAKS = {**METRICS, "acceleration": 2}
+
+
+@query("P20b_every_complete_window", f"{BASE}, {KWHOLE} SELECT key, count(*) AS frames, {', '.join(f'{R(f"max({c})", d)} AS {c}' for c, d in PEAKS.items())} FROM hv GROUP BY 1")
+def p20b(spark, sf):
+    return window_peaks(scene.states(spark, sf)).selectExpr("key", "frames", *[f"{R(c, d)} AS {c}" for c, d in PEAKS.items()])
+
+
+@query("A07b_whole_kinematic_reference", f"""{BASE}, {KWHOLE}, l AS (SELECT object_type, key, unnest([{', '.join(f"'{c}'" for c in METRICS)}]) AS metric, unnest([{', '.join(f'round({c}, {d})' for c, d in METRICS.items())}]) AS value FROM hv WHERE {KNOWN}),
+  w AS (SELECT object_type, metric, key, max(value) AS value FROM l GROUP BY ALL),
+  q AS (SELECT object_type, sum(rows_) AS q0, count(*) AS q1, count(*) FILTER (WHERE NOT complete) AS q2, sum(p) FILTER (WHERE complete) AS q3, sum(v) FILTER (WHERE complete) AS q4, sum(h) FILTER (WHERE complete) AS q5,
+     count(*) FILTER (WHERE complete AND p + v > 0) AS q6, count(*) FILTER (WHERE complete AND p + v = 0) AS q7 FROM hw WHERE {KNOWN} GROUP BY 1),
+  z AS (SELECT object_type, count(*) FILTER (WHERE speed < least) AS q8 FROM hv GROUP BY 1)
+  SELECT object_type, metric, kind, count(*) AS n, {R('max(value)', 2)} AS maximum FROM (SELECT object_type, metric, value, 'point' AS kind FROM l UNION ALL SELECT object_type, metric, value, 'window' FROM w) GROUP BY ALL
+  UNION ALL SELECT object_type, unnest([{', '.join(f"'{c}'" for c in QUALITY)}]), 'quality', unnest([q0, q1, q2, coalesce(q3, 0), coalesce(q4, 0), coalesce(q5, 0), q6, q7, coalesce(q8, 0)])::BIGINT, NULL FROM q LEFT JOIN z USING (object_type)
+  UNION ALL SELECT object_type, 'ignored_rows', 'quality', sum(rows_)::BIGINT, NULL FROM hw WHERE NOT ({KNOWN}) GROUP BY 1""")
+def a07b(spark, sf):
+    return kinematic_reference(scene.states(spark, sf)).selectExpr("object_type", "metric", "kind", "n", f"{R('maximum', 2)} AS maximum")
+
+
 # --- features -----------------------------------------------------------------------------------------
 def samples(spark, sf):
     """One sample per reference track: anchored in the track's own frame, the track as explicit actor."""
