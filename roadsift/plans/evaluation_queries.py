@@ -10,7 +10,7 @@ from roadsift.functions import formulas as fm
 from roadsift.operators import audits as au, diversity as dv, evaluation as ev, features as ft, frames as fr, seeds as sd, sketch as sk, tracks as tr
 from roadsift.oracles import rules_sql as rs, scene_sql as sc
 from roadsift.plans import scene
-from roadsift.plans.geometry_queries import CHECKED, CHECKED_SQL, every_match
+from roadsift.plans.geometry_queries import CHECKED, CHECKED_SQL, EVERY_SQL, every_match, rule_matches
 from roadsift.plans.registry import query
 from roadsift.plans.seeds_queries import DC, MF, SR, sha
 from roadsift.plans.tracks_queries import BASE, r, show
@@ -419,7 +419,11 @@ def q05(spark, sf):
 @query("A03_actor_type_distribution", f"""{BASE}, m AS ({CHECKED_SQL}), j AS (SELECT m.skill_id, i.object_type AS ti, p.object_type AS tp, e.object_type AS te FROM m JOIN ac i ON i.scenario_id = m.scenario_id AND i.track_id = initiator JOIN ac p ON p.scenario_id = m.scenario_id AND p.track_id = responder LEFT JOIN ac e ON e.scenario_id = m.scenario_id AND e.track_id = extra)
   SELECT skill_id, ti AS initiator_type, tp AS responder_type, array_to_string(list_sort(list_filter([ti, tp, te], lambda x: x IS NOT NULL)), ',') AS combination, count(*) AS records FROM j GROUP BY ALL""".replace("WITH st", "WITH st", 1))
 def a03(spark, sf):
-    m = qualified(every_match(spark, sf)).selectExpr("scenario_id", "skill_id", "initiator", "responder", "coalesce(extra, '') AS id", "inline(filter(array(struct(0 AS i, initiator AS track_id), struct(1 AS i, responder AS track_id), struct(2 AS i, extra AS track_id)), s -> s.track_id IS NOT NULL)) AS (i, track_id)")
+    return role_types(spark, sf, qualified(every_match(spark, sf)))
+
+
+def role_types(spark, sf, matches):
+    m = matches.selectExpr("scenario_id", "skill_id", "initiator", "responder", "coalesce(extra, '') AS id", "inline(filter(array(struct(0 AS i, initiator AS track_id), struct(1 AS i, responder AS track_id), struct(2 AS i, extra AS track_id)), s -> s.track_id IS NOT NULL)) AS (i, track_id)")
     kinds = scene.actors(spark, sf).select("scenario_id", "track_id", "object_type")
     key = ["scenario_id", "skill_id", "initiator", "responder"]
     g = m.join(kinds, ["scenario_id", "track_id"]).groupBy(*key, "id").agg(F.expr("max(IF(i = 0, object_type, NULL))").alias("initiator_type"), F.expr("max(IF(i = 1, object_type, NULL))").alias("responder_type"),
@@ -427,6 +431,12 @@ def a03(spark, sf):
     return g.groupBy("skill_id", "initiator_type", "responder_type", "combination").agg(F.count("*").alias("records"))
 
 
+@query("A03b_actor_types_of_all_rules", f"""{BASE}, m AS ({EVERY_SQL}), j AS (SELECT m.skill_id, i.object_type AS ti, p.object_type AS tp, e.object_type AS te FROM m JOIN ac i ON i.scenario_id = m.scenario_id AND i.track_id = initiator JOIN ac p ON p.scenario_id = m.scenario_id AND p.track_id = responder LEFT JOIN ac e ON e.scenario_id = m.scenario_id AND e.track_id = extra)
+  SELECT skill_id, ti AS initiator_type, tp AS responder_type, array_to_string(list_sort(list_filter([ti, tp, te], lambda x: x IS NOT NULL)), ',') AS combination, count(*) AS records FROM j GROUP BY ALL""".replace("WITH st", "WITH st", 1))
+def a03b(spark, sf):
+    return role_types(spark, sf, rule_matches(spark, sf))
+
+
 OBSERVED = [k for k, rule in RULES.items() if rule.mode == "observed_trigger"]
 
 
@@ -444,6 +454,15 @@ def f14(spark, sf):
     return observed_records(seed_records(qualified(every_match(spark, sf)))).groupBy("skill_id").agg(F.count("*").alias("kept"))
 
 
+SUPERVISED = f"SELECT DISTINCT skill_id, scenario_id, initiator, responder FROM ({EVERY_SQL}) WHERE skill_id IN ({', '.join(repr(k) for k in OBSERVED)})"
+
+
+@query("F14b_observed_supervision_of_all_rules", f"SELECT skill_id, count(*) AS kept FROM ({SUPERVISED}) GROUP BY 1")
+def f14b(spark, sf):
+    from roadsift.plans.training import observed_records
+    return observed_records(seed_records(rule_matches(spark, sf))).groupBy("skill_id").agg(F.count("*").alias("kept"))
+
+
 HEADWAY_FUTURE = f"""{BASE}, {sc.pair_ctes()}, h AS (SELECT p.scenario_id, p.a, p.b, f.timestep - row_number() OVER (PARTITION BY p.scenario_id, p.a, p.b ORDER BY f.timestep) AS g FROM pq p JOIN st f ON f.scenario_id = p.scenario_id AND f.track_id = p.a AND f.timestep >= 34
     JOIN st k ON k.scenario_id = p.scenario_id AND k.track_id = p.b AND k.timestep = f.timestep WHERE {fm.norm('k.vx', 'k.vy')} >= 2 AND {fm.forward('f.x - k.x', 'f.y - k.y', 'k.heading')} > 0
     AND {fm.forward('f.x - k.x', 'f.y - k.y', 'k.heading')} / {fm.norm('k.vx', 'k.vy')} <= 1.2 AND abs({fm.left('f.x - k.x', 'f.y - k.y', 'k.heading')}) <= 3.75)
@@ -461,10 +480,21 @@ def f15(spark, sf):
     SELECT scenario_id, CASE WHEN skill_id = 'short_headway_following' THEN responder ELSE initiator END, skill_id, true FROM m WHERE skill_id <> 'chain_braking')
   SELECT scenario_id, track_id, skill_id, supervised, CASE WHEN n < 30 THEN 'history_too_short' END AS reason FROM s JOIN (SELECT scenario_id, track_id, count(*) FILTER (WHERE observed) AS n FROM st WHERE timestep <= 34 GROUP BY 1, 2) USING (scenario_id, track_id)""")
 def e05(spark, sf):
+    return samples_of(spark, sf, qualified(every_match(spark, sf)))
+
+
+def samples_of(spark, sf, matches):
     from roadsift.plans.training import training_samples
     focal = scene.actors(spark, sf).groupBy("scenario_id").agg(F.min("track_id").alias("track_id"))
     targets = fr.resolve_targets(scene.states(spark, sf), 34, 30)
-    return training_samples(focal, seed_records(qualified(every_match(spark, sf))), targets).select("scenario_id", "track_id", "skill_id", "supervised", "reason")
+    return training_samples(focal, seed_records(matches), targets).select("scenario_id", "track_id", "skill_id", "supervised", "reason")
+
+
+@query("E05b_training_samples_of_all_rules", f"""{BASE}, m AS ({SUPERVISED}), s AS (SELECT scenario_id, min(track_id) AS track_id, '<none>' AS skill_id, false AS supervised FROM ac GROUP BY 1 UNION ALL
+    SELECT scenario_id, CASE WHEN skill_id = 'short_headway_following' THEN responder ELSE initiator END, skill_id, true FROM m)
+  SELECT scenario_id, track_id, skill_id, supervised, CASE WHEN n < 30 THEN 'history_too_short' END AS reason FROM s JOIN (SELECT scenario_id, track_id, count(*) FILTER (WHERE observed) AS n FROM st WHERE timestep <= 34 GROUP BY 1, 2) USING (scenario_id, track_id)""")
+def e05b(spark, sf):
+    return samples_of(spark, sf, rule_matches(spark, sf))
 
 
 @query("E04_augmentation_arms", f"""WITH {DC}, b1 AS (SELECT * FROM dc WHERE first_failed_stage IS NULL QUALIFY row_number() OVER (PARTITION BY skill_id, scenario_id ORDER BY quality_score DESC, scenario_id, candidate_index, candidate_id) <= 3),

@@ -9,6 +9,7 @@ from roadsift.functions import formulas as fm
 from roadsift.funnel import conditions as cn, frames as fr, risk as rk
 from roadsift.oracles import funnel_sql as fs
 from roadsift.plans import scene
+from roadsift.plans.geometry_queries import BEST_SQL, best_matches
 from roadsift.plans.registry import query
 
 R = fm.rounded
@@ -546,6 +547,11 @@ def v01(spark, sf):
     return hits.selectExpr("scenario_id", "skill_id", "exists(map_values(measured), v -> v IS NOT NULL) AS passed")
 
 
+@query("V01b_structural_condition_of_all_rules", f"SELECT scenario_id, skill_id, true AS passed FROM ({BEST_SQL})")
+def v01b(spark, sf):
+    return best_matches(spark, sf).selectExpr("scenario_id", "skill_id", "exists(map_values(measured), v -> v IS NOT NULL) AS passed")
+
+
 LANE_OF = "lo AS (SELECT tk.candidate_id, al.lane AS pid FROM tk JOIN al ON al.scenario_id = tk.scenario_id AND al.track_id = tk.b WHERE al.lane IS NOT NULL)"
 
 

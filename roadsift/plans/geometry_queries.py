@@ -217,25 +217,64 @@ def every_match(spark, sf):
     return s.raw_matches()
 
 
+def rule_matches(spark, sf):
+    """Every qualified match of every rule of the catalog, written once for the queries over it."""
+    return scene.once(spark, sf, "rule-matches", lambda: qualified(Scene(scene.states(spark, sf), scene.roads(spark, sf), list(RULES.values()), scene.actors(spark, sf)).raw_matches()))
+
+
+def best_matches(spark, sf):
+    """The best match of every rule and scenario."""
+    return scene.once(spark, sf, "best-matches", lambda: detect(scene.states(spark, sf), scene.roads(spark, sf), list(RULES.values()), 1, scene.actors(spark, sf)))
+
+
+def rule_sqls(limit: bool) -> list[str]:
+    made = rs.build()
+    return [f"SELECT * FROM ({rs.finish(made[k], k, ' '.join(rule.required_tracks), limit)})" for k, rule in RULES.items()]
+
+
+EVERY_SQL, BEST_SQL = (" UNION ALL ".join(rule_sqls(limit)) for limit in (False, True))
+
+
 CHECKED = ("lead_hard_brake", "crossing_path_conflict", "short_headway_following", "chain_braking")
 CHECKED_SQL = " UNION ALL ".join(f"SELECT * FROM ({rs.finish(rs.build()[k], k, 'vehicle', False)})" for k in CHECKED)
 
 
 @query("F11_distinct_roles", f"SELECT skill_id, count(*) AS matches, count(*) FILTER (WHERE initiator = responder OR extra IN (initiator, responder)) AS repeated FROM ({CHECKED_SQL}) GROUP BY 1")
 def f11(spark, sf):
+    return distinct_roles(qualified(every_match(spark, sf)))
+
+
+def distinct_roles(matches):
     ids = "array_compact(array(initiator, responder, extra))"
-    return qualified(every_match(spark, sf)).groupBy("skill_id").agg(F.count("*").alias("matches"), F.expr(f"count_if(size(array_distinct({ids})) < size({ids}))").alias("repeated"))
+    return matches.groupBy("skill_id").agg(F.count("*").alias("matches"), F.expr(f"count_if(size(array_distinct({ids})) < size({ids}))").alias("repeated"))
+
+
+@query("F11b_distinct_roles_of_all_rules", f"SELECT skill_id, count(*) AS matches, count(*) FILTER (WHERE initiator = responder OR coalesce(extra IN (initiator, responder), false)) AS repeated FROM ({EVERY_SQL}) GROUP BY 1")
+def f11b(spark, sf):
+    return distinct_roles(rule_matches(spark, sf))
 
 
 @query("F12_threshold_evidence", f"SELECT skill_id, n AS checks, CAST(0 AS BIGINT) AS failing FROM (SELECT skill_id, count(*) * CASE skill_id WHEN 'chain_braking' THEN 4 ELSE 3 END AS n FROM ({CHECKED_SQL}) GROUP BY 1)")
 def f12(spark, sf):
+    return threshold_evidence(spark, qualified(every_match(spark, sf)))
+
+
+def threshold_evidence(spark, matches):
     from roadsift.rules.catalog import thresholds_table
-    seen = qualified(every_match(spark, sf)).selectExpr("scenario_id", "skill_id", "initiator", "explode(measured) AS (name, value)")
+    seen = matches.selectExpr("scenario_id", "skill_id", "initiator", "explode(measured) AS (name, value)")
     limit = F.broadcast(thresholds_table(spark).withColumnRenamed("value", "bound"))      # fixed catalog of under 200 rows
     bad = "NOT coalesce(IF(name LIKE 'minimum%', value >= bound, value <= bound), false)"
     return seen.join(limit, ["skill_id", "name"], "left").groupBy("skill_id").agg(F.count("*").alias("checks"), F.expr(f"count_if({bad})").alias("failing"))
 
 
+EVIDENCE = "CASE skill_id " + " ".join(f"WHEN '{k}' THEN {len(rule.thresholds)}" for k, rule in RULES.items()) + " END"
+
+
+@query("F12b_threshold_evidence_of_all_rules", f"SELECT skill_id, count(*) * {EVIDENCE} AS checks, CAST(0 AS BIGINT) AS failing FROM ({EVERY_SQL}) GROUP BY 1")
+def f12b(spark, sf):
+    return threshold_evidence(spark, rule_matches(spark, sf))
+
+
 LANE_SEQ = f"""ls AS (SELECT scenario_id, track_id, timestep, lane FROM (
     SELECT s.scenario_id, s.track_id, s.timestep, s.pid AS lane, min({fm.norm('x - (x1 + f * (x2 - x1))', 'y - (y1 + f * (y2 - y1))')}) AS d
     FROM (SELECT st.*, sg.pid, sg.x1, sg.y1, sg.x2, sg.y2, {fm.seg_fraction('x', 'y', 'sg.x1', 'sg.y1', 'sg.x2', 'sg.y2')} AS f FROM st, seg sg WHERE sg.ptype = 'lane_centerline') s GROUP BY ALL)
@@ -268,10 +307,21 @@ ROLE_SQL = f"""WITH m AS ({rs.finish(rs.build()['chain_braking'], 'chain_braking
 
 @query("F16_role_contract", ROLE_SQL)
 def f16(spark, sf):
+    return roles_held(spark, sf, detect(scene.states(spark, sf), scene.roads(spark, sf), [RULES["chain_braking"]], 1, scene.actors(spark, sf)))
+
+
+def roles_held(spark, sf, matches):
     from roadsift.rules.detector import seed_records
     from roadsift.operators.audits import role_contract
-    seeds = seed_records(detect(scene.states(spark, sf), scene.roads(spark, sf), [RULES["chain_braking"]], 1, scene.actors(spark, sf)))
-    return role_contract(seeds, scene.states(spark, sf).select("scenario_id", "track_id").distinct())
+    return role_contract(seed_records(matches), scene.states(spark, sf).select("scenario_id", "track_id").distinct())
+
+
+ROLE_COUNT = "CASE skill_id " + " ".join(f"WHEN '{k}' THEN {len(rule.roles)}" for k, rule in RULES.items()) + " END"
+
+
+@query("F16b_role_contract_of_all_rules", f"SELECT scenario_id, skill_id, CAST({ROLE_COUNT} AS BIGINT) AS roles, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unknown_tracks FROM ({BEST_SQL})")
+def f16b(spark, sf):
+    return roles_held(spark, sf, best_matches(spark, sf))
 
 
 POINTS_SQL = "(VALUES " + ", ".join(f"('{p}', {i}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for p, v in ROADS.items() for i, (x, y) in enumerate(v[-1])) + ") AS pts(pid, i, x, y)"

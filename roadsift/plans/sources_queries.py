@@ -10,6 +10,7 @@ from roadsift import adapters as ad
 from roadsift.functions import formulas as fm
 from roadsift.oracles import rules_sql as rs
 from roadsift.plans import scene
+from roadsift.plans.geometry_queries import BEST_SQL
 from roadsift.plans.registry import query
 from roadsift.plans.seeds_queries import DC, MF, SR
 from roadsift.plans.tracks_queries import BASE, r, show
@@ -149,3 +150,9 @@ def s12(spark, sf):
 def x01(spark, sf):
     out = scan.run(spark, raw_files(spark, sf), scene.roads(spark, sf), folder(spark, "scan"), [RULES["slow_lead_blockage"]], files_per_batch=1000)
     return spark.read.parquet(out).selectExpr("scenario_id", "skill_id", "initiator", "responder", "extra", f"{R('score')} AS score", "risk_metric", f"{R('risk_value')} AS risk_value")
+
+
+@query("X01b_incremental_scan_of_all_rules", BEST_SQL)
+def x01b(spark, sf):
+    out = scan.run(spark, raw_files(spark, sf), scene.roads(spark, sf), folder(spark, "scan"), list(RULES.values()), files_per_batch=1000)
+    return spark.read.parquet(out).selectExpr("scenario_id", "skill_id", "initiator", "responder", "extra", f"{R('score')} AS score", "risk_metric", f"{R('risk_value')} AS risk_value")

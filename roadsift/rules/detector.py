@@ -144,6 +144,7 @@ class Scene:
                 on = ln.project_on(points.where("polyline_id IS NOT NULL"), self.segs, ["a", "b"])
                 pairs = pairs.join(on.selectExpr(*key, "distance AS conflict_to_lane"), key, "left")
             if "conflict_place" in needs:
+                points = points.drop("polyline_id")            # the lane of conflict_lane, not the area
                 walk, area = (self.polylines.where(F.col("polyline_type") == t) for t in ("pedestrian_crossing", "drivable_area"))
                 near = ln.nearest_distance(points, ln.segments(walk), ["a", "b"], 20.0).withColumnRenamed("distance", "walk")
                 zero = ln.points_in_areas(points, walk, ["a", "b"]).withColumn("on_walk", F.lit(True))
