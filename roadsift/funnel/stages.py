@@ -49,6 +49,21 @@ def history_changes(source: DataFrame, generated: DataFrame, keys: list[str], ta
         "allowed", F.expr(f"{target} AND timestep > {anchor}"))
 
 
+def history_stage(candidates: DataFrame, states: DataFrame, anchor: int) -> DataFrame:
+    """Only the target's future may differ from the record; a candidate has one target.
+
+    A candidate stores the frames it sets (of its target ``a``, or of the track in a column track_id); all others are the record's own.
+    """
+    own = candidates if "track_id" in candidates.columns else candidates.withColumn("track_id", F.col("a"))
+    cols = [c for c in ("x", "y", "vx", "vy", "heading", "observed") if c in candidates.columns]
+    source = states.select("scenario_id", "track_id", "timestep", *[F.col(c).alias(f"s_{c}") for c in cols], F.lit(True).alias("in_s"))
+    fixed = own.where(f"NOT (track_id <=> a AND timestep > {anchor})").join(source, ["scenario_id", "track_id", "timestep"], "left")
+    same = " AND ".join(["coalesce(in_s, false)", *[f"({c} <=> s_{c})" for c in cols]])
+    changed = fixed.where(f"NOT ({same})").select("candidate_id").distinct().withColumn("changed", F.lit(True))
+    targets = candidates.groupBy("candidate_id").agg(F.expr("min(struct(scenario_id, a)) <=> max(struct(scenario_id, a))").alias("one"))
+    return targets.join(changed, "candidate_id", "left").selectExpr("candidate_id", "IF(changed OR NOT one, 'history_changed', NULL) AS reason")
+
+
 def kinematics(overlay_source: DataFrame, kinds: DataFrame) -> DataFrame:
     """Maxima of the candidate's motion against the limits of its class (relative tolerance 1e-9)."""
     joined = overlay_source.join(kinds, "candidate_id")

@@ -343,6 +343,21 @@ def t03(spark, sf):
     return k.withColumn("n", F.row_number().over(w)).where("n <= 2").selectExpr("candidate_id", f"{R('score', 4)} AS score")
 
 
+EXCESS = " + ".join(f"greatest(t6.{n} - l{i + 1}, 0) / l{i + 1}" for i, n in enumerate(sg.LIMIT_NAMES))
+#: The futures as they are, without the slowing of K03.
+KPLAIN = KTURN.replace("0.05::DOUBLE", "1.0::DOUBLE")
+
+
+@query("T03b_ranking_by_all_limits", f"""{BASE}, {KPLAIN}, sck AS (SELECT candidate_id, a, candidate_index, {EXCESS} AS score FROM tk JOIN t6 USING (candidate_id) JOIN t7 USING (object_type))
+  SELECT candidate_id, {R('score', 4)} AS score FROM sck QUALIFY row_number() OVER (PARTITION BY a ORDER BY score > 0, round(score, 4), candidate_index) <= 2""")
+def t03b(spark, sf):
+    k = sg.kinematics(kin_source(spark, sf), kinds(spark, sf)).join(typed(spark, sf), "candidate_id").where(F.col("object_type").isin(list(sg.LIMITS)))
+    part = lambda n, i: f"greatest({n} - ({sg._by_type(sg.LIMITS, i)}), 0D) / ({sg._by_type(sg.LIMITS, i)})"
+    k = k.withColumn("score", F.expr(" + ".join(part(n, i) for i, n in enumerate(sg.LIMIT_NAMES))))
+    w = fr.Window.partitionBy("a").orderBy(F.expr("score > 0"), F.expr("round(score, 4)"), "candidate_index")
+    return k.withColumn("n", F.row_number().over(w)).where("n <= 2").selectExpr("candidate_id", f"{R('score', 4)} AS score")
+
+
 @query("T04_chunked_top_k", f"{BASE}, {KSQL} SELECT candidate_id, {R('mean_speed', 4)} AS mean_speed FROM tk JOIN km USING (candidate_id) QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY round(mean_speed, 4) DESC, candidate_id) <= 5")
 def t04(spark, sf):
     k = frm.future_kinematics(kin_source(spark, sf), "candidate_id").groupBy("candidate_id").agg(F.avg("speed").alias("mean_speed")).join(typed(spark, sf), "candidate_id")
@@ -533,7 +548,8 @@ def k11(spark, sf):
 def k12(spark, sf):
     only = lambda stage: lambda alive: stage(spark, sf).join(alive, "candidate_id", "left_semi")
     kin = lambda s, f: sg.kinematics(kin_source(s, f), kinds(s, f))
-    names = [("schema_finite", only(k01)), ("kinematics", only(kin)), ("map", only(k06)), ("collision", only(k07)), ("target_risk", only(k08)),
+    history = lambda s, f: sg.history_stage(scene.candidates(s, f), scene.states(s, f), ANCHOR)
+    names = [("schema_finite", only(k01)), ("history_invariants", only(history)), ("kinematics", only(kin)), ("map", only(k06)), ("collision", only(k07)), ("target_risk", only(k08)),
              ("skill_trigger", only(triggered)), ("parameter_realization", only(k10)), ("diversity", lambda alive: dv.greedy(survivors(spark, sf, alive)))]
     return sg.run_funnel(typed(spark, sf), names)
 
