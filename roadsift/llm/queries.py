@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadsift.llm import chat, dedup, fingerprints, language, neighbours, packing, secrets, segmentation, tokens, toxicity
+from roadsift.llm import chat, dedup, fingerprints, language, lexical, neighbours, packing, periods, secrets, segmentation, substrings, tokens, toxicity
 from roadsift.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,87 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = F.concat(F.array("score"), F.transform("others", lambda o: o["score"]))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("score").alias("best_score"), F.array_join(scores.cast("array<string>"), ",").alias("scores"),
                         F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"), F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+SEARCH_SQL = r"""
+WITH w AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+  p AS (SELECT r, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+  d AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY r),
+  s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+  i AS (SELECT item_id, unnest(regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark GROUP BY item_id),
+  q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+  t AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+  c AS (SELECT item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM q JOIN t USING (term) JOIN p USING (term) JOIN d USING (r), s GROUP BY item_id, r, doc_id),
+  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+  w AS (SELECT r, doc_id, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i, h FROM d),
+  x AS (SELECT r, doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM w),
+  m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY s HAVING min(doc_id) < max(doc_id)),
+  c AS (SELECT r, i FROM x JOIN m USING (s) WHERE least < doc_id),
+  e AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM c),
+  g AS (SELECT r, i, count(*) FILTER (gap IS NULL OR gap > 50) OVER (PARTITION BY r ORDER BY i) AS k FROM e),
+  u AS (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY r, k),
+  v AS (SELECT r, sum(b - a) AS removed, count(*) AS spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM u GROUP BY r),
+  z AS (SELECT d.*, removed, spans, list_transform(range(0, len(starts) + 1), lambda j: substring(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE ends[j] END) + 1, 2 * ((CASE WHEN j = len(starts) THEN length(h) // 2 ELSE starts[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE ends[j] END)))) AS rest FROM d LEFT JOIN v USING (r))
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN rest IS NULL THEN h ELSE array_to_string(rest, '') END)) AS kept_sha256 FROM z"""
+
+
+@query("op12_repeated_substrings", REPEATS_SQL)
+def repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: crc32 of the id's digits: one step for each of their bits, the first one of a digit takes its code in.
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
+PERIODS_SQL = f"""
+WITH w0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC} AS h FROM documents),
+  w1 AS (SELECT *, len(w) AS n, h // 10 AS g FROM w0),
+  w2 AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM w1),
+  w3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w2),
+  d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM w3),
+  x AS (SELECT r, i, array_to_string(w[i + 1:i + 16], ' ') AS gram FROM (SELECT r, w, unnest(range(0, greatest(n - 15, 0))) AS i FROM d)),
+  y AS (SELECT r, i, dense_rank() OVER (ORDER BY gram) AS k FROM x),
+  l AS (SELECT s.r, s.i, t.i - s.i AS q FROM y s JOIN y t ON s.r = t.r AND s.k = t.k AND t.i > s.i),
+  o AS (SELECT r, q, min(i) AS start, count(*) + 15 + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS grp FROM l) GROUP BY r, q, grp),
+  u AS (SELECT r, start, length, min(q) AS period FROM o WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+  s AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM u GROUP BY r),
+  b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+  gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+  kept AS (SELECT v.r, string_agg(word, ' ' ORDER BY v.i) AS words FROM (SELECT r, unnest(w) AS word, unnest(range(0, n)) AS i FROM d WHERE r IN (SELECT r FROM u)) v LEFT JOIN gone ON gone.r = v.r AND gone.i = v.i WHERE gone.r IS NULL GROUP BY v.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, CAST(floor(1000 * b.length / b.period) AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(words, array_to_string(w, ' '))) AS collapsed_sha256
+FROM d LEFT JOIN s USING (r) LEFT JOIN b USING (r) LEFT JOIN kept USING (r)"""
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Texts of which a tenth (by crc32 of the id) repeat their words from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    named = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)).alias("w"), g.alias("g"))
+    n, a = F.size("w"), F.pmod("g", F.size("w"))
+    placed = named.withColumn("a", F.when(n > 0, a)).withColumn("p", F.floor(1 + (n - F.col("a")) / (3 + F.pmod("g", F.lit(8)))))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int")
+    made = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", place(i))), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs", PERIODS_SQL)
+def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(with_periods(documents(spark, sf_dir)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.col("strongest")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+                        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
