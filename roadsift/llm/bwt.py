@@ -43,20 +43,31 @@ class _Least:
         return out
 
 
-def _read(path: str, start: int, n: int, kind=np.uint8) -> np.ndarray:
-    return np.fromfile(path, kind, n, offset=start * np.dtype(kind).itemsize)
+def _read(file, n: int) -> np.ndarray:
+    """The next n bytes of an unbuffered file."""
+    out = np.empty(n, np.uint8)
+    view, have = memoryview(out), 0
+    while have < n:
+        have += file.readinto(view[have:])
+    return out
+
+
+def _append(file, values: np.ndarray) -> None:
+    view = memoryview(values)
+    while len(view):
+        view = view[file.write(view):]
 
 
 class Collection:
     """The transform of ``strings`` (bytes without 0xff), each shorter than 255, in files under ``folder``."""
 
     def __init__(self, strings: list[bytes], folder: str, most: int, piece: int = PIECE):
-        self.n, self.most, self.piece, self.folder, self.turn = len(strings), most, piece, folder, 0
+        self.n, self.most, self.piece, self.folder = len(strings), most, piece, folder
+        self.files, self.turn, self.size = [[open(os.path.join(folder, f"{name}-{i}"), "w+b", buffering=0) for name in ("symbol", "common")] for i in range(2)], 0, 0
         self.length = np.array([len(s) for s in strings], np.int64)
         text = np.frombuffer(b"".join(strings), np.uint8)
         end = np.cumsum(self.length)
         self.count = np.zeros(256, np.int64)  # suffixes by the symbol before them; 0: nothing before
-        self.size = self.n
         place, who = np.arange(self.n), np.arange(self.n)
         symbol = np.zeros(self.n, np.uint8)
         symbol[self.length > 0] = text[end[self.length > 0] - 1] + 1
@@ -70,9 +81,6 @@ class Collection:
             self._write(place, symbol, common, old, patch)
             self.count += np.bincount(symbol, minlength=256)
 
-    def _path(self, name: str, turn: int | None = None) -> str:
-        return os.path.join(self.folder, f"{name}-{self.turn % 2 if turn is None else turn % 2}")
-
     def _heads(self) -> np.ndarray:
         """Where the suffixes that begin with each symbol start."""
         heads = np.zeros(256, np.int64)
@@ -82,9 +90,11 @@ class Collection:
         return heads
 
     def _pieces(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        one, other = self.files[self.turn % 2]
+        one.seek(0), other.seek(0)
         for start in range(0, self.size, self.piece):
             n = min(self.piece, self.size - start)
-            yield start, _read(self._path("symbol"), start, n), _read(self._path("common"), start, n)
+            yield start, _read(one, n), _read(other, n)
 
     def _places(self, place: np.ndarray, who: np.ndarray):
         """Places, strings and common prefixes of the suffixes that are one longer, in order; and the corrections of others."""
@@ -138,26 +148,28 @@ class Collection:
 
     def _write(self, place: np.ndarray, symbol: np.ndarray, common: np.ndarray, old: np.ndarray, patch: np.ndarray) -> None:
         """Both files with new suffixes at ``place`` (of the new files); ``old`` ones get the common prefix ``patch``."""
-        size, taken = (self.size if self.turn else 0) + len(place), 0
-        with open(self._path("symbol", self.turn + 1), "wb") as one, open(self._path("common", self.turn + 1), "wb") as other:
-            for start in range(0, size, self.piece):
-                n = min(self.piece, size - start)
-                a, b = np.searchsorted(place, (start, start + n))
-                rest = np.ones(n, bool)
-                rest[place[a:b] - start] = False
-                k = n - (b - a)
-                for file, name, values in ((one, "symbol", symbol), (other, "common", common)):
-                    made = np.empty(n, np.uint8)
-                    made[~rest] = values[a:b]
-                    if k:
-                        made[rest] = _read(self._path(name), taken, k)
-                    if name == "common":
-                        c, d = np.searchsorted(old, (start, start + n))
-                        made[old[c:d] - start] = patch[c:d]
-                    made.tofile(file)
-                taken += k
-        self.turn += 1
-        self.size = size
+        size = self.size + len(place)
+        before, after = self.files[self.turn % 2], self.files[(self.turn + 1) % 2]
+        for file in (*before, *after):
+            file.seek(0)
+        for start in range(0, size, self.piece):
+            n = min(self.piece, size - start)
+            a, b = np.searchsorted(place, (start, start + n))
+            rest = np.ones(n, bool)
+            rest[place[a:b] - start] = False
+            for source, target, values in zip(before, after, (symbol, common)):
+                made = np.empty(n, np.uint8)
+                made[~rest] = values[a:b]
+                made[rest] = _read(source, n - (b - a))
+                if values is common:
+                    c, d = np.searchsorted(old, (start, start + n))
+                    made[old[c:d] - start] = patch[c:d]
+                _append(target, made)
+        self.turn, self.size = self.turn + 1, size
+
+    def close(self) -> None:
+        for file in (*self.files[0], *self.files[1]):
+            file.close()
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string, start, group) of every suffix of ``most`` bytes and more; equal groups have their first ``most`` bytes in common."""

@@ -43,7 +43,8 @@ from roadsift.llm.common import blocks, materialize, slim
 LENGTH, GRAM = 50, 16
 #: Characters of a block; bytes of text for each part.
 BLOCK, PART = 1_000_000, 24_000_000
-PARTS = 16
+#: Fewest parts.
+PARTS = 4
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -163,9 +164,10 @@ def _each(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _by_part(df: DataFrame, make, schema: str) -> DataFrame:
+def _by_part(df: DataFrame, parts: int, make, schema: str) -> DataFrame:
+    """``make`` turns all rows of a part into rows. Parts are few bytes and much work: tasks as many as parts."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return df.groupBy("part").applyInArrow(lambda table: pa.Table.from_pylist(make(table.to_pylist()), schema=arrow), schema)
+    return df.repartition(2 * parts, "part").groupBy("part").applyInArrow(lambda table: pa.Table.from_pylist(make(table.to_pylist()), schema=arrow), schema)
 
 
 def shared_keys(table: DataFrame, parts: int, length: int) -> DataFrame:
@@ -183,7 +185,7 @@ def shared_keys(table: DataFrame, parts: int, length: int) -> DataFrame:
         found = np.split(times[place] > 1, np.cumsum([len(k) for k in keys])[:-1])
         return [{"part": r["part"], "block": r["block"], "bits": np.packbits(f).tobytes()} for r, f in zip(rows, found)]
 
-    return _by_part(_each(table, send, "part int, block long, keys binary, several binary"), answer, "part int, block long, bits binary")
+    return _by_part(_each(table, send, "part int, block long, keys binary, several binary"), parts, answer, "part int, block long, bits binary")
 
 
 def smallest_ids(strings: list[bytes], keys: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
@@ -195,7 +197,9 @@ def smallest_ids(strings: list[bytes], keys: np.ndarray, ids: np.ndarray, length
     among = np.flatnonzero(times[place] > 1)
     if len(among):
         with tempfile.TemporaryDirectory() as folder:
-            string, start, group = Collection([strings[i] for i in among], folder, length).windows()
+            made = Collection([strings[i] for i in among], folder, length)
+            string, start, group = made.windows()
+            made.close()
         string = among[string]
         _, group = np.unique(group, return_inverse=True)
         lowest = np.full(group.max() + 1, np.iinfo(np.int64).max)
@@ -242,7 +246,7 @@ def window_ids(joined: DataFrame, parts: int, length: int) -> DataFrame:
         return out
 
     sent = _each(joined, send, "part int, block long, data binary, sizes binary, keys binary, ids binary")
-    return _by_part(sent, answer, "part int, block long, runs binary, sizes binary, least binary")
+    return _by_part(sent, parts, answer, "part int, block long, runs binary, sizes binary, least binary")
 
 
 def removals(joined: DataFrame, parts: int, length: int, id_type: str) -> DataFrame:
