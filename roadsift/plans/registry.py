@@ -29,5 +29,5 @@ def load() -> None:
     """Import every query module once."""
     if not QUERIES:
         import importlib
-        for module in ("rules", "tracks", "geometry", "seeds", "delivery", "evaluation", "funnel", "sources"):
+        for module in ("rules", "tracks", "geometry", "seeds", "delivery", "evaluation", "funnel", "ruled", "sources"):
             importlib.import_module(f"roadsift.plans.{module}_queries")
