@@ -153,8 +153,8 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPEATS_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-  w AS (SELECT r, doc_id, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i, h FROM d),
-  x AS (SELECT r, doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM w),
+  b AS (SELECT r, doc_id, a, substring(h, 2 * a + 1, 2 * 249) AS part FROM (SELECT r, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 200)) AS a FROM d)),
+  x AS (SELECT r, doc_id, a + j AS i, substring(part, 2 * j + 1, 100) AS s FROM (SELECT r, doc_id, a, part, unnest(range(0, length(part) // 2 - 49)) AS j FROM b)),
   m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY s HAVING min(doc_id) < max(doc_id)),
   c AS (SELECT r, i FROM x JOIN m USING (s) WHERE least < doc_id),
   e AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM c),
