@@ -211,7 +211,7 @@ def smallest_ids(strings: list[bytes], keys: np.ndarray, ids: np.ndarray, length
 def window_ids(joined: DataFrame, parts: int, length: int) -> DataFrame:
     """part, block, runs, sizes, least: for each string that the block sent, runs of windows with their smallest id."""
     def send(row):
-        found, *_ = Block(row["ids"], row["sizes"], row["data"], length).shared(parts, [(a["part"], a["bits"]) for a in row["answers"]])
+        found, *_ = Block(row["ids"], row["sizes"], row["data"], length).shared(parts, [(a["part"], a["bits"]) for a in row["answers"] or []])
         return [{"part": p, "block": row["block"], "data": zstandard.ZstdCompressor(3).compress(b"".join(strings)), "sizes": np.array([len(s) for s in strings], np.uint8).tobytes(), "keys": key.tobytes(), "ids": _pack(least)}
                 for p, strings, key, least in found]
 
@@ -295,6 +295,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answers = materialize(shared_keys(table, parts, length), "shared_keys")
     bits = answers.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
     joined = table.join(bits.hint("merge"), "block", "left")
-    found = window_ids(joined.where("answers IS NOT NULL"), parts, length).groupBy("block").agg(F.collect_list(F.struct("part", "runs", "sizes", "least")).alias("windows"))
+    found = window_ids(joined, parts, length).groupBy("block").agg(F.collect_list(F.struct("part", "runs", "sizes", "least")).alias("windows"))
     return removals(joined.join(found.hint("merge"), "block", "left"), parts, length, id_type)
 
