@@ -13,8 +13,8 @@ Rows are blocks of about a million characters of documents, written once (column
 1. Each block sends the distinct hashes of its strings to their parts; a bit comes back for each: does any other
    document have it? A passage that half of all documents share is one entry for each block.
 2. Strings whose hash is shared go to the part, equal ones of a block once with their smallest id. The part puts equal
-   strings together. Those that share their hash with a different string enter the construction; one that doesn't can
-   only meet itself. Suffixes with ``length`` common bytes give each window's smallest id.
+   strings together. Those that share their hash, and the bytes at one side of it, with a different string enter the
+   construction; one that doesn't can only meet itself. Suffixes with ``length`` common bytes give each window's smallest id.
 3. The smallest ids come back to the blocks, which mark each window whose id is smaller than its document's.
 
 Blocks and answers are joined on the number of the block. Scratch files of a construction belong to one attempt of one
@@ -188,13 +188,51 @@ def shared_keys(table: DataFrame, parts: int, length: int) -> DataFrame:
     return _by_part(_each(table, send, "part int, block long, keys binary, several binary"), parts, answer, "part int, block long, bits binary")
 
 
+def accompanied(strings: list[bytes], keys: np.ndarray, length: int) -> np.ndarray:
+    """Strings that may share a window with another one.
+
+    A window that two strings share holds their smallest gram, and at one side of it at least half of the window's other
+    bytes. So the other string has this gram with the same bytes to its left, or to its right."""
+    _, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[place] > 1)
+    out = np.zeros(len(strings), bool)
+    if not len(some):
+        return out
+    beside = (length - GRAM) // 2
+    end = np.cumsum([len(strings[i]) for i in some])
+    begin = np.append(0, end[:-1])
+    raw = np.frombuffer(b"".join([*(strings[i] for i in some), b"\0" * 8]), np.uint8)
+    lane = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    with np.errstate(over="ignore"):
+        gram = _mixed(lane[:-8] * _ODD[0] + lane[8:] * _ODD[1])
+        gram = np.append(gram, np.full(len(raw) - len(gram), np.uint64(0xFFFFFFFFFFFFFFFF)))
+        for k in range(1, GRAM):  # grams that reach into the next string
+            gram[end - k] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        lowest = np.minimum.reduceat(gram, begin)
+        owner = np.repeat(np.arange(len(some)), end - begin)
+        at = np.flatnonzero(gram[:len(owner)] == lowest[owner])
+        owner = owner[at]
+
+        def named(start):
+            code = np.zeros(len(start), np.uint64)
+            for k in range(0, GRAM + beside, 8):  # the last eight bytes overlap those before
+                code = _mixed(code * _ODD[0] + lane[start + min(k, GRAM + beside - 8)])
+            return code
+
+        left, right = at - beside >= begin[owner], at + GRAM + beside <= end[owner]
+        code = np.concatenate([named(at[left] - beside), named(at[right]) + np.uint64(1)])
+    who = np.concatenate([owner[left], owner[right]])
+    _, place, times = np.unique(code, return_inverse=True, return_counts=True)
+    out[some[who[times[place] > 1]]] = True
+    return out
+
+
 def smallest_ids(strings: list[bytes], keys: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """For all windows of all (distinct) strings, one after another: the smallest id of a string that holds it."""
     sizes = np.array([len(s) for s in strings], np.int64) - length + 1
     at = np.cumsum(sizes) - sizes
     least = np.repeat(ids, sizes)
-    _, place, times = np.unique(keys, return_inverse=True, return_counts=True)
-    among = np.flatnonzero(times[place] > 1)
+    among = np.flatnonzero(accompanied(strings, keys, length))
     if len(among):
         with tempfile.TemporaryDirectory() as folder:
             made = Collection([strings[i] for i in among], folder, length)
