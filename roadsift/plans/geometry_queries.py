@@ -13,7 +13,7 @@ from roadsift.plans.registry import query
 from roadsift.plans.tracks_queries import BASE, show, r
 from roadsift.rules import pair_rules as prules
 from roadsift.rules.catalog import RULES
-from roadsift.rules.detector import Scene, detect, qualified
+from roadsift.rules.detector import Scene, detect, qualified, top_matches
 
 R = fm.rounded
 PAIR = ["scenario_id", "a", "b"]
@@ -224,7 +224,7 @@ def rule_matches(spark, sf):
 
 def best_matches(spark, sf):
     """The best match of every rule and scenario."""
-    return scene.once(spark, sf, "best-matches", lambda: detect(scene.states(spark, sf), scene.roads(spark, sf), list(RULES.values()), 1, scene.actors(spark, sf)))
+    return scene.once(spark, sf, "best-matches", lambda: top_matches(rule_matches(spark, sf)))
 
 
 def rule_sqls(limit: bool) -> list[str]:

@@ -26,8 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    """Import every query module once."""
-    if not QUERIES:
-        import importlib
-        for module in ("rules", "tracks", "geometry", "seeds", "delivery", "evaluation", "funnel", "ruled", "sources"):
-            importlib.import_module(f"roadsift.plans.{module}_queries")
+    """Import every query module (each registers its queries when first imported)."""
+    import importlib
+    for module in ("rules", "tracks", "geometry", "seeds", "delivery", "evaluation", "funnel", "ruled", "sources"):
+        importlib.import_module(f"roadsift.plans.{module}_queries")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from roadsift.functions import formulas as fm
 from roadsift.operators import lanes as ln, pairs as pr, tracks as tr
-from roadsift.rules import pair_rules as prules
-from roadsift.rules.catalog import RULES, Rule
+from roadsift.rules import pair_rules as prules, triple_rules
+from roadsift.rules.catalog import CATALOG, RULES, Rule
 from roadsift.session import materialize
 from roadsift.rules.pair_rules import bounds, in_horizon, large, mean, risk, small
 
@@ -45,6 +45,7 @@ _SIDES = (("a", "b"), ("b", "a"))
 # longest first: the pieces of a longer relation must not be replaced inside it
 SHARED = sorted({f(*ab) for f in (pr.gap, pr.same_or_successor, pr.adjacent, pr.pair_ttc, pr.angle, pr.fwd, pr.lat) for ab in _SIDES}, key=len, reverse=True)
 BIT = {skill: 1 << i for i, skill in enumerate(RULES)}
+TRIPLE_RULES = tuple(r.skill_id for r in CATALOG if len(r.roles) == 3)
 
 
 def scan_actors(states: DataFrame, polylines: DataFrame) -> DataFrame:
@@ -59,6 +60,7 @@ class Scene:
     def __init__(self, states: DataFrame, polylines: DataFrame, rules: list[Rule], actors: DataFrame | None = None):
         self.states, self.polylines, self.rules = states, polylines, rules
         self.pair = prules.pair_rules(rules)
+        self.triples, self._wide = sum(r.skill_id in TRIPLE_RULES for r in self.rules), None
         self.needs = set().union(*[p.needs for p in self.pair.values()]) if self.pair else set()
         self.actors = scan_actors(states, polylines) if actors is None else actors
         self.segs = ln.segments(polylines.where("polyline_type = 'lane_centerline'"))
@@ -70,8 +72,11 @@ class Scene:
         return sum(BIT[s] for s in skills)
 
     def pairs(self, skills: list[str], full: DataFrame, needs: set[str], radius: float = pr.RADIUS) -> DataFrame:
-        """Gated near pairs with both actors' features."""
+        """Gated near pairs with both actors' features (those of several rules over three actors come without future frames)."""
         m = self.mask(*skills)
+        if self.triples > 1 and set(skills) <= set(TRIPLE_RULES):
+            near = "true" if radius > pr.RADIUS else f"dist <= {radius}"
+            return self.wide_pairs(full).where(f"(a_init_mask & {m}L) <> 0 AND (b_resp_mask & {m}L) <> 0 AND {near}")
         left, right = self.actors.where(f"(init_mask & {m}L) <> 0"), self.actors.where(f"(resp_mask & {m}L) <> 0")
         near = pr.near_pairs(left, right, radius)
         if radius > pr.RADIUS:  # lanes relate actors at any distance; the radius covers those without a lane, whose gaps are bounded
@@ -79,6 +84,23 @@ class Scene:
         drop = [c for c in ("past",) if not needs & {"past"}]
         return pr.attach(pr.attach(near, full.drop(*drop), "a"), full.drop(*drop), "b")
 
+    def wide_pairs(self, full: DataFrame) -> DataFrame:
+        """Pairs of all rules over three actors, written once: each rule reads its rows and columns. Frames of the future are
+        joined to what a rule keeps of them."""
+        if self._wide is None:
+            m = self.mask(*[r.skill_id for r in self.rules if r.skill_id in TRIPLE_RULES])
+            left, right = self.actors.where(f"(init_mask & {m}L) <> 0"), self.actors.where(f"(resp_mask & {m}L) <> 0")
+            near = pr.near_pairs(left, right, triple_rules.WIDE_RADIUS).unionByName(pr.related_pairs(left, right)).distinct()
+            slim = full.drop("past", "future")
+            self._wide = materialize(pr.attach(pr.attach(near, slim, "a"), slim, "b"), "wide-pairs")
+        return self._wide
+
+    def with_futures(self, pairs: DataFrame) -> DataFrame:
+        if "a_future" in pairs.columns:
+            return pairs
+        future = self.full_actors().select("scenario_id", "track_id", "future")
+        return pr.attach(pr.attach(pairs, future, "a"), future, "b")
+
     def frame_features(self, pairs: DataFrame, needs: set[str]) -> DataFrame:
         """Values over the frames of both actors; afterwards the frame arrays are no longer needed."""
         pairs = pairs.withColumn("shared_steps", F.expr("size(array_intersect(a_hist_frames, b_hist_frames))"))
@@ -100,6 +122,8 @@ class Scene:
     # --- optional pair features -------------------------------------------------------------
     def enrich(self, pairs: DataFrame, needs: set[str]) -> DataFrame:
         key = ["scenario_id", "a", "b"]
+        if needs & {"min_ttc", "min_dist"}:
+            pairs = self.with_futures(pairs)
         if "stop" in needs:
             r = RULES["lead_sudden_stop"]
             stop = tr.stop_metrics(self.states, r["stopped_speed_mps"], r["minimum_prior_speed_mps"])
@@ -241,7 +265,6 @@ class Scene:
         return out.withColumn("extra", F.lit(None).cast("string")).select(*MATCH)
 
     def triple_matches(self) -> list[DataFrame]:
-        from roadsift.rules import triple_rules
         return [fn(self) for skill, fn in triple_rules.TRIPLES.items() if skill in {r.skill_id for r in self.rules}]
 
     def raw_matches(self) -> DataFrame:
