@@ -151,7 +151,7 @@ LAYERS = (
     {"disc": "lin * lin - 4 * v2 * d2", "closing": "own_v - lead_v", "ux": f"CASE WHEN mn <= {fm.EPS} THEN cos(p_heading) ELSE mx / mn END", "uy": f"CASE WHEN mn <= {fm.EPS} THEN sin(p_heading) ELSE my / mn END", "dist": "sqrt(d2)", "s2": "sx * sx + sy * sy"},
     {"root": "sqrt(greatest(disc, 0D))", "along": f"CASE WHEN gap <= 0 THEN 0D WHEN closing > {fm.EPS} THEN gap / closing END", "sep": "ry * ux - rx * uy", "sep_v": "rvy * ux - rvx * uy", "radial": f"CASE WHEN dist > {fm.EPS} THEN 0 - (rvx * rx + rvy * ry) / dist END",
      "part": f"CASE WHEN s2 > {fm.EPS} THEN greatest(0D, least(1D, (0 - (rx * sx + ry * sy)) / s2)) ELSE 0D END"},
-    {"early": "(0 - lin - root) / (2 * v2)", "late": "(0 - lin + root) / (2 * v2)", "lateral": f"CASE WHEN abs(sep) <= {fm.EPS} THEN 0D WHEN abs(sep_v) > {fm.EPS} AND 0 - sep / sep_v >= 0 THEN 0 - sep / sep_v END",
+    {"early": f"CASE WHEN v2 > {fm.EPS} THEN (0 - lin - root) / (2 * v2) END", "late": f"CASE WHEN v2 > {fm.EPS} THEN (0 - lin + root) / (2 * v2) END", "lateral": f"CASE WHEN abs(sep) <= {fm.EPS} THEN 0D WHEN abs(sep_v) > {fm.EPS} AND 0 - sep / sep_v >= 0 THEN 0 - sep / sep_v END",
      "head_on": f"CASE WHEN dist <= {fm.EPS} THEN 0D WHEN radial > {fm.EPS} THEN dist / radial END"},
     {"hit": f"CASE WHEN NOT full_ THEN NULL WHEN d2 <= 0 THEN 0D WHEN v2 <= {fm.EPS} OR disc < -{fm.EPS} THEN NULL WHEN early >= -{fm.EPS} THEN greatest(0D, early) WHEN late >= -{fm.EPS} THEN greatest(0D, late) END"},
 )

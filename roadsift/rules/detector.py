@@ -122,6 +122,7 @@ class Scene:
     # --- optional pair features -------------------------------------------------------------
     def enrich(self, pairs: DataFrame, needs: set[str]) -> DataFrame:
         key = ["scenario_id", "a", "b"]
+        source = pairs  # features are made from the pairs as given, not from those that already carry others: plans stay short
         if needs & {"min_ttc", "min_dist"}:
             pairs = self.with_futures(pairs)
         if "stop" in needs:
@@ -141,21 +142,21 @@ class Scene:
         if "min_dist" in needs:
             pairs = pr.with_min_distance(pairs)
         if "traffic" in needs:
-            pairs = self._traffic(pairs)
+            pairs = self._traffic(pairs, source)
         for flag, x, y, name in (("on_lane", "a_x", "a_y", "at_lane"), ("end_on_lane", "a_end_x", "a_end_y", "end_on_lane")):
             if flag in needs:
-                pts = pairs.where("b_lane IS NOT NULL").selectExpr("scenario_id", "a", "b_lane AS polyline_id", f"{x} AS px", f"{y} AS py").distinct()
+                pts = source.where("b_lane IS NOT NULL").selectExpr("scenario_id", "a", "b_lane AS polyline_id", f"{x} AS px", f"{y} AS py").distinct()
                 hit = ln.project_on(pts, self.segs, ["a"]).selectExpr("scenario_id", "a", "polyline_id AS b_lane",
                                                                       f"distance AS {name}_dist", f"arc AS {name}_arc")
                 pairs = pairs.join(hit, ["scenario_id", "a", "b_lane"], "left")
         if "convergence" in needs:
-            pairs = self._convergence(pairs)
+            pairs = self._convergence(pairs, source)
         if "any_convergence" in needs:
             pairs = self._any_convergence(pairs)
         if "both" in needs:
-            pairs = self._shared_neighbour(pairs)
+            pairs = self._shared_neighbour(pairs, source)
         if "conflict" in needs:
-            hits = pairs.select(*key, "a_lane").join(pr.conflicts(self.actors), key)
+            hits = source.select(*key, "a_lane").join(pr.conflicts(self.actors), key)
             if needs & {"conflict_cross", "conflict_lane", "conflict_place"}:
                 hits = materialize(hits, "conflicts")          # read by up to five point queries below
             pairs = pairs.join(hits.drop("a_lane"), key, "left")
@@ -178,16 +179,16 @@ class Scene:
                          .withColumn("conflict_in_area", F.expr("coalesce(in_area, false)")))
         return pairs
 
-    def _traffic(self, pairs: DataFrame) -> DataFrame:
+    def _traffic(self, pairs: DataFrame, source: DataFrame) -> DataFrame:
         """Distance from b to its nearest adjacent vehicle other than a (only below the 8 m clearance bound matters)."""
         cars = self.actors.where("object_type IN ('vehicle', 'bus')").drop("past", "future", "hist_frames")
         near = pr.attach(pr.attach(pr.near_pairs(cars, cars, 8.0), cars, "a"), cars, "b").where(pr.adjacent("a", "b"))
         near = near.selectExpr("scenario_id", "a AS b", "b AS other", "dist AS other_dist")
-        best = (pairs.select("scenario_id", "a", "b").join(near, ["scenario_id", "b"]).where("other <> a")
+        best = (source.select("scenario_id", "a", "b").join(near, ["scenario_id", "b"]).where("other <> a")
                 .groupBy("scenario_id", "a", "b").agg(F.min("other_dist").alias("traffic_dist")))
         return pairs.join(best, ["scenario_id", "a", "b"], "left")
 
-    def _convergence(self, pairs: DataFrame) -> DataFrame:
+    def _convergence(self, pairs: DataFrame, source: DataFrame) -> DataFrame:
         """Best merge target of the pair, over all relations (one_*) and over two-source relations only (two_*)."""
         key = ["scenario_id", "a", "b"]
         rel = ("concat(transform(array_intersect(a_succ, b_succ), t -> struct(t AS target, 'two_sources' AS relation)), "
@@ -195,7 +196,7 @@ class Scene:
                "array(struct(b_lane AS target, 'first_feeds' AS relation)), array()), "
                "IF(array_contains(b_succ, a_lane) AND array_contains(a_pred, b_lane) AND size(array_distinct(a_pred)) >= 2, "
                "array(struct(a_lane AS target, 'second_feeds' AS relation)), array()))")
-        cand = pairs.where("a < b AND a_lane <> b_lane").selectExpr(*key, "a_lane", "b_lane", "a_x", "a_y", "a_heading", "b_x", "b_y", "b_heading", f"inline({rel})")
+        cand = source.where("a < b AND a_lane <> b_lane").selectExpr(*key, "a_lane", "b_lane", "a_x", "a_y", "a_heading", "b_x", "b_y", "b_heading", f"inline({rel})")
         lane = ln.lanes(self.polylines).selectExpr("scenario_id", "polyline_id AS target", "first_x AS x", "first_y AS y", "pred", "start_heading AS heading")
         hit = cand.join(lane, ["scenario_id", "target"]).where(
             "relation <> 'two_sources' OR (array_contains(pred, a_lane) AND array_contains(pred, b_lane))")
@@ -214,12 +215,12 @@ class Scene:
                   "WHEN array_contains(a_succ, b_lane) THEN b_lane WHEN array_contains(b_succ, a_lane) THEN a_lane END")
         return pairs.withColumn("any_target", F.expr(target)).join(lane, ["scenario_id", "any_target"], "left")
 
-    def _shared_neighbour(self, pairs: DataFrame) -> DataFrame:
+    def _shared_neighbour(self, pairs: DataFrame, source: DataFrame) -> DataFrame:
         """The lane lying between both actors' lanes, which side is left, and each actor's lateral offset to it."""
         key = ["scenario_id", "a", "b"]
         near = "array_compact(array({s}_left_id, {s}_right_id))"
         lane = ln.lanes(self.polylines).selectExpr("scenario_id", "polyline_id", "left_id AS t_left", "right_id AS t_right", "lane_length AS both_length")
-        cand = pairs.where("a < b AND a_lane <> b_lane").selectExpr(
+        cand = source.where("a < b AND a_lane <> b_lane").selectExpr(
             *key, "a_lane", "b_lane", "a_left_id", "a_right_id", "b_left_id", "b_right_id", "a_x", "a_y", "b_x", "b_y",
             f"array_min(array_intersect({near.format(s='a')}, {near.format(s='b')})) AS polyline_id")
         side = ("CASE WHEN a_right_id = polyline_id AND b_left_id = polyline_id AND t_left = a_lane AND t_right = b_lane THEN 'a' "

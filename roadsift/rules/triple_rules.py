@@ -163,7 +163,7 @@ def zipper(scene) -> DataFrame:
     sep, gap_max = rule["minimum_current_separation_m"], rule["maximum_competing_vehicle_gap_m"]
     full = scene.full_actors()
     p = scene.pairs([rule.skill_id], full, set())
-    p = scene._convergence(p).where("a < b AND two_x IS NOT NULL")
+    p = scene._convergence(p, p).where("a < b AND two_x IS NOT NULL")
     swap, decided = merge_swap("two_", True)
     pick = lambda c: [f"IF({swap}, b_{c}, a_{c}) AS m_{c}", f"IF({swap}, a_{c}, b_{c}) AS k_{c}"]
     p = p.where(decided).selectExpr("scenario_id", "two_x AS x", "two_y AS y", "two_target AS target", f"IF({swap}, b, a) AS m", f"IF({swap}, a, b) AS k",
