@@ -211,3 +211,29 @@ def test_queries_equal_sql(spark, sf_dir, name):
     names = [d[0] for d in rel.description]
     theirs = sorted(repr(tuple(row[names.index(x)] for x in cols)) for row in rel.fetchall())
     assert sorted(repr(tuple(r[x] for x in cols)) for r in df.collect()) == theirs and cols == sorted(names)
+
+
+def test_large_ids_beside_a_null_keep_their_rows(spark):
+    """Ids beyond 2 ** 53 fall into their own range although a null is in their batch."""
+    from roadsift.llm import fingerprints
+    rows = [(None, "no id here\nsecond line")] + [((1 << 60) + 2 * i + 1, f"text {i}\nline of {i}") for i in range(40)]
+    for parts in (1, 3):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted((r.doc_id or 0) for r in fingerprints.fingerprints(table).collect()) == sorted((d or 0) for d, _ in rows)
+
+
+def test_a_repeated_query_is_searched_once(spark):
+    from roadsift.llm import neighbours
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(40)]
+    table = spark.createDataFrame([*rows, rows[0]], "vec_id long, vector array<double>")
+    found = neighbours.nearest(table, F.col("vec_id") == 0, vector_col="vector").orderBy("rank").collect()
+    best = sorted(((sum(a * b for a, b in zip(rows[0][1], v)), -i) for i, v in rows[1:]), reverse=True)[:20]
+    assert [r.vec_id for r in found] == [-i for _, i in best] and [r["rank"] for r in found] == list(range(1, 21))
+
+
+def test_other_ways_of_a_word_depend_on_their_number():
+    from roadsift.llm import segmentation
+    one, other = segmentation.Model(segmentation.MODEL), segmentation.Model(segmentation.MODEL)
+    two = one.others("▁international", (), 2)
+    assert len(two) == 1 and one.others("▁international", (), 8) == other.others("▁international", (), 8) and len(other.others("▁international", (), 8)) == 7
