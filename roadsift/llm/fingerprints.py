@@ -21,7 +21,7 @@ import base64
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roadsift.llm.chars import mixed
@@ -194,15 +194,16 @@ def followed(docs: DataFrame) -> DataFrame:
     heads = [r[1] for r in docs.select("doc_id").repartitionByRange(parts, F.desc_nulls_last("doc_id")).groupBy(F.spark_partition_id()).agg(F.max("doc_id")).collect()]  # one id a range
     heads = sorted(h for h in heads if h is not None)
 
-    @F.pandas_udf("array<int>")
-    def targets(ids: pd.Series) -> pd.Series:
-        up = np.array(heads)
+    @F.arrow_udf("array<int>")
+    def targets(ids: pa.Array) -> pa.Array:
+        above = iter(np.searchsorted(np.array(heads), ids.drop_null().to_numpy(zero_copy_only=False)).tolist())
+
         def of(value):
-            if value is None or value != value:
-                return [0, 0] if not heads else [len(heads) - 1]
-            part = len(heads) - 1 - int(np.searchsorted(up, value))
+            if value is None:
+                return [len(heads) - 1] if heads else [0, 0]
+            part = len(heads) - 1 - next(above)
             return [part, (part - 1) % len(heads)] if heads[len(heads) - 1 - part] == value else [part]
-        return ids.map(of, na_action=None)
+        return pa.array([of(v) for v in ids.to_pylist()], pa.list_(pa.int32()))
 
     marked = docs.select("text", "doc_id", F.posexplode(targets("doc_id")).alias("copy", "part"))
     return marked.repartition(parts, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
