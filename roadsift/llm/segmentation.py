@@ -76,7 +76,7 @@ class Model:
             point = np.frombuffer(name.encode("utf-32-le"), np.uint32)
             self.together[self._pairs(point)] = True
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
-        self.known: dict[str, list] = {}
+        self.known: dict[tuple[str, int], list] = {}
         beginnings = sorted({(name[:k]) for name in self.pieces for k in range(1, len(name) + 1)})
         keys = np.array([self._key(x) for x in beginnings], np.uint64)
         order = np.argsort(keys)
@@ -136,14 +136,14 @@ class Model:
 
     def others(self, word: str, best: tuple[int, ...], n: int) -> list[tuple[int, tuple[int, ...]]]:
         """(loss, ids) of the next best segmentations of a word, best first."""
-        found = self.known.get(word)
+        found = self.known.get((word, n))
         if found is None:
             ways = self.n_best(word, n)
             found = [(ways[0][0] - s, ids) for s, ids in ways if ids != best][:n - 1]
             if len(word) <= KEPT_CHARS:
                 if len(self.known) >= KEPT:
                     self.known.clear()
-                self.known[word] = found
+                self.known[word, n] = found
         return found
 
     def edges(self, sums: np.ndarray, down: np.ndarray, point: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
