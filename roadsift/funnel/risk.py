@@ -65,9 +65,9 @@ def lateral_ttc(p: str, q: str) -> str:
 
 
 def square_distance(p: str, half: float = HALF) -> str:
-    """Distance of an actor to the axis-aligned conflict square around (px, py); zero inside."""
+    """Distance of an actor to the axis-aligned conflict square around (px, py); zero inside, NULL without a point or a position."""
     dx, dy = (f"greatest(abs({p}_{c} - p{c}) - {half}, CAST(0 AS DOUBLE))" for c in "xy")
-    return fm.norm(dx, dy)
+    return f"(CASE WHEN {p}_x IS NOT NULL AND px IS NOT NULL THEN {fm.norm(dx, dy)} END)"
 
 
 def inside_square(p: str, half: float = HALF) -> str:

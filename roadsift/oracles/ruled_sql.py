@@ -95,7 +95,7 @@ def risk() -> str:
           WHEN 'radial_ttc' THEN CASE WHEN sqrt(g2) <= 1e-9 THEN 0 WHEN radial > 1e-9 AND sqrt(g2) / radial <= left_s THEN sqrt(g2) / radial END
           WHEN 'lateral_ttc' THEN CASE WHEN abs(sep) <= 1e-9 THEN 0 WHEN abs(sv) > 1e-9 AND 0 - sep / sv >= 0 AND 0 - sep / sv <= left_s THEN 0 - sep / sv END
           WHEN 'clearance' THEN sqrt((rx + f * coalesce(nrx - rx, 0)) ** 2 + (ry + f * coalesce(nry - ry, 0)) ** 2)
-          WHEN 'area_margin' THEN sqrt(greatest(abs(x1 - px) - 2, 0) ** 2 + greatest(abs(y1 - py) - 2, 0) ** 2) END AS v FROM p3),
+          WHEN 'area_margin' THEN CASE WHEN x1 + px IS NOT NULL THEN sqrt(greatest(abs(x1 - px) - 2, 0) ** 2 + greatest(abs(y1 - py) - 2, 0) ** 2) END END AS v FROM p3),
     p5 AS (SELECT candidate_id, skill_id, any_value(metric) AS metric, any_value(low) AS low, any_value(high) AS high, calc, min(v) AS v, arg_min(label, (v, label)) FILTER (v IS NOT NULL) AS label, min(label) AS first_label, bool_or(sample) AS sampled, count(px) > 0 AS pointed, count(event) > 0 AS evented,
         coalesce(sum(ns - s) FILTER (sample AND abs(x1 - px) <= 2 AND abs(y1 - py) <= 2 AND abs(x2 - px) <= 2 AND abs(y2 - py) <= 2), 0) AS held, min(t) FILTER (ina AND NOT was_in) AS entry FROM p4 GROUP BY candidate_id, skill_id, calc),
     p6 AS (SELECT candidate_id, vx1 IS NOT NULL AND x2 IS NOT NULL AND vx2 IS NOT NULL AS seen, CASE WHEN hit <= left_s THEN hit END AS hit FROM p3 JOIN p5 USING (candidate_id) WHERE p5.calc = 'area_entry_ttc' AND t = entry),
