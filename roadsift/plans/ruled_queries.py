@@ -19,6 +19,10 @@ ANCHOR, LAST = ad.ANCHOR, ad.LAST
 
 def assigned(spark, sf):
     """Candidates with the rule they belong to (by id and index, so that all formal rules occur) and its columns."""
+    return scene.once(spark, sf, "assigned", lambda: assign(spark, sf))
+
+
+def assign(spark, sf):
     names = ", ".join(f"'{s}'" for s in ruled.FORMAL)
     t = typed(spark, sf).withColumn("skill_id", F.expr(f"array({names})[CAST((CAST(a AS BIGINT) + 11 * candidate_index) % {len(ruled.FORMAL)} AS INT)]"))
     t = t.join(F.broadcast(ruled.rules_table(spark)), "skill_id")
@@ -46,7 +50,7 @@ def seeds(spark, sf):
         d = d.join(lanes.withColumnsRenamed({"track_id": t, "lane": name}), ["scenario_id", t], "left")
     past = ruled.path_crossings(recorded(spark, sf)).where("gap <= 2.0").selectExpr("candidate_id", "cx AS seed_x", "cy AS seed_y")
     known = lambda c: F.when(F.col("mode") == "compatible_seed", F.col(c)).alias(c)
-    return d.join(past, "candidate_id", "left").select(*d.columns, known("seed_x"), known("seed_y"))
+    return scene.once(spark, sf, "seeds", lambda: d.join(past, "candidate_id", "left").select(*d.columns, known("seed_x"), known("seed_y")))
 
 
 def points(spark, sf):
