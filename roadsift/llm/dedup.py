@@ -7,10 +7,16 @@ at the threshold misses all of them with probability (1 - 0.85^6)^40 = 6e-9.
 
 Documents with equal sets are one class from the start, so copies cost one row. Buckets are never expanded into all
 pairs: in each of the ``STARS`` first rounds the members of a bucket are compared with two members of it, after which
-most buckets lie in one component and need nothing more. What remains, pairs of different components in one bucket, is
-compared in full, each in the first bucket that both share, so no link between components is lost to the stars.
-Candidates are screened by one bit of each signature value (a pair at the threshold falls below ``AGREEMENT`` with
-probability 3e-7) and then confirmed on the full sets made from their texts.
+most buckets lie in one component and need nothing more. The centre of the first round is the member that meets most
+others in its buckets: the text that a family of near copies goes back to.
+
+What remains, buckets of several components, is decided by differences to a common centre C. Of the differences between
+x and C, d(x) are shingles that no other class with this centre has, and r(x) are the rest. Two sets differ in at least
+d(x) + d(y) + |r(x) - r(y)| shingles, whatever C is, which refutes the pairs of a family that lie under the threshold.
+Classes with equal numbers of shingles, d and r form one cell of a bucket; cells are joined, not classes, and only cells
+that may hold a link between two components are expanded, so no link between components is lost. Pairs left are screened by one bit
+of each signature value (a pair at the threshold falls below ``AGREEMENT`` with probability 4.4e-6) and then confirmed
+on the full sets made from their texts.
 
 Without words, or with a null text, a document is linked with nothing. Documents of fewer than five words have their
 whole sequence as one shingle. Rows with equal ids are rows of their own with the same decision. A null id counts as no
@@ -119,8 +125,8 @@ def class_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_type:
     return found.groupBy("node").agg(F.min("text").alias("text"))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """a, b, linked: each pair compared on its full sets."""
+def confirm(pairs: DataFrame, texts: DataFrame, threshold: int, measure: bool = False) -> DataFrame:
+    """a, b, linked: each pair compared on its full sets. ``measure`` adds n_a, n_b, common and gained (the shingles of a alone)."""
     left = pairs.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
     whole = left.join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a").sortWithinPartitions("a")
 
@@ -130,9 +136,44 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             names.setdefault(a, text_a)
             names.setdefault(b, text_b)
         sets = dict(zip(names, shingle_sets(list(names.values()))))
-        return {"a": [r[2] for r in block], "b": [r[3] for r in block], "linked": [similar(sets[r[2]], sets[r[3]], threshold) for r in block]}
+        out = {"a": [r[2] for r in block], "b": [r[3] for r in block], "linked": [similar(sets[r[2]], sets[r[3]], threshold) for r in block]}
+        if measure:
+            gained = [np.setdiff1d(sets[r[2]], sets[r[3]], assume_unique=True) for r in block]
+            sizes = np.array([len(g) for g in gained])
+            out |= {"n_a": [len(sets[r[2]]) for r in block], "n_b": [len(sets[r[3]]) for r in block], "gained": ragged(np.concatenate(gained).view(np.int64), sizes, pa.int64())}
+            out["common"] = (np.array(out["n_a"]) - sizes).tolist()
+        return out
+
+    extra = ", n_a long, n_b long, common long, gained array<long>" if measure else ""
+    return map_rows(whole.withColumn("text_b", F.coalesce("text_b", F.lit(""))), ["text_a", "text_b", "a", "b"], make, f"a binary, b binary, linked boolean{extra}", PAIR_CHARS)
+
+
+def differences(spokes: DataFrame) -> DataFrame:
+    """node, centre, n, own (shingles that no other class with this centre has), rest (other differences to the centre)."""
+    once = spokes.select("a", "b", F.explode("gained").alias("shingle")).groupBy("b", "shingle").agg(F.count("*").alias("times"), F.any_value("a").alias("a")).where("times = 1")
+    own = once.groupBy("a", "b").agg(F.count("*").alias("own"))
+    apart = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
+    found = spokes.join(own, ["a", "b"], "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
+    return found.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("n_a").alias("n"), "own", (apart - F.col("own")).alias("rest"))
+
 
-    return map_rows(whole.withColumn("text_b", F.coalesce("text_b", F.lit(""))), ["text_a", "text_b", "a", "b"], make, "a binary, b binary, linked boolean", PAIR_CHARS)
+def open_pairs(members: DataFrame, centres: DataFrame, measured: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """a, b, bucket: pairs of different labels in a bucket whose differences to the bucket's centre don't refute a link.
+
+    members: bucket, node, label. centres: bucket, centre. sizes: node, n of the centres.
+    """
+    around = members.join(centres, "bucket")
+    hub = around.where("node = centre").join(sizes, "node").select("bucket", "node", "label", "n", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("rest"))
+    rows = around.where("node <> centre").join(measured, ["node", "centre"]).select("bucket", "node", "label", "n", "own", "rest").unionByName(hub)
+    rows = materialize(rows.withColumn("cell", F.struct("n", "own", "rest")), "cells")
+    cells = rows.groupBy("bucket", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    one, other = (cells.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("cell", "low", "high")]) for x in "xy")
+    least = F.col("cell_x.own") + F.col("cell_y.own") + F.abs(F.col("cell_x.rest") - F.col("cell_y.rest"))
+    possible = (100 - threshold) * (F.col("cell_x.n") + F.col("cell_y.n")) >= (100 + threshold) * least
+    several = F.least("low_x", "low_y") != F.greatest("high_x", "high_y")
+    left = one.join(other, "bucket").where((F.col("cell_x") <= F.col("cell_y")) & possible & several).select("bucket", "cell_x", "cell_y")
+    a, b = (rows.select("bucket", F.col("cell").alias(c), F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x, c in (("a", "cell_x"), ("b", "cell_y")))
+    return left.join(a, ["bucket", "cell_x"]).join(b, ["bucket", "cell_y"]).where("label_a <> label_b").select("a", "b", "bucket")
 
 
 def agreeing(left: str, right: str) -> F.Column:
@@ -142,14 +183,17 @@ def agreeing(left: str, right: str) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, links (confirmed ones of its class): one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     kept = slim(docs, text=text_col, doc_id=id_col)
     id_type = dict(kept.dtypes)["doc_id"]
     rows = materialize(signatures(kept, id_type), "signatures")
     classes = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("buckets").alias("buckets"), F.any_value("bits").alias("bits")), "classes")
     bands = classes.select("node", F.explode("buckets").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     bands = materialize(bands.join(shared, "bucket"), "bands")
+    # the class that meets most others in its buckets is the middle of its family
+    weights = bands.groupBy("node").agg(F.sum("members").alias("weight"))
+    bands = materialize(bands.drop("members").join(weights, "node"), "weighted")
     bits = classes.select("node", "bits")
     texts = materialize(class_texts(kept, classes, bands.select("node"), id_type), "texts")
     tested = links = labels = None
@@ -166,43 +210,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         return (pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
-                .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b").where(agreeing("bits_a", "bits_b")))
+                .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b").where(agreeing("bits_a", "bits_b")).select("a", "b"))
 
-    for turn in range(STARS + 1):
-        members = labelled()
-        if turn < STARS:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label")
-            centres = members.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-            stars = members.join(centres, "bucket").select("node", "label", F.explode(F.array("first", "last")).alias("centre")).where("label <> centre.label")
-            # the centres that share most buckets with a class come first; picked before anything else is joined
-            times = stars.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).groupBy("a", "b").count()
-            best = Window.partitionBy("a").orderBy(F.desc("count"), "b")
-            pairs = screened(times.withColumn("try", F.row_number().over(best)).where(F.col("try") <= TRIES).select("a", "b"))
-        else:
-            whole = members.join(classes.select("node", "buckets", "bits"), "node")
-            one, other = (whole.select("bucket", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "buckets", "bits")]) for x in "ab")
-            first = F.element_at("buckets_a", F.array_position(F.zip_with("buckets_a", "buckets_b", lambda x, y: x == y), True).cast("int"))
-            apart = (F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & agreeing("bits_a", "bits_b") & (first == F.col("bucket"))
-            pairs = screened(one.join(other, "bucket").where(apart).select("a", "b"))
-        pairs = materialize(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            continue
-        results = materialize(confirm(pairs, texts, threshold), "confirmed")
+    def settle(results: DataFrame) -> None:
+        nonlocal tested, links, labels
         tested = results if tested is None else tested.unionByName(results)
         links = tested.where("linked").select("a", "b")
         labels = materialize(components(links), "components")
 
+    heavy = F.struct((-F.col("weight")).alias("weight"), F.xxhash64("node").alias("order"), "node", "label")
+    for turn in range(STARS):
+        members = labelled()
+        order = F.struct(F.lit(0).alias("weight"), F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label")
+        centres = members.groupBy("bucket").agg(F.min(order if turn else heavy).alias("first"), F.max(order).alias("last"))
+        stars = members.join(centres, "bucket").select("node", "label", F.explode(F.array(*[F.struct(f"{c}.node", f"{c}.label") for c in ("first", "last")])).alias("centre")).where("label <> centre.label")
+        # the centres that share most buckets with a class come first; picked before anything else is joined
+        times = stars.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).groupBy("a", "b").count()
+        best = Window.partitionBy("a").orderBy(F.desc("count"), "b")
+        pairs = materialize(screened(times.withColumn("try", F.row_number().over(best)).where(F.col("try") <= TRIES).select("a", "b")), "pairs")
+        if not pairs.isEmpty():
+            settle(materialize(confirm(pairs, texts, threshold), "confirmed"))
+
+    members = materialize(labelled().select("bucket", "node", "label", "weight"), "members")
+    middle = members.groupBy("bucket").agg(F.min(heavy).alias("middle"), F.count("*").alias("members"))
+    centres = middle.where("members > 2").select("bucket", F.col("middle.node").alias("centre"))
+    spokes = members.join(centres, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    spokes = materialize(confirm(spokes, texts, threshold, measure=True), "spokes")
+    two = members.join(middle.where("members = 2").select("bucket"), "bucket").groupBy("bucket").agg(F.max("node").alias("a"), F.min("node").alias("b")).select("a", "b")
+    if not spokes.isEmpty():
+        settle(spokes.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "linked").distinct())
+        sizes = spokes.groupBy(F.col("b").alias("node")).agg(F.max("n_b").alias("n"))
+        relabelled = labelled().select("bucket", "node", "label")
+        two = two.unionByName(open_pairs(relabelled, centres, materialize(differences(spokes), "differences"), sizes, threshold).select("a", "b"))
+    pairs = materialize(screened(two), "pairs")
+    if not pairs.isEmpty():
+        settle(materialize(confirm(pairs, texts, threshold), "confirmed"))
+
     classes = classes.select("node", "first_id")
     if labels is None:
-        found = classes.withColumns({"component": F.col("node"), "links": F.lit(0).cast("long")})
+        found = classes.withColumn("component", F.col("node"))
     else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        found = classes.join(labels, "node", "left").join(degree, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+        found = classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = found.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = found.join(smallest, "component").select("node", "component_id", "links")
+    found = found.join(smallest, "component").select("node", "component_id")
     out = rows.select("doc_id", "n", "node").join(found, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
