@@ -46,6 +46,8 @@ _SIDES = (("a", "b"), ("b", "a"))
 SHARED = sorted({f(*ab) for f in (pr.gap, pr.same_or_successor, pr.adjacent, pr.pair_ttc, pr.angle, pr.fwd, pr.lat) for ab in _SIDES}, key=len, reverse=True)
 BIT = {skill: 1 << i for i, skill in enumerate(RULES)}
 TRIPLE_RULES = tuple(r.skill_id for r in CATALOG if len(r.roles) == 3)
+#: Scans of more rules write their features and matches part by part: the plan of one part stays small, whatever the number of rules.
+MANY, PART = 6, 6
 
 
 def scan_actors(states: DataFrame, polylines: DataFrame) -> DataFrame:
@@ -61,9 +63,16 @@ class Scene:
         self.states, self.polylines, self.rules = states, polylines, rules
         self.pair = prules.pair_rules(rules)
         self.triples, self._wide = sum(r.skill_id in TRIPLE_RULES for r in self.rules), None
+        self.many = len(self.rules) > MANY
         self.needs = set().union(*[p.needs for p in self.pair.values()]) if self.pair else set()
         self.actors = scan_actors(states, polylines) if actors is None else actors
-        self.segs = ln.segments(polylines.where("polyline_type = 'lane_centerline'"))
+        if self.many:  # files are small when compressed: many of them broadcast at once fill the driver
+            self.states, self.polylines, self.actors = (d.hint("merge") for d in (states, polylines, self.actors))
+        self.segs = ln.segments(self.polylines.where("polyline_type = 'lane_centerline'"))
+
+    def part(self, df: DataFrame, name: str) -> DataFrame:
+        """A part of a scan of many rules, written; a scan of few rules stays one plan."""
+        return materialize(df, name).hint("merge") if self.many else df
 
     def full_actors(self) -> DataFrame:
         return self.actors.where("init_mask <> 0 OR resp_mask <> 0")
@@ -127,16 +136,16 @@ class Scene:
             pairs = self.with_futures(pairs)
         if "stop" in needs:
             r = RULES["lead_sudden_stop"]
-            stop = tr.stop_metrics(self.states, r["stopped_speed_mps"], r["minimum_prior_speed_mps"])
+            stop = self.part(tr.stop_metrics(self.states, r["stopped_speed_mps"], r["minimum_prior_speed_mps"]), "stop")
             pairs = pr.attach(pairs, stop, "a", "left")
         if "low" in needs:
-            pairs = pr.attach(pairs, tr.low_speed(self.states, RULES["slow_lead_blockage"]["maximum_leader_speed_mps"]), "a", "left")
+            pairs = pr.attach(pairs, self.part(tr.low_speed(self.states, RULES["slow_lead_blockage"]["maximum_leader_speed_mps"]), "low"), "a", "left")
         if "entry" in needs:
-            entry = ln.intersection_distance(self.actors, self.polylines)
+            entry = self.part(ln.intersection_distance(self.actors, self.polylines), "entry")
             pairs = pr.attach(pr.attach(pairs, entry, "a", "left"), entry, "b", "left")
         if "places" in needs:
             walkers = self.actors.where("object_type IN ('pedestrian', 'cyclist', 'motorcyclist')")
-            pairs = pr.attach(pairs, ln.actor_places(walkers, self.polylines, far=False), "a", "left")
+            pairs = pr.attach(pairs, self.part(ln.actor_places(walkers, self.polylines, far=False), "places"), "a", "left")
         if "min_ttc" in needs:
             pairs = pr.with_min_ttc(pairs)
         if "min_dist" in needs:
@@ -148,7 +157,7 @@ class Scene:
                 pts = source.where("b_lane IS NOT NULL").selectExpr("scenario_id", "a", "b_lane AS polyline_id", f"{x} AS px", f"{y} AS py").distinct()
                 hit = ln.project_on(pts, self.segs, ["a"]).selectExpr("scenario_id", "a", "polyline_id AS b_lane",
                                                                       f"distance AS {name}_dist", f"arc AS {name}_arc")
-                pairs = pairs.join(hit, ["scenario_id", "a", "b_lane"], "left")
+                pairs = pairs.join(self.part(hit, name), ["scenario_id", "a", "b_lane"], "left")
         if "convergence" in needs:
             pairs = self._convergence(pairs, source)
         if "any_convergence" in needs:
@@ -164,16 +173,16 @@ class Scene:
             cross = self.polylines.where("polyline_type = 'lane_centerline' AND is_intersection")
             if "conflict_cross" in needs:
                 near = ln.nearest_distance(points, ln.segments(cross).where("NOT broken"), ["a", "b"], 6.0, far=False)
-                pairs = pairs.join(near.withColumnRenamed("distance", "conflict_to_cross"), key, "left")
+                pairs = pairs.join(self.part(near.withColumnRenamed("distance", "conflict_to_cross"), "conflict-cross"), key, "left")
             if "conflict_lane" in needs:
                 on = ln.project_on(points.where("polyline_id IS NOT NULL"), self.segs, ["a", "b"])
-                pairs = pairs.join(on.selectExpr(*key, "distance AS conflict_to_lane"), key, "left")
+                pairs = pairs.join(self.part(on.selectExpr(*key, "distance AS conflict_to_lane"), "conflict-lane"), key, "left")
             if "conflict_place" in needs:
                 points = points.drop("polyline_id")            # the lane of conflict_lane, not the area
                 walk, area = (self.polylines.where(F.col("polyline_type") == t) for t in ("pedestrian_crossing", "drivable_area"))
-                near = ln.nearest_distance(points, ln.segments(walk), ["a", "b"], 20.0).withColumnRenamed("distance", "walk")
-                zero = ln.points_in_areas(points, walk, ["a", "b"]).withColumn("on_walk", F.lit(True))
-                inside = ln.points_in_areas(points, area, ["a", "b"]).withColumn("in_area", F.lit(True))
+                near = self.part(ln.nearest_distance(points, ln.segments(walk), ["a", "b"], 20.0).withColumnRenamed("distance", "walk"), "conflict-walk")
+                zero = self.part(ln.points_in_areas(points, walk, ["a", "b"]).withColumn("on_walk", F.lit(True)), "conflict-on-walk")
+                inside = self.part(ln.points_in_areas(points, area, ["a", "b"]).withColumn("in_area", F.lit(True)), "conflict-area")
                 pairs = (pairs.join(near, key, "left").join(zero, key, "left").join(inside, key, "left")
                          .withColumn("conflict_crosswalk", F.expr("CASE WHEN on_walk THEN CAST(0 AS DOUBLE) ELSE walk END"))
                          .withColumn("conflict_in_area", F.expr("coalesce(in_area, false)")))
@@ -186,7 +195,7 @@ class Scene:
         near = near.selectExpr("scenario_id", "a AS b", "b AS other", "dist AS other_dist")
         best = (source.select("scenario_id", "a", "b").join(near, ["scenario_id", "b"]).where("other <> a")
                 .groupBy("scenario_id", "a", "b").agg(F.min("other_dist").alias("traffic_dist")))
-        return pairs.join(best, ["scenario_id", "a", "b"], "left")
+        return pairs.join(self.part(best, "traffic"), ["scenario_id", "a", "b"], "left")
 
     def _convergence(self, pairs: DataFrame, source: DataFrame) -> DataFrame:
         """Best merge target of the pair, over all relations (one_*) and over two-source relations only (two_*)."""
@@ -207,7 +216,7 @@ class Scene:
         best = hit.groupBy(*key).agg(F.expr(f"min({pick})").alias("one"),
                                      F.expr(f"min({pick}) FILTER (WHERE relation = 'two_sources')").alias("two"))
         cols = [f"{p}.{c} AS {p}_{c}" for p in ("one", "two") for c in ("relation", "target", "x", "y", "heading")]
-        return pairs.join(best.selectExpr(*key, *cols), key, "left")
+        return pairs.join(self.part(best.selectExpr(*key, *cols), "convergence"), key, "left")
 
     def _any_convergence(self, pairs: DataFrame) -> DataFrame:
         lane = ln.lanes(self.polylines).selectExpr("scenario_id", "polyline_id AS any_target", "first_x AS any_x", "first_y AS any_y")
@@ -231,7 +240,7 @@ class Scene:
         for s in "ab":
             proj = ln.project_on(hit.selectExpr("scenario_id", s, "polyline_id", f"{s}_x AS px", f"{s}_y AS py").distinct(), self.segs, [s])
             out = out.join(proj.selectExpr("scenario_id", s, "polyline_id AS both_lane", f"lateral_m AS both_{s}_lateral"), ["scenario_id", s, "both_lane"])
-        return pairs.join(out, key, "left")
+        return pairs.join(self.part(out, "shared-neighbour"), key, "left")
 
     # --- matches ------------------------------------------------------------------------------
     def pair_matches(self) -> DataFrame:
@@ -239,9 +248,15 @@ class Scene:
         pairs = self.frame_features(self.pairs(list(self.pair), full, {"past"}), self.needs)
         # the features below read this table several times: written once, without the frame arrays
         pairs = materialize(pairs, "pairs")
-        pairs = self.enrich(pairs, self.needs - FRAME_FEATURES)
+        pairs = self.part(self.enrich(pairs, self.needs - FRAME_FEATURES), "features")
+        rules = list(self.pair.items())
+        size = PART if self.many else len(rules)
+        out = [self.part(self._matches_of(pairs, dict(rules[i:i + size])), "pair-matches") for i in range(0, len(rules), size)]
+        return union(out)
+
+    def _matches_of(self, pairs: DataFrame, rules: dict) -> DataFrame:
         # relations used by many rules become columns first, so each is evaluated once per pair
-        used = " ".join(str(vars(rule)) for rule in self.pair.values())
+        used = " ".join(str(vars(rule)) for rule in rules.values())
         shared = {text: f"x{i}" for i, text in enumerate(SHARED) if text in used}
         pairs = pairs.withColumns({name: F.expr(text) for text, name in shared.items()})
 
@@ -250,7 +265,7 @@ class Scene:
                 text = text.replace(long, name)
             return text
         items = []
-        for skill, rule in self.pair.items():
+        for skill, rule in rules.items():
             r, bit = RULES[skill], self.mask(skill)
             pick = lambda s, t: f"IF({rule.swap}, {s}, {t})" if rule.swap != "false" else t
             measured = ", ".join(f"'{n}', CAST({e} AS DOUBLE)" for n, e in rule.measured.items() if n in r.thresholds)
@@ -266,14 +281,17 @@ class Scene:
         return out.withColumn("extra", F.lit(None).cast("string")).select(*MATCH)
 
     def triple_matches(self) -> list[DataFrame]:
-        return [fn(self) for skill, fn in triple_rules.TRIPLES.items() if skill in {r.skill_id for r in self.rules}]
+        return [self.part(fn(self), f"matches-{skill}") for skill, fn in triple_rules.TRIPLES.items() if skill in {r.skill_id for r in self.rules}]
 
     def raw_matches(self) -> DataFrame:
-        parts = ([self.pair_matches()] if self.pair else []) + self.triple_matches()
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return union(([self.pair_matches()] if self.pair else []) + self.triple_matches())
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def qualified(matches: DataFrame) -> DataFrame:

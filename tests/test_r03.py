@@ -24,3 +24,15 @@ def duck_of(folder):
 @pytest.mark.parametrize("name", ["J07_pair_convergence", "J08_merge_roles"])
 def test_convergence_queries_equal_sql(spark, name):
     agree(spark, DATA, duck_of(DATA), name)
+
+
+def test_scan_of_all_rules_is_written_in_parts(spark, sf_dir):
+    """The plan over the matches reads files only: no join, and so no broadcast, is left to the query that reads them."""
+    from roadsift.plans import scene
+    from roadsift.rules.catalog import RULES
+    from roadsift.rules.detector import PART, Scene
+    s = Scene(scene.states(spark, sf_dir), scene.roads(spark, sf_dir), list(RULES.values()), scene.actors(spark, sf_dir))
+    found = s.raw_matches()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert len(s.pair) > PART and found.select("skill_id").distinct().count() > 1
