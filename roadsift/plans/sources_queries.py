@@ -15,7 +15,7 @@ from roadsift.plans.registry import query
 from roadsift.plans.seeds_queries import DC, MF, SR
 from roadsift.plans.tracks_queries import BASE, r, show
 from roadsift.rules.catalog import RULES
-from roadsift.session import shared_dir
+from roadsift.session import materialize, shared_dir
 from roadsift.sources import scenarios as sn, tables as tb
 from roadsift.streaming import scan
 
@@ -127,8 +127,11 @@ def s09(spark, sf):
 
 
 def decision_index(spark, sf):
-    d = ad.filter_decisions(spark, sf)
-    return kept(spark, sf, "decisions", lambda p: tb.write_decisions(d.select("candidate_id"), d.select("candidate_id", "task_id", "skill_id", "first_failed_stage", "reason", "quality_score"), p))
+    def write(path):
+        # written once: the candidates, the check and the index read it, none of them numbers the rows anew
+        d = materialize(ad.filter_decisions(spark, sf).select("candidate_id", "task_id", "skill_id", "first_failed_stage", "reason", "quality_score"), "decision-rows")
+        tb.write_decisions(d.select("candidate_id"), d, path)
+    return kept(spark, sf, "decisions", write)
 
 
 @query("S10_decision_index", f"WITH {DC} SELECT candidate_id, skill_id, CASE WHEN first_failed_stage IS NULL THEN 'accepted' ELSE 'rejected' END AS disposition FROM dc")

@@ -36,3 +36,13 @@ def test_scan_of_all_rules_is_written_in_parts(spark, sf_dir):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
     assert len(s.pair) > PART and found.select("skill_id").distinct().count() > 1
+
+
+def test_decisions_are_numbered_once(spark, sf_dir, monkeypatch):
+    """The index reads written rows: the window that numbers them runs once, not once for each reader."""
+    from roadsift.plans import sources_queries as sq
+    seen = []
+    monkeypatch.setattr(sq, "_PATHS", {})
+    monkeypatch.setattr(sq.tb, "write_decisions", lambda c, d, path: seen.extend((c, d)))
+    sq.decision_index(spark, sf_dir)
+    assert len(seen) == 2 and all("Window" not in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)
