@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from roadsift.session import materialize
+
 MANIFEST = "scenario_id STRING, split STRING, source_path STRING, city_name STRING, selected_reason STRING"
 SEED_CSV = ("scenario_id STRING, skill_id STRING, initiator_track_id STRING, responder_track_id STRING, role_track_ids STRING, trigger_score DOUBLE, seed_risk_metric STRING, "
             "seed_risk_value DOUBLE, source_path STRING, bad STRING")
@@ -20,10 +22,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).options(**CSV).option("enforceSchema", "false").option("mode", "FAILFAST").csv(path)
 
 
+def repeats(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a key occurs twice: hashes are counted first, the keys themselves only where hashes meet."""
+    hashed = df.select(F.xxhash64(*keys).alias("h"), *keys)
+    met = hashed.groupBy("h").count().where("count > 1").select("h")
+    return not met.isEmpty() and not hashed.join(met, "h", "left_semi").groupBy(*keys).count().where("count > 1").isEmpty()
+
+
 def write_seed_records(df: DataFrame, path: str) -> None:
     """JSON text columns, sorted by the unique key; repeated keys are an error."""
-    flat = df.withColumn("role_track_ids", F.expr("to_json(role_track_ids)"))
-    if not flat.groupBy(*SEED_KEY).count().where("count > 1").isEmpty():
+    flat = materialize(df.withColumn("role_track_ids", F.expr("to_json(role_track_ids)")), "seed-records")   # read by the check, the ranges of the sort, and the sort
+    if repeats(flat, SEED_KEY):
         raise ValueError("seed records repeat a key")
     names = [c.split()[0] for c in SEED_CSV.split(", ") if not c.startswith("bad")]
     flat.select(*names).orderBy(*SEED_KEY, "seed_risk_metric").write.mode("overwrite").options(**CSV).csv(path)

@@ -46,3 +46,16 @@ def test_decisions_are_numbered_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(sq.tb, "write_decisions", lambda c, d, path: seen.extend((c, d)))
     sq.decision_index(spark, sf_dir)
     assert len(seen) == 2 and all("Window" not in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)
+
+
+def test_repeated_seed_keys_are_found(spark, tmp_path):
+    from roadsift.sources import tables as tb
+    row = lambda s, v: (s, "k", "1", "2", {"a": "1"}, 0.5, "m", v, "p")
+    kind = "scenario_id string, skill_id string, initiator_track_id string, responder_track_id string, role_track_ids map<string,string>, trigger_score double, seed_risk_metric string, seed_risk_value double, source_path string"
+    good = spark.createDataFrame([row("x", 1.0), row("y", 1.0)], kind)
+    tb.write_seed_records(good, str(tmp_path / "good"))
+    assert tb.read_seed_records(spark, str(tmp_path / "good"))[0].count() == 2
+    with pytest.raises(ValueError):
+        tb.write_seed_records(good.unionByName(spark.createDataFrame([row("x", 2.0)], kind)), str(tmp_path / "bad"))
+    keys = spark.createDataFrame([("a", None), (None, "a")], "p string, q string")    # equal hashes, different keys
+    assert not tb.repeats(keys, ["p", "q"]) and tb.repeats(keys.unionByName(keys), ["p", "q"])
