@@ -120,13 +120,14 @@ def headway_flags(limit: float, minimum_speed: float) -> str:
             f"(p, q) -> coalesce(p.observed AND q.observed AND {v} >= {minimum_speed} AND {h} > 0 AND {h} <= {limit}, false))")
 
 
-def path_segments(actors: DataFrame) -> DataFrame:
-    """Future motion primitives: consecutive valid frames, and isolated valid frames as zero-length ones."""
+def path_segments(actors: DataFrame, isolated: bool = True) -> DataFrame:
+    """Future motion primitives: consecutive valid frames, and isolated valid frames as zero-length ones (unless left out)."""
     ok = lambda p: f"({p}.x IS NOT NULL AND {p}.y IS NOT NULL)"
     body = ("transform(sequence(0, size(future) - 1), i -> struct(ref_t + i AS t, IF(i > 0, future[i - 1], NULL) AS o, "
             "future[i] AS p, IF(i + 1 < size(future), future[i + 1], NULL) AS q))")
     raw = actors.where("size(future) > 0").selectExpr("scenario_id", "track_id", f"inline({body})")
-    raw = raw.where(f"{ok('p')} AND (coalesce({ok('q')}, false) OR NOT coalesce({ok('o')}, false))")
+    alone = f"NOT coalesce({ok('o')}, false)" if isolated else "false"
+    raw = raw.where(f"{ok('p')} AND (coalesce({ok('q')}, false) OR {alone})")
     linked = f"coalesce({ok('q')}, false)"
     return raw.selectExpr("scenario_id", "track_id", "t", "p.x AS x1", "p.y AS y1",
                           f"IF({linked}, q.x, p.x) AS x2", f"IF({linked}, q.y, p.y) AS y2",
@@ -166,9 +167,9 @@ def close_segments(segs_a: DataFrame, segs_b: DataFrame) -> DataFrame:
     return cells(segs_a, "a").join(cells(segs_b, "b"), CELL).where(f"a <> b AND {over} AND {own}").drop("cell_x", "cell_y")
 
 
-def conflicts(actors: DataFrame, others: DataFrame | None = None) -> DataFrame:
+def conflicts(actors: DataFrame, others: DataFrame | None = None, isolated: bool = True) -> DataFrame:
     """Per ordered pair the crossing of the two future paths with the least time gap."""
-    met = close_segments(path_segments(actors), path_segments(actors if others is None else others))
+    met = close_segments(path_segments(actors, isolated), path_segments(actors if others is None else others, isolated))
     cut = crossing()
     met = met.withColumns({"u": F.expr(cut["u"]), "v": F.expr(cut["v"])}).where("u IS NOT NULL AND v IS NOT NULL")
     met = met.selectExpr("scenario_id", "a", "b", "a_t", "b_t", "a_x1 + u * (a_x2 - a_x1) AS cx", "a_y1 + u * (a_y2 - a_y1) AS cy",

@@ -59,3 +59,15 @@ def test_repeated_seed_keys_are_found(spark, tmp_path):
         tb.write_seed_records(good.unionByName(spark.createDataFrame([row("x", 2.0)], kind)), str(tmp_path / "bad"))
     keys = spark.createDataFrame([("a", None), (None, "a")], "p string, q string")    # equal hashes, different keys
     assert not tb.repeats(keys, ["p", "q"]) and tb.repeats(keys.unionByName(keys), ["p", "q"])
+
+
+def test_tracks_of_one_future_frame(spark, tmp_path):
+    """Half of the users end at frame 34: the SQL of J13 leaves them out, J13b takes them as points."""
+    folder = str(tmp_path)
+    duckdb.execute(f"""COPY (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM '{DATA}/events.parquet')
+      WHERE n <= 35 OR user_id % 2 = 0) TO '{folder}/events.parquet' (FORMAT parquet)""")
+    c = duck_of(folder)
+    for name in ("J13_trajectory_conflict", "J13b_conflict_with_single_frames"):
+        agree(spark, folder, c, name)
+    n = lambda name: registry.QUERIES[name](spark, folder).count()
+    assert n("J13b_conflict_with_single_frames") > n("J13_trajectory_conflict")
