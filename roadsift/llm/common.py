@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roadsift.session import materialize, shared_dir
 
-__all__ = ["FOLDS", "blocks", "documents", "fold", "keep_rows", "map_rows", "materialize", "slim", "shared_dir"]
+__all__ = ["FOLDS", "blocks", "documents", "fold", "keep_rows", "map_rows", "materialize", "slim", "shared_dir", "slices"]
 
-#: Characters of text that a Python task handles at once (a longer text is a block of its own).
-BLOCK_CHARS = 1_500_000
+#: Characters of text that a Python task handles at once (a longer text is a block of its own), and rows it makes Python objects of.
+BLOCK_CHARS, SLICE_ROWS = 400_000, 500
 FOLDS = 5
 
 
@@ -44,6 +44,13 @@ def blocks(rows: Iterable[tuple], size: int = BLOCK_CHARS) -> Iterator[list[tupl
         yield block
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``SLICE_ROWS`` rows, without copies: a batch of Spark's has 10,000 texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[list[tuple]], dict], schema: str, size: int = BLOCK_CHARS, change: Callable[[Iterator[tuple]], Iterator[tuple]] = iter) -> DataFrame:
     """``make`` gets lists of rows (the first column is a text, null read as empty) and returns columns by name.
 
@@ -56,7 +63,7 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[list[tuple]], di
 
     def run(batches):
         def rows():
-            for batch in batches:
+            for batch in slices(batches):
                 values = [batch.column(i).to_pylist() for i in range(len(columns))]
                 yield from zip([x or "" for x in values[0]], *values[1:])
 
@@ -70,7 +77,7 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[list[tuple]], di
 def keep_rows(docs: DataFrame, text_col: str, decide: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """Rows, with all their columns, for whose text ``decide`` says true (a null text is read as empty); no shuffle."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             kept = [np.zeros(0, bool)] + [decide([t for t, in block]) for block in blocks((t or "",) for t in texts)]
             yield batch.filter(pa.array(np.concatenate(kept)))

@@ -115,12 +115,14 @@ def signatures(docs: DataFrame, id_type: str) -> DataFrame:
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_type: str) -> DataFrame:
-    """node, text of one document of each class that shares a bucket."""
+    """node, text of one document of each class that shares a bucket. Other documents don't reach Python again."""
     def make(block):
         return {"text": [t for t, _ in block], "doc_id": [d for _, d in block], "node": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets([t for t, _ in block])]}
 
     wanted = nodes.distinct().join(classes.select("node", F.col("first_id").alias("id")), "node")
-    named = map_rows(docs, ["text", "doc_id"], make, f"text string, doc_id {id_type}, node binary", BLOCK)
+    # an id may have several rows, so the digest is made again, for the rows of the wanted ids
+    ids = wanted.select("id").distinct()
+    named = map_rows(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), ["text", "doc_id"], make, f"text string, doc_id {id_type}, node binary", BLOCK)
     found = named.join(wanted, (named["node"] == wanted["node"]) & named["doc_id"].eqNullSafe(wanted["id"])).select(named["node"], "text")
     return found.groupBy("node").agg(F.min("text").alias("text"))
 

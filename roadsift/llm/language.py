@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roadsift.llm.chars import SPACE_POINT, lower, points
-from roadsift.llm.common import blocks, keep_rows, map_rows, ragged, slim
+from roadsift.llm.common import blocks, keep_rows, map_rows, ragged, slices, slim
 from roadsift.llm.pretokens import LETTER, classes
 
 ORDERS, BITS = 3, 15
@@ -54,7 +54,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches):
         total, n = np.zeros(SIZE, np.int64), 0
         present = np.zeros(SIZE, bool)
-        for block in blocks((t or "",) for batch in batches for t in batch.column(0).to_pylist()):
+        for block in blocks((t or "",) for batch in slices(batches) for t in batch.column(0).to_pylist()):
             codes, begin, finish, _ = grams([t for t, in block])
             for a, b in zip(begin.tolist(), finish.tolist()):
                 present[:] = False
