@@ -89,8 +89,8 @@ def pilot_records(seeds: DataFrame, eligible: str, count: int, seed: int = 2026)
     w = Window.partitionBy("skill_id").orderBy("order_hash")
     last = s.where("eligible").withColumn("n", F.row_number().over(w)).where(F.col("n") <= count).groupBy("skill_id").agg(
         F.max("order_hash").alias("last_hash"), F.count("*").alias("found"))
-    # a skill with too few eligible records passes over all of its records
-    return s.join(last, "skill_id", "left").where(f"last_hash IS NULL OR found < {count} OR order_hash <= last_hash").drop("last_hash", "found")
+    # a skill with too few eligible records passes over all of its records; one row a skill is broadcast, so records don't meet by skill
+    return s.join(F.broadcast(last), "skill_id", "left").where(f"last_hash IS NULL OR found < {count} OR order_hash <= last_hash").drop("last_hash", "found")
 
 
 def hash_subset(ids: DataFrame, column: str, count: int, seed: int) -> DataFrame:
