@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roadsift.operators.ranking import digest, hash_rank, quantiles, round_robin_index, value_ranks
+from roadsift.session import materialize
 
 KEY = ["scenario_id", "skill_id", "initiator_track_id", "responder_track_id"]
 RISK = ["skill_id", "seed_risk_metric"]
@@ -44,7 +45,7 @@ def select_scenarios(seeds: DataFrame, count: int, seed: int = 2026) -> DataFram
     all records stay distributed and are semi-joined to the chosen scenarios.
     """
     strata = ["skill_id", "seed_risk_metric", "quartile"]
-    tagged = risk_quartiles(seeds).select("scenario_id", *strata).distinct()
+    tagged = materialize(risk_quartiles(seeds).select("scenario_id", *strata).distinct(), "strata")    # read for the sizes and the queues
     text = [f"'{seed}'", "'{0}'", "skill_id", "seed_risk_metric", "CAST(quartile AS STRING)"]
     size = tagged.groupBy(*strata).agg(F.count("*").alias("size"))
     size = size.withColumn("stratum_hash", F.expr(digest(*[t.format("stratum") for t in text])))

@@ -8,6 +8,7 @@ from roadsift import adapters as ad
 from roadsift.functions import formulas as fm
 from roadsift.operators import audits as au, ranking as rk, seeds as sd
 from roadsift.plans.registry import query
+from roadsift.session import materialize
 
 R = fm.rounded
 SR = "WITH sr AS (" + ad.SEED_RECORDS_SQL.format(lineitem="lineitem") + ")"
@@ -91,8 +92,9 @@ def t05(spark, sf):
 
 @query("Q02_selection_postconditions", f"""{SR} SELECT CAST(400 AS BIGINT) AS chosen, CAST(400 AS BIGINT) AS chosen_distinct, CAST(0 AS BIGINT) AS lost_labels""")
 def q02(spark, sf):
-    seeds = ad.seed_records(spark, sf)
-    chosen = sd.select_scenarios(seeds, 400)
+    # the records are read for strata, labels and kept ones, the choice twice: each is made once
+    seeds = materialize(ad.seed_records(spark, sf).select("scenario_id", "skill_id", "seed_risk_metric", "seed_risk_value"), "seed-values")
+    chosen = materialize(sd.select_scenarios(seeds, 400), "chosen")
     kept = sd.selected_records(seeds, chosen).groupBy("scenario_id").agg(F.count("*").alias("kept"))
     all_ = seeds.groupBy("scenario_id").agg(F.count("*").alias("labels"))
     both = chosen.join(kept, "scenario_id", "left").join(all_, "scenario_id", "left")
