@@ -65,11 +65,11 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probabilities: dict[
     return ranks.groupBy(*groups).agg(*out)
 
 
-def round_robin_index(df: DataFrame, group: str, rank: str) -> DataFrame:
-    """Position in the order (rank within group, group) without a global sort.
+def round_robin_index(df: DataFrame, group: str, rank: str, rows: DataFrame | None = None) -> DataFrame:
+    """Position in the order (rank within group, group) without a global sort. ``rows``: those that ``df`` ranks, to count them unranked.
 
     The groups are rule names (a catalog of at most some dozens), so their sizes fit one small row.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.expr(f"collect_list(struct({group} AS g, n))").alias("sizes"))
+    sizes = (df if rows is None else rows).groupBy(group).agg(F.count("*").alias("n")).agg(F.expr(f"collect_list(struct({group} AS g, n))").alias("sizes"))
     position = (f"aggregate(sizes, 0L, (a, s) -> a + least(s.n, {rank} - 1)) + size(filter(sizes, s -> s.n >= {rank} AND s.g <= {group}))")
     return df.join(F.broadcast(sizes)).withColumn("position", F.expr(position)).drop("sizes")

@@ -111,12 +111,15 @@ def hash_split(ids: DataFrame, column: str, sizes: dict[str, int], rest: str, se
 def two_phase_order(tasks: DataFrame, seed: int = 2026) -> DataFrame:
     """Coverage: one hash-chosen task per scenario.  Balance: the others round-robin over skills in hash order."""
     h = digest(f"'{seed}'", "'task'", "task_id")
-    w = Window.partitionBy("scenario_id").orderBy("h", "task_id")
-    first = tasks.withColumn("h", F.expr(h)).withColumn("n", F.row_number().over(w)).where("n = 1").select("scenario_id", F.col("task_id").alias("first_id"))
-    t = tasks.join(first, "scenario_id").withColumn("phase", F.expr("IF(task_id = first_id, 'coverage', 'balance')")).drop("first_id")
-    cover = hash_rank(t.where("phase = 'coverage'"), [], h, ["task_id"]).withColumn("position", F.col("rank")).drop("rank", "total")
-    rest = round_robin_index(hash_rank(t.where("phase = 'balance'"), ["skill_id"], h, ["task_id"]), "skill_id", "rank").drop("rank", "total")
-    return cover.unionByName(rest)
+    hashed = tasks.withColumn("h", F.expr(h))
+    first = hashed.groupBy("scenario_id").agg(F.min(F.struct("h", "task_id")).alias("first")).select("scenario_id", F.col("first.task_id").alias("first_id"))
+    t = hashed.join(first, "scenario_id").withColumn("phase", F.expr("IF(task_id = first_id, 'coverage', 'balance')")).drop("first_id")
+    # both phases count and rank their tasks: written once, with the hash
+    t = materialize(t, "phases")
+    balance = t.where("phase = 'balance' AND skill_id IS NOT NULL")
+    cover = hash_rank(t.where("phase = 'coverage'"), [], "h", ["task_id"]).withColumn("position", F.col("rank")).drop("rank", "total")
+    rest = round_robin_index(hash_rank(balance, ["skill_id"], "h", ["task_id"]), "skill_id", "rank", balance).drop("rank", "total")
+    return cover.unionByName(rest).drop("h")
 
 
 def balanced_exposure(samples: DataFrame, maximum: int = 8) -> DataFrame:

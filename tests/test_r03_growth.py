@@ -41,3 +41,16 @@ def test_pilot_records_do_not_meet_by_skill(spark, no_broadcast):
             want.add((c, s))
             found += score >= 0.6
     assert {(r.scenario_id, r.skill_id) for r in got.collect()} == want
+
+
+def test_phases_are_written_once(spark):
+    tasks = spark.createDataFrame([(f"t{i}", f"c{i // 5}", f"s{i % 3}") for i in range(100)], "task_id string, scenario_id string, skill_id string")
+    got = sd.two_phase_order(tasks)
+    assert "sha2" not in optimized(got)      # ranks and sizes read the written hash, not the tasks
+    assert sorted(r.position for r in got.where("phase = 'coverage'").collect()) == list(range(1, 21))
+    assert sorted(r.position for r in got.where("phase = 'balance'").collect()) == list(range(1, 81))
+
+
+def test_selection_reads_its_records_once(spark, sf_dir):
+    got = registry.QUERIES["Q02_selection_postconditions"](spark, sf_dir)
+    assert "l_orderkey" not in optimized(got)
