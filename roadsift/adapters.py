@@ -172,8 +172,8 @@ def scenario_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
             .selectExpr("CAST(CAST(floor(user_id / 10.0) AS BIGINT) AS STRING) AS scenario_id").distinct())
 
 
-def map_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixed road map repeated for every scenario (map rows are few; scenarios stay distributed)."""
+def map_polylines(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """The fixed road map repeated for every scenario (map rows are few; scenarios stay distributed, over ``tasks`` if given)."""
     items = []
     for pid, (kind, direction, cross, left, right, pred, succ, points) in ROADS.items():
         text = {"polyline_id": pid, "polyline_type": kind, "direction": direction,
@@ -185,7 +185,8 @@ def map_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
             fields.append(f"'{name}', CAST(array({', '.join(map(repr, ids))}) AS ARRAY<STRING>)")
         shape = ", ".join(f"struct(CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y)" for x, y in points)
         items.append(f"named_struct({', '.join(fields)}, 'points', array({shape}))")
-    return scenario_ids(spark, sf_dir).selectExpr("scenario_id", f"inline(array({', '.join(items)}))")
+    ids = scenario_ids(spark, sf_dir)
+    return (ids if tasks is None else ids.repartition(tasks, "scenario_id")).selectExpr("scenario_id", f"inline(array({', '.join(items)}))")
 
 
 SEED_RECORDS_SQL = """

@@ -32,6 +32,11 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.map_polylines(spark, sf_dir)
 
 
+def spread_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map for row-local work on lines: distinct scenario ids are so few bytes that they would all end in one task."""
+    return adapters.map_polylines(spark, sf_dir, 4 * spark.sparkContext.defaultParallelism)
+
+
 def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "actors", lambda: scan_actors(states(spark, sf_dir), roads(spark, sf_dir)), write=False)
 
