@@ -37,13 +37,23 @@ def kept(spark, sf: str, name: str, write) -> str:
     return _PATHS[key]
 
 
+#: Scenario folders that one task writes.
+FOLDERS = 32
+
+
+def spread(df):
+    """Rows by folder, in as many tasks as the folders need: the bytes of a few folders say nothing of the time that files take."""
+    folders = df.select("folder").distinct().count()
+    return df.repartition(max(1, -(-folders // FOLDERS)), "folder")
+
+
 def raw_files(spark, sf: str) -> str:
     """One folder per scenario with its track Parquet."""
     def write(path):
         s = scene.states(spark, sf)
         raw = s.selectExpr("scenario_id", "'city' AS city_name", "CAST(NULL AS STRING) AS focal_track_id", "observed", "track_id", "upper(object_type) AS object_type", "timestep", "x AS position_x",
                            "y AS position_y", "heading", "vx AS velocity_x", "vy AS velocity_y", "0L AS start_timestamp", "scenario_id AS folder")
-        raw.repartition("folder").write.partitionBy("folder").parquet(path)
+        spread(raw).write.partitionBy("folder").parquet(path)
     return kept(spark, sf, "raw", write)
 
 
@@ -56,7 +66,7 @@ def map_files(spark, sf: str) -> str:
         m = ad.scenario_ids(spark, sf).selectExpr(
             "scenario_id AS folder", f"map('1', {seg(1, 0, 2, 'NULL', '', '2')}, '2', {seg(2, 4, 'NULL', 1, '1', '')}) AS lane_segments",
             f"map('7', named_struct('id', 7L, 'edge1', {b(20)}, 'edge2', {b(24)})) AS pedestrian_crossings", f"map('9', named_struct('id', 9L, 'area_boundary', {b(30)})) AS drivable_areas")
-        m.repartition("folder").write.partitionBy("folder").json(path)
+        spread(m).write.partitionBy("folder").json(path)
     return kept(spark, sf, "maps", write)
 
 

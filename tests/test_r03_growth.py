@@ -54,3 +54,17 @@ def test_phases_are_written_once(spark):
 def test_selection_reads_its_records_once(spark, sf_dir):
     got = registry.QUERIES["Q02_selection_postconditions"](spark, sf_dir)
     assert "l_orderkey" not in optimized(got)
+
+
+def test_scenario_files_are_written_by_many_tasks(spark, monkeypatch):
+    """AQE merges partitions by bytes, and so all folders into one task; a fixed number of folders a task stays."""
+    from roadsift.plans import sources_queries as sq
+    monkeypatch.setattr(sq, "FOLDERS", 5)
+    d = sq.spread(spark.range(60).selectExpr("CAST(id AS STRING) AS folder"))
+    assert d.rdd.getNumPartitions() == 12
+    assert sum(r.n > 0 for r in d.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) > 6
+
+
+def test_lines_are_resampled_in_many_tasks(spark, sf_dir):
+    d = registry.QUERIES["P29_resample"](spark, sf_dir)
+    assert d.select(F.spark_partition_id().alias("p")).distinct().count() > 4
