@@ -103,15 +103,16 @@ def closest_approach(rows: DataFrame, p: str = "a", q: str = "b") -> DataFrame:
     return d.groupBy("candidate_id").agg(F.expr("min(struct(distance, timestep, mx, my))").alias("m")).select("candidate_id", "m.distance", "m.mx", "m.my")
 
 
-def conflict_points(rows: DataFrame, recorded: DataFrame, seeds: DataFrame, roads: DataFrame) -> DataFrame:
+def conflict_points(rows: DataFrame, recorded: DataFrame, seeds: DataFrame, roads: DataFrame, crossed: DataFrame | None = None) -> DataFrame:
     """candidate_id, px, py, point_source: the first that exists of the seed's point, the crossing of the seed's two lanes, of the generated
     paths, of the recorded paths, and the middle of the closest approach within reach; ``unavailable`` without any.
 
-    rows, recorded: role rows from the anchor on, generated and recorded. seeds: candidate_id, scenario_id, seed_x, seed_y, lane_a, lane_b."""
+    rows, recorded: role rows from the anchor on, generated and recorded. seeds: candidate_id, scenario_id, seed_x, seed_y, lane_a, lane_b.
+    crossed: the recorded paths' crossings, where they are known."""
     lanes = lane_crossings(seeds.select("scenario_id", "lane_a", "lane_b"), roads)
     lane = seeds.join(lanes, ["scenario_id", "lane_a", "lane_b"]).selectExpr("candidate_id", "cx AS lane_x", "cy AS lane_y")
     drawn = path_crossings(rows).selectExpr("candidate_id", "cx AS made_x", "cy AS made_y")
-    past = path_crossings(recorded).selectExpr("candidate_id", "cx AS source_x", "cy AS source_y")
+    past = (path_crossings(recorded) if crossed is None else crossed).selectExpr("candidate_id", "cx AS source_x", "cy AS source_y")
     near = closest_approach(rows).where(f"distance <= {cn.REACH}").selectExpr("candidate_id", "mx AS near_x", "my AS near_y")
     every = seeds.select("candidate_id", "seed_x", "seed_y")
     for found in (lane, drawn, past, near):
@@ -123,12 +124,18 @@ def conflict_points(rows: DataFrame, recorded: DataFrame, seeds: DataFrame, road
 
 
 # --- events ---------------------------------------------------------------------------------------------
+#: Deceleration from which a brakes, from the bounds of the row's rule; rows on their way through a shuffle carry it alone.
+BRAKES_AT = bound("peak_deceleration_mps2.low", 2.0)
+
+
 def with_events(rows: DataFrame) -> DataFrame:
     """Adds exposure_frame (lateral departure of a from b), cut_frame, stage_frame (a brakes after its cut-in), inside (is a in the conflict area?) and last_inside."""
+    if "brakes_at" not in rows.columns:
+        rows = rows.withColumn("brakes_at", F.expr(BRAKES_AT))
     w = Window.partitionBy("candidate_id")
     first = lambda cond: F.min(F.expr(f"CASE WHEN fut AND {cond} THEN timestep END")).over(w)
     rows = rows.withColumns({"exposure_frame": first(f"abs({cn.rel_lat}) >= {cn.LATERAL}"), "cut_frame": first(cn.cut_in), "inside": F.expr(rk.inside_square("a"))})
-    rows = rows.withColumn("stage_frame", first(f"timestep >= cut_frame AND a_accel <= -{bound('peak_deceleration_mps2.low', 2.0)}"))
+    rows = rows.withColumn("stage_frame", first(f"timestep >= cut_frame AND a_accel <= -brakes_at"))
     return rows.withColumn("last_inside", F.lag("inside").over(w.orderBy("timestep")))
 
 

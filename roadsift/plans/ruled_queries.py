@@ -30,10 +30,16 @@ def assign(spark, sf):
 
 
 def rule_rows(spark, sf):
-    rule = assigned(spark, sf).select("candidate_id", "skill_id", "calculator", "target_slot", "pairs", "bounds")
+    """Rows without the rule's pairs and bounds: those are joined by ``ruled_by`` where they are read, never shuffled, sorted or written."""
+    rule = assigned(spark, sf).selectExpr("candidate_id", "skill_id", "calculator", "target_slot", f"{ruled.BRAKES_AT} AS brakes_at")
     return scene.once(spark, sf, "rule_rows", lambda: ruled.by_slot(wide(spark, sf), rule, ANCHOR))
 
 
+def ruled_by(spark, rows, column):
+    """Rows with a column of their rule."""
+    return rows.join(F.broadcast(ruled.rules_table(spark).select("skill_id", column)), "skill_id")
+
+
 def recorded(spark, sf):
     """Recorded positions of the first two roles in the evaluated frames."""
     s = scene.states(spark, sf).where(f"timestep BETWEEN {ANCHOR} AND {LAST}")
@@ -42,23 +48,28 @@ def recorded(spark, sf):
     return one.join(side("t1", "b").drop("time_s"), ["scenario_id", "t1", "timestep"], "left").select("candidate_id", "timestep", "time_s", "a_x", "a_y", "b_x", "b_y")
 
 
+def recorded_crossings(spark, sf):
+    return scene.once(spark, sf, "recorded_crossings", lambda: ruled.path_crossings(recorded(spark, sf)))
+
+
 def seeds(spark, sf):
     """What each candidate's seed knows: lanes of the roles and, for rules that need generation, the recorded crossing where it came within two seconds."""
     lanes = scene.actors(spark, sf).select("scenario_id", "track_id", "lane")
     d = assigned(spark, sf).select("candidate_id", "scenario_id", "skill_id", "mode", "candidate_index", "t0", "t1", "t2")
     for t, name in (("t0", "lane_a"), ("t1", "lane_b"), ("t2", "lane_c")):
         d = d.join(lanes.withColumnsRenamed({"track_id": t, "lane": name}), ["scenario_id", t], "left")
-    past = ruled.path_crossings(recorded(spark, sf)).where("gap <= 2.0").selectExpr("candidate_id", "cx AS seed_x", "cy AS seed_y")
+    past = recorded_crossings(spark, sf).where("gap <= 2.0").selectExpr("candidate_id", "cx AS seed_x", "cy AS seed_y")
     known = lambda c: F.when(F.col("mode") == "compatible_seed", F.col(c)).alias(c)
     return scene.once(spark, sf, "seeds", lambda: d.join(past, "candidate_id", "left").select(*d.columns, known("seed_x"), known("seed_y")))
 
 
 def points(spark, sf):
-    return scene.once(spark, sf, "conflict_points", lambda: ruled.conflict_points(rule_rows(spark, sf), recorded(spark, sf), seeds(spark, sf), scene.roads(spark, sf)))
+    return scene.once(spark, sf, "conflict_points", lambda: ruled.conflict_points(rule_rows(spark, sf), recorded(spark, sf), seeds(spark, sf), scene.roads(spark, sf), recorded_crossings(spark, sf)))
 
 
-def evaluated_rows(spark, sf):
-    return ruled.with_events(rule_rows(spark, sf).join(points(spark, sf), "candidate_id"))
+def evaluated_rows(spark, sf, where="true"):
+    """Rows of the candidates whose rule is wanted, with their events."""
+    return ruled.with_events(rule_rows(spark, sf).where(where).join(points(spark, sf), "candidate_id"))
 
 
 @query("M14b_conflict_point_chain", f"{rq.base()} SELECT candidate_id, {R('px')} AS px, {R('py')} AS py, any_value(point_source) AS point_source, any_value(expo) AS exposure_frame, any_value(cut) AS cut_in_frame, any_value(stage) AS stage_frame FROM cp JOIN e2 USING (candidate_id) GROUP BY candidate_id, px, py")
@@ -68,7 +79,7 @@ def m14b(spark, sf):
 
 
 def target_risk(spark, sf):
-    return ruled.target_check(ruled.risk_by_rule(evaluated_rows(spark, sf), ANCHOR), ruled.rules_table(spark))
+    return ruled.target_check(ruled.risk_by_rule(ruled_by(spark, evaluated_rows(spark, sf), "pairs"), ANCHOR), ruled.rules_table(spark))
 
 
 @query("K08b_target_risk_by_rule", f"""{rq.base()}, {rq.risk()} SELECT candidate_id, skill_id, metric, status, reason, {R('value', 5)} AS value, pair,
@@ -126,8 +137,8 @@ def past_speed(spark, sf):
 
 def triggers(spark, sf):
     facts = scene.once(spark, sf, "seed_facts", lambda: seed_facts(spark, sf))
-    rows = scene.once(spark, sf, "condition_rows", lambda: evaluated_rows(spark, sf).where(f"skill_id IN ({CONDITIONAL})"))
-    return ruled.trigger_check(ruled.verdicts(rows, facts, lane_facts(spark, sf, rows, facts), past_speed(spark, sf)), ruled.conditions_table(spark))
+    rows = scene.once(spark, sf, "condition_rows", lambda: evaluated_rows(spark, sf, f"skill_id IN ({CONDITIONAL})"))
+    return ruled.trigger_check(ruled.verdicts(ruled_by(spark, rows, "bounds"), facts, lane_facts(spark, sf, rows, facts), past_speed(spark, sf)), ruled.conditions_table(spark))
 
 
 @query("K09b_conditions_by_rule", f"{rq.base()}, {rq.conditions()} SELECT candidate_id, skill_id, failed, CASE WHEN failed <> '' THEN 'skill_trigger_not_realized' END AS reason FROM tc")

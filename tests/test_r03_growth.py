@@ -68,3 +68,14 @@ def test_scenario_files_are_written_by_many_tasks(spark, monkeypatch):
 def test_lines_are_resampled_in_many_tasks(spark):
     d = registry.QUERIES["P29_resample"](spark, "/root/testdata/sf0.01")     # 15 scenarios
     assert d.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_rows_of_candidates_do_not_carry_their_rule(spark, sf_dir):
+    """Pairs and bounds are joined where they are read: no shuffle, sort or table repeats a rule's map in every frame."""
+    from roadsift.plans import ruled_queries as rq
+    assert not {"pairs", "bounds"} & set(rq.rule_rows(spark, sf_dir).columns)
+    some = rq.evaluated_rows(spark, sf_dir, "skill_id = 'chain_braking'")
+    assert not {"pairs", "bounds"} & set(some.columns)
+    below = optimized(some).split("Window")[-1]
+    assert "skill_id" in below and "chain_braking" in below      # other rules' rows are left out before the windows
+    assert "Window" not in optimized(rq.recorded_crossings(spark, sf_dir))      # written once for seeds and points
