@@ -79,3 +79,26 @@ def test_rows_of_candidates_do_not_carry_their_rule(spark, sf_dir):
     below = optimized(some).split("Window")[-1]
     assert "skill_id" in below and "chain_braking" in below      # other rules' rows are left out before the windows
     assert "Window" not in optimized(rq.recorded_crossings(spark, sf_dir))      # written once for seeds and points
+
+
+def test_bootstrap_draws_are_those_of_the_hash(spark):
+    """Weights drawn in blocks equal those of the built-in hash, for ids of every length; no row is made of a draw."""
+    import math
+    from roadsift.operators import evaluation as ev
+    ids = ["", "7", "123", "1234", "12345", "1234567", "12345678", "123456789", "123456789012", "1234567890123", "ä" * 9, "x" * 31, "y" * 32, "z" * 77, None] + [str(10 ** 6 + i) for i in range(200)]
+    d = spark.createDataFrame([(s, math.sin(i)) for i, s in enumerate(ids)], "scenario_id string, delta double")
+    total, term, cuts = 0.0, 1.0, []
+    for k in range(30):
+        term = term / k if k else 1.0
+        total += term
+        if total / math.e >= 1:
+            break
+        cuts.append(f"CAST(u > {total / math.e!r} AS INT)")
+    w = d.selectExpr("delta", "explode(sequence(0, 299)) AS b", "scenario_id").selectExpr("b", "delta", "((xxhash64(b, scenario_id, 2026) >> 12) + 2251799813685248L) / 4503599627370496D AS u").selectExpr("b", "delta", " + ".join(cuts) + " AS w")
+    want = w.groupBy("b").agg(F.expr("sum(w * delta) / sum(w)").alias("m")).agg(F.expr("percentile(m, 0.025)"), F.expr("percentile(m, 0.975)"), F.count("*")).first()
+    found = ev.bootstrap(d, 300)
+    got = found.first()
+    assert got[2] == want[2] == 300 and all(abs(got[i] - want[i]) < 1e-12 for i in (0, 1))
+    assert "MapInArrow" in plan_of(found)
+    values = [(1 << 51) + (i << 40) for i in range(-2000, 2000)] + [v + e for v in ev._limits() for e in (-1, 0)]
+    assert all((v / 2 ** 52 > c) == (v >= limit) for v in values for limit, c in zip(ev._limits(), [eval(t.split("> ")[1].split(" AS")[0]) for t in cuts]))
