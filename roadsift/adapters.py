@@ -9,7 +9,7 @@ to run unchanged on Spark and DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TOTAL_STEPS = 110
 HISTORY_STEPS = 35
@@ -252,8 +252,12 @@ FROM {steps}
 """
 
 
-def seed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SEED_RECORDS_SQL, lineitem=read(spark, sf_dir, "lineitem"))
+def seed_records(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
+    """Seed records; with ``rows``, a scenario's records lie in one task and a task reads about so many rows, however large the table."""
+    lines = read(spark, sf_dir, "lineitem")
+    if rows is not None:
+        lines = lines.repartition(max(1, -(-lines.count() // rows)), F.expr("CAST(l_orderkey AS VARCHAR(20))"))
+    return spark.sql(SEED_RECORDS_SQL, lineitem=lines)
 
 
 def filter_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

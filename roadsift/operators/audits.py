@@ -59,8 +59,11 @@ def seed_validity(seeds: DataFrame, top: float = 1.0) -> DataFrame:
 
 def scan_pool(pool: DataFrame, manifest: DataFrame, skills: list[str], keys: list[str]) -> DataFrame:
     """Completeness of a scan: manifest scenarios without a scan, unexpected ones, repeated keys, undeclared skills."""
-    ids = pool.select("scenario_id").distinct()
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [count(manifest.join(ids, "scenario_id", "left_anti"), "not_scanned"), count(ids.join(manifest, "scenario_id", "left_anti"), "unexpected"),
-             count(duplicate_keys(pool, keys), "duplicates"), count(pool.where(~F.col("skill_id").isin(skills)), "undeclared_skill")]
-    return reduce(lambda a, b: a.join(F.broadcast(b)), parts)      # single-row tables
+    # one pass: whatever the number of checks, each scenario of either side is one row of one join
+    once = pool.groupBy(*keys).agg(F.count("*").alias("rows"), F.count(F.when(~F.col("skill_id").isin(skills), 1)).alias("odd"))
+    ids = once.groupBy("scenario_id").agg(F.expr("count_if(rows > 1)").alias("repeated"), F.sum("odd").alias("odd"))
+    wanted = manifest.groupBy("scenario_id").agg(F.count("*").alias("listed"))
+    both = ids.join(wanted, "scenario_id", "full_outer")
+    total = lambda e: f"coalesce(sum({e}), 0L)"
+    return both.agg(F.expr(total("CASE WHEN repeated IS NULL THEN listed END")).alias("not_scanned"), F.expr("count_if(listed IS NULL)").alias("unexpected"),
+                    F.expr(total("repeated")).alias("duplicates"), F.expr(total("odd")).alias("undeclared_skill"))

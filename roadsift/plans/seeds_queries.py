@@ -140,13 +140,15 @@ def u03(spark, sf):
     return want.exceptAll(have).selectExpr("'missing' AS side", "scenario_id").unionByName(have.exceptAll(want).selectExpr("'unexpected' AS side", "scenario_id"))
 
 
+#: Lines that one task reads where it holds all records of its scenarios.
+ROWS = 200_000
 TARGET = "(CASE WHEN skill_id LIKE '%F' THEN 'm0' ELSE 'm1' END)"
 
 
 @query("A01_scan_summary", f"""{SR} SELECT skill_id, seed_risk_metric, proxy, count(*) AS records, count(DISTINCT scenario_id) AS scenarios FROM (SELECT *, seed_risk_metric <> {TARGET} AS proxy FROM sr)
   GROUP BY GROUPING SETS ((skill_id), (seed_risk_metric), (skill_id, seed_risk_metric), (skill_id, proxy), ())""")
 def a01(spark, sf):
-    return sd.scan_summary(ad.seed_records(spark, sf), TARGET)
+    return sd.scan_summary(ad.seed_records(spark, sf, ROWS), TARGET)
 
 
 @query("A02_numeric_distribution", f"""{SR} SELECT {RK}, count(*) AS n, {R('min(seed_risk_value)', 4)} AS minimum, {R('quantile_cont(seed_risk_value, 0.25)', 4)} AS p25, {R('quantile_cont(seed_risk_value, 0.5)', 4)} AS median,
@@ -235,4 +237,4 @@ def q04(spark, sf):
 @query("Q10_scan_pool_integrity", f"""{SR}, {MF} SELECT (SELECT count(*) FROM mf WHERE scenario_id NOT IN (SELECT scenario_id FROM sr)) AS not_scanned, (SELECT count(DISTINCT scenario_id) FROM sr WHERE scenario_id NOT IN (SELECT scenario_id FROM mf)) AS unexpected,
   (SELECT count(*) FROM (SELECT 1 FROM sr GROUP BY scenario_id, skill_id, seed_risk_metric HAVING count(*) > 1)) AS duplicates, (SELECT count(*) FROM sr WHERE skill_id NOT IN ('A_F', 'N_F', 'R_F', 'A_O')) AS undeclared_skill""")
 def q10(spark, sf):
-    return au.scan_pool(ad.seed_records(spark, sf), ad.manifest(spark, sf), ["A_F", "N_F", "R_F", "A_O"], ["scenario_id", "skill_id", "seed_risk_metric"])
+    return au.scan_pool(ad.seed_records(spark, sf, ROWS), ad.manifest(spark, sf), ["A_F", "N_F", "R_F", "A_O"], ["scenario_id", "skill_id", "seed_risk_metric"])
