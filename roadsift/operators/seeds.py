@@ -31,9 +31,16 @@ def distribution(seeds: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 def scan_summary(seeds: DataFrame, target_metric: str) -> DataFrame:
     """Counts over skill, metric and proxy flag at every level in one aggregation."""
-    s = seeds.withColumn("proxy", F.expr(f"seed_risk_metric <> {target_metric}"))
-    g = s.groupingSets([["skill_id"], ["seed_risk_metric"], ["skill_id", "seed_risk_metric"], ["skill_id", "proxy"], []], "skill_id", "seed_risk_metric", "proxy")
-    return g.agg(F.count("*").alias("records"), F.count_distinct("scenario_id").alias("scenarios"))
+    levels = [("skill_id",), ("seed_risk_metric",), ("skill_id", "seed_risk_metric"), ("skill_id", "proxy"), ()]
+    names = ("skill_id", "seed_risk_metric", "proxy")
+    level = lambda n, on: f"struct({n} AS level, " + ", ".join(f"{c if c in on else f'IF(true, NULL, {c})'} AS {c}" for c in names) + ")"
+    s = seeds.selectExpr("scenario_id", "skill_id", "seed_risk_metric", f"seed_risk_metric <> {target_metric} AS proxy")
+    s = s.selectExpr("scenario_id", f"inline(array({', '.join(level(n, on) for n, on in enumerate(levels))}))")
+    # by scenario first: where a scenario's records lie in one task, only its level sums are shuffled
+    one = s.groupBy("scenario_id", "level", *names).agg(F.count("*").alias("records"))
+    # the level of all records has a row even without any
+    none = one.sparkSession.range(1).selectExpr("CAST(NULL AS STRING) AS scenario_id", f"{len(levels) - 1} AS level", *[f"CAST(NULL AS {t}) AS {c}" for c, t in zip(names, ("STRING", "STRING", "BOOLEAN"))], "0L AS records")
+    return one.unionByName(none).groupBy("level", *names).agg(F.sum("records").alias("records"), F.count("scenario_id").alias("scenarios")).drop("level")
 
 
 def select_scenarios(seeds: DataFrame, count: int, seed: int = 2026) -> DataFrame:

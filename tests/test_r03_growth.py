@@ -102,3 +102,23 @@ def test_bootstrap_draws_are_those_of_the_hash(spark):
     assert "MapInArrow" in plan_of(found)
     values = [(1 << 51) + (i << 40) for i in range(-2000, 2000)] + [v + e for v in ev._limits() for e in (-1, 0)]
     assert all((v / 2 ** 52 > c) == (v >= limit) for v in values for limit, c in zip(ev._limits(), [eval(t.split("> ")[1].split(" AS")[0]) for t in cuts]))
+
+
+def test_memory_of_a_task_does_not_grow_with_the_records(spark, sf_dir, monkeypatch):
+    """The lines of a task stay the same, and a scenario's records meet nowhere else: level sums are all that is shuffled after them."""
+    from roadsift import adapters as ad
+    from roadsift.plans import seeds_queries as sq
+    assert ad.seed_records(spark, sf_dir, 1000).rdd.getNumPartitions() == 6
+    for name in ("A01_scan_summary", "Q10_scan_pool_integrity"):
+        monkeypatch.setattr(sq, "ROWS", 1000)
+        found = registry.QUERIES[name](spark, sf_dir)
+        assert "Expand" not in plan_of(found) and plan_of(found).count("Scan parquet") == (1 if name[0] == "A" else 2)
+    assert sorted(sq.sd.scan_summary(ad.seed_records(spark, sf_dir).where("false"), "'m0'").collect()) == [(None, None, None, 0, 0)]
+
+
+def test_scan_pool_counts_each_side(spark):
+    from roadsift.operators import audits as au
+    pool = spark.createDataFrame([("a", "s", "m"), ("a", "s", "m"), ("b", "t", "m"), ("x", "s", "m"), ("x", "t", "n"), (None, "s", "m")], "scenario_id string, skill_id string, k string")
+    listed = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("c",), (None,)], "scenario_id string")
+    assert tuple(au.scan_pool(pool, listed, ["s"], ["scenario_id", "skill_id", "k"]).first()) == (3, 2, 1, 2)
+    assert tuple(au.scan_pool(pool.where("false"), listed.where("false"), ["s"], ["scenario_id", "skill_id", "k"]).first()) == (0, 0, 0, 0)
