@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roadsift.rules.catalog import RULES, Rule
 from roadsift.rules.detector import MATCH, detect
+from roadsift.session import materialize
 from roadsift.sources.scenarios import RAW_SCHEMA, to_states
 
 
@@ -28,9 +29,13 @@ def run(spark: SparkSession, scenario_root: str, polylines: DataFrame, out_root:
     base = f"{out_root.rstrip('/')}/{rule_fingerprint(rules)}"
     raw = (spark.readStream.schema(RAW_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).parquet(scenario_root))
 
+    lines = materialize(polylines, "scan-roads")    # made once, not by every batch
+
     def scan_batch(batch: DataFrame, number: int) -> None:
-        roads = polylines.join(batch.select("scenario_id").distinct(), "scenario_id", "left_semi")
-        found = detect(to_states(batch, total), roads, rules, 1)
+        # the detector reads states and roads several times: a batch's files are opened once
+        states = materialize(to_states(batch, total), "scan-states")
+        roads = materialize(lines.join(states.select("scenario_id").distinct(), "scenario_id", "left_semi"), "scan-batch-roads")
+        found = detect(states, roads, rules, 1)
         keep = [c for c in MATCH if c not in ("measured", "context")]
         found.select(*keep).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/matches/batch_id={number}")
 

@@ -122,3 +122,14 @@ def test_scan_pool_counts_each_side(spark):
     listed = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("c",), (None,)], "scenario_id string")
     assert tuple(au.scan_pool(pool, listed, ["s"], ["scenario_id", "skill_id", "k"]).first()) == (3, 2, 1, 2)
     assert tuple(au.scan_pool(pool.where("false"), listed.where("false"), ["s"], ["scenario_id", "skill_id", "k"]).first()) == (0, 0, 0, 0)
+
+
+def test_batches_of_a_scan_open_their_files_once(spark, sf_dir, monkeypatch):
+    """Each batch hands written states and roads to the detector: neither the files nor the map's source are read by its plans."""
+    from roadsift.plans import scene, sources_queries as sq
+    from roadsift.rules.catalog import RULES
+    from roadsift.streaming import scan
+    seen, detect = [], scan.detect
+    monkeypatch.setattr(scan, "detect", lambda states, roads, *rest: seen.append((optimized(states), optimized(roads))) or detect(states, roads, *rest))
+    scan.run(spark, sq.raw_files(spark, sf_dir), scene.roads(spark, sf_dir), sq.folder(spark, "scan"), [RULES["slow_lead_blockage"]])
+    assert seen and all("position_x" not in s and "Join" not in r and "user_id" not in r for s, r in seen)
