@@ -19,6 +19,11 @@ END = 4.8
 PAIRS3 = [("a", "b"), ("a", "c")]
 
 
+def of(df, ids):
+    """The rows of the given candidates, or all."""
+    return df if ids is None else df.join(ids.select("candidate_id"), "candidate_id", "left_semi")
+
+
 def tasks(cand):
     return cand.select("candidate_id", "scenario_id", "a", "b", "c").distinct()
 
@@ -36,6 +41,12 @@ def rows(spark, sf):
     return scene.once(spark, sf, "rows", build)
 
 
+def motion(frames):
+    """Steps and anchor state of wide frames for what reads no conflict point; not written, so that a query shuffles only the columns it reads."""
+    full = fr.anchored(fr.with_steps(frames), ANCHOR)
+    return cn.prepare(full.withColumns({"px": F.lit(None).cast("double"), "py": F.lit(None).cast("double")}), ANCHOR)
+
+
 SHOW = ["candidate_id", f"{R('value', 5)} AS value", "pair", "status"]
 
 
@@ -241,25 +252,25 @@ from roadsift.operators import diversity as dv, frames as frm, lanes as ln, trac
 from roadsift.oracles import rules_sql as rsq, scene_sql as scq  # noqa: E402
 
 
-def typed(spark, sf):
-    return scene.candidates(spark, sf).select("candidate_id", "scenario_id", "a", "b", "c", "object_type", "candidate_index").distinct()
+def typed(spark, sf, ids=None):
+    return of(scene.once(spark, sf, "tasks", lambda: scene.candidates(spark, sf).select("candidate_id", "scenario_id", "a", "b", "c", "object_type", "candidate_index").distinct()), ids)
 
 
-def kinds(spark, sf):
-    return typed(spark, sf).select("candidate_id", "object_type")
+def kinds(spark, sf, ids=None):
+    return typed(spark, sf, ids).select("candidate_id", "object_type")
 
 
-def laid(spark, sf):
-    return scene.once(spark, sf, "overlay", lambda: fr.overlay(scene.candidates(spark, sf), scene.states(spark, sf), ANCHOR))
+def laid(spark, sf, ids=None):
+    return of(scene.once(spark, sf, "overlay", lambda: fr.overlay(scene.candidates(spark, sf), scene.states(spark, sf), ANCHOR)), ids)
 
 
-def points(spark, sf):
-    o = laid(spark, sf).where(f"timestep > {ANCHOR}").join(typed(spark, sf).select("candidate_id", "scenario_id"), "candidate_id")
+def points(spark, sf, ids=None):
+    o = laid(spark, sf, ids).where(f"timestep > {ANCHOR}").join(typed(spark, sf).select("candidate_id", "scenario_id"), "candidate_id")
     return o.selectExpr("scenario_id", "candidate_id", "timestep", "x AS px", "y AS py", "heading")
 
 
-def kin_source(spark, sf):
-    return laid(spark, sf).selectExpr("candidate_id", "timestep", "time_s", "is_future", "x", "y", "vx", "vy", "IF(is_future, CAST(NULL AS DOUBLE), heading) AS heading")
+def kin_source(spark, sf, ids=None):
+    return laid(spark, sf, ids).selectExpr("candidate_id", "timestep", "time_s", "is_future", "x", "y", "vx", "vy", "IF(is_future, CAST(NULL AS DOUBLE), heading) AS heading")
 
 
 SCHEMA = "n <> 14 THEN 'invalid_future_shape'"
@@ -394,8 +405,8 @@ LNE = f"""l0 AS (SELECT candidate_id, timestep, s.pid, min_by(s.hd, (d, seq)) AS
 SKILLED = "CASE WHEN CAST(a AS BIGINT) % 7 = 0 THEN 'wrong_way_vehicle' ELSE 'lead_hard_brake' END"
 
 
-def skilled(spark, sf):
-    return typed(spark, sf).selectExpr("candidate_id", "object_type", f"{SKILLED} AS skill_id")
+def skilled(spark, sf, ids=None):
+    return typed(spark, sf, ids).selectExpr("candidate_id", "object_type", f"{SKILLED} AS skill_id")
 
 
 @query("K05_lane_compliance", f"{BASE}, {DRV}, {LNE} SELECT candidate_id, {R('assigned')} AS assigned, reason FROM lr")
@@ -439,9 +450,9 @@ NOV = """nv AS (SELECT candidate_id, sqrt(avg(d * d)) AS rms, max_by(d, timestep
   FROM (SELECT cd.candidate_id, cd.timestep, sqrt((cd.x - s.x) * (cd.x - s.x) + (cd.y - s.y) * (cd.y - s.y)) AS d FROM cd LEFT JOIN st s ON s.scenario_id = cd.scenario_id AND s.track_id = cd.a AND s.timestep = cd.timestep) GROUP BY 1)"""
 
 
-def novel(spark, sf):
+def novel(spark, sf, ids=None):
     source = scene.states(spark, sf).selectExpr("scenario_id", "track_id AS a", "timestep", "x", "y")
-    return dv.novelty(scene.candidates(spark, sf).select("candidate_id", "scenario_id", "a", "timestep", "x", "y"), source, ["scenario_id", "a"], LAST - ANCHOR)
+    return dv.novelty(of(scene.candidates(spark, sf), ids).select("candidate_id", "scenario_id", "a", "timestep", "x", "y"), source, ["scenario_id", "a"], LAST - ANCHOR)
 
 
 @query("D01_novelty", f"{BASE}, {NOV} SELECT candidate_id, {R('rms', 5)} AS rms, {R('endpoint', 5)} AS endpoint, reason FROM nv")
@@ -473,18 +484,38 @@ TRIG = f"""tg AS (SELECT DISTINCT m.scenario_id AS candidate_id FROM ({rsq.build
     FROM tk LEFT JOIN tg USING (candidate_id) JOIN nv USING (candidate_id) LEFT JOIN c2 USING (candidate_id))"""
 
 
-def triggered(spark, sf):
-    """Observed rules fire again on the overlay with the requested roles and must be novel; compatible ones realise all their missing conditions."""
+def fired(spark, sf, skill, tasks):
+    """Candidates on whose overlay the rule fires for their roles a and b.
+
+    Up to the anchor an overlay is the record. A rule that reads nothing later is evaluated on the record's actors and lanes, once for all
+    candidates of the same roles: neither tracks nor maps are copied for a candidate.
+    """
     from roadsift.rules.catalog import RULES
-    from roadsift.rules.detector import detect
-    st, roads = overlay_scene(spark, sf)
-    seen = typed(spark, sf).where(OBSERVED)
-    only = seen.select(F.col("candidate_id").alias("scenario_id"))
-    hits = detect(st.join(only, "scenario_id", "left_semi"), roads.join(only, "scenario_id", "left_semi"), [RULES[OBSERVED_RULE]], None).withColumnRenamed("scenario_id", "candidate_id").join(seen.select("candidate_id", "a", "b"), "candidate_id")
-    hits = hits.where("(initiator = a AND responder = b) OR (initiator = b AND responder = a)").select("candidate_id").distinct().withColumn("hit", F.lit(True))
-    n = novel(spark, sf).select("candidate_id", F.col("reason").alias("novelty"))
-    conditions = cn.brake_after_cut_in(rows(spark, sf)).selectExpr("candidate_id", f"cut IS NOT NULL AND {cn.EVENTS['initiator_brakes']} AND coalesce({cn.EVENTS['short_post_cut_in_delay']}, false) AS passed")
-    joined = typed(spark, sf).select("candidate_id", "a").join(hits, "candidate_id", "left").join(n, "candidate_id").join(conditions, "candidate_id", "left")
+    from roadsift.rules.detector import detect, gated_actors, reads_history_only
+    rule = RULES[skill]
+    if reads_history_only(skill):
+        roles = ["scenario_id", "a", "b", "c"]
+        group = tasks.groupBy(*roles).agg(F.min("candidate_id").alias("scene"))
+        seats = group.selectExpr("scene", "scenario_id", "a", "b", "inline(array(struct('a' AS seat, a AS track_id), struct('b' AS seat, b AS track_id), struct('c' AS seat, c AS track_id)))")
+        cast = seats.select("scene", "scenario_id", "seat", "track_id").join(scene.actors(spark, sf).drop("future"), ["scenario_id", "track_id"]).drop("scenario_id").withColumnRenamed("scene", "scenario_id")
+        offer = group.select("scene", "scenario_id").join(ln.map_features(scene.roads(spark, sf)), "scenario_id", "left").selectExpr("scene AS scenario_id", "features")
+        # c counts for the types that a scene offers; matches that it takes part in are not asked for
+        cast = gated_actors(None, None, list(RULES.values()), cast, offer).withColumns({m: F.expr(f"IF(seat = 'c', 0L, {m})") for m in ("init_mask", "resp_mask")}).drop("seat")
+        hits = detect(scene.states(spark, sf), scene.roads(spark, sf), [rule], None, cast).select(F.col("scenario_id").alias("scene"), "initiator", "responder")
+        hits = hits.join(group, "scene").join(tasks.select("candidate_id", *roles), roles)
+    else:
+        st, roads = overlay_scene(spark, sf)
+        only = tasks.select(F.col("candidate_id").alias("scenario_id"))
+        hits = detect(st.join(only, "scenario_id", "left_semi"), roads.join(only, "scenario_id", "left_semi"), [rule], None).withColumnRenamed("scenario_id", "candidate_id").join(tasks.select("candidate_id", "a", "b"), "candidate_id")
+    return hits.where("(initiator = a AND responder = b) OR (initiator = b AND responder = a)").select("candidate_id").distinct()
+
+
+def triggered(spark, sf, ids=None, frames=None):
+    """Observed rules fire again on the overlay with the requested roles and must be novel; compatible ones realise all their missing conditions."""
+    hits = fired(spark, sf, OBSERVED_RULE, typed(spark, sf, ids).where(OBSERVED)).withColumn("hit", F.lit(True))
+    n = novel(spark, sf, ids).select("candidate_id", F.col("reason").alias("novelty"))
+    conditions = cn.brake_after_cut_in(motion(wide(spark, sf) if frames is None else frames)).selectExpr("candidate_id", f"cut IS NOT NULL AND {cn.EVENTS['initiator_brakes']} AND coalesce({cn.EVENTS['short_post_cut_in_delay']}, false) AS passed")
+    joined = typed(spark, sf, ids).select("candidate_id", "a").join(hits, "candidate_id", "left").join(n, "candidate_id").join(conditions, "candidate_id", "left")
     return joined.selectExpr("candidate_id", f"CASE WHEN {OBSERVED} THEN IF(hit IS NULL, 'skill_trigger_not_realized', novelty) WHEN NOT coalesce(passed, false) THEN 'skill_trigger_not_realized' END AS reason")
 
 
@@ -493,10 +524,10 @@ def k09(spark, sf):
     return triggered(spark, sf)
 
 
-def realised(spark, sf):
+def realised(spark, sf, ids=None):
     original = scene.states(spark, sf).where(f"timestep BETWEEN {ANCHOR + 1} AND {LAST}").groupBy("scenario_id", F.col("track_id").alias("a")).agg(F.expr(f"avg({fm.norm('vx', 'vy')})").alias("original_speed"))
-    o = typed(spark, sf).join(original, ["scenario_id", "a"], "left").select("candidate_id", "original_speed")
-    return sg.realised_parameters(frm.future_kinematics(kin_source(spark, sf), "candidate_id"), o)
+    o = typed(spark, sf, ids).join(original, ["scenario_id", "a"], "left").select("candidate_id", "original_speed")
+    return sg.realised_parameters(frm.future_kinematics(kin_source(spark, sf, ids), "candidate_id"), o)
 
 
 ORIG = f"og AS (SELECT tk.candidate_id, avg({fm.norm('vx', 'vy')}) AS o FROM tk JOIN st ON st.scenario_id = tk.scenario_id AND st.track_id = tk.a AND timestep BETWEEN 35 AND 48 GROUP BY 1)"
@@ -515,8 +546,8 @@ def p37(spark, sf):
     return realised(spark, sf).where(NAMED).selectExpr("candidate_id", "parameter", f"CAST(bround(round(realised, 1) / {sg.tolerance()}) AS BIGINT) AS bin")
 
 
-def requested(spark, sf):
-    return typed(spark, sf).selectExpr("candidate_id", "inline(array(struct('speed_mps' AS parameter, 9D AS requested), struct('speed_scale' AS parameter, 1D AS requested)))")
+def requested(spark, sf, ids=None):
+    return typed(spark, sf, ids).selectExpr("candidate_id", "inline(array(struct('speed_mps' AS parameter, 9D AS requested), struct('speed_scale' AS parameter, 1D AS requested)))")
 
 
 PARR = f"{REAL}, pp10 AS (SELECT candidate_id, CASE WHEN bool_or(abs(realised - CASE parameter WHEN 'speed_mps' THEN 9 ELSE 1 END) > CASE parameter WHEN 'speed_mps' THEN 0.75 ELSE 0.15 END) THEN 'parameter_out_of_tolerance' END AS reason FROM rl WHERE parameter IN ('speed_mps', 'speed_scale') GROUP BY 1)"
@@ -527,14 +558,14 @@ def k10(spark, sf):
     return sg.parameter_stage(realised(spark, sf), requested(spark, sf), kinds(spark, sf))
 
 
-def survivors(spark, sf, ids=None):
+def survivors(spark, sf, ids=None, frames=None):
     """Input of the diversity stage: local futures with quality, risk and signature."""
-    t = typed(spark, sf) if ids is None else typed(spark, sf).join(ids, "candidate_id", "left_semi")
+    t = typed(spark, sf, ids)
     origin = scene.states(spark, sf).where(f"timestep = {ANCHOR}").selectExpr("scenario_id", "track_id AS a", "x AS ox", "y AS oy", "heading AS oh")
     lx, ly = frm.local_point("x", "y", "ox", "oy", "oh")
-    f = scene.candidates(spark, sf).join(origin, ["scenario_id", "a"]).selectExpr("candidate_id", "timestep", f"{lx} AS x", f"{ly} AS y").groupBy("candidate_id").agg(
+    f = of(scene.candidates(spark, sf), ids).join(origin, ["scenario_id", "a"]).selectExpr("candidate_id", "timestep", f"{lx} AS x", f"{ly} AS y").groupBy("candidate_id").agg(
         F.expr("transform(sort_array(collect_list(struct(timestep, x, y))), s -> struct(s.x AS x, s.y AS y))").alias("future"))
-    r = rk.clearance(wide(spark, sf), ANCHOR, PAIRS3).selectExpr("candidate_id", "coalesce(value, 0D) AS risk")
+    r = rk.clearance(wide(spark, sf) if frames is None else frames, ANCHOR, PAIRS3).selectExpr("candidate_id", "coalesce(value, 0D) AS risk")
     d = t.join(f, "candidate_id").where("size(future) = 14").join(r, "candidate_id").withColumn("skill_id", F.lit("cut_in_then_brake")).withColumn("quality_score", F.expr("abs(risk - 10.5) / 19"))
     return d.withColumn("signature", F.expr(dv.signature("future", (3, 6, 10, 13), "risk", "''"))).select("candidate_id", "scenario_id", "skill_id", "quality_score", "future", "signature")
 

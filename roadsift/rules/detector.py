@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roadsift.functions import formulas as fm
@@ -20,11 +22,11 @@ def _bit(skills: list[str], keep: str, columns: dict[str, str]) -> str:
     return " | ".join(f"(CASE WHEN {columns[s]} AND {keep} THEN {1 << i}L ELSE 0L END)" for i, s in enumerate(skills)) or "0L"
 
 
-def gated_actors(states: DataFrame, polylines: DataFrame, rules: list[Rule], actors: DataFrame | None = None) -> DataFrame:
-    """Actors with one bit per rule they may initiate or respond to (types, history, scenario gates)."""
+def gated_actors(states: DataFrame | None, polylines: DataFrame | None, rules: list[Rule], actors: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
+    """Actors with one bit per rule they may initiate or respond to (types, history, scenario gates: those of the map's ``features``, if given)."""
     actors = tr.actors(states) if actors is None else actors
     kinds = actors.groupBy("scenario_id").agg(F.collect_set("object_type").alias("kinds"))
-    offer = kinds.join(ln.map_features(polylines), "scenario_id", "left")
+    offer = kinds.join(ln.map_features(polylines) if features is None else features, "scenario_id", "left")
     words = lambda ws: "array(" + ", ".join(f"'{w}'" for w in ws) + ")"
     ok = {r.skill_id: f"size(array_except({words(r.required_tracks)}, kinds)) = 0 AND size(array_except({words(r.required_map)}, "
                       "coalesce(features, array()))) = 0" for r in rules}
@@ -50,6 +52,17 @@ TRIPLE_RULES = tuple(r.skill_id for r in CATALOG if len(r.roles) == 3)
 MANY, PART = 6, 6
 
 
+#: Columns of an actor that come from frames after its reference frame; needs that read none.
+LATER = r"\b[ab]_(future|lateral|turn|min_speed|min_accel|end_x|end_y|end_heading)\b"
+PAST_NEEDS = {"lanes", "headway", "opposite"}
+
+
+def reads_history_only(skill: str) -> bool:
+    """Does the rule over two actors read nothing after their reference frames?"""
+    rule = prules.pair_rules([RULES[skill]]).get(skill)
+    return rule is not None and rule.needs <= PAST_NEEDS and re.search(LATER, str(vars(rule))) is None
+
+
 def scan_actors(states: DataFrame, polylines: DataFrame) -> DataFrame:
     """Gated actors with their lanes.  Every join of the scan reads them, so they are written once."""
     gated = gated_actors(states, polylines, list(RULES.values()))
@@ -245,7 +258,8 @@ class Scene:
     # --- matches ------------------------------------------------------------------------------
     def pair_matches(self) -> DataFrame:
         full = self.full_actors()
-        pairs = self.frame_features(self.pairs(list(self.pair), full, {"past"}), self.needs)
+        unread = [c for c, needs in (("past", {"headway", "opposite"}), ("future", {"min_ttc", "min_dist", "path"})) if not self.needs & needs]
+        pairs = self.frame_features(self.pairs(list(self.pair), full.drop(*unread), {"past"}), self.needs)
         # the features below read this table several times: written once, without the frame arrays
         pairs = materialize(pairs, "pairs")
         pairs = self.part(self.enrich(pairs, self.needs - FRAME_FEATURES), "features")
