@@ -11,6 +11,7 @@ from roadsift.oracles import funnel_sql as fs
 from roadsift.plans import scene
 from roadsift.plans.geometry_queries import BEST_SQL, best_matches
 from roadsift.plans.registry import query
+from roadsift.session import materialize
 
 R = fm.rounded
 ANCHOR, LAST = ad.ANCHOR, ad.LAST
@@ -577,11 +578,19 @@ def k11(spark, sf):
 
 @query("K12_whole_funnel")
 def k12(spark, sf):
-    only = lambda stage: lambda alive: stage(spark, sf).join(alive, "candidate_id", "left_semi")
-    kin = lambda s, f: sg.kinematics(kin_source(s, f), kinds(s, f))
-    history = lambda s, f: sg.history_stage(scene.candidates(s, f), scene.states(s, f), ANCHOR)
-    names = [("schema_finite", only(k01)), ("history_invariants", only(history)), ("kinematics", only(kin)), ("map", only(k06)), ("collision", only(k07)), ("target_risk", only(k08)),
-             ("skill_trigger", only(triggered)), ("parameter_realization", only(k10)), ("diversity", lambda alive: dv.greedy(survivors(spark, sf, alive)))]
+    """Every stage reads the rows of its survivors only; frames beside the other roles are made, once, for those that reach the risk stage."""
+    cand, held = lambda alive: of(scene.candidates(spark, sf), alive), []
+
+    def frames(alive):
+        if not held:
+            held.append(materialize(rk.with_end(fr.wide_frames(tasks(cand(alive)), cand(alive), scene.states(spark, sf), ANCHOR), END), "wide-alive"))
+        return of(held[0], alive)
+    st, roads = scene.states(spark, sf), scene.roads(spark, sf)
+    names = [("schema_finite", lambda alive: sg.schema_finite(cand(alive), st, ANCHOR, LAST - ANCHOR)), ("history_invariants", lambda alive: sg.history_stage(cand(alive), st, ANCHOR)),
+             ("kinematics", lambda alive: sg.kinematics(kin_source(spark, sf, alive), kinds(spark, sf, alive))), ("map", lambda alive: sg.map_stage(points(spark, sf, alive), roads, skilled(spark, sf, alive))),
+             ("collision", lambda alive: sg.collision(laid(spark, sf, alive), typed(spark, sf, alive), st, ANCHOR)), ("target_risk", lambda alive: sg.target_risk(rk.clearance(frames(alive), ANCHOR, PAIRS3), 1.0, 20.0)),
+             ("skill_trigger", lambda alive: triggered(spark, sf, alive, frames(alive))), ("parameter_realization", lambda alive: sg.parameter_stage(realised(spark, sf, alive), requested(spark, sf, alive), kinds(spark, sf, alive))),
+             ("diversity", lambda alive: dv.greedy(survivors(spark, sf, alive, frames(alive))))]
     return sg.run_funnel(typed(spark, sf), names)
 
 
