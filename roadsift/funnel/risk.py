@@ -120,14 +120,23 @@ def collinear(a: str = "a", b: str = "b") -> str:
 
 
 def path_gap(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Arrival gap at the crossing of two paths, anchor included; a shared straight path has no unique crossing."""
-    met = None
-    for p, q in pairs:
-        one = pr.close_segments(path_segments(wide, p), path_segments(wide, q)).withColumn("pair", F.lit(f"{p}->{q}"))
-        met = one if met is None else met.unionByName(one)
+    """Arrival gap at the crossing of two paths, anchor included; a shared straight path has no unique crossing.
+
+    The frames of a candidate (at most 61) are shuffled once by candidate; segments with overlapping boxes meet inside its row.
+    """
+    roles = sorted({r for pair in pairs for r in pair})
+    w = "OVER (PARTITION BY candidate_id ORDER BY timestep)"
+    nxt = [f"lead({r}_{c}) {w} AS n_{r}_{c}" for r in roles for c in "xy"]
+    rows = wide.selectExpr("candidate_id", "timestep", "time_s", *[f"{r}_{c}" for r in roles for c in "xy"], f"lead(time_s) {w} AS n_s", f"lead(timestep) {w} AS n_t", *nxt)
+    seg = lambda r: f"struct(timestep AS t, {r}_x AS x1, {r}_y AS y1, time_s AS s1, n_{r}_x AS x2, n_{r}_y AS y2, n_s AS s2)"
+    paths = rows.where("n_t = timestep + 1").groupBy("candidate_id").agg(*[F.expr(f"collect_list({seg(r)}) FILTER (WHERE {r}_x IS NOT NULL AND n_{r}_x IS NOT NULL)").alias(r) for r in roles])
+    met = paths.selectExpr("candidate_id", "inline(array(" + ", ".join(f"struct('{p}->{q}' AS pair, {p} AS ps, {q} AS qs)" for p, q in pairs) + "))")
+    side = lambda p: [f"{p}_{c}" for c in ("t", "x1", "y1", "s1", "x2", "y2", "s2")]
+    met = met.selectExpr("candidate_id", "pair", "qs", f"inline(ps) AS ({', '.join(side('a'))})")
+    met = met.selectExpr("candidate_id", "pair", *side("a"), f"inline(qs) AS ({', '.join(side('b'))})").where(pr.boxes_meet())
     cut = pr.crossing()
     met = met.withColumns({"u": F.expr(cut["u"]), "v": F.expr(cut["v"]), "line": F.expr(collinear())})
-    met = met.selectExpr("scenario_id AS candidate_id", "pair", "line", "a_t", "b_t", "a_s1 + u * (a_s2 - a_s1) AS ta", "b_s1 + v * (b_s2 - b_s1) AS tb",
+    met = met.selectExpr("candidate_id", "pair", "line", "a_t", "b_t", "a_s1 + u * (a_s2 - a_s1) AS ta", "b_s1 + v * (b_s2 - b_s1) AS tb",
                          "a_x1 + u * (a_x2 - a_x1) AS cx", "a_y1 + u * (a_y2 - a_y1) AS cy")
     per = met.groupBy("candidate_id", "pair").agg(
         F.expr("min(struct(abs(ta - tb) AS value, greatest(ta, tb) AS late, a_t, b_t, ta, tb, cx, cy)) FILTER (WHERE ta IS NOT NULL AND tb IS NOT NULL)").alias("m"), F.expr("bool_or(line)").alias("line"))

@@ -157,14 +157,18 @@ def crossing(a: str = "a", b: str = "b") -> dict[str, str]:
             "v": case(meet, hit_b.format(fm.clamp01(fb)), hit_a.format(zero), reg.format(fm.clamp01(v)))}
 
 
+def boxes_meet() -> str:
+    """Do the boxes of two primitives (prefixes a and b) overlap?"""
+    return " AND ".join(f"least(a_{c}1, a_{c}2) <= greatest(b_{c}1, b_{c}2) + {fm.EPS} AND least(b_{c}1, b_{c}2) <= greatest(a_{c}1, a_{c}2) + {fm.EPS}" for c in "xy")
+
+
 def close_segments(segs_a: DataFrame, segs_b: DataFrame) -> DataFrame:
     """Primitive pairs of different tracks with overlapping boxes (one grid cell reports each pair)."""
     pre = lambda d, p: d.select("scenario_id", F.col("track_id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in d.columns if c not in ("scenario_id", "track_id")])
     cells = lambda d, p: box_cells(pre(d, p), f"least({p}_x1, {p}_x2)", f"least({p}_y1, {p}_y2)", f"greatest({p}_x1, {p}_x2)",
                                    f"greatest({p}_y1, {p}_y2)", SEGMENT_CELL, 1e-6)
-    over = " AND ".join(f"least(a_{c}1, a_{c}2) <= greatest(b_{c}1, b_{c}2) + {fm.EPS} AND least(b_{c}1, b_{c}2) <= greatest(a_{c}1, a_{c}2) + {fm.EPS}" for c in "xy")
     own = " AND ".join(f"cell_{c} = CAST(floor((greatest(least(a_{c}1, a_{c}2), least(b_{c}1, b_{c}2)) - 1e-6) / {SEGMENT_CELL}) AS BIGINT)" for c in "xy")
-    return cells(segs_a, "a").join(cells(segs_b, "b"), CELL).where(f"a <> b AND {over} AND {own}").drop("cell_x", "cell_y")
+    return cells(segs_a, "a").join(cells(segs_b, "b"), CELL).where(f"a <> b AND {boxes_meet()} AND {own}").drop("cell_x", "cell_y")
 
 
 def conflicts(actors: DataFrame, others: DataFrame | None = None, isolated: bool = True) -> DataFrame:

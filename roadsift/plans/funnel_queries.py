@@ -182,7 +182,7 @@ def v23(spark, sf):
     w = wide(spark, sf)
     near = rk.clearance(w, ANCHOR - 1, [("a", "b")]).selectExpr("candidate_id", "value AS near")
     meet = rk.path_gap(w, [("a", "b")]).selectExpr("candidate_id", "value AS meet")
-    v = cn.evaluate(rows(spark, sf), ["turning_vehicle"])
+    v = cn.evaluate(motion(w), ["turning_vehicle"])
     return both(both(v, near), meet).selectExpr("candidate_id", "turning_vehicle", "meet IS NOT NULL OR coalesce(near <= 6.0, false) AS vehicle_path_conflict")
 
 
