@@ -171,9 +171,15 @@ def close_segments(segs_a: DataFrame, segs_b: DataFrame) -> DataFrame:
     return cells(segs_a, "a").join(cells(segs_b, "b"), CELL).where(f"a <> b AND {boxes_meet()} AND {own}").drop("cell_x", "cell_y")
 
 
-def conflicts(actors: DataFrame, others: DataFrame | None = None, isolated: bool = True) -> DataFrame:
-    """Per ordered pair the crossing of the two future paths with the least time gap."""
-    met = close_segments(path_segments(actors, isolated), path_segments(actors if others is None else others, isolated))
+def conflicts(actors: DataFrame, others: DataFrame | None = None, isolated: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+    """Per ordered pair the crossing of the two future paths with the least time gap (of ``pairs`` only, if given: scenario_id, a, b)."""
+    others = actors if others is None else others
+    if pairs is not None:  # actors without a partner on their side leave before their paths are cut into segments
+        side = lambda p: pairs.select("scenario_id", F.col(p).alias("track_id")).distinct()
+        actors, others = (d.join(side(p), ["scenario_id", "track_id"], "left_semi") for d, p in ((actors, "a"), (others, "b")))
+    met = close_segments(path_segments(actors, isolated), path_segments(others, isolated))
+    if pairs is not None:
+        met = met.join(pairs.select("scenario_id", "a", "b").distinct(), ["scenario_id", "a", "b"], "left_semi")
     cut = crossing()
     met = met.withColumns({"u": F.expr(cut["u"]), "v": F.expr(cut["v"])}).where("u IS NOT NULL AND v IS NOT NULL")
     met = met.selectExpr("scenario_id", "a", "b", "a_t", "b_t", "a_x1 + u * (a_x2 - a_x1) AS cx", "a_y1 + u * (a_y2 - a_y1) AS cy",

@@ -141,6 +141,17 @@ class Scene:
             pairs = pairs.withColumn("opposite_run", F.expr(f"{tr.array_run(flags)} * 0.1D"))
         return pairs.drop(*[f"{s}_{c}" for s in "ab" for c in ("past", "future", "hist_frames")])
 
+    def may_meet(self, columns: list[str]) -> str:
+        """What the rules on path conflicts ask of a pair before its conflict is known: their masks, early conditions and bounds on these columns."""
+        known = set(columns)
+        items = []
+        for skill, rule in self.pair.items():
+            if "conflict" in rule.needs:
+                ready = {n for n, e in rule.measured.items() if known.issuperset(re.findall(r"\b[a-z]\w*\b(?!\s*\()", re.sub(r"'[^']*'|\b(?:div|mod)\b", "", e)))}
+                now = " AND ".join(f"{rule.measured[n]} {'>=' if n.startswith('minimum_') else '<='} {v}" for n, v in RULES[skill].thresholds.items() if n in ready)
+                items.append(f"((a_init_mask & b_resp_mask & {self.mask(skill)}L) <> 0 AND ({rule.early}) AND {now or 'true'})")
+        return " OR ".join(items) or "true"
+
     # --- optional pair features -------------------------------------------------------------
     def enrich(self, pairs: DataFrame, needs: set[str]) -> DataFrame:
         key = ["scenario_id", "a", "b"]
@@ -178,7 +189,8 @@ class Scene:
         if "both" in needs:
             pairs = self._shared_neighbour(pairs, source)
         if "conflict" in needs:
-            hits = source.select(*key, "a_lane").join(pr.conflicts(self.actors), key)
+            wanted = source.where(self.may_meet(source.columns)).select(*key, "a_lane")
+            hits = wanted.join(pr.conflicts(self.actors, pairs=wanted), key)
             if needs & {"conflict_cross", "conflict_lane", "conflict_place"}:
                 hits = materialize(hits, "conflicts")          # read by up to five point queries below
             pairs = pairs.join(hits.drop("a_lane"), key, "left")

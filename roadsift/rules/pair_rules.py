@@ -28,6 +28,7 @@ class PairRule:
     swap: str = "false"                # whether b is the initiator
     target_lane: str = "CAST(NULL AS STRING)"
     extra: dict[str, str] = field(default_factory=dict)
+    early: str = "true"                # part of the condition on the pair row alone: path conflicts are made for no other pairs
 
 
 def bounds(rule: Rule, measured: dict[str, str]) -> str:
@@ -181,7 +182,7 @@ def _conflict_point(rule: Rule) -> PairRule:
         where = f"time_gap IS NOT NULL AND conflict_to_cross <= 6.0 AND {cross_flow(30.0, 150.0, 1.0, 2.0)}"
         score = f"0.5 + 0.25 * ({small('a_cross_lane_dist', '8.0')}) + 0.25 * ({small(wait, '5.0')})"
         return PairRule({"lanes", "entry", "conflict", "conflict_cross"}, where, m, score, "greatest(a_cross_lane_dist, 1e-6)",
-                        extra={"cx": "cx", "cy": "cy"})
+                        extra={"cx": "cx", "cy": "cy"}, early=cross_flow(30.0, 150.0, 1.0, 2.0))
     m = {"maximum_arrival_time_gap_s": "time_gap", "maximum_conflict_distance_m": "min_dist"}
     where = "conflict_to_cross <= 6.0"
     if rule.skill_id == "unprotected_left_turn_conflict":
@@ -191,8 +192,9 @@ def _conflict_point(rule: Rule) -> PairRule:
     else:
         m |= {"minimum_crossing_angle_deg": turn}
         where += " AND a < b"
+    early = "a < b" if where.endswith("a < b") else "true"
     return PairRule({"lanes", "conflict", "conflict_cross", "min_dist"}, where, m, mean(risk(rule, "time_gap"), small("min_dist", "6.0")), "time_gap",
-                    extra={"cx": "cx", "cy": "cy"})
+                    extra={"cx": "cx", "cy": "cy"}, early=early)
 
 
 def _occupancy(rule: Rule) -> PairRule:
@@ -202,9 +204,10 @@ def _occupancy(rule: Rule) -> PairRule:
          "minimum_crossing_angle_deg": turn, "maximum_crossing_angle_deg": turn, "minimum_crossing_vehicle_speed_mps": "b_speed",
          "minimum_current_separation_m": "dist"}
     overlap = f"greatest(CAST(0 AS DOUBLE), least(a_lane_length / greatest(a_speed, 0.1), 5.0) - {wait})"
-    where = (f"a_in_cross AND a_lane_dist <= 6.0 AND conflict_to_lane <= 6.0 AND {overlap} > 0 AND {cross_flow(30.0, 150.0, 1.0, 2.0)}")
+    early = f"a_in_cross AND a_lane_dist <= 6.0 AND {cross_flow(30.0, 150.0, 1.0, 2.0)}"
+    where = f"{early} AND conflict_to_lane <= 6.0 AND {overlap} > 0"
     return PairRule({"lanes", "conflict", "conflict_lane"}, where, m, mean(small("a_speed", "0.5"), risk(rule, overlap)), overlap,
-                    "'potential_conflict_area_occupancy_overlap_proxy'", extra={"cx": "cx", "cy": "cy"})
+                    "'potential_conflict_area_occupancy_overlap_proxy'", extra={"cx": "cx", "cy": "cy"}, early=early)
 
 
 def _vru(rule: Rule) -> PairRule:
