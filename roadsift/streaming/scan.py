@@ -1,4 +1,4 @@
-"""Resumable rule scan: Structured Streaming over the scenario files, one detector run per micro-batch."""
+"""Resumable rule scan: Structured Streaming takes the scenario files in by micro-batches, the detector runs once over all that came in."""
 
 from __future__ import annotations
 
@@ -22,23 +22,30 @@ def rule_fingerprint(rules: list[Rule]) -> str:
 def run(spark: SparkSession, scenario_root: str, polylines: DataFrame, out_root: str, rules: list[Rule] | None = None, total: int = 110, files_per_batch: int = 1000) -> str:
     """Scan the files not scanned yet and return the folder of the results.
 
-    Each scenario lies in one file, so no state crosses batches.  A batch writes its own folder and
-    overwrites it when it is replayed, which makes a resumed run equal to an uninterrupted one.
+    Files are taken in by micro-batches of ``files_per_batch``; what they brought is scanned together, since a run of the
+    detector costs its many small plans however few files it gets.  Each scenario lies in one file, so no state crosses
+    batches.  A scan batch writes its own folder and overwrites it when it is replayed, which makes a resumed run equal
+    to an uninterrupted one.
     """
     rules = list(RULES.values()) if rules is None else rules
     base = f"{out_root.rstrip('/')}/{rule_fingerprint(rules)}"
     raw = (spark.readStream.schema(RAW_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).parquet(scenario_root))
+    taken = to_states(raw, total)
+    # the sink's log shows whole batches only, and so whole scenarios
+    take = taken.writeStream.format("parquet").option("path", f"{base}/states").option("checkpointLocation", f"{base}/taken").trigger(availableNow=True).start()
+    take.awaitTermination()
 
     lines = materialize(polylines, "scan-roads")    # made once, not by every batch
 
     def scan_batch(batch: DataFrame, number: int) -> None:
         # the detector reads states and roads several times: a batch's files are opened once
-        states = materialize(to_states(batch, total), "scan-states")
+        states = materialize(batch, "scan-states")
         roads = materialize(lines.join(states.select("scenario_id").distinct(), "scenario_id", "left_semi"), "scan-batch-roads")
         found = detect(states, roads, rules, 1)
         keep = [c for c in MATCH if c not in ("measured", "context")]
         found.select(*keep).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/matches/batch_id={number}")
 
-    query = raw.writeStream.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).foreachBatch(scan_batch).start()
+    query = (spark.readStream.schema(taken.schema).parquet(f"{base}/states").writeStream.option("checkpointLocation", f"{base}/progress")
+             .trigger(availableNow=True).foreachBatch(scan_batch).start())
     query.awaitTermination()
     return f"{base}/matches"
