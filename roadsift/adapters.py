@@ -173,7 +173,8 @@ def scenario_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_polylines(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
-    """The fixed road map repeated for every scenario (map rows are few; scenarios stay distributed, over ``tasks`` if given)."""
+    """The fixed road map repeated for every scenario (map rows are few; scenarios stay distributed, over ``tasks`` if given).
+    Never broadcast: the planner takes the repeated map for little more than the ids."""
     items = []
     for pid, (kind, direction, cross, left, right, pred, succ, points) in ROADS.items():
         text = {"polyline_id": pid, "polyline_type": kind, "direction": direction,
@@ -186,7 +187,7 @@ def map_polylines(spark: SparkSession, sf_dir: str, tasks: int | None = None) ->
         shape = ", ".join(f"struct(CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y)" for x, y in points)
         items.append(f"named_struct({', '.join(fields)}, 'points', array({shape}))")
     ids = scenario_ids(spark, sf_dir)
-    return (ids if tasks is None else ids.repartition(tasks, "scenario_id")).selectExpr("scenario_id", f"inline(array({', '.join(items)}))")
+    return (ids if tasks is None else ids.repartition(tasks, "scenario_id")).selectExpr("scenario_id", f"inline(array({', '.join(items)}))").hint("merge")
 
 
 SEED_RECORDS_SQL = """

@@ -116,7 +116,7 @@ def conflict_points(rows: DataFrame, recorded: DataFrame, seeds: DataFrame, road
     near = closest_approach(rows).where(f"distance <= {cn.REACH}").selectExpr("candidate_id", "mx AS near_x", "my AS near_y")
     every = seeds.select("candidate_id", "seed_x", "seed_y")
     for found in (lane, drawn, past, near):
-        every = every.join(found, "candidate_id", "left")
+        every = every.join(found.hint("merge"), "candidate_id", "left")
     order = ("seed", "lane", "made", "source", "near")
     names = ("frozen_seed_conflict_point", "frozen_seed_lane_map_intersection", "generated_path_intersection", "source_path_intersection", "generated_closest_approach_proxy")
     return every.selectExpr("candidate_id", *[f"coalesce({', '.join(f'{k}_{c}' for k in order)}) AS p{c}" for c in "xy"],
@@ -192,7 +192,7 @@ def risk_by_rule(rows: DataFrame, anchor: int) -> DataFrame:
         F.expr("min(struct(value, label, timestep)) FILTER (WHERE value IS NOT NULL)").alias("m"), F.expr("bool_or(sample)").alias("sampled"), F.expr("count(px) > 0").alias("has_point"),
         F.expr("count(event) > 0").alias("has_event"), F.expr("sum(held) FILTER (WHERE sample)").alias("held"), F.expr("min(label)").alias("label"), F.expr(f"min_by({entry}, timestep) FILTER (WHERE enters)").alias("entry"))
     paths = _paths(flat.where("calculator = 'path_gap'"))
-    both = got.join(paths, "candidate_id", "left")
+    both = got.join(paths.hint("merge"), "candidate_id", "left")
     ttc = "calculator IN ('headway', 'front_rear_ttc', 'event_ttc', 'point_ttc', 'radial_ttc', 'lateral_ttc')"
     value = "CASE calculator WHEN 'path_gap' THEN path.value WHEN 'area_overlap' THEN IF(has_point AND sampled, held, NULL) WHEN 'area_entry_ttc' THEN IF(entry.seen, entry.value, NULL) ELSE m.value END"
     reason = f"""CASE WHEN value IS NOT NULL THEN NULL WHEN calculator LIKE 'area%' AND NOT has_point OR calculator = 'event_ttc' AND NOT has_event THEN 'required_context_missing'
@@ -341,8 +341,8 @@ def verdicts(rows: DataFrame, seeds: DataFrame, lane_facts: DataFrame, past_spee
     facts = [near("b"), near("c"), _longest(only("sustained_creep"), creep, "creep_s"), _longest(only("sustained_blocking"), still, "block_s"),
              _longest(only("sustained_yield"), slow("a"), "yield_a_s"), _longest(only("sustained_yield"), slow("b"), "yield_b_s"),
              path_crossings(only("path_conflict")).select("candidate_id", F.lit(True).alias("path_met")), lane_facts, past_speed, seeds.select("candidate_id", "matched", "fields", "missing")]
-    for f in facts:
-        g = g.join(f, "candidate_id", "left")
+    for f in facts:  # merged, all by candidate: as broadcasts the facts would lie in the driver together
+        g = g.join(f.hint("merge"), "candidate_id", "left")
     realised = ", ".join(f"'{n}', coalesce({cn._prefixed(verdict, parts, f'v{i}_') if parts else verdict}, false)" for i, (n, (parts, verdict)) in enumerate(EVALUATORS.items()))
     return g.selectExpr("candidate_id", "skill_id", "missing", "matched", "fields", f"map({realised}) AS realised")
 

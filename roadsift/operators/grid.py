@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def exploded(df: DataFrame) -> DataFrame:
+    """Rows made by explode: the planner takes them for as many bytes as they were made of, so it must not be left to broadcast them."""
+    return df.hint("merge")
+
+
 def point_cell(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.selectExpr("*", f"CAST(floor({x} / {size}) AS BIGINT) AS cell_x", f"CAST(floor({y} / {size}) AS BIGINT) AS cell_y")
 
@@ -18,7 +23,7 @@ def box_cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str, size: float, pa
     lo = lambda v: f"CAST(floor(({v} - {pad}) / {size}) AS BIGINT)"
     hi = lambda v: f"CAST(floor(({v} + {pad}) / {size}) AS BIGINT)"
     wide = df.selectExpr("*", f"explode(sequence({lo(x1)}, {hi(x2)})) AS cell_x")
-    return wide.selectExpr("*", f"explode(sequence({lo(y1)}, {hi(y2)})) AS cell_y")
+    return exploded(wide.selectExpr("*", f"explode(sequence({lo(y1)}, {hi(y2)})) AS cell_y"))
 
 
 CELL = ["scenario_id", "cell_x", "cell_y"]

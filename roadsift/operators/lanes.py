@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roadsift.functions import formulas as fm
-from roadsift.operators.grid import CELL, box_cells, point_cell
+from roadsift.operators.grid import CELL, box_cells, exploded, point_cell
 
 LANE_CELL = 20.0
 LANE_RADIUS = 5.0
@@ -31,9 +31,10 @@ def segments(polylines: DataFrame) -> DataFrame:
     s = s.selectExpr("scenario_id", "polyline_id", "polyline_type", "lane_id", "direction", "is_intersection",
                      "exists(points, p -> p.x IS NULL OR p.y IS NULL) AS broken",
                      "inline(arrays_zip(pairs, sums))")
-    return s.selectExpr("scenario_id", "polyline_id", "polyline_type", "lane_id", "direction", "is_intersection", "broken",
-                        "pairs.seq AS seq", "pairs.x1 AS x1", "pairs.y1 AS y1", "pairs.x2 AS x2", "pairs.y2 AS y2",
-                        "sums AS arc_start").where("seq IS NOT NULL")
+    s = s.selectExpr("scenario_id", "polyline_id", "polyline_type", "lane_id", "direction", "is_intersection", "broken",
+                     "pairs.seq AS seq", "pairs.x1 AS x1", "pairs.y1 AS y1", "pairs.x2 AS x2", "pairs.y2 AS y2",
+                     "sums AS arc_start").where("seq IS NOT NULL")
+    return exploded(s)
 
 
 def lanes(polylines: DataFrame) -> DataFrame:
@@ -54,12 +55,12 @@ def lanes(polylines: DataFrame) -> DataFrame:
 def lane_edges(polylines: DataFrame) -> DataFrame:
     """Successor, predecessor and neighbour relations as (src, dst, rel)."""
     lane = polylines.where("polyline_type = 'lane_centerline' AND lane_id IS NOT NULL")
-    return lane.selectExpr(
+    return exploded(lane.selectExpr(
         "scenario_id", "lane_id AS src",
         "inline(concat(transform(successor_ids, d -> struct(d AS dst, 'successor' AS rel)), "
         "transform(predecessor_ids, d -> struct(d AS dst, 'predecessor' AS rel)), "
         "transform(array_compact(array(left_neighbor_id)), d -> struct(d AS dst, 'left' AS rel)), "
-        "transform(array_compact(array(right_neighbor_id)), d -> struct(d AS dst, 'right' AS rel))))")
+        "transform(array_compact(array(right_neighbor_id)), d -> struct(d AS dst, 'right' AS rel))))"))
 
 
 def project(df: DataFrame, px: str = "px", py: str = "py") -> DataFrame:
@@ -200,21 +201,21 @@ def project_on(points: DataFrame, segs: DataFrame, keys: list[str]) -> DataFrame
 def lane_attributes(polylines: DataFrame) -> DataFrame:
     """`lanes` plus whether at least two successors name the lane as their predecessor."""
     lane = lanes(polylines)
-    back = lane.selectExpr("scenario_id", "polyline_id AS dst", "explode(pred) AS polyline_id")
-    ahead = lane.selectExpr("scenario_id", "polyline_id", "explode(succ) AS dst")
+    back = exploded(lane.selectExpr("scenario_id", "polyline_id AS dst", "explode(pred) AS polyline_id"))
+    ahead = exploded(lane.selectExpr("scenario_id", "polyline_id", "explode(succ) AS dst"))
     fork = (ahead.join(back, ["scenario_id", "polyline_id", "dst"]).groupBy("scenario_id", "polyline_id")
             .agg(F.count_distinct("dst").alias("n")).where("n >= 2").selectExpr("scenario_id", "polyline_id", "true AS fork"))
-    return lane.join(fork, ["scenario_id", "polyline_id"], "left").withColumn("diverges", F.expr("coalesce(fork, false)")).drop("fork")
+    return lane.join(fork.hint("merge"), ["scenario_id", "polyline_id"], "left").withColumn("diverges", F.expr("coalesce(fork, false)")).drop("fork")
 
 
 def with_lanes(actors: DataFrame, polylines: DataFrame) -> DataFrame:
     """Actors with both lane matches and the attributes of the matched lanes."""
-    attrs = lane_attributes(polylines)
+    attrs = lane_attributes(polylines).hint("merge")
     own = attrs.selectExpr("scenario_id", "polyline_id AS lane", "succ", "pred", "left_id", "right_id", "is_intersection AS in_cross",
                            "lane_length", "end_heading AS lane_end_heading", "diverges", "first_x AS lane_x", "first_y AS lane_y")
     other = attrs.selectExpr("scenario_id", "polyline_id AS any_lane", "succ AS any_succ")
     m = lane_matches(actors, polylines).join(own, ["scenario_id", "lane"], "left").join(other, ["scenario_id", "any_lane"], "left")
-    return actors.join(m, ["scenario_id", "track_id"], "left")
+    return actors.join(m.hint("merge"), ["scenario_id", "track_id"], "left")
 
 
 def map_features(polylines: DataFrame) -> DataFrame:

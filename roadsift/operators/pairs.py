@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from roadsift.functions import formulas as fm
-from roadsift.operators.grid import CELL, box_cells, point_cell
+from roadsift.operators.grid import CELL, box_cells, exploded, point_cell
 
 RADIUS = 70.0
 SEGMENT_CELL = 10.0
@@ -27,7 +27,7 @@ def related_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     beside = "array_compact(array_distinct(concat(array(lane, left_id, right_id), coalesce(succ, array()), coalesce(pred, array()))))"
     slim = lambda d, p: d.where("lane IS NOT NULL").selectExpr("scenario_id", f"track_id AS {p}", f"object_type AS {p}_type", f"x AS {p}_px", f"y AS {p}_py", f"lane AS {p}_lane", f"{beside} AS {p}_beside")
     a, b = slim(left, "a"), slim(right, "b")
-    spread = lambda d, p: d.withColumn("meet", F.explode(f"{p}_beside"))
+    spread = lambda d, p: exploded(d.withColumn("meet", F.explode(f"{p}_beside")))
     at = lambda d, p: d.withColumn("meet", F.col(f"{p}_lane"))
     both = spread(a, "a").join(at(b, "b"), ["scenario_id", "meet"]).unionByName(at(a, "a").join(spread(b, "b"), ["scenario_id", "meet"]))
     dist = fm.norm("a_px - b_px", "a_py - b_py")

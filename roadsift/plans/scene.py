@@ -18,9 +18,11 @@ _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], write: bool = True) -> DataFrame:
+    """A table built once per session and folder.  The planner sees the compressed bytes of its files, a small part of what its rows take
+    in memory: joins with it are never broadcast by their size."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
-        _TABLES[key] = materialize(build(), name) if write else build()
+        _TABLES[key] = (materialize(build(), name) if write else build()).hint("merge")
     return _TABLES[key]
 
 
