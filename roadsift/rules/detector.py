@@ -11,7 +11,7 @@ from roadsift.operators import lanes as ln, pairs as pr, tracks as tr
 from roadsift.rules import pair_rules as prules, triple_rules
 from roadsift.rules.catalog import CATALOG, RULES, Rule
 from roadsift.session import materialize
-from roadsift.rules.pair_rules import bounds, in_horizon, large, mean, risk, small
+from roadsift.rules.pair_rules import all_of, any_of, bound_list
 
 KEY = ["scenario_id", "track_id"]
 MATCH = ["scenario_id", "skill_id", "initiator", "responder", "extra", "score", "risk_metric", "risk_value",
@@ -65,6 +65,7 @@ def reads_history_only(skill: str) -> bool:
 
 def scan_actors(states: DataFrame, polylines: DataFrame) -> DataFrame:
     """Gated actors with their lanes.  Every join of the scan reads them, so they are written once."""
+    states, polylines = states.hint("merge"), polylines.hint("merge")   # files are small when compressed, a map is small before it is cut into segments
     gated = gated_actors(states, polylines, list(RULES.values()))
     return materialize(ln.with_lanes(gated, polylines), "actors")
 
@@ -114,7 +115,7 @@ class Scene:
             left, right = self.actors.where(f"(init_mask & {m}L) <> 0"), self.actors.where(f"(resp_mask & {m}L) <> 0")
             near = pr.near_pairs(left, right, triple_rules.WIDE_RADIUS).unionByName(pr.related_pairs(left, right)).distinct()
             slim = full.drop("past", "future")
-            self._wide = materialize(pr.attach(pr.attach(near, slim, "a"), slim, "b"), "wide-pairs")
+            self._wide = materialize(pr.attach(pr.attach(near, slim, "a"), slim, "b"), "wide-pairs").hint("merge")
         return self._wide
 
     def with_futures(self, pairs: DataFrame) -> DataFrame:
@@ -143,6 +144,9 @@ class Scene:
 
     def may_meet(self, columns: list[str]) -> str:
         """What the rules on path conflicts ask of a pair before its conflict is known: their masks, early conditions and bounds on these columns."""
+        return " OR ".join(self.meetings(columns)) or "true"
+
+    def meetings(self, columns: list[str]) -> list[str]:
         known = set(columns)
         items = []
         for skill, rule in self.pair.items():
@@ -150,7 +154,7 @@ class Scene:
                 ready = {n for n, e in rule.measured.items() if known.issuperset(re.findall(r"\b[a-z]\w*\b(?!\s*\()", re.sub(r"'[^']*'|\b(?:div|mod)\b", "", e)))}
                 now = " AND ".join(f"{rule.measured[n]} {'>=' if n.startswith('minimum_') else '<='} {v}" for n, v in RULES[skill].thresholds.items() if n in ready)
                 items.append(f"((a_init_mask & b_resp_mask & {self.mask(skill)}L) <> 0 AND ({rule.early}) AND {now or 'true'})")
-        return " OR ".join(items) or "true"
+        return items
 
     # --- optional pair features -------------------------------------------------------------
     def enrich(self, pairs: DataFrame, needs: set[str]) -> DataFrame:
@@ -189,10 +193,10 @@ class Scene:
         if "both" in needs:
             pairs = self._shared_neighbour(pairs, source)
         if "conflict" in needs:
-            wanted = source.where(self.may_meet(source.columns)).select(*key, "a_lane")
+            wanted = source.where(any_of(self.meetings(source.columns))).select(*key, "a_lane")
             hits = wanted.join(pr.conflicts(self.actors, pairs=wanted), key)
             if needs & {"conflict_cross", "conflict_lane", "conflict_place"}:
-                hits = materialize(hits, "conflicts")          # read by up to five point queries below
+                hits = materialize(hits, "conflicts").hint("merge")          # read by up to five point queries below
             pairs = pairs.join(hits.drop("a_lane"), key, "left")
             points = hits.selectExpr(*key, "cx AS px", "cy AS py", "a_lane AS polyline_id" if "conflict_lane" in needs else "true AS t")
             cross = self.polylines.where("polyline_type = 'lane_centerline' AND is_intersection")
@@ -273,7 +277,7 @@ class Scene:
         unread = [c for c, needs in (("past", {"headway", "opposite"}), ("future", {"min_ttc", "min_dist", "path"})) if not self.needs & needs]
         pairs = self.frame_features(self.pairs(list(self.pair), full.drop(*unread), {"past"}), self.needs)
         # the features below read this table several times: written once, without the frame arrays
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs, "pairs").hint("merge")
         pairs = self.part(self.enrich(pairs, self.needs - FRAME_FEATURES), "features")
         rules = list(self.pair.items())
         size = PART if self.many else len(rules)
@@ -290,20 +294,20 @@ class Scene:
             for long, name in shared.items():
                 text = text.replace(long, name)
             return text
+        # parsed piece by piece: the parser keeps what it has looked ahead over, and keeps far more of it for long nested texts
+        say = lambda text: F.expr(short(text))
+        numbers = lambda named: F.create_map(*[c for n, e in named.items() for c in (F.lit(n), say(e).cast("double"))]) if named else F.expr("CAST(map() AS MAP<STRING, DOUBLE>)")
         items = []
         for skill, rule in rules.items():
             r, bit = RULES[skill], self.mask(skill)
             pick = lambda s, t: f"IF({rule.swap}, {s}, {t})" if rule.swap != "false" else t
-            measured = ", ".join(f"'{n}', CAST({e} AS DOUBLE)" for n, e in rule.measured.items() if n in r.thresholds)
-            extra = ", ".join(f"'{n}', CAST({e} AS DOUBLE)" for n, e in rule.extra.items())
-            body = (f"struct('{skill}' AS skill_id, {pick('b', 'a')} AS initiator, {pick('a', 'b')} AS responder, "
-                    f"CAST({fm.clamp01(rule.score)} AS DOUBLE) AS score, {rule.metric or repr(r.metric)} AS risk_metric, "
-                    f"CAST({rule.value} AS DOUBLE) AS risk_value, map({measured}) AS measured, "
-                    f"{f'map({extra})' if extra else 'CAST(map() AS MAP<STRING, DOUBLE>)'} AS context, {pick('b_lane', 'a_lane')} AS initiator_lane, "
-                    f"{pick('a_lane', 'b_lane')} AS responder_lane, {rule.target_lane} AS target_lane)")
-            items.append(short(f"CASE WHEN (a_init_mask & b_resp_mask & {bit}L) <> 0 AND ({rule.where}) AND {bounds(r, rule.measured)} "
-                               f"AND ({rule.value}) IS NOT NULL THEN {body} END"))
-        out = pairs.select("scenario_id", "shared_steps", F.expr(f"inline(array_compact(array({', '.join(items)})))"))
+            body = F.struct(
+                F.lit(skill).alias("skill_id"), say(pick("b", "a")).alias("initiator"), say(pick("a", "b")).alias("responder"), say(fm.clamp01(rule.score)).cast("double").alias("score"),
+                (say(rule.metric) if rule.metric else F.lit(r.metric)).alias("risk_metric"), say(rule.value).cast("double").alias("risk_value"),
+                numbers({n: e for n, e in rule.measured.items() if n in r.thresholds}).alias("measured"), numbers(rule.extra).alias("context"),
+                say(pick("b_lane", "a_lane")).alias("initiator_lane"), say(pick("a_lane", "b_lane")).alias("responder_lane"), say(rule.target_lane).alias("target_lane"))
+            items.append(F.when(all_of([f"(a_init_mask & b_resp_mask & {bit}L) <> 0", rule.where, *bound_list(r, rule.measured), f"({rule.value}) IS NOT NULL"], say), body))
+        out = pairs.select("scenario_id", "shared_steps", F.inline(F.array_compact(F.array(*items))))
         return out.withColumn("extra", F.lit(None).cast("string")).select(*MATCH)
 
     def triple_matches(self) -> list[DataFrame]:

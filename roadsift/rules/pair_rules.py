@@ -8,8 +8,11 @@ else an upper bound), a score, and the seed risk metric with its value.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
+from pyspark.sql import Column, functions as F
+
 from roadsift.functions import formulas as fm
 from roadsift.operators import pairs as pr
 from roadsift.rules.catalog import RULES, Rule
@@ -31,9 +34,21 @@ class PairRule:
     early: str = "true"                # part of the condition on the pair row alone: path conflicts are made for no other pairs
 
 
+def bound_list(rule: Rule, measured: dict[str, str]) -> list[str]:
+    return [f"{measured[n]} {'>=' if n.startswith('minimum_') else '<='} {v}" for n, v in rule.thresholds.items()]
+
+
 def bounds(rule: Rule, measured: dict[str, str]) -> str:
-    parts = [f"{measured[n]} {'>=' if n.startswith('minimum_') else '<='} {v}" for n, v in rule.thresholds.items()]
-    return " AND ".join(parts)
+    return " AND ".join(bound_list(rule, measured))
+
+
+def all_of(parts: list[str], say: Callable[[str], Column] = F.expr) -> Column:
+    """The conditions, each parsed for itself, joined by AND in their order."""
+    return reduce(lambda x, y: x & y, [say(p) for p in parts])
+
+
+def any_of(parts: list[str]) -> Column:
+    return reduce(lambda x, y: x | y, [F.expr(p) for p in parts]) if parts else F.lit(True)
 
 
 def risk(rule: Rule, value: str) -> str:

@@ -12,7 +12,7 @@ from roadsift.functions import formulas as fm
 from roadsift.operators import lanes as ln, pairs as pr, tracks as tr
 from roadsift.operators.grid import CELL, box_cells, point_cell
 from roadsift.rules.catalog import RULES, Rule
-from roadsift.rules.pair_rules import bounds, in_horizon, large, mean, merge_swap, arrival, risk, small
+from roadsift.rules.pair_rules import all_of, bound_list, in_horizon, large, mean, merge_swap, arrival, risk, small
 
 #: Actors without a lane: beyond the largest gap (110 m) and side offset (10 m) of any rule over three actors.
 WIDE_RADIUS = 150.0
@@ -23,12 +23,14 @@ def emit(df: DataFrame, rule: Rule, roles: tuple[str, str, str], measured: dict[
          metric: str | None = None, where: str = "true", frames: tuple[str, str, str] = ("ha", "hb", "hc"),
          lanes: tuple[str, str] = ("CAST(NULL AS STRING)", "CAST(NULL AS STRING)"), target: str = "CAST(NULL AS STRING)",
          context: str = NO_CONTEXT) -> DataFrame:
-    ok = df.where(f"({where}) AND {bounds(rule, measured)} AND ({value}) IS NOT NULL")
-    maps = ", ".join(f"'{n}', CAST({e} AS DOUBLE)" for n, e in measured.items())
-    return ok.selectExpr(
+    # parsed piece by piece, as in the rules over two actors
+    ok = df.where(all_of([where, *bound_list(rule, measured), f"({value}) IS NOT NULL"]))
+    numbers = F.create_map(*[c for n, e in measured.items() for c in (F.lit(n), F.expr(e).cast("double"))])
+    out = ok.withColumns({"measured_": numbers, "score_": F.expr(fm.clamp01(score)).cast("double"), "value_": F.expr(value).cast("double")})
+    return out.selectExpr(
         "scenario_id", f"'{rule.skill_id}' AS skill_id", f"{roles[0]} AS initiator", f"{roles[1]} AS responder", f"{roles[2]} AS extra",
-        f"CAST({fm.clamp01(score)} AS DOUBLE) AS score", f"{metric or repr(rule.metric)} AS risk_metric", f"CAST({value} AS DOUBLE) AS risk_value",
-        f"map({maps}) AS measured", f"{context} AS context", f"{lanes[0]} AS initiator_lane", f"{lanes[1]} AS responder_lane",
+        "score_ AS score", f"{metric or repr(rule.metric)} AS risk_metric", "value_ AS risk_value",
+        "measured_ AS measured", f"{context} AS context", f"{lanes[0]} AS initiator_lane", f"{lanes[1]} AS responder_lane",
         f"{target} AS target_lane", f"size(array_intersect(array_intersect({frames[0]}, {frames[1]}), {frames[2]})) AS shared_steps")
 
 
